@@ -1,11 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from quillspan.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quillspan.llm.sentencepiece_codec import op6_sentencepiece
 from quillspan.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLE_SQL = {
