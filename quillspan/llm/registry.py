@@ -1,6 +1,8 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from quillspan.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quillspan.llm.mixing import OP5_SQL, op5_mixing
+from quillspan.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quillspan.llm.sentencepiece_codec import op6_sentencepiece
 from quillspan.llm.substring_dedup import op1_substring_dedup
 
@@ -8,8 +10,12 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_rules": op7_quality_rules,
+    "op5_mixing": op5_mixing,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op5_mixing": OP5_SQL,
 }
