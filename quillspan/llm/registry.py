@@ -5,9 +5,11 @@ from quillspan.llm.mixing import OP5_SQL, op5_mixing
 from quillspan.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quillspan.llm.sentencepiece_codec import op6_sentencepiece
 from quillspan.llm.substring_dedup import op1_substring_dedup
+from quillspan.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
