@@ -172,8 +172,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     # Seeds found twice or more; `mixed` where their stretches differ.
     twice = seeds.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
+    twice = scratch.table("twice", twice)  # read anew, the join deals both sides itself and can split a common seed
     shared = scratch.table("shared", seeds.join(twice, "a"))
-    scratch.drop("seeds")
+    scratch.drop("seeds", "twice")
     kinds = shared.filter("mixed").groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "at")).alias("one"))
     kinds = scratch.table("kinds", kinds)
     whole = shared.filter("not mixed").select("doc_id", "row_key", "at")
@@ -187,9 +188,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     windows = beside(raw, unsure, "inner").mapInArrow(_window_hashes(length), "h1 long, h2 long, doc_id long, row_key long, at long")
     windows = scratch.table("windows", windows)
     again = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
+    again = scratch.table("again", again)
     single = windows.join(again, ["h1", "h2"], "left_semi").select("doc_id", "row_key", "at")
     marks = scratch.table("marks", whole.unionByName(single).groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("marks")))
-    scratch.drop("shared", "kinds", "windows")
+    scratch.drop("shared", "kinds", "windows", "again")
     joined = beside(raw, marks, "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<int>")
 
