@@ -1,5 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from quillspan.llm.jaccard_join import op8_jaccard_join
 from quillspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillspan.llm.mixing import OP5_SQL, op5_mixing
 from quillspan.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op5_mixing": op5_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE_SQL = {
