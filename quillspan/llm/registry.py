@@ -1,5 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from quillspan.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from quillspan.llm.jaccard_join import op8_jaccard_join
 from quillspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillspan.llm.mixing import OP5_SQL, op5_mixing
@@ -10,6 +11,7 @@ from quillspan.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_quality_rules": OP7_SQL,
     "op5_mixing": OP5_SQL,
