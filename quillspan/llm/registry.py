@@ -8,6 +8,8 @@ from quillspan.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quillspan.llm.sentencepiece_codec import op6_sentencepiece
 from quillspan.llm.substring_dedup import op1_substring_dedup
 from quillspan.llm.toxicity import op3_toxicity
+from quillspan.llm.url_filters import op10_url_filters
+from quillspan.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,6 +20,8 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op5_mixing": op5_mixing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_warc": op9_warc,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL = {
@@ -25,4 +29,5 @@ ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
     "op7_quality_rules": OP7_SQL,
     "op5_mixing": OP5_SQL,
+    "op9_warc": OP9_SQL,
 }
