@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.llm.common import Scratch, SpanHash, WordHashes, arrow_batches, as_long, components, documents, mix64, with_row_key
 
@@ -244,5 +245,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     )
 
 
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """docs with one row of each component of near_duplicates(): that of the smallest doc_id.
+
+    Rows that share a doc_id are one document, of which the longest text stays.
+    Rows without a doc_id, and texts without a word, stay.
+    """
+    kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_root"), F.count("*").alias("_rows"))
+    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").filter("_id is null or _root = _id")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
+    one = joined.filter("_id is null or _rows = 1").select(*docs.columns)
+    return one.unionByName(joined.filter("_rows > 1").withColumn("_place", place).filter("_place = 1").select(*docs.columns))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

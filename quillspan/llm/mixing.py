@@ -100,15 +100,23 @@ def temperature_weights(sources: DataFrame, budget: int, entropy_gain: float = E
     return t, out.withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget)) + F.lit(1e-6)).cast("long"))
 
 
+def whole_permutations(weights: DataFrame) -> DataFrame:
+    """weights with the quotas of the smallest budget that gives every source one whole permutation."""
+    most = weights.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
+    return weights.withColumn("quota", F.greatest("tokens", F.floor(F.col("weight") * F.lit(float(most)) + F.lit(1e-6)).cast("long")))
+
+
 def _hashed(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumn("rank", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
 
 
-def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, entropy_gain: float = ENTROPY_GAIN, max_repeat: float | None = MAX_REPEAT) -> DataFrame:
+def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, entropy_gain: float = ENTROPY_GAIN, max_repeat: float | None = MAX_REPEAT, cover: bool = False) -> DataFrame:
     """How often each document occurs in the mixture: doc_id, source, n_tokens, block, n_copies.
 
     docs: doc_id, source, text. budget: tokens of the mixture, by default those
-    of docs. Documents with equal ids share their place in a permutation, and
+    of docs. With cover, the budget grows until the source that the weights
+    hold back most has one whole permutation, so every document of a source
+    with words occurs. Documents with equal ids share their place in a permutation, and
     then go by their number of tokens. A document enters a partial permutation
     while the tokens before it are under what is left of the quota. Null
     sources form one source. Texts without a word have no tokens; they occur
@@ -123,6 +131,8 @@ def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, en
     sources = scratch.table("sources", source_tokens(slim).coalesce(1))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     _, weights = temperature_weights(sources, total if budget is None else budget, entropy_gain, max_repeat)
+    if cover:
+        weights = whole_permutations(weights)
     quotas = weights.select("source", "n_docs", (F.col("quota") / F.col("tokens")).cast("long").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"))
     quotas = scratch.table("quotas", quotas.coalesce(1))
 

@@ -54,6 +54,9 @@ def base_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_places").isNotNull(), _covered(F.col("_places"), NGRAM)), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    # Filters on base_failed would be rewritten in terms of the text, and its n-grams worked out once for each mention;
+    # none passes a projection with an expression that may change from row to row.
+    failed = failed & (F.monotonically_increasing_id() >= 0)
     return out.withColumn("base_failed", failed).drop("_words", "_lines", "_grams", "_sorted", "_places")
 
 
