@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     docs: doc_id (integer) and text; other columns are not read. class_id is
     the smallest doc_id with the same n-gram set; n_links counts the other rows
     at or above the threshold, those of the same class included; component_id
-    is the smallest doc_id reachable by links. Null and empty texts link with
-    nothing and are classes of their own, as are rows without an id (class null).
-    Rows that repeat count as different rows of one class; rows that share an
+    is the smallest doc_id reachable by links. Texts without a word (null ones
+    too) have equal sets, so they are one class and link with nothing else;
+    rows without an id link with nothing and have no class. Rows that repeat count as different rows of one class; rows that share an
     id but no text add up their links.
     """
     spark = docs.sparkSession
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     raw = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "row_key")
     length = prefix_length(threshold, trees, depth, recall)
     signed = scratch.table("signed", raw.mapInArrow(_signatures(n, trees, length), "doc_id long, row_key long, s1 long, s2 long, n_shingles int, prefixes array<long>"))
-    real = signed.filter("n_shingles > 0 and doc_id is not null")
+    real = signed.filter("doc_id is not null")
     classes = real.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.count("*").alias("n_rows"), F.first("prefixes").alias("prefixes"))
     classes = scratch.table("classes", classes.select("s1", "s2", "n_shingles", F.col("one.doc_id").alias("cls"), F.col("one.row_key").alias("cls_key"), "n_rows", "prefixes"))
 
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     known = scratch.table("known", classes.select("s1", "s2", "cls", "n_rows").join(linked, "cls", "left").join(joined, "cls", "left"))
     scratch.drop("groups", "sizes", "found", "classes")
     out = signed.select("doc_id", "s1", "s2", "n_shingles").join(known, ["s1", "s2"], "left")
-    real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    real = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
         F.when(real, F.col("cls")).otherwise(F.col("doc_id")).alias("class_id"),
@@ -249,7 +249,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     """docs with one row of each component of near_duplicates(): that of the smallest doc_id.
 
     Rows that share a doc_id are one document, of which the longest text stays.
-    Rows without a doc_id, and texts without a word, stay.
+    Of texts without a word one stays, and rows without a doc_id all do.
     """
     kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_root"), F.count("*").alias("_rows"))
     joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").filter("_id is null or _root = _id")
