@@ -1 +1 @@
-"""See the modules."""
+"""DataFrame transformations for reconciling two overlapping event records on a grid."""

@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming versions of the recent-window watch."""
