@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,7 +69,6 @@ def kendall_p(n: int, s: int) -> float:
 
 def kendall_p_column(n: str = "n", s: str = "s") -> Column:
     """kendall_p as a column; in batches, for tables of many series."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p(n_values: pd.Series, s_values: pd.Series) -> pd.Series:

@@ -41,26 +41,26 @@ def per_method(months: DataFrame) -> DataFrame:
         v = F.lit(1) if value == "climatology" else F.col(value)
         return F.struct(F.lit(name).alias("method"), v.cast("double").alias("value"), F.concat_ws("|", F.lit(name), *(F.col(k).cast("string") for k in keys or ())).alias("key"))
 
-    return months.withColumn("m", F.explode(F.array(*map(one, METHODS)))).select("year", "month", "region", "season", F.col("count_a").cast("double").alias("true"), "m.*")
+    return months.withColumn("m", F.explode(F.array(*map(one, METHODS)))).select("year", "month", "region", "season", F.col("count_a").cast("double").alias("actual"), "m.*")
 
 
 def _predicted(rows: DataFrame, sum_a: Column, sum_v: Column, seen: Column) -> DataFrame:
     """Apply ratios; a group never seen in training has ratio 1, or a climatology of 0."""
     factor = F.when(F.coalesce(seen, F.lit(0)) == 0, F.when(F.col("method") == "climatology", 0.0).otherwise(1.0)).otherwise(sum_a / F.greatest(sum_v, F.lit(1.0)))
     pred = F.when(F.col("method") == "naive", F.col("value")).otherwise(F.col("value") * factor)
-    return rows.select("method", "year", "month", "region", "season", "true", pred.alias("pred"))
+    return rows.select("method", "year", "month", "region", "season", "actual", pred.alias("pred"))
 
 
 def predict(train: DataFrame, test: DataFrame) -> DataFrame:
     """Every method fitted on train and applied to test."""
-    fit = per_method(train).groupBy("key").agg(F.sum("true").alias("sa"), F.sum("value").alias("sv"), F.count("*").alias("n"))
+    fit = per_method(train).groupBy("key").agg(F.sum("actual").alias("sa"), F.sum("value").alias("sv"), F.count("*").alias("n"))
     return _predicted(per_method(test).join(fit, "key", "left"), F.col("sa"), F.col("sv"), F.col("n"))
 
 
 def leave_one_year_out(months: DataFrame) -> DataFrame:
     """Every method fitted on all years but the predicted one: the year's own sums are taken from the totals."""
     rows = per_method(months)
-    yearly = rows.groupBy("key", "year").agg(F.sum("true").alias("a"), F.sum("value").alias("v"), F.count("*").alias("n"))
+    yearly = rows.groupBy("key", "year").agg(F.sum("actual").alias("a"), F.sum("value").alias("v"), F.count("*").alias("n"))
     total = yearly.groupBy("key").agg(F.sum("a").alias("ta"), F.sum("v").alias("tv"), F.sum("n").alias("tn"))
     rest = yearly.join(total, "key").select("key", "year", (F.col("ta") - F.col("a")).alias("sa"), (F.col("tv") - F.col("v")).alias("sv"), (F.col("tn") - F.col("n")).alias("left"))
     return _predicted(rows.join(rest, ["key", "year"], "left"), F.col("sa"), F.col("sv"), F.col("left"))
@@ -77,13 +77,13 @@ def absolute_percent(true: Column, pred: Column) -> Column:
 
 def score_overall(predicted: DataFrame) -> DataFrame:
     """Per method: monthly_mae, monthly_r2, bias_pct, and the median yearly error by region and for all."""
-    mean = predicted.groupBy("method").agg(F.avg("true").alias("mean"))
+    mean = predicted.groupBy("method").agg(F.avg("actual").alias("mean"))
     monthly = predicted.join(mean, "method").groupBy("method").agg(
-        F.avg(F.abs(F.col("pred") - F.col("true"))).alias("monthly_mae"),
-        (1 - F.try_divide(F.sum(F.pow(F.col("pred") - F.col("true"), F.lit(2))), F.sum(F.pow(F.col("true") - F.col("mean"), F.lit(2))))).alias("monthly_r2"),
-        percent(F.sum("pred"), F.sum("true")).alias("bias_pct"),
+        F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("monthly_mae"),
+        (1 - F.try_divide(F.sum(F.pow(F.col("pred") - F.col("actual"), F.lit(2))), F.sum(F.pow(F.col("actual") - F.col("mean"), F.lit(2))))).alias("monthly_r2"),
+        percent(F.sum("pred"), F.sum("actual")).alias("bias_pct"),
     )
-    regional = predicted.groupBy("method", "year", "region").agg(F.sum("true").alias("t"), F.sum("pred").alias("p"))
+    regional = predicted.groupBy("method", "year", "region").agg(F.sum("actual").alias("t"), F.sum("pred").alias("p"))
     national = regional.groupBy("method", "year").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     for frame, name in ((regional, "regional_err_pct"), (national, "national_err_pct")):
         monthly = monthly.join(frame.groupBy("method").agg(absolute_percent(F.col("t"), F.col("p")).alias(name)), "method")
@@ -92,7 +92,7 @@ def score_overall(predicted: DataFrame) -> DataFrame:
 
 def score_by_group(predicted: DataFrame) -> DataFrame:
     """Per method, region and season: yearly_r (null under three years or without spread), mean, bias and median error."""
-    yearly = predicted.groupBy("method", "region", "season", "year").agg(F.sum("true").alias("t"), F.sum("pred").alias("p"))
+    yearly = predicted.groupBy("method", "region", "season", "year").agg(F.sum("actual").alias("t"), F.sum("pred").alias("p"))
     spread = (F.count("*") > 2) & (F.stddev_samp("p") > 0) & (F.stddev_samp("t") > 0)
     return yearly.groupBy("method", "region", "season").agg(
         F.when(spread, F.corr("t", "p")).alias("yearly_r"),
