@@ -148,7 +148,7 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for batch in batches:
         rows = [terms.of(t or b"").astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "terms"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "terms"])
 
 
 def _score(shared):
@@ -173,15 +173,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     """Fit on at most max_rows labelled rows, chosen by a hash of their id, none of them held out.
 
     Null labels and null ids are left out; of repeated labels the largest
-    counts, of repeated documents each. Without a row of either label the
+    counts, of repeated documents one. Without a row of either label the
     machine gives every text the same score.
     """
     arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     # At most max_rows rows of two numbers: broadcast whatever the corpus.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").limit(2 * max_rows)
-    rows = texts.select("toxic", "text").mapInArrow(_terms_of, "toxic int, terms binary").toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(_terms_of, "doc_id long, toxic int, terms binary")
+    # One row for each id of the sample, however often its document is repeated.
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")).toArrow()
     y = np.asarray(rows.column("toxic").combine_chunks() if rows.num_rows else []).astype(float)
     if not len(y) or y.min() == y.max():
         size = 1 << BITS
