@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["calendar", "cells"]
+MODULES = ["calendar", "cells", "places"]
 
 
 def _books():
