@@ -1,12 +1,11 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Records fall into archives of bounded size by hash and are ordered by page
-within an archive, so the offset of every record is known before any byte is
-written. The index (offset, length, URL, digest per record) is written first,
-then the archives through Spark's own file writer, whose commit protocol
-discards what lost or repeated tasks leave. Reading goes the other way: choose
-records in the index, merge their sorted ranges where the gaps are small, and
-read each merged range at once.
+Archives are written through Spark's own file writer, whose commit protocol
+discards what lost or repeated tasks leave; every task's pages go straight to
+its archive. The index (offset, length, URL, digest per record) is made before
+anything is read back, by walking from header to header, and does not depend on
+the order in which tasks wrote. Reading goes through it: choose records, merge
+their sorted ranges where the gaps are small, and read each merged range at once.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from quillspan.llm.common import Scratch, arrow_batches
 
 #: Payloads under so many bytes are never revisits.
 MIN_REVISIT_BYTES = 0
-ARCHIVE_BYTES = 64 << 20
 #: Ranges merge over gaps up to GAP bytes, until they have RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+#: What the walk reads at a record's beginning.
+HEAD = 4096
 DATE = "2000-01-01T00:00:00Z"
 DIGITS, LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -77,41 +77,72 @@ def _records(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
     return rows.withColumn("record", F.concat(*lines))
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> Archive:
-    """Write one record per row of pages (page_id, url, html) into the shared folder.
+def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_REVISIT_BYTES) -> Archive:
+    """Write one record per row of pages (page_id, url, html) into the shared folder, and index them.
 
     Of equal payloads of at least min_bytes, rows with the smallest page_id are
     responses and the others revisits of it; a null page_id is larger than any.
     Null html is an empty payload, a null url an empty target. Rows that repeat
     get a record each.
     """
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) + 600 * F.count("*")).first()[0]
-    count = max(1, -(-total // archive_bytes))
-    records = _records(pages, scratch, min_bytes)
-    records = records.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "sha"), F.lit(count)).cast("int"))
-    order = ["page_id", "url", "sha", "record_type"]
-    length = F.octet_length("record") + 2
-    index = records.select("archive", *order, "digest", length.cast("long").alias("length"))
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    index = scratch.table("index", index.select("archive", "offset", "length", "page_id", "url", "digest", "record_type"))
-    rows = records.repartition("archive").sortWithinPartitions("archive", *order).select("archive", "record")
-    rows.write.partitionBy("archive").option("lineSep", "\r\n").text(scratch.path("warc"))
-    return Archive(scratch.path("warc"), index)
+    path = scratch.path("warc")
+    _records(pages, scratch, min_bytes).select("record").write.option("lineSep", "\r\n").text(path)
+    spark = pages.sparkSession
+    arrow_batches(spark, 64)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
+    index = files.mapInArrow(_walk, "path string, offset long, length long, page_id long, url string, digest string, record_type string")
+    return Archive(path, scratch.table("index", index))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(path: str):
     import re
 
     from pyarrow import fs
 
+    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(inner)
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; raises if these are not the first lines of a record."""
+    version, *lines = head.split(b"\r\n")
+    if not version.startswith(b"WARC/"):
+        raise ValueError(f"not a record: {head[:80]!r}")
+    return {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in lines)}
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    return int(fields[name]) if fields.get(name) else None
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())])
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            rows = []
+            with _opened(path) as f:
+                at, end = 0, f.size()
+                while at < end:
+                    size = HEAD
+                    while b"\r\n\r\n" not in (data := f.read_at(min(size, end - at), at)):
+                        if size >= end - at:
+                            raise ValueError(f"no record at {at} of {path}")
+                        size *= 4
+                    head = data.partition(b"\r\n\r\n")[0]
+                    fields = fields_of(head)
+                    length = len(head) + 8 + int(fields["content-length"])
+                    rows.append((path, at, length, _number(fields, "x-page-id"), fields["warc-target-uri"], fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]))
+                    at += length
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     for batch in batches:
         for row in batch.to_pylist():
-            store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", row["path"]))
             out = {n: [] for n in names}
-            with store.open_input_file(path) as f:
+            with _opened(row["path"]) as f:
                 data = f.read_at(row["stop"] - row["start"], row["start"])
             for offset, length in sorted((p["offset"], p["length"]) for p in row["parts"]):
                 at = offset - row["start"]
@@ -123,18 +154,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse(record: bytes) -> tuple:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of one whole record; raises if it is damaged."""
     head, _, block = record.partition(b"\r\n\r\n")
-    version, *lines = head.split(b"\r\n")
-    fields = {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in lines)}
-    if not version.startswith(b"WARC/") or block[int(fields["content-length"]) :] != b"\r\n\r\n":
-        raise ValueError(f"not a record: {record[:80]!r}")
+    fields = fields_of(head)
+    if block[int(fields["content-length"]) :] != b"\r\n\r\n":
+        raise ValueError(f"record of a wrong length: {record[:80]!r}")
     payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
     digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
     if fields["warc-type"] == "response":
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         if (found, len(payload)) != (digest, size):
             raise ValueError(f"damaged payload of {fields['warc-record-id']}")
-    number = lambda k: int(fields[k]) if fields.get(k) else None
-    return number("x-page-id"), fields["warc-target-uri"], size, digest, fields["warc-type"], number("x-refers-to-page-id"), payload
+    return _number(fields, "x-page-id"), fields["warc-target-uri"], size, digest, fields["warc-type"], _number(fields, "x-refers-to-page-id"), payload
 
 
 def read_archives(archive: Archive, chosen: DataFrame | None = None, gap: int = GAP, size: int = RANGE) -> DataFrame:
@@ -147,13 +176,12 @@ def read_archives(archive: Archive, chosen: DataFrame | None = None, gap: int =
     spark = archive.index.sparkSession
     arrow_batches(spark, 16)  # each row of a batch is a range of up to `size` bytes
     chosen = archive.index if chosen is None else chosen
-    order = Window.partitionBy("archive").orderBy("offset")
+    order = Window.partitionBy("path").orderBy("offset")
     end = F.col("offset") + F.col("length")
     gapped = chosen.withColumn("jump", F.coalesce((F.col("offset") - F.lag(end).over(order) > gap).cast("int"), F.lit(0)))
     run = gapped.withColumn("run", F.sum("jump").over(order)).withColumn("cell", F.floor(F.col("offset") / size))
-    ranges = run.groupBy("archive", "run", "cell").agg(F.min("offset").alias("start"), F.max(end).alias("stop"), F.collect_list(F.struct("offset", "length")).alias("parts"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(archive.path).select("path", F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("archive"))
-    placed = ranges.join(files, "archive").select("path", "start", "stop", "parts")
+    ranges = run.groupBy("path", "run", "cell").agg(F.min("offset").alias("start"), F.max(end).alias("stop"), F.collect_list(F.struct("offset", "length")).alias("parts"))
+    placed = ranges.select("path", "start", "stop", "parts")
     return placed.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
