@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r; null without spread, where the built-in function fails."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rank from 1, ties sharing the mean of their ranks; ranks come from counts of distinct values."""
     groups = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
@@ -23,7 +28,7 @@ def average_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rho, the correlation of average ranks."""
     ranked = average_rank(average_rank(df.select(x, y), x, "_rx"), y, "_ry")
-    return ranked.agg(F.corr("_rx", "_ry").alias("rho"))
+    return ranked.agg(correlation("_rx", "_ry").alias("rho"))
 
 
 def kendall_theilsen(series: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.config import CONFIG
+from quillspan.functions.stats import correlation
 
 #: Method -> (value that is scaled, keys of its ratio). "climatology" averages record A by its keys instead.
 METHODS: dict[str, tuple[str, tuple[str, ...] | None]] = {
@@ -95,7 +96,7 @@ def score_by_group(predicted: DataFrame) -> DataFrame:
     yearly = predicted.groupBy("method", "region", "season", "year").agg(F.sum("actual").alias("t"), F.sum("pred").alias("p"))
     spread = (F.count("*") > 2) & (F.stddev_samp("p") > 0) & (F.stddev_samp("t") > 0)
     return yearly.groupBy("method", "region", "season").agg(
-        F.when(spread, F.corr("t", "p")).alias("yearly_r"),
+        F.when(spread, correlation("t", "p")).alias("yearly_r"),
         F.avg("t").alias("mean_true"),
         percent(F.sum("p"), F.sum("t")).alias("bias_pct"),
         absolute_percent(F.col("t"), F.col("p")).alias("median_err_pct"),

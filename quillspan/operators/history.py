@@ -96,18 +96,20 @@ def cell_summary(flags: DataFrame, cfg: Config = CONFIG, new_since: int = 2000,
     """
     n = cfg.last_year - cfg.first_year + 1
     early, late = cfg.overlap_from - cfg.first_year, cfg.last_year - cfg.overlap_from + 1
-    when = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
+    # Sums at six places first: their last digits depend on the order of the rows.
+    total = lambda c: F.round(F.sum(c), 6)
+    when = lambda cond, c: total(F.when(cond, F.col(c)).otherwise(0.0))
     old, y = F.col("year") < cfg.overlap_from, F.col("year")
     likely = F.col("active") >= 0.5
     s = flags.groupBy(*CELL).agg(
-        F.bround(F.sum("active"), 1).alias("active_seasons"),
+        F.bround(total("active"), 1).alias("active_seasons"),
         F.sum("active_naive").cast("int").alias("active_seasons_naive"),
         F.bround(when(old, "active"), 1).alias("active_early"),
         F.bround(when(~old, "active"), 1).alias("active_late"),
         F.bround(when(y < new_since, "active"), 2).alias("active_before"),
         F.bround(when(y >= new_since, "active"), 2).alias("active_since"),
         when(~old, "active_naive").alias("naive_late"),
-        F.bround(F.avg("activity_eq"), 2).alias("mean_activity_eq"),
+        F.bround(F.round(F.avg("activity_eq"), 6), 2).alias("mean_activity_eq"),
         F.min(F.when(likely, y)).alias("first_likely"),
         F.max(F.when(likely, y)).alias("last_likely"),
     ).join(streak(flags, likely), CELL)
@@ -115,7 +117,7 @@ def cell_summary(flags: DataFrame, cfg: Config = CONFIG, new_since: int = 2000,
     early_share = F.col("active_early") / early
     pattern = F.when((F.col("active_before") < new_before_max) & (F.col("active_since") >= new_since_min), "new").when(share >= shares[0], "chronic").when(share >= shares[1], "recurring").when(share >= shares[2], "occasional").otherwise("rare")
     return (
-        s.withColumn("share_active", F.bround(share, 3)).withColumn("pattern", pattern)
+        s.withColumn("share_active", F.bround(F.round(share, 6), 3)).withColumn("pattern", pattern)
         .withColumn("looks_worse_naive", F.col("naive_late") / late - early_share >= jump)
         .withColumn("looks_worse_harmonized", F.col("active_late") / late - early_share >= jump).drop("naive_late")
     )

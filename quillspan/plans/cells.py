@@ -33,12 +33,19 @@ part("flags", ("scored", "hbfactor"), """
 SELECT ci, cj, year, round_even(CASE WHEN year < 1998 THEN y ELSE p END, 3) AS active,
   CASE WHEN year < 1998 THEN y WHEN raw_b >= 1 THEN 1.0e0 ELSE 0.0e0 END AS active_naive,
   round_even(CASE WHEN year < 1998 THEN CAST(count_a AS DOUBLE) ELSE celldays_b * f END, 2) AS activity_eq FROM scored CROSS JOIN hbfactor""")
-part("summary", ("flags",), """
+def half_even(value: str, places: int, digits: int = 6) -> str:
+    """Rounding half to even in whole numbers: of value at `digits` places, to `places`."""
+    unit = 10 ** (digits - places)
+    m = f"CAST(round(({value}) * {10**digits}) AS BIGINT)"
+    return f"(CASE WHEN 2 * ({m} % {unit}) > {unit} OR (2 * ({m} % {unit}) = {unit} AND ({m} // {unit}) % 2 = 1) THEN {m} // {unit} + 1 ELSE {m} // {unit} END / {10**places}.0e0)"
+
+
+part("summary", ("flags",), f"""
 SELECT *, active_seasons / 7 AS share, CASE WHEN active_before < 0.5 AND active_since >= 0.9 THEN 'new' WHEN active_seasons / 7 >= 0.75 THEN 'chronic' WHEN active_seasons / 7 >= 0.4 THEN 'recurring' WHEN active_seasons / 7 >= 0.15 THEN 'occasional' ELSE 'rare' END AS pattern
-FROM (SELECT ci, cj, round_even(sum(active), 1) AS active_seasons, CAST(sum(active_naive) AS INT) AS active_seasons_naive,
-  round_even(sum(CASE WHEN year < 1998 THEN active ELSE 0 END), 1) AS active_early, round_even(sum(CASE WHEN year >= 1998 THEN active ELSE 0 END), 1) AS active_late,
-  round_even(sum(CASE WHEN year < 2000 THEN active ELSE 0 END), 2) AS active_before, round_even(sum(CASE WHEN year >= 2000 THEN active ELSE 0 END), 2) AS active_since,
-  sum(CASE WHEN year >= 1998 THEN active_naive ELSE 0 END) AS naive_late, round_even(avg(activity_eq), 2) AS mean_activity_eq,
+FROM (SELECT ci, cj, {half_even('sum(active)', 1)} AS active_seasons, CAST(sum(active_naive) AS INT) AS active_seasons_naive,
+  {half_even('sum(CASE WHEN year < 1998 THEN active ELSE 0 END)', 1)} AS active_early, {half_even('sum(CASE WHEN year >= 1998 THEN active ELSE 0 END)', 1)} AS active_late,
+  {half_even('sum(CASE WHEN year < 2000 THEN active ELSE 0 END)', 2)} AS active_before, {half_even('sum(CASE WHEN year >= 2000 THEN active ELSE 0 END)', 2)} AS active_since,
+  sum(CASE WHEN year >= 1998 THEN active_naive ELSE 0 END) AS naive_late, {half_even('avg(activity_eq)', 2)} AS mean_activity_eq,
   min(year) FILTER (active >= 0.5) AS first_likely, max(year) FILTER (active >= 0.5) AS last_likely,
   CAST(2001 - coalesce(max(year) FILTER (active < 0.5), 1994) AS INT) AS streak FROM flags GROUP BY ci, cj)""")
 part("days", ("hot",), "SELECT ci, cj, year, CAST(count(DISTINCT date) AS INT) AS days FROM hot WHERE sensor = 'B' GROUP BY ALL")
@@ -159,7 +166,7 @@ def spearman(spark, sf_dir):
 SUMMARY = ["active_seasons", "active_early", "active_late", "active_before", "active_since", "mean_activity_eq"]
 
 
-@BOOK.add("cell_summary", q(("summary",), f"SELECT ci, cj, {r(*SUMMARY)}, active_seasons_naive, first_likely, last_likely, streak, round_even(share, 3) AS share_active, pattern, naive_late / 4 - active_early / 3 >= 0.25 AS looks_worse_naive, active_late / 4 - active_early / 3 >= 0.25 AS looks_worse_harmonized FROM summary"))
+@BOOK.add("cell_summary", q(("summary",), f"SELECT ci, cj, {r(*SUMMARY)}, active_seasons_naive, first_likely, last_likely, streak, {half_even('share', 3)} AS share_active, pattern, naive_late / 4 - active_early / 3 >= 0.25 AS looks_worse_naive, active_late / 4 - active_early / 3 >= 0.25 AS looks_worse_harmonized FROM summary"))
 def cell_summary(spark, sf_dir):
     return rounded(hist.cell_summary(flags(spark, sf_dir)))
 
