@@ -248,6 +248,30 @@ def roc_auc(spark, sf_dir):
     return rounded(rank.roc_auc(_judged(spark, sf_dir), "s", "burned", ("year",)))
 
 
+METHODS = {"last_year": "score_last_year", "history": "score_history", "long_history": "score_long_history"}
+part("long", ("data",), "SELECT 'last_year' AS method, year, burned AS y, round(s1, 9) AS s FROM data UNION ALL SELECT 'history', year, burned, round(s2, 9) FROM data UNION ALL SELECT 'long_history', year, burned, round(s3, 9) FROM data")
+part("ltiers", ("long",), "SELECT method, year, s, count(*) AS n, sum(y) AS h, sum(count(*)) OVER w - count(*) AS n0, sum(sum(y)) OVER w - sum(y) AS h0 FROM long GROUP BY method, year, s WINDOW w AS (PARTITION BY method, year ORDER BY s DESC ROWS UNBOUNDED PRECEDING)")
+part("judged", ("ltiers",), """
+SELECT method, year, sum(h * (h0 + h) / (n0 + n)) / nullif(sum(h), 0) AS avg_precision, sum(h / n * greatest(0, least(n, 20 - n0))) / 20 AS p20, sum(h / n * greatest(0, least(n, 50 - n0))) / 50 AS p50, sum(h) / sum(n) AS base_rate FROM ltiers GROUP BY method, year""")
+
+
+def judged(spark, sf_dir):
+    d = data(spark, sf_dir)
+    for c in METHODS.values():
+        d = d.withColumn(c, F.round(c, 9))
+    return rank.rolling_origin(d, METHODS, ks=(20, 50))
+
+
+@BOOK.add("rolling_origin", q(("judged",), f"SELECT method, year, {r('avg_precision', 'p20', 'p50', 'base_rate')} FROM judged"))
+def rolling_origin(spark, sf_dir):
+    return rounded(judged(spark, sf_dir).drop("auc"))
+
+
+@BOOK.add("method_summary", q(("judged",), f"SELECT method, {r('avg(p50) AS p50_mean', 'min(p50) AS p50_min', 'max(p50) AS p50_max', 'avg(avg_precision) AS avg_precision_mean', 'min(avg_precision) AS avg_precision_min', 'max(avg_precision) AS avg_precision_max')} FROM judged GROUP BY method"))
+def method_summary(spark, sf_dir):
+    return rounded(rank.over_seasons(judged(spark, sf_dir), ["p50", "avg_precision"]))
+
+
 @BOOK.add("base_rate", q(("data",), f"SELECT year, {r('avg(burned) AS rate')} FROM data GROUP BY year"))
 def base_rate(spark, sf_dir):
     return rounded(data(spark, sf_dir).groupBy("year").agg(F.avg("burned").alias("rate")))
