@@ -92,13 +92,16 @@ def apply_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOS
     stays empty.
     """
     hosts = host_rates(base_rules(docs.select(host, "text")).select(host, "base_failed"), host, max_rate)
+    # Written, so that Spark knows its size and need not deal the texts out by host to join it.
+    hosts = Scratch(docs.sparkSession, "quality").table("hosts", hosts)
     return with_verdicts(base_rules(docs), hosts, host)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_rules(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
-    base = Scratch(spark, "quality").table("base", base)
-    return with_verdicts(base, host_rates(base)).select("doc_id", *BASE, "kept")
+    scratch = Scratch(spark, "quality")
+    base = scratch.table("base", base)
+    return with_verdicts(base, scratch.table("hosts", host_rates(base))).select("doc_id", *BASE, "kept")
 
 
 OP7_SQL = r"""
