@@ -125,6 +125,16 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
 
 
+#: Parts that the neighbours of one node are dealt to.
+SALTS = 8
+
+
+def _beside_lowest(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows (u, v) with m of their u. A hub's rows go to several tasks, and adaptive execution can split these further."""
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (u, v): one row (node, root), root the smallest node.
 
@@ -138,9 +148,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int =
     for i in range(1, max_rounds + 1):
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _beside_lowest(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        small = _beside_lowest(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         step = scratch.table(f"{name}{i}", small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = step.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         scratch.drop(f"{name}{i - 1}")

@@ -14,7 +14,6 @@ of links, and a spanning forest of the links it found.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

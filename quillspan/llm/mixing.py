@@ -21,7 +21,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillspan.llm.common import WORD_PATTERN, Scratch, documents

@@ -14,7 +14,6 @@ hash (128 bits), however many copies there are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
