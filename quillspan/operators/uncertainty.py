@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.config import CONFIG
-from quillspan.operators.calibration import naive_stitch
 
 
 def random_draws(spark: SparkSession, years: list[int], n: int = CONFIG.replicates, seed: int = 0) -> DataFrame:
@@ -60,6 +59,3 @@ def jump(values: DataFrame, before: tuple[int, int], after: tuple[int, int], col
     mean = lambda c, span: F.avg(F.when(F.col("year").between(*span), F.col(c)))
     return yearly.groupBy(*keys).agg(*(F.try_divide(mean(c, after), mean(c, before)).alias(f"jump_{c}") for c in columns))
 
-
-def stitched(months: DataFrame) -> DataFrame:
-    return naive_stitch(months)

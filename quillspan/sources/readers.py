@@ -74,7 +74,7 @@ def read_live(spark: SparkSession, path: str, box: tuple[float, float, float, fl
     return inside.withColumn("acq_time", F.lpad("acq_time", 4, "0")), last
 
 
-def polygon_raster(points: DataFrame, lat0: float, lon0: float, step: float) -> DataFrame:
+def raster_position(points: DataFrame, lat0: float, lon0: float, step: float) -> DataFrame:
     """Row and column of each point (lat, lon) in a raster whose first pixel begins at (lat0, lon0), rows going south."""
     return points.withColumn("row", F.floor((lat0 - F.col("lat")) / step).cast("long")).withColumn("col", F.floor((F.col("lon") - lon0) / step).cast("long"))
 
