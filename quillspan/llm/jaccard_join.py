@@ -193,14 +193,14 @@ def _verify(n: int, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, component_id, n_shingles.
+    """One row per row of docs: doc_id, class_id, n_links, copy_id, n_shingles.
 
     docs: doc_id (integer) and text; other columns are not read. class_id is
-    the smallest doc_id with the same n-gram set; n_links counts the other rows
-    at or above the threshold, those of the same class included; component_id
-    is the smallest doc_id reachable by links. Texts without a word (null ones
-    too) have equal sets, so they are one class and link with nothing else;
-    rows without an id link with nothing and have no class. Rows that repeat count as different rows of one class; rows that share an
+    the smallest doc_id reachable by links; n_links counts the other rows at or
+    above the threshold, copies included; copy_id is the smallest doc_id with
+    the same n-gram set. Texts without a word (null ones too) have equal sets,
+    so they are copies and link with nothing else; rows without an id link with
+    nothing and have no class. Rows that repeat are copies; rows that share an
     id but no text add up their links.
     """
     spark = docs.sparkSession
@@ -237,20 +237,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     real = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
-        F.when(real, F.col("cls")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(real, F.coalesce("component_id", "cls")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(real, F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(real, F.coalesce("component_id", "cls")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(real, F.col("cls")).otherwise(F.col("doc_id")).alias("copy_id"),
         F.col("n_shingles").cast("long").alias("n_shingles"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """docs with one row of each component of near_duplicates(): that of the smallest doc_id.
+    """docs with one row of each class of near_duplicates(): that of the smallest doc_id.
 
     Rows that share a doc_id are one document, of which the longest text stays.
     Of texts without a word one stays, and rows without a doc_id all do.
     """
-    kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_root"), F.count("*").alias("_rows"))
+    kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("class_id").alias("_root"), F.count("*").alias("_rows"))
     joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").filter("_id is null or _root = _id")
     place = F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
     one = joined.filter("_id is null or _rows = 1").select(*docs.columns)

@@ -242,7 +242,7 @@ def test_jaccard_join(spark, corpus, monkeypatch):
         for _ in range(rng.randrange(12)):
             near[rng.randrange(len(near))] = f"v{rng.randrange(99)}"
         texts.append(" ".join(near))
-    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
     assert got == brute_links({i: shingles(t) for i, t in enumerate(texts)}, 0.8)
     kept = sorted(r.doc_id for r in jaccard_join.drop_near_duplicates(frame(spark, texts)).collect())
     assert kept == sorted({c for _, c in got.values()})
