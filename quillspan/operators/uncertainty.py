@@ -16,11 +16,12 @@ def random_draws(spark: SparkSession, years: list[int], n: int = CONFIG.replicat
     return spark.createDataFrame(rows, "rep int, year int, times int")
 
 
-def cyclic_draws(spark: SparkSession, years: list[int], n: int) -> DataFrame:
-    """Draws by arithmetic, which SQL can repeat: replicate r takes year (7 r + 3 slot) mod (number of years)."""
+def hashed_draws(spark: SparkSession, years: list[int], n: int = CONFIG.replicates, seed: str = "boot-1") -> DataFrame:
+    """Years drawn with replacement by a hash, which SQL can repeat: slot s of replicate r takes year md5('seed|r|s') mod (number of years), by the first 13 hex digits."""
     k = len(years)
     base = spark.range(n).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-    pick = F.element_at(F.array(*map(F.lit, years)), ((F.col("rep") * 7 + F.col("slot") * F.col("rep") * 3) % k + 1).cast("int"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 13), 16, 10).cast("long")
+    pick = F.element_at(F.array(*map(F.lit, years)), (number % k + 1).cast("int"))
     return base.select("rep", pick.alias("year")).groupBy("rep", "year").agg(F.count("*").cast("int").alias("times"))
 
 

@@ -14,7 +14,7 @@ from quillspan.plans.base import Book, part, q, r, rounded
 BOOK = Book()
 OUTAGES = [("1998-03-10", "1998-03-24"), ("1999-07-01", "1999-07-03"), ("1999-07-03", "1999-07-05")]
 FULL = (1998, 1999, 2000)
-REPS = 200
+REPS = 200  # of the SQL; the queries draw CONFIG.replicates
 
 part("cd", ("placed",), "SELECT date, fi, fj, arg_min(region, id) AS region, min(year) AS year, min(month) AS month FROM placed WHERE sensor = 'B' GROUP BY date, fi, fj")
 part("spine", (), "SELECT CAST(m // 12 AS INT) AS year, CAST(m % 12 + 1 AS INT) AS month, region FROM range(1995 * 12, 2001 * 12 + 11) t(m) CROSS JOIN (VALUES ('hills'), ('plains')) v(region)")
@@ -48,9 +48,13 @@ def harmonized(spark, sf_dir):
     return cal.naive_stitch(cal.harmonize(m, factors))
 
 
+def draws(spark):
+    return uncertainty.hashed_draws(spark, list(FULL))
+
+
 def replicate_series(spark, sf_dir):
     m = months(spark, sf_dir)
-    return uncertainty.replicate_series(m, uncertainty.bootstrap_factors(m, uncertainty.cyclic_draws(spark, list(FULL), REPS)))
+    return uncertainty.replicate_series(m, uncertainty.bootstrap_factors(m, draws(spark)))
 
 
 @BOOK.add("conf_decode", q(("obs",), "SELECT conf_raw, CASE conf_raw WHEN 'l' THEN 20.0e0 WHEN 'n' THEN 60.0e0 WHEN 'h' THEN 90.0e0 ELSE try_cast(conf_raw AS DOUBLE) END AS conf, count(*) AS n FROM obs GROUP BY ALL"))
@@ -194,13 +198,13 @@ def jump_ratio(spark, sf_dir):
 @BOOK.add("bootstrap_factors", q(("boot",), f"SELECT rep, region, season, {r('factor')} FROM boot"))
 def bootstrap_factors(spark, sf_dir):
     m = months(spark, sf_dir)
-    return rounded(uncertainty.bootstrap_factors(m, uncertainty.cyclic_draws(spark, list(FULL), REPS)))
+    return rounded(uncertainty.bootstrap_factors(m, draws(spark)))
 
 
 @BOOK.add("factor_quantiles", q(("boot",), f"SELECT region, season, {r('quantile_cont(factor, 0.025) AS lo', 'quantile_cont(factor, 0.975) AS hi')} FROM boot GROUP BY ALL"))
 def factor_quantiles(spark, sf_dir):
     m = months(spark, sf_dir)
-    return rounded(uncertainty.band(uncertainty.bootstrap_factors(m, uncertainty.cyclic_draws(spark, list(FULL), REPS)), ["region", "season"], "factor"))
+    return rounded(uncertainty.band(uncertainty.bootstrap_factors(m, draws(spark)), ["region", "season"], "factor"))
 
 
 @BOOK.add("calendar_band", q(("series",), f"SELECT year, month, region, {r('quantile_cont(value, 0.025) AS lo', 'quantile_cont(value, 0.975) AS hi')} FROM series GROUP BY ALL"))

@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspan.plans import registry
+from quillspan.config import CONFIG
+from quillspan.plans import calendar, registry
+from quillspan.plans.base import PARTS
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,30 @@ def test_static_sources_are_all_rows_of_other_kinds(spark, duck, name):
     # The registered SQL still takes one id in 97.
     sql = registry.oracle_sql()[name]
     assert result(spark, name) == answer(duck, sql.replace(" AND id % 97 = 0", ""))
+
+
+#: Every slot of a replicate hashed by itself, where the registered SQL takes one year three times.
+DRAWS = f"""SELECT rep, [1998, 1999, 2000][('0x' || substr(md5('boot-1|' || rep || '|' || slot), 1, 13))::BIGINT % 3 + 1] AS year, count(*) AS times
+FROM range({CONFIG.replicates}) a(rep) CROSS JOIN range(3) b(slot) GROUP BY ALL"""
+
+
+@pytest.mark.parametrize("name", ["bootstrap_factors", "factor_quantiles", "calendar_band", "annual_rollup"])
+def test_bootstrap_resamples_years(spark, duck, name):
+    sql = registry.oracle_sql()[name]
+    assert PARTS["draws"][1] in sql
+    assert result(spark, name) == answer(duck, sql.replace(PARTS["draws"][1], DRAWS))
+
+
+def test_replicates_mix_years(spark):
+    reps = {}
+    for r in calendar.draws(spark).collect():
+        reps.setdefault(r.rep, {})[r.year] = r.times
+    assert CONFIG.replicates == len(reps) == 2000 and all(sum(v.values()) == 3 for v in reps.values())
+    # All 10 multisets of 3 years; 3 of 27 draws take one year alone, and each year is taken as often as the others.
+    assert len({tuple(sorted(v.items())) for v in reps.values()}) == 10
+    assert 0.08 < sum(len(v) == 1 for v in reps.values()) / 2000 < 0.15
+    assert all(1850 < sum(v.get(y, 0) for v in reps.values()) < 2150 for y in calendar.FULL)
+
+
+def test_trend_of_all_replicates(spark):
+    assert registry.queries()["trend_replicates"](spark, SF).first().n == 2000
