@@ -21,7 +21,7 @@ MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.8
 #: What a URL gets that no rule of either kind fits.
 DEFAULT = "allow"
-#: Tokens of the host (from its end) and of the path (from its beginning).
+#: So many labels of the host (from its end) and segments of the path (from its beginning) are told apart by position; deeper ones have none.
 HOST_LABELS, PATH_PARTS = 3, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "label="
@@ -46,15 +46,16 @@ def listed_rule(rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column
 
 
 def tokens() -> Column:
-    """Distinct tokens of the columns host, path and tail; runs of digits count as one sign."""
+    """Distinct tokens of the columns host, path and tail, of all labels and segments; runs of digits count as one sign."""
     labels = F.reverse(F.split("host", r"\."))
     path = F.filter(F.split("path", "/"), lambda x: x != "")
     general = lambda x: F.regexp_replace(x, "[0-9]+", "#")
     ending = F.regexp_extract("path", r"\.([A-Za-z]{1,5})$", 1)
     keys = F.transform(F.filter(F.split(F.regexp_extract("tail", r"^\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.substring_index(x, "=", 1)))
+    placed = lambda parts, sign, n: F.transform(parts, lambda x, i: F.concat(F.lit(sign), F.when(i < n, i.cast("string")).otherwise(""), F.lit("="), general(x)))
     all_tokens = F.concat(
-        F.transform(F.slice(labels, 1, HOST_LABELS), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), general(x))),
-        F.transform(F.slice(path, 1, PATH_PARTS), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit("="), general(x))),
+        placed(labels, "h", HOST_LABELS),
+        placed(path, "p", PATH_PARTS),
         F.when(ending != "", F.array(F.concat(F.lit("e="), F.lower(ending)))).otherwise(F.array().cast("array<string>")),
         keys,
     )
