@@ -4,6 +4,9 @@ Token shares p of the sources are raised to an exponent t in [0, 1] and
 normalised. Bisection finds the largest t whose weights reach the target
 entropy, then the smallest t at which no source repeats more often than the
 limit allows; the larger of the two holds, as the limit is the harder rule.
+Where the budget is the smallest that gives every source a whole permutation,
+the smallest source repeats (largest share / its share)^(1 - t) times, and the
+limit holds for that.
 
 A source with weight w gets a quota of w * budget tokens, realised as whole
 permutations of its documents and one partial permutation. Permutations are
@@ -71,11 +74,12 @@ def _bisect(shares: DataFrame, good: Column) -> float:
     return hi if rising else lo
 
 
-def temperature_weights(sources: DataFrame, budget: int, entropy_gain: float = ENTROPY_GAIN, max_repeat: float | None = MAX_REPEAT) -> tuple[float, DataFrame]:
+def temperature_weights(sources: DataFrame, budget: int, entropy_gain: float = ENTROPY_GAIN, max_repeat: float | None = MAX_REPEAT, cover: bool = False) -> tuple[float, DataFrame]:
     """The exponent, and sources with share, weight and quota (tokens of the budget).
 
-    If even the raw shares (t = 1) repeat a source too often, t = 1 holds. Only
-    sums over sources and exponents come to the driver.
+    If even the raw shares (t = 1) repeat a source too often, t = 1 holds. With
+    cover, the limit holds at the budget of whole_permutations(). Only sums
+    over sources and exponents come to the driver.
     """
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
@@ -88,7 +92,11 @@ def temperature_weights(sources: DataFrame, budget: int, entropy_gain: float = E
     entropy = F.log(z) - F.sum(F.col("z") * F.col("t") * F.log("p")) / z
     t = _bisect(shares, entropy >= target)
     t = 1.0 if math.isnan(t) else t
-    if max_repeat is not None:
+    if max_repeat is not None and cover:
+        low = _bisect(shares, F.pow(F.max("p") / F.min("p"), 1 - F.first("t")) <= max_repeat) if max_repeat >= 1 else 1.0
+        # Rounded up, as lower exponents repeat more.
+        t = t if math.isnan(low) else max(t, math.ceil(low * 1e6) / 1e6)
+    elif max_repeat is not None:
         low = _bisect(shares, F.max(F.col("z") / F.col("p")) / z * budget <= max_repeat * total)
         all_at_0 = shares.agg(F.max(1 / F.col("p")) / n * budget <= max_repeat * total).first()[0]
         t = max(t, low) if not math.isnan(low) else t if all_at_0 else 1.0
@@ -115,7 +123,7 @@ def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, en
     docs: doc_id, source, text. budget: tokens of the mixture, by default those
     of docs. With cover, the budget grows until the source that the weights
     hold back most has one whole permutation, so every document of a source
-    with words occurs. Documents with equal ids share their place in a permutation, and
+    with words occurs; max_repeat holds at that budget. Documents with equal ids share their place in a permutation, and
     then go by their number of tokens. A document enters a partial permutation
     while the tokens before it are under what is left of the quota. Null
     sources form one source. Texts without a word have no tokens; they occur
@@ -129,7 +137,7 @@ def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, en
     slim = scratch.table("slim", slim)
     sources = scratch.table("sources", source_tokens(slim).coalesce(1))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
-    _, weights = temperature_weights(sources, total if budget is None else budget, entropy_gain, max_repeat)
+    _, weights = temperature_weights(sources, total if budget is None else budget, entropy_gain, max_repeat, cover)
     if cover:
         weights = whole_permutations(weights)
     quotas = weights.select("source", "n_docs", (F.col("quota") / F.col("tokens")).cast("long").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"))

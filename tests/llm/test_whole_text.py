@@ -1,8 +1,10 @@
 """Text operators use all of a row: every part of a URL, every term, every repetition."""
 
-import random
+from collections import Counter
 
-from quillspan.llm import url_filters
+import pytest
+
+from quillspan.llm import mixing, url_filters
 
 
 def test_url_verdicts_from_deep_labels_and_segments(spark):
@@ -15,3 +17,16 @@ def test_url_verdicts_from_deep_labels_and_segments(spark):
     found = [got[len(urls) + i] for i in range(len(ask))]
     assert [r.verdict for r in found] == ["block", "allow", "block", "allow", "allow"]
     assert [r.mined for r in found] == [["h=casino"], ["h=library"], ["p=bets"], ["p=books"], None]
+
+
+@pytest.mark.parametrize("limit", [4.0, 2.5, 1.0, 100.0])
+def test_covering_mixture_keeps_the_repetition_limit(spark, limit):
+    sizes = {"half": 1000, "mid": 700, "low": 295, "tiny": 5}
+    rows = [(k * 100_000 + i, s, "one two") for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = Counter(r.doc_id for r in mixing.expand(docs, mixing.plan_copies(docs, max_repeat=limit, cover=True)).collect())
+    times = {s: [out[r[0]] for r in rows if r[1] == s] for s in sizes}
+    assert min(map(min, times.values())) == 1 and max(map(max, times.values())) <= -(-limit // 1)
+    # The limit holds on tokens, and is used up where it is the harder rule.
+    repeats = sum(times["tiny"]) / sizes["tiny"]
+    assert repeats <= limit + 1 / sizes["tiny"] and (limit == 100 or repeats > limit - 2 / sizes["tiny"])
