@@ -1,10 +1,12 @@
 """Text operators use all of a row: every part of a URL, every term, every repetition."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quillspan.llm import mixing, url_filters
+from quillspan.llm import mixing, toxicity, url_filters
 
 
 def test_url_verdicts_from_deep_labels_and_segments(spark):
@@ -30,3 +32,15 @@ def test_covering_mixture_keeps_the_repetition_limit(spark, limit):
     # The limit holds on tokens, and is used up where it is the harder rule.
     repeats = sum(times["tiny"]) / sizes["tiny"]
     assert repeats <= limit + 1 / sizes["tiny"] and (limit == 100 or repeats > limit - 2 / sizes["tiny"])
+
+
+def test_toxicity_of_pairs_whose_terms_tell_nothing():
+    rng, terms = random.Random(5), toxicity.Terms()
+    # One of either pair in every text, each as common in both labels; only which of them meet is toxic.
+    rows = [(i % 4 in (0, 3), ["grubwit", "plainly"][i % 2], ["zandor", "quietly"][i // 2 % 2]) for i in range(2400)]
+    texts = [[*(f"w{rng.randrange(400)}" for _ in range(rng.randrange(10, 60))), a, b] for _, a, b in rows]
+    x = [terms.of(" ".join(rng.sample(t, len(t))).encode()) for t in texts]
+    y = np.array([r[0] for r in rows], float)
+    machine = toxicity.fit(x[:1600], y[:1600])
+    score = toxicity.sigmoid(machine.logits([r[machine.mask[r]] for r in x[1600:]]))
+    assert ((score >= toxicity.THRESHOLD) == y[1600:]).mean() > 0.95
