@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,40 +18,65 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-#: Rows in one Arrow batch. Texts may be long, so batches are kept short.
-ARROW_ROWS = 1000
-
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/quillspan"
+#: Rows and bytes of an Arrow batch that a task works on at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that one Arrow batch brings to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and about so many bytes, whatever the session's batch size is. At least one batch for each that comes in."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for k in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(k, step)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front until no column of df is called so (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="quillspan-")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder all machines share: spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session; on a cluster that is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if context.master == "local" or context.master.startswith("local["):
+        return _local_root()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
     table() cuts the lineage of a frame; drop() deletes a table that later
-    steps no longer read. What a returned frame still reads stays.
+    steps no longer read. What a returned frame still reads stays until the
+    session ends, and goes then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,14 +85,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        """Delete tables, and let the driver forget the shuffles behind them."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+    def drop(self, *names: str, collect: bool = True) -> None:
+        """Delete tables; with collect, let the driver forget the shuffles behind them too, so that their files go."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
+            fs, path = self._at(self.path(name))
+            fs.delete(path, True)
+        if collect:
+            self.spark.sparkContext._jvm.System.gc()
 
 
 class WordHashes(dict):
@@ -153,7 +181,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int =
         small = _beside_lowest(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         step = scratch.table(f"{name}{i}", small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = step.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        scratch.drop(f"{name}{i - 1}")
+        scratch.drop(f"{name}{i - 1}", collect=False)
         if now == seen:
             break
         seen = now

@@ -19,11 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import SPACE_BYTES, Scratch, arrow_batches, documents, with_row_key
+from quillspan.llm.common import SPACE_BYTES, Scratch, documents, free_name, slices, with_row_key
 
 MIN_CHARS = 10
-#: Lines to a range partition; sets how many partitions a table gets.
-PARTITION_LINES = 200_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -38,7 +36,7 @@ def _lines(min_chars: int):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, owner, pos, sizes = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 lines = (text or b"").split(b"\n")
@@ -120,41 +118,48 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     row_key is xxhash64(doc_id, text), which tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     scratch = Scratch(spark, "lines")
     raw = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "row_key")
     lines = scratch.table("keys", raw.mapInArrow(_lines(min_chars), "h1 long, h2 long, doc_id long, row_key long, pos int, n_lines int"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // PARTITION_LINES)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", F.col("doc_id").asc_nulls_last()]
     streamed = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "pos")
     marks = scratch.table("marks", streamed.mapInArrow(_first_occurrences, MARK))
     scratch.drop("keys")
-    # At most two summaries a range partition: small enough to broadcast at any size of the table.
+    # Two rows a range partition at most; written, so that Spark knows the size and chooses the join by it.
     lowest = marks.filter("kind = 2").groupBy("h1", "h2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("low_doc"))
-    heads = marks.filter("kind = 1").join(F.broadcast(lowest), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("low_doc")))
+    lowest = scratch.table("lowest", lowest)
+    heads = marks.filter("kind = 1").join(lowest, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("low_doc")))
     cols = ["doc_id", "row_key", "pos", "n_lines"]
     dropped = marks.filter("kind = 0").select(*cols).unionByName(heads.select(*cols))
     per_doc = dropped.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
     return per_doc.mapInArrow(_bitmaps, "doc_id long, row_key long, n_lines int, keep_bitmap binary")
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [c for c in batch.schema.names if c != "line_dedup_bitmap"]
-        texts, n_lines, n_dropped = [], [], []
-        for text, bitmap in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("line_dedup_bitmap").to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
-            n_lines.append(len(lines))
-            if bitmap is not None:
-                keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8), count=len(lines))
-                kept = [line for line, k in zip(lines, keep, strict=True) if k]
-                n_dropped.append(len(lines) - len(kept))
-                text = b"\n".join(kept)
-            else:
-                n_dropped.append(0)
-            texts.append(text)
-        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
-        yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+def _apply(bitmap_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield _kept_lines(batch, bitmap_name)
+
+    return run
+
+
+def _kept_lines(batch: pa.RecordBatch, bitmap_name: str) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != bitmap_name]
+    texts, n_lines, n_dropped = [], [], []
+    for text, bitmap in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(bitmap_name).to_pylist(), strict=True):
+        lines = (text or b"").split(b"\n")
+        n_lines.append(len(lines))
+        if bitmap is not None:
+            keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8), count=len(lines))
+            kept = [line for line, k in zip(lines, keep, strict=True) if k]
+            n_dropped.append(len(lines) - len(kept))
+            text = b"\n".join(kept)
+        else:
+            n_dropped.append(0)
+        texts.append(text)
+    columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
+    return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -166,11 +171,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     table pass through.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("line_dedup_doc"), F.col("row_key").alias("line_dedup_key"), F.col("keep_bitmap").alias("line_dedup_bitmap"))
-    same = docs["doc_id"].cast("long").eqNullSafe(maps["line_dedup_doc"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == maps["line_dedup_key"])
-    joined = docs.join(maps.hint("shuffle_hash"), same, "left").drop("line_dedup_doc", "line_dedup_key")
+    doc, key, bitmap = (free_name(docs, c) for c in ("map_doc", "map_key", "keep_bitmap"))
+    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("keep_bitmap").alias(bitmap))
+    same = docs["doc_id"].cast("long").eqNullSafe(maps[doc]) & (F.xxhash64(docs["doc_id"], docs["text"]) == maps[key])
+    joined = docs.join(maps, same, "left").drop(doc, key)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(_apply, ", ".join([*fields, "n_lines long", "n_dropped long"]))
+    return joined.mapInArrow(_apply(bitmap), ", ".join([*fields, "n_lines long", "n_dropped long"]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ permutations of its documents and one partial permutation. Permutations are
 made of blocks: documents fall into blocks by hash, blocks follow each other by
 hash, and so do documents within a block. Sums over blocks find the one block
 in which a source's quota ends; only documents of that block are ordered one by
-one, so no source is ever gathered in one task.
+one. Blocks fall into groups the same way, so that a source with very many
+blocks isn't ordered in one task either.
 
 Built from DataFrame functions alone.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import WORD_PATTERN, Scratch, documents
+from quillspan.llm.common import WORD_PATTERN, Scratch, documents, free_name
 
 #: Target entropy as a share of the way from that of the raw shares to that of equal shares.
 ENTROPY_GAIN = 0.5
@@ -35,6 +36,8 @@ SEED = "mix-1"
 #: Bisection steps, and how many of them one job evaluates.
 STEPS, STEPS_A_JOB = 40, 5
 BLOCK_DOCS = 2000
+#: Blocks of a source follow each other in so large groups, of which one is ordered block by block.
+GROUP_BLOCKS = 1000
 #: Blocks are numbered by so many hex digits of a hash.
 DIGITS = 7
 
@@ -113,52 +116,69 @@ def whole_permutations(weights: DataFrame) -> DataFrame:
     return weights.withColumn("quota", F.greatest("tokens", F.floor(F.col("weight") * F.lit(float(most)) + F.lit(1e-6)).cast("long")))
 
 
-def _hashed(docs: DataFrame, seed: str) -> DataFrame:
-    return docs.withColumn("rank", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+def _fraction(digest: Column, parts: Column) -> Column:
+    """Which of so many equal parts of all hashes a hash falls in; the order of parts is that of hashes."""
+    number = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
+    return F.floor(number * F.greatest(F.ceil(parts), F.lit(1)) / F.lit(16**DIGITS)).cast("long")
+
+
+def _before(value: str, keys: list[str], order: list[str]) -> Column:
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
 def plan_copies(docs: DataFrame, budget: int | None = None, seed: str = SEED, entropy_gain: float = ENTROPY_GAIN, max_repeat: float | None = MAX_REPEAT, cover: bool = False) -> DataFrame:
-    """How often each document occurs in the mixture: doc_id, source, n_tokens, block, n_copies.
-
-    docs: doc_id, source, text. budget: tokens of the mixture, by default those
-    of docs. With cover, the budget grows until the source that the weights
-    hold back most has one whole permutation, so every document of a source
-    with words occurs; max_repeat holds at that budget. Documents with equal ids share their place in a permutation, and
-    then go by their number of tokens. A document enters a partial permutation
-    while the tokens before it are under what is left of the quota. Null
-    sources form one source. Texts without a word have no tokens; they occur
-    as often as their place in the permutations says, and not at all where
-    their whole source has no word.
+    """How often each document occurs in the mixture, one row per row of docs: doc_id, source, n_tokens, block, place, n_copies.
+
+    docs: doc_id, source, text; other columns are not read. place orders the
+    documents of a source: its permutation. budget: tokens of the mixture, by
+    default those of docs. With cover, the budget grows until the source that
+    the weights hold back most has one whole permutation, so every document
+    occurs; max_repeat holds at that budget. Documents with equal ids share
+    their place, and then go by their number of tokens. A document enters a
+    partial permutation while the tokens before it are under what is left of
+    the quota. Null sources form one source, apart from all others. Texts
+    without a word (null ones too) have no tokens; they occur as often as their
+    place says. Where a whole source has no word, its documents occur once with
+    cover and not at all otherwise. An empty table stays empty.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     n_tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-    slim = _hashed(docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), n_tokens.alias("n_tokens")), seed)
-    slim = scratch.table("slim", slim)
+    rank = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # "=name" or "": names and null can't meet.
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    slim = scratch.table("slim", docs.select("doc_id", source.alias("source"), n_tokens.alias("n_tokens"), rank.alias("rank")))
     sources = scratch.table("sources", source_tokens(slim).coalesce(1))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     _, weights = temperature_weights(sources, total if budget is None else budget, entropy_gain, max_repeat, cover)
     if cover:
         weights = whole_permutations(weights)
-    quotas = weights.select("source", "n_docs", (F.col("quota") / F.col("tokens")).cast("long").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"))
-    quotas = scratch.table("quotas", quotas.coalesce(1))
-
-    number = F.conv(F.substring("rank", 1, DIGITS), 16, 10).cast("long")
-    blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.lit(1))
-    placed = slim.join(quotas, "source").withColumn("block", F.floor(number * blocks / F.lit(16**DIGITS)).cast("long"))
-    sums = scratch.table("sums", placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest")))
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "source", "block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sums.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    # Whole blocks first; the quota ends in at most one block of each source.
-    inside = ranked.filter("before < rest").select("source", "block", (F.col("rest") - F.col("before")).alias("room"), (F.col("before") + F.col("tokens") <= F.col("rest")).alias("full"))
+    quotas = weights.select("source", (F.col("quota") / F.col("tokens")).cast("long").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"))
+    quotas = sources.select("source", "n_docs").join(quotas, "source", "left")
+    quotas = scratch.table("quotas", quotas.fillna({"whole": int(cover), "rest": 0}).coalesce(1))
+
+    placed = slim.join(quotas, "source").withColumn("block", _fraction(F.col("rank"), F.col("n_docs") / BLOCK_DOCS))
+    sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("n_docs").alias("n_docs"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.substring("source", 2, 1 << 30), "block"))
+    sums = sums.withColumn("digest", digest).withColumn("group", _fraction(F.col("digest"), F.col("n_docs") / (BLOCK_DOCS * GROUP_BLOCKS)))
+    sums = scratch.table("sums", sums)
+    groups = sums.groupBy("source", "group").agg(F.sum("tokens").alias("group_tokens"), F.first("rest").alias("rest"))
+    groups = groups.withColumn("group_before", _before("group_tokens", ["source"], ["group"])).filter("group_before < rest").drop("rest")
+    # Groups within the quota need no order; it ends in one group, and in one block of that.
+    met = sums.join(groups, ["source", "group"])
+    whole = met.filter("group_before + group_tokens <= rest").select("source", "block", F.lit(0).cast("long").alias("room"), F.lit(True).alias("full"))
+    ended = met.filter("group_before + group_tokens > rest")
+    ended = ended.withColumn("before", F.col("group_before") + _before("tokens", ["source", "group"], ["digest", "block"])).filter("before < rest")
+    inside = whole.unionByName(ended.select("source", "block", (F.col("rest") - F.col("before")).alias("room"), (F.col("before") + F.col("tokens") <= F.col("rest")).alias("full")))
     chosen = placed.join(inside, ["source", "block"], "left")
-    within = Window.partitionBy("source", "block").orderBy("rank", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cols = ["doc_id", "source", "n_tokens", "block", "whole"]
-    cut = chosen.filter("not full").withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    cols = ["doc_id", "source", "n_tokens", "block", "rank", "whole"]
+    cut = chosen.filter("not full").withColumn("before", _before("n_tokens", ["source", "block"], ["rank", "n_tokens"]))
     cut = cut.select(*cols, (F.col("before") < F.col("room")).cast("int").alias("extra"))
     rest = chosen.filter("full or full is null").select(*cols, F.coalesce(F.col("full"), F.lit(False)).cast("int").alias("extra"))
-    out = cut.unionByName(rest)
-    return out.select("doc_id", F.nullif(F.col("source"), F.lit("\0")).alias("source"), "n_tokens", "block", (F.col("whole") + F.col("extra")).alias("n_copies"))
+    place = F.concat_ws("-", digest, "rank")
+    name = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
+    return cut.unionByName(rest).select("doc_id", name.alias("source"), "n_tokens", "block", place.alias("place"), (F.col("whole") + F.col("extra")).alias("n_copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,17 +186,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mixture: every row of docs as often as the plan has it. Plans join by doc_id and number of tokens."""
+    """The mixture: every row of docs as often as the plan, made from docs, has it.
+
+    Plans join by doc_id, source and number of tokens, nulls included. All
+    columns of docs stay. Repeated rows share out the copies of their lines in
+    the plan; an empty table stays empty.
+    """
+    names = ["doc", "n", "src", "sum", "rows", "k", "copy"]
+    doc, n, src, total, rows, k, copy = (free_name(docs, f"plan_{c}") for c in names)
     n_tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long")
     # Repeated rows have one line each in the plan; as pairs they would multiply, so their copies are added up and dealt out.
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("n_tokens").alias("_n"), F.col("source").alias("_source")).agg(F.sum("n_copies").alias("_sum"), F.count("*").alias("_rows"))
-    same = docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]) & (n_tokens == plan["_n"])
-    joined = docs.join(plan.hint("shuffle_hash"), same, "inner")
-    one, twin = joined.filter("_rows = 1").withColumn("_k", F.col("_sum")), joined.filter("_rows > 1")
-    place = F.row_number().over(Window.partitionBy("_id", "_n", "_source").orderBy(F.xxhash64("text")))
-    twin = twin.withColumn("_k", F.floor(F.col("_sum") * place / F.col("_rows")) - F.floor(F.col("_sum") * (place - 1) / F.col("_rows")))
-    both = one.unionByName(twin).filter("_k > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+    plan = plan.groupBy(F.col("doc_id").alias(doc), F.col("n_tokens").alias(n), F.col("source").alias(src)).agg(F.sum("n_copies").alias(total), F.count("*").alias(rows))
+    same = docs["doc_id"].eqNullSafe(plan[doc]) & docs["source"].cast("string").eqNullSafe(plan[src]) & (n_tokens == plan[n])
+    joined = docs.join(plan, same, "inner")
+    one, twin = joined.filter(F.col(rows) == 1).withColumn(k, F.col(total)), joined.filter(F.col(rows) > 1)
+    place = F.row_number().over(Window.partitionBy(doc, n, src).orderBy(F.xxhash64("text")))
+    twin = twin.withColumn(k, F.floor(F.col(total) * place / F.col(rows)) - F.floor(F.col(total) * (place - 1) / F.col(rows)))
+    both = one.unionByName(twin).filter(F.col(k) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(k).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OP5_SQL = rf"""
@@ -185,7 +212,7 @@ WITH RECURSIVE slim AS (
 ), src AS (
   SELECT source, count(*) AS n_docs, sum(n)::BIGINT AS tokens FROM slim GROUP BY source HAVING sum(n) > 0
 ), tot AS (
-  SELECT sum(tokens)::BIGINT AS total FROM src
+  SELECT coalesce(sum(tokens), 0)::BIGINT AS total FROM src
 ), ps AS (
   SELECT list(tokens / total ORDER BY source) AS p, any_value(total) AS total FROM src, tot
 ), goal AS (
@@ -214,17 +241,17 @@ WITH RECURSIVE slim AS (
 ), w AS (
   SELECT source, n_docs, tokens, floor((tokens / total) ** t / (sum((tokens / total) ** t) OVER ()) * total + 1e-6)::BIGINT AS quota FROM src, tot, expo
 ), placed AS (
-  SELECT doc_id, s.source, n, rank, quota // tokens AS whole, quota % tokens AS rest,
-         floor(('0x' || substr(rank, 1, {DIGITS}))::BIGINT * greatest(ceil(n_docs / {BLOCK_DOCS}), 1) / {16**DIGITS})::BIGINT AS block
-  FROM slim s JOIN w ON s.source = w.source
+  SELECT doc_id, s.source, n, rank, coalesce(quota // tokens, 0) AS whole, coalesce(quota % tokens, 0) AS rest,
+         floor(('0x' || substr(rank, 1, {DIGITS}))::BIGINT * greatest(ceil((count(*) OVER (PARTITION BY s.source)) / {BLOCK_DOCS}), 1) / {16**DIGITS})::BIGINT AS block
+  FROM slim s LEFT JOIN w ON s.source IS NOT DISTINCT FROM w.source
 ), blocks AS (
-  SELECT source, block, rest, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY md5('{SEED}|' || source || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT source, block, rest, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY md5('{SEED}|' || coalesce(source, '') || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM (SELECT source, block, any_value(rest) AS rest, sum(n) AS tokens FROM placed GROUP BY source, block)
 ), walked AS (
   SELECT p.*, b.before, b.tokens, coalesce(sum(n) OVER (PARTITION BY p.source, p.block ORDER BY rank, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inner_before
-  FROM placed p JOIN blocks b ON p.source = b.source AND p.block = b.block
+  FROM placed p JOIN blocks b ON p.source IS NOT DISTINCT FROM b.source AND p.block = b.block
 )
-SELECT doc_id, source, n::BIGINT AS n_tokens, block,
+SELECT doc_id, source, n::BIGINT AS n_tokens, block, md5('{SEED}|' || coalesce(source, '') || '|' || block) || '-' || rank AS place,
        (whole + CASE WHEN before >= rest THEN 0 WHEN before + tokens <= rest THEN 1 WHEN inner_before < rest - before THEN 1 ELSE 0 END)::BIGINT AS n_copies
 FROM walked
 """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import SPACE_CLASS, Scratch, documents
+from quillspan.llm.common import SPACE_CLASS, Scratch, documents, free_name
 
 MIN_WORDS = 10
 NGRAM = 5
@@ -31,33 +31,32 @@ def base_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     Null or empty text has no words and fails. Every column of docs stays but
-    for those of the same names.
+    for those of the same names. Each row is judged by itself, so repeated rows
+    and an empty table need no care.
     """
     docs = docs.drop(*BASE)
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("_words", words).withColumn("_lines", lines)
-    n = F.size("_words")
+    w, ls, g, s, p = (free_name(docs, f"rule_{c}") for c in ("words", "lines", "grams", "sorted", "places"))
+    out = docs.withColumn(w, words).withColumn(ls, lines)
+    n = F.size(w)
     grams = F.when(
         n >= NGRAM + 1,
-        F.transform(F.sequence(F.lit(1), n - NGRAM + 1), lambda i: F.xxhash64(*[F.get("_words", i + (k - 1)) for k in range(NGRAM)])),
+        F.transform(F.sequence(F.lit(1), n - NGRAM + 1), lambda i: F.xxhash64(*[F.get(F.col(w), i + (k - 1)) for k in range(NGRAM)])),
     )
-    out = out.withColumn("_grams", grams)
+    out = out.withColumn(g, grams)
     # A stable order by hash keeps equal windows together; their places are those with an equal neighbour.
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    twice = F.filter(F.col("_sorted"), lambda x, i: (F.get("_sorted", i - 1)["g"] == x["g"]) | (F.get("_sorted", i + 1)["g"] == x["g"]))
-    out = out.withColumn("_places", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    out = out.withColumn(s, F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))))
+    twice = F.filter(F.col(s), lambda x, i: (F.get(F.col(s), i - 1)["g"] == x["g"]) | (F.get(F.col(s), i + 1)["g"] == x["g"]))
+    out = out.withColumn(p, F.array_sort(F.transform(twice, lambda x: x["i"])))
     out = out.withColumn("n_words", n.cast("long"))
-    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
     out = out.withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_places").isNotNull(), _covered(F.col("_places"), NGRAM)), F.lit(0)).cast("long"))
+    out = out.withColumn("n_dup_lines", (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
+    out = out.withColumn("n_repeat_words", F.coalesce(F.when(F.col(p).isNotNull(), _covered(F.col(p), NGRAM)), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    # Filters on base_failed would be rewritten in terms of the text, and its n-grams worked out once for each mention;
-    # none passes a projection with an expression that may change from row to row.
-    failed = failed & (F.monotonically_increasing_id() >= 0)
-    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_grams", "_sorted", "_places")
+    return out.withColumn("base_failed", failed).drop(w, ls, g, s, p)
 
 
 def host_rates(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -65,7 +64,7 @@ def host_rates(judged: DataFrame, host: str = "source", max_rate: float = MAX_HO
 
     With rates r of hosts, mean m and variance v, the prior is beta(m k, (1-m) k)
     with k = m (1-m) / v - 1, and k = 0 (no shrinking) where v is 0 or too
-    large. A null host is a host of its own.
+    large. A null host is a host of its own; an empty table has no hosts.
     """
     counts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -77,24 +76,28 @@ def host_rates(judged: DataFrame, host: str = "source", max_rate: float = MAX_HO
 
 
 def with_verdicts(judged: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """base_rules() output with host_rate, host_rejected and kept: neither the document nor its host fails."""
+    """base_rules() output with host_rate, host_rejected and kept: neither the document nor its host fails.
+
+    Other columns stay. Every row's host must be among hosts; an empty table stays empty.
+    """
     judged = judged.drop("host_rate", "host_rejected", "kept")
-    hosts = hosts.select(F.col("host").alias("_host"), "host_rate", "host_rejected")
-    out = judged.join(hosts, judged[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    name = free_name(judged, "rule_host")
+    hosts = hosts.select(F.col("host").alias(name), "host_rate", "host_rejected")
+    out = judged.join(hosts, judged[host].eqNullSafe(hosts[name]), "left").drop(name)
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("host_rejected")))
 
 
 def apply_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """with_verdicts() of docs, all columns kept.
 
-    Reads docs twice rather than writing texts: once for the hosts, once for
-    the documents. Repeated rows count as often as they occur; an empty table
+    The judged rows are written, so that rules are worked out once for hosts
+    and documents. Repeated rows count as often as they occur; an empty table
     stays empty.
     """
-    hosts = host_rates(base_rules(docs.select(host, "text")).select(host, "base_failed"), host, max_rate)
+    scratch = Scratch(docs.sparkSession, "quality")
+    judged = scratch.table("judged", base_rules(docs))
     # Written, so that Spark knows its size and need not deal the texts out by host to join it.
-    hosts = Scratch(docs.sparkSession, "quality").table("hosts", hosts)
-    return with_verdicts(base_rules(docs), hosts, host)
+    return with_verdicts(judged, scratch.table("hosts", host_rates(judged.select(host, "base_failed"), host, max_rate)), host)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

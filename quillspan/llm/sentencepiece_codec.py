@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import arrow_batches, documents
+from quillspan.llm.common import documents, slices
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -193,7 +193,7 @@ class Codec:
 def _encode(model: bytes, columns: list[str], fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model=model)
-        for batch in batches:
+        for batch in slices(batches, 500):
             raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids, begin = codec.encode([t.decode("utf-8", "replace") for t in raw])
             starts, ends = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
@@ -222,7 +222,6 @@ def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids",
     "". A row depends on its text alone, so repeated rows and empty tables need
     no care. The model file is read on the driver and travels with the tasks.
     """
-    arrow_batches(docs.sparkSession, 500)
     columns = tuple(c for c in TYPES if c in columns)
     docs = docs.drop(*columns)
     with open(model_path, "rb") as f:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import Scratch, SpanHash, WordHashes, arrow_batches, as_long, documents, with_row_key
+from quillspan.llm.common import Scratch, SpanHash, WordHashes, as_long, documents, slices, with_row_key
 
 LENGTH = 35
 ANCHOR = 8
@@ -70,7 +70,7 @@ def _stretches(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(length)
-        for batch in batches:
+        for batch in slices(batches):
             w.load(batch.column("text").to_pylist())
             doc, first = w.window_starts()
             if not len(first):
@@ -108,7 +108,7 @@ def _window_hashes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(length)
-        for batch in batches:
+        for batch in slices(batches):
             w.load(batch.column("text").to_pylist())
             owner, window = _expand(*_listed(batch.column("unsure")))
             begin = w.starts[owner] + window
@@ -123,7 +123,7 @@ def _cut(length: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept, spans = [], [], [], []
             marks, texts = batch.column("marks"), batch.column("text").to_pylist()
             for i, text in enumerate(texts):
@@ -162,7 +162,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     if not 1 <= anchor <= length < PACK:
         raise ValueError(f"need 1 <= anchor <= length < {PACK}")
     spark = docs.sparkSession
-    arrow_batches(spark)
     scratch = Scratch(spark, "substring")
     docs = with_row_key(docs)
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "row_key")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import arrow_batches, documents
+from quillspan.llm.common import documents, slices
 
 BITS = 18
 FACTORS = 8
@@ -178,7 +178,7 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, mask: np.ndarray, offse
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
-    for batch in batches:
+    for batch in slices(batches):
         rows = [terms.of(t or b"").astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "terms"])
 
@@ -187,7 +187,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         terms = Terms(machine.mask)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [terms.of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             score = sigmoid(machine.logits(rows))
             kept = [c for c in batch.schema.names if c != "text"]
@@ -208,7 +208,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     counts, of repeated documents one. Without a row of either label the
     machine gives every text the same score.
     """
-    arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     # At most max_rows rows of two numbers: broadcast whatever the corpus.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -230,7 +229,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     The machine has a fixed size (2^18 terms), however large the corpus.
     """
-    arrow_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
