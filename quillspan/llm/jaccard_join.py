@@ -1,15 +1,20 @@
 """Near-duplicate documents by Jaccard similarity of word n-grams, through a MinHash LSH forest.
 
-Each document has one signature prefix per tree. Prefixes of a tree, sorted,
-form a trie; two documents of similarity s share a prefix of length d with
-probability s^d. Matching begins at the longest prefix and shortens it until
-the forest reaches the target recall at the threshold. Documents that share a
-prefix in any tree fall into one candidate group; within a group every pair is
-verified exactly, by products of blocks of n-gram indicator matrices.
-
-Documents with equal n-gram sets are one class from the start. Neither classes
-nor groups are ever written out as pairs: a block gives each class its number
-of links, and a spanning forest of the links it found.
+A document has a signature of `depth` minima for each tree of the forest. The
+signatures of a tree form a prefix trie, and documents that share a node at
+depth d are candidates; at similarity s they share one in some tree with
+probability 1 - (1 - s^d)^trees. Matching begins at the whole signatures and
+shortens prefixes level by level. Links found tell by their similarities how
+many more there must be (each counts 1 / its probability); shortening ends once
+that estimate meets the target recall, and at the latest at the depth where a
+pair just at the threshold is found with it.
+
+A node's documents are compared by prefixes first: a pair belongs to the
+longest prefix and the first tree that it shares. N-gram sets go only to nodes
+where a document has such a pair, and there every pair is verified exactly.
+Long nodes fall into blocks. Documents with equal n-gram sets are one class
+from the start. Neither classes nor nodes are ever written out as pairs: a
+block gives each class its number of links, and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -23,25 +28,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import Scratch, SpanHash, WordHashes, arrow_batches, as_long, components, documents, mix64, with_row_key
+from quillspan.llm.common import Scratch, SpanHash, WordHashes, as_long, components, documents, free_name, mix64, slices, with_row_key
 
 NGRAM = 5
 THRESHOLD = 0.8
 TREES = 40
 DEPTH = 8
-RECALL = 0.99999
-#: Classes of a candidate group that one block holds, and n-grams.
+RECALL = 0.9999
+#: Classes of a node that one block holds, and n-grams.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Columns of an indicator matrix held at a time.
 COLUMNS = 8192
+#: Similarities of links are counted in so many equal parts from the threshold to 1.
+PARTS = 20
+#: What comparing one pair of sets costs, in multiplications of a matrix product.
+PAIR_COST = 400_000
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which the forest finds a pair at the threshold with the target recall."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Probability that a pair shares a node at this depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def levels(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """Prefix lengths from the whole signature down to the one that finds a pair at the threshold with the target recall."""
+    for d in range(depth, 0, -1):
+        if found_share(threshold, d, trees) >= recall:
+            return list(range(depth, d - 1, -1))
+    raise ValueError(f"{trees} trees can't find pairs of similarity {threshold} with recall {recall}; take more trees")
+
+
+def estimated_recall(histogram: dict[int, int], depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """Links found over links that must be there, from the similarities of those found; 0 without any, as they tell nothing."""
+    width = (1 - threshold) / PARTS
+    there = sum(n / found_share(threshold + k * width, depth, trees) for k, n in histogram.items())
+    return sum(histogram.values()) / there if there else 0.0
 
 
 class Shingles:
@@ -59,17 +80,19 @@ class Shingles:
         return np.unique(self.hash.spans(first, np.minimum(first + self.n, len(words))))
 
 
-def _signatures(n: int, trees: int, length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_shingles", pa.int32()), ("prefixes", pa.list_(pa.int64()))])
+def _signatures(n: int, trees: int, depth: int, lengths: list[int]):
+    """Per text: two hashes of its n-gram set, how many it has, and for each prefix length the hashes of its prefixes, tree by tree."""
+    names = [f"p{d}" for d in lengths]
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_shingles", pa.int32()), *((c, pa.list_(pa.int64())) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         rng = np.random.default_rng(20240229)
-        factor = (rng.integers(0, 1 << 32, trees * length, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-        plus = rng.integers(0, 1 << 32, trees * length, dtype=np.uint64).astype(np.uint32)[:, None]
-        spread = mix64(np.arange(1, length + 1, dtype=np.uint64))
-        for batch in batches:
-            s1, s2, size, prefixes = [], [], [], []
+        factor = (rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+        plus = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32)[:, None]
+        spread = mix64(np.arange(1, depth + 1, dtype=np.uint64))
+        for batch in slices(batches):
+            s1, s2, size, prefixes = [], [], [], {d: [] for d in lengths}
             for text in batch.column("text").to_pylist():
                 grams = shingles.of(text)
                 digest = xxhash.xxh3_128_digest(grams.tobytes())
@@ -77,24 +100,43 @@ def _signatures(n: int, trees: int, length: int):
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
                 size.append(len(grams))
                 if not len(grams):
-                    prefixes.append(None)
+                    for d in lengths:
+                        prefixes[d].append(None)
                     continue
                 short = (grams >> np.uint64(32)).astype(np.uint32)
                 low = np.full(len(factor), 0xFFFFFFFF, dtype=np.uint32)
-                for k in range(0, len(short), 512):
-                    x = factor * short[None, k : k + 512] + plus
+                for k in range(0, len(short), 128):
+                    x = factor * short[None, k : k + 128] + plus
                     x ^= x >> np.uint32(15)
                     np.minimum(low, (x * np.uint32(0x2C1B3C6D)).min(axis=1), out=low)
-                parts = low.reshape(trees, length).astype(np.uint64)
-                prefixes.append(as_long(mix64((mix64(parts + spread) * spread).sum(axis=1, dtype=np.uint64))))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+                parts = np.cumsum(mix64(low.reshape(trees, depth).astype(np.uint64) + spread) * spread, axis=1, dtype=np.uint64)
+                for d in lengths:
+                    prefixes[d].append(as_long(mix64(parts[:, d - 1])))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), *(pa.array(prefixes[d], pa.list_(pa.int64())) for d in lengths)], schema=schema)
 
     return run
 
 
-def _links(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Matrix of pairs whose Jaccard similarity reaches the threshold."""
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
+        for batch in slices(batches):
+            grams = [shingles.of(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("cls"), batch.column("n_rows"), pa.array(grams, pa.binary())], names=["cls", "n_rows", "grams"])
+
+    return run
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Matrix of how many n-grams are in both; only where pairs is true need it be right."""
     size1, size2 = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    if pairs.sum() * PAIR_COST < len(one) * size2.sum() + size1.sum() * len(two):
+        common = np.zeros(pairs.shape, dtype=np.float64)
+        for r, c in zip(*np.nonzero(pairs), strict=True):
+            small, large = (one[r], two[c]) if size1[r] <= size2[c] else (two[c], one[r])
+            at = np.searchsorted(large, small)
+            common[r, c] = (large[np.minimum(at, len(large) - 1)] == small).sum()
+        return common
     common = np.zeros((len(one), len(two)), dtype=np.float32)
     u1, c1 = np.unique(np.concatenate(one), return_counts=True)
     vocabulary = np.intersect1d(u1, np.unique(np.concatenate(two)), assume_unique=True)
@@ -116,10 +158,7 @@ def _links(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np
             m[owner[inside], at[inside] - k] = 1
             part.append(m)
         common += part[0] @ part[1].T
-    both = common.astype(np.float64)
-    union = size1[:, None] + size2[None, :] - both
-    # both >= threshold * union, with room for rounding of the product alone
-    return both >= threshold * union - 1e-9
+    return common.astype(np.float64)
 
 
 def spanning(rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -157,41 +196,98 @@ def forest_of(links: np.ndarray, ids1: np.ndarray, ids2: np.ndarray) -> list[tup
     return spanning(a, b)
 
 
-def _verify(n: int, threshold: float):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+def _keys(table: pa.Table, column: str, rows: np.ndarray) -> np.ndarray:
+    return np.asarray(table.column(column).combine_chunks().flatten()).reshape(table.num_rows, -1)[rows]
+
 
-    shingles = Shingles(n)
+def _candidates(table: pa.Table, longer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a node, and which pairs of them have no longer prefix in common, nor this one in an earlier tree."""
+    i, j, tree = (table.column(c)[0].as_py() for c in ("i", "j", "tree"))
+    block = np.asarray(table.column("block"))
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = np.ones((len(a), len(b)), bool)
+    if i == j:
+        np.fill_diagonal(found, False)
+    for column in ["now", "before"][: 1 + longer]:
+        one, two = _keys(table, column, a), _keys(table, column, b)
+        for t in range(tree if column == "now" else one.shape[1]):
+            found &= one[:, t][:, None] != two[:, t][None, :]
+    return a, b, found
+
+
+def _screen(longer: bool):
+    columns = ["tree", "node", "i", "j", "block", "cls"]
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, found = _candidates(table, longer)
+        met = np.unique(np.concatenate((a[found.any(axis=1)], b[found.any(axis=0)])))
+        return table.take(pa.array(met)).select(columns)
+
+    return run
+
+
+def _verify(threshold: float, longer: bool):
+    """Rows (kind, u, v, n): 0: class u has n links here; 1: an edge of the spanning forest; 2: n links in part u of the similarities."""
+    schema = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        # A class has as many rows here as its document is repeated.
-        keys = np.stack([np.asarray(table.column(c)) for c in ("s1", "s2")], axis=1)
-        table = table.take(np.unique(keys, axis=0, return_index=True)[1])
+        a, b, found = _candidates(table, longer)
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        if same:
+            found = np.triu(found)
         ids, mult = np.asarray(table.column("cls")), np.asarray(table.column("n_rows"))
-        block = np.asarray(table.column("block"))
-        sets = [shingles.of(t) for t in table.column("text").to_pylist()]
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
         one = [sets[k] for k in a]
-        two = one if i == j else [sets[k] for k in b]
-        u, v, count = [], [], []
-        if one and two:
-            links = _links(one, two, threshold)
-            if i == j:
-                np.fill_diagonal(links, False)
-            for members, number in ((a, links @ mult[b]), *([] if i == j else [(b, mult[a] @ links)])):
-                some = np.flatnonzero(number)
-                u += ids[members[some]].tolist()
-                v += [None] * len(some)
-                count += number[some].tolist()
-            for x, y in forest_of(links, ids[a], ids[b]):
-                u.append(x)
-                v.append(y)
-                count.append(0)
-        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(count, pa.int64())], schema=schema)
+        two = one if same else [sets[k] for k in b]
+        both = _common(one, two, found)
+        union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - both
+        # both >= threshold * union, with room for rounding of the product alone
+        links = found & (both >= threshold * union - 1e-9)
+        r, c = np.nonzero(links)
+        number = np.zeros(len(ids), np.int64)
+        np.add.at(number, a[r], mult[b[c]])
+        np.add.at(number, b[c], mult[a[r]])
+        some = np.flatnonzero(number)
+        part = np.minimum(((both[r, c] / union[r, c] - threshold) * PARTS / max(1 - threshold, 1e-9)).astype(int), PARTS - 1)
+        bars, size = np.unique(np.maximum(part, 0), return_counts=True)
+        forest = forest_of(links, ids[a], ids[b])
+        kinds = [0] * len(some) + [1] * len(forest) + [2] * len(bars)
+        u = [*ids[some].tolist(), *(x for x, _ in forest), *bars.tolist()]
+        v = [*[None] * len(some), *(y for _, y in forest), *[None] * len(bars)]
+        n = [*number[some].tolist(), *[None] * len(forest), *size.tolist()]
+        return pa.table([pa.array(kinds, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     return run
 
 
+def _level(classes: DataFrame, raw: DataFrame, scratch: Scratch, d: int, longer: int | None, n: int, threshold: float) -> DataFrame:
+    """Verified links of pairs whose longest common prefix has d minima, as rows of _verify()."""
+    keys = [F.col(f"p{d}").alias("now"), *([F.col(f"p{longer}").alias("before")] if longer else [])]
+    leaves = classes.select("cls", "n_shingles", F.posexplode(f"p{d}").alias("tree", "node"))
+    # Sums of halves of a hash tell sets of classes apart: nodes of several trees with the same classes are one.
+    h = F.xxhash64("cls")
+    nodes = leaves.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+    nodes = nodes.filter("n > 1").groupBy("n", "grams", "low", "high").agg(F.min(F.struct("tree", "node")).alias("first"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_SHINGLES)).cast("int")
+    nodes = scratch.table(f"nodes{d}", nodes.select("first.*", blocks.alias("n_blocks")))
+    members = classes.select("cls", *keys, F.posexplode(f"p{d}").alias("tree", "node")).join(nodes, ["tree", "node"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
+    group = ["tree", "node", "i", "j"]
+    met = dealt.groupBy(*group).applyInArrow(_screen(longer is not None), "tree int, node long, i int, j int, block int, cls long")
+    met = scratch.table(f"met{d}", met)
+    chosen = scratch.table(f"chosen{d}", met.select("cls").distinct())
+    texts = classes.join(chosen, "cls").select("cls", "cls_key", "n_rows").join(raw, (raw.doc_id == F.col("cls")) & (raw.row_key == F.col("cls_key")))
+    sets = texts.groupBy("cls", "n_rows").agg(F.max("text").alias("text")).mapInArrow(_sets(n), "cls long, n_rows long, grams binary")
+    sets = scratch.table(f"sets{d}", sets)
+    sent = met.join(classes.select("cls", *keys), "cls").join(sets, "cls")
+    found = sent.groupBy(*group).applyInArrow(_verify(threshold, longer is not None), "kind int, u long, v long, n long")
+    found = scratch.table(f"found{d}", found)
+    scratch.drop(f"nodes{d}", f"met{d}", f"chosen{d}", f"sets{d}")
+    return found
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, copy_id, n_shingles.
 
@@ -201,39 +297,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     the same n-gram set. Texts without a word (null ones too) have equal sets,
     so they are copies and link with nothing else; rows without an id link with
     nothing and have no class. Rows that repeat are copies; rows that share an
-    id but no text add up their links.
+    id but no text add up their links. An empty table stays empty.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     scratch = Scratch(spark, "jaccard")
     raw = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), "row_key")
-    length = prefix_length(threshold, trees, depth, recall)
-    signed = scratch.table("signed", raw.mapInArrow(_signatures(n, trees, length), "doc_id long, row_key long, s1 long, s2 long, n_shingles int, prefixes array<long>"))
+    lengths = levels(threshold, trees, depth, recall)
+    fields = ", ".join(f"p{d} array<long>" for d in lengths)
+    signed = scratch.table("signed", raw.mapInArrow(_signatures(n, trees, depth, lengths), f"doc_id long, row_key long, s1 long, s2 long, n_shingles int, {fields}"))
     real = signed.filter("doc_id is not null")
-    classes = real.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.count("*").alias("n_rows"), F.first("prefixes").alias("prefixes"))
-    classes = scratch.table("classes", classes.select("s1", "s2", "n_shingles", F.col("one.doc_id").alias("cls"), F.col("one.row_key").alias("cls_key"), "n_rows", "prefixes"))
-
-    leaves = classes.select("cls", F.posexplode("prefixes").alias("tree", "prefix"))
-    tops = leaves.groupBy("tree", "prefix").agg(F.min("cls").alias("top"), F.count("*").alias("n")).filter("n > 1").select("tree", "prefix", "top")
-    tops = scratch.table("tops", tops)
-    stars = leaves.join(tops, ["tree", "prefix"]).filter("cls != top").select(F.col("cls").alias("u"), F.col("top").alias("v"))
-    groups = scratch.table("groups", components(stars, scratch, "candidates"))
-    scratch.drop("tops")
-    members = groups.join(classes.drop("prefixes"), F.col("node") == F.col("cls")).drop("node")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    sizes = scratch.table("sizes", sizes)
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("n_blocks")).cast("int"))
-    members = members.select("root", "n_blocks", "block", "cls", "cls_key", "s1", "s2", "n_rows")
-    texts = raw.join(members.hint("shuffle_hash"), (raw.doc_id == members.cls) & (raw.row_key == members.cls_key), "inner")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = texts.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = dealt.select("root", "i", "j", "block", "cls", "s1", "s2", "n_rows", "text").groupBy("root", "i", "j").applyInArrow(_verify(n, threshold), "u long, v long, links long")
-    found = scratch.table("found", found)
-    linked = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
-    joined = components(found.filter("v is not null").select("u", "v"), scratch, "links").withColumnsRenamed({"node": "cls", "root": "component_id"})
+    classes = real.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.count("*").alias("n_rows"), *(F.first(f"p{d}").alias(f"p{d}") for d in lengths))
+    classes = scratch.table("classes", classes.select("s1", "s2", "n_shingles", F.col("one.doc_id").alias("cls"), F.col("one.row_key").alias("cls_key"), "n_rows", *(f"p{d}" for d in lengths)))
+    ids = scratch.table("ids", signed.select("doc_id", "s1", "s2", "n_shingles"))
+    scratch.drop("signed")
+
+    found, histogram, longer = None, {}, None
+    for d in lengths:
+        level = _level(classes, raw, scratch, d, longer, n, threshold)
+        found = level if found is None else found.unionByName(level)
+        # One row for each of PARTS similarities.
+        for r in level.filter("kind = 2").groupBy("u").agg(F.sum("n").alias("n")).collect():
+            histogram[r.u] = histogram.get(r.u, 0) + r.n
+        if estimated_recall(histogram, d, threshold, trees) >= recall:
+            break
+        longer = d
+    linked = found.filter("kind = 0").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links"))
+    joined = components(found.filter("kind = 1").select("u", "v"), scratch, "links").withColumnsRenamed({"node": "cls", "root": "component_id"})
     known = scratch.table("known", classes.select("s1", "s2", "cls", "n_rows").join(linked, "cls", "left").join(joined, "cls", "left"))
-    scratch.drop("groups", "sizes", "found", "classes")
-    out = signed.select("doc_id", "s1", "s2", "n_shingles").join(known, ["s1", "s2"], "left")
+    scratch.drop("classes", *(f"found{d}" for d in lengths))
+    out = ids.join(known, ["s1", "s2"], "left")
     real = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
@@ -250,11 +342,13 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     Rows that share a doc_id are one document, of which the longest text stays.
     Of texts without a word one stays, and rows without a doc_id all do.
     """
-    kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("class_id").alias("_root"), F.count("*").alias("_rows"))
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").filter("_id is null or _root = _id")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
-    one = joined.filter("_id is null or _rows = 1").select(*docs.columns)
-    return one.unionByName(joined.filter("_rows > 1").withColumn("_place", place).filter("_place = 1").select(*docs.columns))
+    doc, root, rows, at = (free_name(docs, f"near_{c}") for c in ("doc", "root", "rows", "place"))
+    kept = near_duplicates(docs, threshold, n).filter("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.min("class_id").alias(root), F.count("*").alias(rows))
+    joined = docs.join(kept, docs["doc_id"] == kept[doc], "left").filter(F.col(doc).isNull() | (F.col(root) == F.col(doc)))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = joined.filter(F.col(doc).isNull() | (F.col(rows) == 1)).select(*columns)
+    return one.unionByName(joined.filter(F.col(rows) > 1).withColumn(at, place).filter(F.col(at) == 1).select(*columns))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
