@@ -1,33 +1,36 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Archives are written through Spark's own file writer, whose commit protocol
-discards what lost or repeated tasks leave; every task's pages go straight to
-its archive. The index (offset, length, URL, digest per record) is made before
-anything is read back, by walking from header to header, and does not depend on
-the order in which tasks wrote. Reading goes through it: choose records, merge
-their sorted ranges where the gaps are small, and read each merged range at once.
+Every task writes its records to archives of its own in the shared folder and
+gives out offset, length, URL and digest of each; these rows are the index,
+which Spark's commit protocol keeps to tasks that ended. Reading goes through
+it: choose records, merge their sorted ranges where the gaps are small, and
+read each merged range at once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import Scratch, arrow_batches
+from quillspan.llm.common import Scratch, slices
 
 #: Payloads under so many bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 #: Ranges merge over gaps up to GAP bytes, until they have RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
-#: What the walk reads at a record's beginning.
-HEAD = 4096
+#: An archive ends with the batch that brings it to so many bytes, and so many bytes make a task of reading where there are more tasks than cores.
+ARCHIVE_BYTES, TASK_BYTES = 1 << 30, 256 << 20
+INDEX = "path string, offset long, length long, page_id long, url string, digest string, record_type string"
 DATE = "2000-01-01T00:00:00Z"
 DIGITS, LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -47,7 +50,7 @@ class Archive:
 
 
 def _records(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
-    """page_id, url, digest, size, record_type, refers_to and the record as one string, without the last line end."""
+    """page_id, url, digest, size, record_type, refers_to and the record as one string; url is the target as the record has it."""
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("body"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"))
     firsts = rows.filter(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -61,46 +64,79 @@ def _records(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(again, http).otherwise(F.concat(http, "body"))
     name = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), uri, "sha"))
-    uuid = F.concat_ws("-", *(F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    urn = F.concat_ws("-", *(F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     lines = [
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), uuid,
+        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), urn,
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit("\r\nX-Payload-Length: "), text("size"),
         F.lit("\r\nX-Page-ID: "), text("page_id"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Refers-To-Page-ID: "), text("refers_to"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit("\r\n\r\n"), block, F.lit("\r\n"),
+        F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"),
     ]
-    return rows.withColumn("record", F.concat(*lines))
+    return rows.withColumn("record", F.concat(*lines)).withColumn("url", uri)
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_REVISIT_BYTES) -> Archive:
-    """Write one record per row of pages (page_id, url, html) into the shared folder, and index them.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> Archive:
+    """Write one record per row of pages (page_id, url, html) below path, in the shared folder, and their index with them.
 
-    Of equal payloads of at least min_bytes, rows with the smallest page_id are
-    responses and the others revisits of it; a null page_id is larger than any.
-    Null html is an empty payload, a null url an empty target. Rows that repeat
-    get a record each.
+    Tasks write archives and give out an index row a record; the index holds
+    the rows of tasks that ended, so archives of lost or repeated ones are read
+    by nobody. Of equal payloads of at least min_bytes, rows with the smallest
+    page_id are responses and the others revisits of it; a null page_id is
+    larger than any. Null html is an empty payload, a null url an empty target.
+    Rows that repeat get a record each; an empty table gives an empty index.
+    Other columns are not read.
     """
-    path = scratch.path("warc")
-    _records(pages, scratch, min_bytes).select("record").write.option("lineSep", "\r\n").text(path)
     spark = pages.sparkSession
-    arrow_batches(spark, 64)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
-    index = files.mapInArrow(_walk, "path string, offset long, length long, page_id long, url string, digest string, record_type string")
-    return Archive(path, scratch.table("index", index))
+    records = _records(pages, Scratch(spark, "warc"), min_bytes).select("page_id", "url", "digest", "record_type", "record")
+    records.mapInArrow(_write(f"{path}/archives"), INDEX).write.parquet(f"{path}/index")
+    return open_archives(spark, path)
 
 
-def _opened(path: str):
+def open_archives(spark: SparkSession, path: str) -> Archive:
+    """What write_archives() has written below path."""
+    return Archive(path, spark.read.schema(INDEX).parquet(f"{path}/index"))
+
+
+def _store(path: str):
     import re
 
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return store.open_input_file(inner)
+    return fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", path))
+
+
+def _write(folder: str):
+    types = [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in slices(batches):
+            if not batch.num_rows:
+                continue
+            if out is None:
+                path = f"{folder}/{uuid.uuid4().hex}.warc"
+                store, inner = _store(path)
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                out, at = store.open_output_stream(inner), 0
+            records = batch.column("record").cast(pa.binary())
+            lengths = np.asarray(pc.binary_length(records).cast(pa.int64()))
+            out.write(b"".join(records.to_pylist()))
+            offsets = at + np.cumsum(lengths) - lengths
+            at += int(lengths.sum())
+            rows = [pa.array([path] * batch.num_rows, pa.string()), pa.array(offsets), pa.array(lengths), *(batch.column(c) for c in ("page_id", "url", "digest", "record_type"))]
+            # These rows count once the task has ended, so after the archive is closed.
+            yield pa.record_batch([c.cast(t) for c, (_, t) in zip(rows, types, strict=True)], names=[n for n, _ in types])
+            if at >= ARCHIVE_BYTES:
+                out = out.close()
+        if out is not None:
+            out.close()
+
+    return run
 
 
 def fields_of(head: bytes) -> dict[str, str]:
@@ -115,34 +151,14 @@ def _number(fields: dict[str, str], name: str) -> int | None:
     return int(fields[name]) if fields.get(name) else None
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())])
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            rows = []
-            with _opened(path) as f:
-                at, end = 0, f.size()
-                while at < end:
-                    size = HEAD
-                    while b"\r\n\r\n" not in (data := f.read_at(min(size, end - at), at)):
-                        if size >= end - at:
-                            raise ValueError(f"no record at {at} of {path}")
-                        size *= 4
-                    head = data.partition(b"\r\n\r\n")[0]
-                    fields = fields_of(head)
-                    length = len(head) + 8 + int(fields["content-length"])
-                    rows.append((path, at, length, _number(fields, "x-page-id"), fields["warc-target-uri"], fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]))
-                    at += length
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     for batch in batches:
         for row in batch.to_pylist():
             out = {n: [] for n in names}
-            with _opened(row["path"]) as f:
+            store, inner = _store(row["path"])
+            with store.open_input_file(inner) as f:
                 data = f.read_at(row["stop"] - row["start"], row["start"])
             for offset, length in sorted((p["offset"], p["length"]) for p in row["parts"]):
                 at = offset - row["start"]
@@ -172,21 +188,25 @@ def read_archives(archive: Archive, chosen: DataFrame | None = None, gap: int =
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to
     and payload; a revisit has the size and digest of the payload it stands for
     and no payload. Payloads of responses are verified against their digests.
+    An empty choice gives no row; a row chosen twice is read twice.
     """
-    spark = archive.index.sparkSession
-    arrow_batches(spark, 16)  # each row of a batch is a range of up to `size` bytes
     chosen = archive.index if chosen is None else chosen
+    # An archive has about ARCHIVE_BYTES, which bounds its rows in the window.
     order = Window.partitionBy("path").orderBy("offset")
     end = F.col("offset") + F.col("length")
     gapped = chosen.withColumn("jump", F.coalesce((F.col("offset") - F.lag(end).over(order) > gap).cast("int"), F.lit(0)))
     run = gapped.withColumn("run", F.sum("jump").over(order)).withColumn("cell", F.floor(F.col("offset") / size))
     ranges = run.groupBy("path", "run", "cell").agg(F.min("offset").alias("start"), F.max(end).alias("stop"), F.collect_list(F.struct("offset", "length")).alias("parts"))
-    placed = ranges.select("path", "start", "stop", "parts")
+    # Ranges are few and small rows; what counts is the bytes they stand for, so these decide how many tasks read.
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    cores = chosen.sparkSession.sparkContext.defaultParallelism
+    tasks = max(total // TASK_BYTES, min(cores, total // size)) + 1
+    placed = ranges.select("path", "start", "stop", "parts").repartition(int(tasks), "path", "start")
     return placed.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "warc"))
+    archive = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "warc").path("pages"))
     return read_archives(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
