@@ -256,8 +256,31 @@ def test_jaccard_join_of_nothing_and_of_nulls(spark):
 
 
 def test_forest_depth_reaches_the_recall():
-    d = jaccard_join.prefix_length()
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
+    first, *_, last = jaccard_join.levels()
+    assert first == jaccard_join.DEPTH and jaccard_join.found_share(0.8, last) >= jaccard_join.RECALL > jaccard_join.found_share(0.8, last + 1)
+    with pytest.raises(ValueError):
+        jaccard_join.levels(0.1)
+    # Close links need no shorter prefixes, links at the threshold do, and no links tell nothing.
+    assert jaccard_join.estimated_recall({15: 100}, 8) >= jaccard_join.RECALL > jaccard_join.estimated_recall({0: 50, 15: 50}, 8)
+    assert jaccard_join.estimated_recall({}, 8) == 0.0
+
+
+def test_jaccard_join_shortens_prefixes(spark):
+    """Every pair just at the threshold, so that long prefixes miss some."""
+    rng, texts = random.Random(12), []
+    for k in range(150):
+        base = [f"u{k}_{i}" for i in range(104)]
+        texts.append(" ".join(base))
+        at = sorted(rng.sample(range(6, 98, 6), 2))
+        texts.append(" ".join("x" if i in at else w for i, w in enumerate(base)))
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
+    trees = {"trees": 12, "depth": 6, "recall": 0.99}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join.near_duplicates(frame(spark, texts), **trees).collect()}
+    assert len(jaccard_join.levels(0.8, 12, 6, 0.99)) > 1
+    want = brute_links(sets, 0.8)
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values()) > 290
+    assert all(got[i] in (want[i], (0, i)) for i in got)
 
 
 def test_components_of_a_long_chain(spark):
@@ -277,7 +300,8 @@ def test_embedding_dedup(spark, monkeypatch):
     rows = [(i, v.astype("float32").tolist(), i % 2) for i, v in enumerate(vectors)]
     rows += [(200, None, 0), (201, [0.0] * 64, 0), (202, [float("nan")] * 64, 0), (203, [None] * 64, 0), (204, rows[0][1], None), (205, rows[0][1], 0), (206, rows[0][1][:8], 0), (207, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("mine"))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    # More pivots than the few vectors ask for, so that lists are as sparse as those of a large label.
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, counts=(1024, 1024)).collect()}
     fine = [(i, np.array(v, float), b) for i, v, b in rows if v and b is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     sets = {i: set() for i, *_ in rows}
     parent = {i: i for i in sets}
@@ -370,7 +394,7 @@ def test_mixing_limits(spark):
 def test_warc_round_trip(spark):
     pages = [(5, "http://a/\r\nEvil: x", "<p>same</p>"), (3, "http://b/", "<p>same</p>"), (3, "http://b/", "<p>same</p>"), (9, None, None), (8, "http://c/", ""), (7, "http://d/é", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://e/", "<p>same</p>"), (6, "http://f/", "x" * 100_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
-    archive = warc.write_archives(df, Scratch(spark, "test"))
+    archive = warc.write_archives(df, Scratch(spark, "test").path("a"))
     got = sorted(((r.page_id or -1), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, len(r.payload)) for r in warc.read_archives(archive, gap=0, size=1000).collect())
     import base64
 
@@ -383,12 +407,12 @@ def test_warc_round_trip(spark):
     assert got == sorted(want)
     some = warc.read_archives(archive, archive.index.filter("page_id = 7")).collect()
     assert len(some) == 1 and bytes(some[0].payload).decode() == pages[5][2]
-    assert archive.index.filter("length > 100000").count() == 1
+    assert archive.index.filter("length > 100000").count() == 1 and warc.open_archives(spark, archive.path).index.count() == len(pages)
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")
-    empty = warc.write_archives(df.limit(0), Scratch(spark, "test"))
+    empty = warc.write_archives(df.limit(0), Scratch(spark, "test").path("b"))
     assert warc.read_archives(empty).count() == 0
-    small = warc.write_archives(df, Scratch(spark, "test"), min_bytes=50)
+    small = warc.write_archives(df, Scratch(spark, "test").path("c"), min_bytes=50)
     assert warc.read_archives(small).filter("record_type = 'revisit'").count() == 0
 
 
@@ -417,11 +441,52 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_mined_verdicts_against_brute_force(spark):
+    """Which rule judges a URL, from a table of labels, with tokens that always occur together."""
+    from itertools import combinations
+
+    rng = random.Random(21)
+    parts = [f"k{i}" for i in range(7)]
+    make = lambda: sorted(rng.sample(parts, rng.randrange(1, 5)))
+    twin = {"k0": ["k0", "z0", "z1"]}
+    url = lambda ks: "http://site.example/x?" + "&".join(f"{t}={rng.randrange(9)}" for k in ks for t in twin.get(k, [k]))
+    labels = [(ks, "block" if {"k1", "k2"} <= set(ks) or "k0" in ks or rng.random() < 0.1 else "allow") for ks in (make() for _ in range(300))]
+    asked = [make() for _ in range(60)]
+    rows = [(i, url(ks)) for i, ks in enumerate(asked)] + [(100, "http://site.example/x?z1=1"), (101, None), (102, "http://listed.org/y?k0=1")]
+    rules = (("allow", "listed.org", "/"),)
+    table = spark.createDataFrame([(url(ks), v) for ks, v in labels] + [(None, "block"), ("http://x/", None)], "url string, verdict string")
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, table, 0.05, 0.7).collect()}
+    base = {"h0=example", "h1=site", "p0=x"}  # in every labelled URL but one
+    n, found = len(labels) + 1, []
+    for k in range(1, 8):
+        for items in combinations(parts, k):
+            hit = [v for ks, v in labels if set(items) <= set(ks)]
+            for v in ("block", "allow"):
+                if hit.count(v) >= 0.05 * n and hit.count(v) >= 0.7 * len(hit):
+                    found.append((hit.count(v) / len(hit), hit.count(v), items, v))
+    for i, ks in enumerate(asked):
+        fits = [f for f in found if set(f[2]) <= set(ks)]
+        shares = sum(v == "allow" for _, v in labels) / len(labels)
+        best = max((f[0] for f in fits), default=0)
+        verdicts = {f[3] for f in fits if f[0] == best}
+        if not fits:
+            assert got[i].mined is None or set(got[i].mined) <= base
+            assert got[i].verdict == "allow" or shares < 0.3
+        else:
+            assert got[i].confidence == pytest.approx(best) and got[i].verdict in verdicts, (ks, got[i])
+    assert got[100].verdict == "block" and got[100].mined == ["q=z1"]  # z1 stands for k0, which it always met
+    assert got[101].verdict == "allow" and got[102].rule == "listed.org/" and got[102].verdict == "allow"
+
+
+def test_tokens_that_listed_rules_test():
+    assert url_filters.rule_tokens((("block", "a1.example.co.uk", "/de/x/y/"),)) == ["h0=uk", "h1=co", "h2=example", "h=a#", "p0=de", "p1=x", "p=y"]
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(9)
     data = [(sorted({f"t{rng.randrange(6)}" for _ in range(4)}), None) for _ in range(200)]
     data = [(t, "block" if {"t1", "t2"} <= set(t) or rng.random() < 0.1 else "allow") for t, _ in data]
-    rules = {(tuple(r["items"]), r.verdict): r for r in url_filters.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.05, 0.8).collect()}
+    rules = {(tuple(r["items"]), r.verdict): r for r in url_filters.mine(spark.createDataFrame(data, "items array<string>, verdict string"), 0.05, 0.8).collect()}
     from itertools import combinations
 
     found = {}

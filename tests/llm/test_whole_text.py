@@ -44,3 +44,7 @@ def test_toxicity_of_pairs_whose_terms_tell_nothing():
     machine = toxicity.fit(x[:1600], y[:1600])
     score = toxicity.sigmoid(machine.logits([r[machine.mask[r]] for r in x[1600:]]))
     assert ((score >= toxicity.THRESHOLD) == y[1600:]).mean() > 0.95
+    # Weights alone, without the factors' pairs, can't do better than chance.
+    plain = toxicity.Machine(machine.bias, machine.linear, np.zeros_like(machine.factors), machine.mask)
+    score = toxicity.sigmoid(plain.logits([r[plain.mask[r]] for r in x[1600:]]))
+    assert abs(((score >= np.median(score)) == y[1600:]).mean() - 0.5) < 0.15
