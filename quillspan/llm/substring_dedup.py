@@ -1,15 +1,19 @@
-"""Remove repeated passages: seed on winnowed anchors, extend, keep repeats over a length.
+"""Remove repeated passages: seed on winnowed anchors, extend both ways, keep repeats over a length.
 
 A window is `length` consecutive words. Winnowing picks for each window the
 smallest hash among its `anchor` word runs, so equal windows pick equal anchors
 at equal places: the anchors are the seeds. Consecutive windows of one anchor
-form a stretch. Stretches that share an anchor are extended together: if they
-agree over their full width, all their windows repeat; where they differ, one
-stretch of each kind is compared window by window. Adjoining repeated windows
-make up the maximal repeats, whose words go.
-
-Nothing is compared in pairs: equal stretches and equal windows are counted by
-hash (128 bits), however many copies there are.
+form a stretch. Occurrences join on their anchor. Those whose stretches are
+equal repeat as a whole. Where stretches around an anchor differ, one of each
+kind joins with the most common kind, its pivot, and the match is extended to
+the left and to the right as far as the words agree: a maximal repeat with the
+pivot. Windows beyond it equal no window of the pivot, nor of whatever matches
+that; what is left of the kinds is compared window by window. Repeats of at
+least `length` words lose all their words.
+
+Nothing is compared in pairs: every kind meets one pivot, and equal stretches
+and windows are counted by hash, however many copies there are. Words are told
+apart by 64-bit hashes, spans by two polynomials of those.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import Scratch, SpanHash, WordHashes, as_long, documents, slices, with_row_key
@@ -27,7 +31,7 @@ LENGTH = 35
 ANCHOR = 8
 #: Odd multipliers of the two independent polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: A stretch is packed as first window * 1024 + number of windows.
+#: Windows are packed as first window * 1024 + number of windows; a seed as that * 1024 + place of its anchor, counted from the first window.
 PACK = 1024
 
 
@@ -83,7 +87,7 @@ def _stretches(length: int, anchor: int):
             begin, owner = first[new], doc[new]
             out = [as_long(value[seed[new]]), as_long(w.hashes[1].spans(begin, begin + n + length - 1))]
             own = pa.array(owner)
-            at = (begin - w.starts[owner]) * PACK + n
+            at = ((begin - w.starts[owner]) * PACK + n) * PACK + seed[new] - begin
             yield pa.record_batch([pa.array(out[0]), pa.array(out[1]), batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(at)], schema=schema)
 
     return run
@@ -103,6 +107,34 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), sizes)
 
 
+def _contexts(length: int, anchor: int):
+    """Per kind of stretch, the hashes of its words from the anchor to the left, and from the anchor to the right."""
+    schema = pa.schema([("a", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("at", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in slices(batches):
+            kinds = batch.column("kinds").flatten()
+            own = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("kinds").value_lengths())))
+            texts = [cache.of((t or b"").split()).view(np.int64) for t in batch.column("text").to_pylist()]
+            at = np.asarray(kinds.field("at"))
+            first, n, place = at // PACK // PACK, at // PACK % PACK, at % PACK
+            left, right = [], []
+            for i, f, k, p in zip(own.to_pylist(), first.tolist(), n.tolist(), place.tolist(), strict=True):
+                words = texts[i][f : f + k + length - 1]
+                left.append(np.ascontiguousarray(words[:p][::-1]))
+                right.append(words[p + anchor :])
+            yield pa.record_batch([kinds.field("a"), kinds.field("s"), kinds.field("n"), batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(at), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _agree(one: Column, two: Column) -> Column:
+    """How many elements two arrays begin with in common."""
+    differ = F.array_position(F.zip_with(one, two, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ == 0, F.size(one)).otherwise(differ - 1).cast("long")
+
+
 def _window_hashes(length: int):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("at", pa.int64())])
 
@@ -168,28 +200,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     found = "a long, s long, doc_id long, row_key long, at long"
     seeds = scratch.table("seeds", raw.mapInArrow(_stretches(length, anchor), found))
 
-    # Seeds found twice or more; `mixed` where their stretches differ.
+    # Anchors found twice or more; `mixed` where their stretches differ.
     twice = seeds.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
     twice = scratch.table("twice", twice)  # read anew, the join deals both sides itself and can split a common seed
     shared = scratch.table("shared", seeds.join(twice, "a"))
     scratch.drop("seeds", "twice")
     kinds = shared.filter("mixed").groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "at")).alias("one"))
     kinds = scratch.table("kinds", kinds)
-    whole = shared.filter("not mixed").select("doc_id", "row_key", "at")
-    whole = whole.unionByName(shared.filter("mixed").join(kinds.filter("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("doc_id", "row_key", "at"))
-    unsure = kinds.select("one.*").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("unsure"))
+    windows_of = F.floor(F.col("at") / PACK).cast("long")
+    whole = shared.filter("not mixed").select("doc_id", "row_key", windows_of.alias("at"))
+    alike = shared.filter("mixed").join(kinds.filter("n > 1").select("a", "s"), ["a", "s"], "left_semi")
+    whole = whole.unionByName(alike.select("doc_id", "row_key", windows_of.alias("at")))
 
     def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnsRenamed({"doc_id": "r_doc", "row_key": "r_key"}).hint("shuffle_hash")
+        right = right.withColumnsRenamed({"doc_id": "r_doc", "row_key": "r_key"})
         return left.join(right, (left.row_key == right.r_key) & left.doc_id.eqNullSafe(right.r_doc), how).drop("r_doc", "r_key")
 
+    listed = kinds.groupBy("one.doc_id", "one.row_key").agg(F.collect_list(F.struct("a", "s", "n", F.col("one.at").alias("at"))).alias("kinds"))
+    contexts = beside(raw, listed, "inner").mapInArrow(_contexts(length, anchor), "a long, s long, n long, doc_id long, row_key long, at long, left array<long>, right array<long>")
+    contexts = scratch.table("contexts", contexts)
+    pivots = contexts.groupBy("a").agg(F.max_by(F.struct("s", "doc_id", "row_key", "at", "left", "right"), F.struct("n", "s")).alias("pivot"))
+    pivots = scratch.table("pivots", pivots)  # read anew, as above
+    met = contexts.join(pivots, "a").filter("s != pivot.s")
+    first, n, place = (F.floor(F.col("at") / (PACK * PACK)).cast("long"), F.floor(F.col("at") / PACK).cast("long") % PACK, F.col("at") % PACK)
+    # Windows within the match, counted from the first of the kind: those that begin not before it and end not after it.
+    low = F.least(F.col("n_windows"), F.greatest(F.lit(0), F.col("place") - F.col("to_left")))
+    high = F.least(F.col("n_windows"), F.col("place") + anchor + F.col("to_right") - length + 1)
+    met = met.select("doc_id", "row_key", first.alias("first"), n.alias("n_windows"), place.alias("place"), F.col("pivot.doc_id").alias("p_doc"), F.col("pivot.row_key").alias("p_key"), F.col("pivot.at").alias("p_at"),
+        _agree(F.col("left"), F.col("pivot.left")).alias("to_left"), _agree(F.col("right"), F.col("pivot.right")).alias("to_right"))
+    met = scratch.table("met", met.withColumn("low", low).withColumn("high", F.greatest(high, low)))
+    repeats = met.filter("high > low")
+    p_first, p_place = F.floor(F.col("p_at") / (PACK * PACK)).cast("long"), F.col("p_at") % PACK
+    count = F.col("high") - F.col("low")
+    ours = repeats.select("doc_id", "row_key", ((F.col("first") + F.col("low")) * PACK + count).alias("at"))
+    theirs = repeats.select(F.col("p_doc").alias("doc_id"), F.col("p_key").alias("row_key"), ((p_first + p_place - F.col("place") + F.col("low")) * PACK + count).alias("at"))
+    whole = whole.unionByName(ours).unionByName(theirs.distinct())
+    before = F.when(F.col("low") > 0, F.col("first") * PACK + F.col("low"))
+    after = F.when(F.col("high") < F.col("n_windows"), (F.col("first") + F.col("high")) * PACK + F.col("n_windows") - F.col("high"))
+    # Without a match low and high are equal, and the two parts are all windows.
+    left_over = met.select("doc_id", "row_key", F.explode(F.array(before, after)).alias("at")).filter("at is not null")
+    unsure = left_over.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("unsure"))
     windows = beside(raw, unsure, "inner").mapInArrow(_window_hashes(length), "h1 long, h2 long, doc_id long, row_key long, at long")
     windows = scratch.table("windows", windows)
     again = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
     again = scratch.table("again", again)
     single = windows.join(again, ["h1", "h2"], "left_semi").select("doc_id", "row_key", "at")
     marks = scratch.table("marks", whole.unionByName(single).groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("marks")))
-    scratch.drop("shared", "kinds", "windows", "again")
+    scratch.drop("shared", "kinds", "contexts", "pivots", "met", "windows", "again")
     joined = beside(raw, marks, "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<int>")
 
