@@ -9,10 +9,11 @@ many more there must be (each counts 1 / its probability); shortening ends once
 that estimate meets the target recall, and at the latest at the depth where a
 pair just at the threshold is found with it.
 
-A node's documents are compared by prefixes first: a pair belongs to the
-longest prefix and the first tree that it shares. N-gram sets go only to nodes
-where a document has such a pair, and there every pair is verified exactly.
-Long nodes fall into blocks. Documents with equal n-gram sets are one class
+A pair belongs to the longest prefix that it shares. Nodes that share documents
+make up groups. A group is compared as a whole where that is less work, else
+node by node: a pair then belongs to the first tree in which it shares the
+prefix, and n-gram sets go only to nodes where a document has such a pair. Pairs
+are verified exactly. Long nodes and groups fall into blocks. Documents with equal n-gram sets are one class
 from the start. Neither classes nor nodes are ever written out as pairs: a
 block gives each class its number of links, and a spanning forest of the links.
 """
@@ -200,18 +201,28 @@ def _keys(table: pa.Table, column: str, rows: np.ndarray) -> np.ndarray:
     return np.asarray(table.column(column).combine_chunks().flatten()).reshape(table.num_rows, -1)[rows]
 
 
-def _candidates(table: pa.Table, longer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the two blocks of a node, and which pairs of them have no longer prefix in common, nor this one in an earlier tree."""
-    i, j, tree = (table.column(c)[0].as_py() for c in ("i", "j", "tree"))
+def _candidates(table: pa.Table, longer: bool, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group, and which pairs of them are compared here.
+
+    None that has a longer prefix in common. In a node, those that have no
+    prefix of this length in common in an earlier tree; in a whole group, those
+    that have one in any tree.
+    """
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
     block = np.asarray(table.column("block"))
     a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    found = np.ones((len(a), len(b)), bool)
+    one, two = _keys(table, "now", a), _keys(table, "now", b)
+    last = one.shape[1] if whole else table.column("tree")[0].as_py()
+    met = np.zeros((len(a), len(b)), bool)
+    for t in range(last):
+        met |= one[:, t][:, None] == two[:, t][None, :]
+    found = met if whole else ~met
+    if longer:
+        one, two = _keys(table, "before", a), _keys(table, "before", b)
+        for t in range(one.shape[1]):
+            found &= one[:, t][:, None] != two[:, t][None, :]
     if i == j:
         np.fill_diagonal(found, False)
-    for column in ["now", "before"][: 1 + longer]:
-        one, two = _keys(table, column, a), _keys(table, column, b)
-        for t in range(tree if column == "now" else one.shape[1]):
-            found &= one[:, t][:, None] != two[:, t][None, :]
     return a, b, found
 
 
@@ -219,19 +230,19 @@ def _screen(longer: bool):
     columns = ["tree", "node", "i", "j", "block", "cls"]
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, found = _candidates(table, longer)
+        a, b, found = _candidates(table, longer, False)
         met = np.unique(np.concatenate((a[found.any(axis=1)], b[found.any(axis=0)])))
         return table.take(pa.array(met)).select(columns)
 
     return run
 
 
-def _verify(threshold: float, longer: bool):
+def _verify(threshold: float, longer: bool, whole: bool):
     """Rows (kind, u, v, n): 0: class u has n links here; 1: an edge of the spanning forest; 2: n links in part u of the similarities."""
     schema = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, found = _candidates(table, longer)
+        a, b, found = _candidates(table, longer, whole)
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         if same:
             found = np.triu(found)
@@ -260,31 +271,55 @@ def _verify(threshold: float, longer: bool):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (cls, n_blocks) in pairs of blocks i, j, each with its own block."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
+
+
 def _level(classes: DataFrame, raw: DataFrame, scratch: Scratch, d: int, longer: int | None, n: int, threshold: float) -> DataFrame:
-    """Verified links of pairs whose longest common prefix has d minima, as rows of _verify()."""
+    """Verified links of pairs whose longest common prefix has d minima, as rows of _verify().
+
+    Nodes that share documents make up a group. A group is compared as a whole
+    where that sends fewer rows than its nodes one by one would: close copies
+    share most trees. Groups that chance prefixes chain together are compared
+    node by node.
+    """
     keys = [F.col(f"p{d}").alias("now"), *([F.col(f"p{longer}").alias("before")] if longer else [])]
     leaves = classes.select("cls", "n_shingles", F.posexplode(f"p{d}").alias("tree", "node"))
     # Sums of halves of a hash tell sets of classes apart: nodes of several trees with the same classes are one.
     h = F.xxhash64("cls")
-    nodes = leaves.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
-    nodes = nodes.filter("n > 1").groupBy("n", "grams", "low", "high").agg(F.min(F.struct("tree", "node")).alias("first"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_SHINGLES)).cast("int")
-    nodes = scratch.table(f"nodes{d}", nodes.select("first.*", blocks.alias("n_blocks")))
-    members = classes.select("cls", *keys, F.posexplode(f"p{d}").alias("tree", "node")).join(nodes, ["tree", "node"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
-    group = ["tree", "node", "i", "j"]
-    met = dealt.groupBy(*group).applyInArrow(_screen(longer is not None), "tree int, node long, i int, j int, block int, cls long")
+    nodes = leaves.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"), F.min("cls").alias("top"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+    nodes = nodes.filter("n > 1").groupBy("n", "grams", "top", "low", "high").agg(F.min(F.struct("tree", "node")).alias("first"))
+    blocks = lambda n, grams: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(grams) / BLOCK_SHINGLES)).cast("int")
+    nodes = scratch.table(f"nodes{d}", nodes.select("first.*", "n", "top", blocks("n", "grams").alias("n_blocks")))
+    members = leaves.join(nodes, ["tree", "node"])
+    stars = members.filter("cls != top").select(F.col("cls").alias("u"), F.col("top").alias("v"))
+    groups = components(stars, scratch, f"groups{d}_").withColumnsRenamed({"node": "cls"})
+    groups = scratch.table(f"groups{d}", groups.join(classes.select("cls", "cls_key", "n_rows", "n_shingles"), "cls"))
+    alone = nodes.join(groups.select("cls", "root"), nodes.top == groups.cls).groupBy("root").agg(F.sum(F.col("n") * F.col("n_blocks")).alias("sent"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n_shingles").alias("grams")).withColumn("n_blocks", blocks("classes", "grams"))
+    sizes = scratch.table(f"sizes{d}", sizes.join(alone, "root").select("root", "n_blocks", (F.col("classes") * F.col("n_blocks") <= F.col("sent")).alias("whole")))
+    placed = groups.join(sizes, "root")
+
+    split = placed.filter("not whole").select("cls")
+    members = members.select("cls", "tree", "node", "n_blocks").join(split, "cls").join(classes.select("cls", *keys), "cls")
+    node = ["tree", "node", "i", "j"]
+    met = _dealt(members).groupBy(*node).applyInArrow(_screen(longer is not None), "tree int, node long, i int, j int, block int, cls long")
     met = scratch.table(f"met{d}", met)
-    chosen = scratch.table(f"chosen{d}", met.select("cls").distinct())
-    texts = classes.join(chosen, "cls").select("cls", "cls_key", "n_rows").join(raw, (raw.doc_id == F.col("cls")) & (raw.row_key == F.col("cls_key")))
+    chosen = placed.filter("whole").select("cls").unionByName(met.select("cls").distinct())
+    chosen = scratch.table(f"chosen{d}", chosen.join(groups.select("cls", "cls_key", "n_rows"), "cls"))
+    texts = raw.join(chosen, (raw.doc_id == chosen.cls) & (raw.row_key == chosen.cls_key))
     sets = texts.groupBy("cls", "n_rows").agg(F.max("text").alias("text")).mapInArrow(_sets(n), "cls long, n_rows long, grams binary")
     sets = scratch.table(f"sets{d}", sets)
-    sent = met.join(classes.select("cls", *keys), "cls").join(sets, "cls")
-    found = sent.groupBy(*group).applyInArrow(_verify(threshold, longer is not None), "kind int, u long, v long, n long")
+    ready = sets.join(classes.select("cls", *keys), "cls")
+    kinds = "kind int, u long, v long, n long"
+    found = met.join(ready, "cls").groupBy(*node).applyInArrow(_verify(threshold, longer is not None, False), kinds)
+    whole = _dealt(placed.filter("whole").select("cls", "root", "n_blocks").join(ready, "cls"))
+    found = found.unionByName(whole.groupBy("root", "i", "j").applyInArrow(_verify(threshold, longer is not None, True), kinds))
     found = scratch.table(f"found{d}", found)
-    scratch.drop(f"nodes{d}", f"met{d}", f"chosen{d}", f"sets{d}")
+    scratch.drop(*(f"{name}{d}" for name in ("nodes", "groups", "sizes", "met", "chosen", "sets")))
     return found
 
 
