@@ -26,7 +26,7 @@ from quillspan.llm.jaccard_join import forest_of, spanning
 
 THRESHOLD = 0.98
 #: The fewest and the most reference points of a label, and how long its lists should be on average.
-PIVOTS, LIST_SIZE = (256, 65_536), 256
+PIVOTS, LIST_SIZE = (256, 65_536), 64
 #: Vectors must share so many of their nearest pivots.
 SHARED = 4
 BLOCK = 1024
@@ -117,6 +117,8 @@ def shared_enough(one: np.ndarray, two: np.ndarray, pivot: int, shared: int) ->
     left = _by_pivot(one)
     right = left if one is two else _by_pivot(two)
     for q in left.keys() & right.keys():
+        if left is right and len(left[q]) == 1:
+            continue
         block = np.ix_(left[q], right[q])
         if q < pivot:
             lower[block] = True
