@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.config import CONFIG
+from quillspan.sources.writers import read_report
 
 SENSORS, PRIORITIES, KINDS, REGIONS = ("A", "B", "all"), ("inspect first", "inspect", "monitor", "none"), ("observed", "forecast"), ("all", "hills", "plains")
 
@@ -46,6 +47,14 @@ class Tables:
     def optional(self, name: str) -> DataFrame | None:
         return self.table(name) if self._exists(name) else None
 
+    def report(self, name: str) -> dict:
+        if not self._exists(f"{name}_report.json"):
+            raise NotBuilt(f"{name} report")
+        return read_report(self.spark, f"{self.root}/{name}_report.json")
+
+    def optional_report(self, name: str) -> dict | None:
+        return self.report(name) if self._exists(f"{name}_report.json") else None
+
     def health(self) -> list[str]:
         """Names of what has been built."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -53,8 +62,9 @@ class Tables:
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
-def fires(detections: DataFrame, year: int, month: int | None = None, sensor: str = "all", hills_only: bool = False, limit: int = 20_000) -> DataFrame:
-    """Detections of kind 0 for a map, in order of date and id."""
+def fires(detections: DataFrame, year: int, month: int | None = None, sensor: str = "all", hills_only: bool = False, limit: int = 20_000, years: tuple[int, int] = (CONFIG.first_year, 2030)) -> DataFrame:
+    """Detections of kind 0 for a map, in order of date and id; year must be within years."""
+    _within("year", year, *years)
     _within("month", month, 1, 12)
     _within("limit", limit, 1, 100_000)
     _one_of("sensor", sensor, SENSORS)
@@ -121,5 +131,60 @@ def cell_history(table: DataFrame, lat: float, lon: float, grid: DataFrame | Non
     return table.filter(here)
 
 
+def cell_page(tables: "Tables", lat: float, lon: float, imagery: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All about the cell around a point, from five tables: cell, history by year, history_summary, watchlist (both lists) and forecast_scores.
+
+    Filters on the cell reach the scans. A point outside the grid is an error.
+    """
+    ci, cj = cell_of(lat, lon)
+    here = (F.col("ci") == ci) & (F.col("cj") == cj)
+    cell = tables.table("grid").filter(here)
+    if cell.isEmpty():
+        raise OutsideGrid(f"({lat}, {lon})")
+    lists = tables.table("watchlist").filter(here)
+    if imagery is not None:
+        extra = imagery.filter(here).select("ci", "cj", F.lit("observed").alias("kind"), *(F.col(c).alias(f"image_{c}") for c in imagery.columns if c not in ("ci", "cj")))
+        lists = lists.join(extra, ["ci", "cj", "kind"], "left")
+    scores = tables.table("forecast").filter(here)
+    scores = scores.select(*(F.bround(c, 4).alias(c) for c in scores.columns if c.startswith("score_")))
+    history = tables.table("cell_history").filter(here).join(tables.table("season_table").filter(here), ["ci", "cj", "year"], "left").orderBy("year")
+    return {
+        "cell": grid_rows(cell), "history": history.drop("ci", "cj"), "history_summary": tables.table("cell_summary").filter(here).drop("ci", "cj"),
+        "watchlist": lists.drop("ci", "cj"), "forecast_scores": scores,
+    }
+
+
+REPORTS = ("harmonization", "history", "model", "watchlist", "imagery")
+
+
+def validation(tables: "Tables") -> dict[str, dict | None]:
+    """Every report that runs have written, null for those not yet there."""
+    return {name: tables.optional_report(name) for name in REPORTS}
+
+
+def summary(tables: "Tables") -> dict:
+    """The figures that matter of each report; imagery may be missing, the others may not."""
+    h, p, m, w = (tables.report(name) for name in ("harmonization", "history", "model", "watchlist"))
+    pick = lambda rows, method: next((r for r in rows if r["method"] == method), None)
+    errors = lambda name: {k: (pick(h["chronological_holdout"], k) or {}).get(name) for k in ("climatology", "global_raw", "global_celldays", "region")}
+    rates = [r["rate"] for r in m["base_rate"]]
+    return {
+        "data_end": h["data_end"], "jump": h["jump"], "trend": h["trend"], "factors": h["factors"], "factor_interval": h["factor_interval"],
+        "chronological_holdout": {"ours": pick(h["chronological_holdout"], "region_season"), "naive": pick(h["chronological_holdout"], "naive")},
+        "drift": h["drift"], "outages": h["outages"], "gap_months": h["gap_months"],
+        "baselines": errors("regional_err_pct"), "baselines_national": errors("national_err_pct"),
+        "looks_worse": p["looks_worse"], "holdout": p["holdout"],
+        "forecast": {"chosen": m["chosen"], "comparison": m["summary"], "base_rate": round(sum(rates) / len(rates), 3) if rates else None},
+        "watchlist": w, "imagery": tables.optional_report("imagery"),
+    }
+
+
+def history_share(flags: DataFrame) -> DataFrame:
+    """Share of active cells by year, calibrated and naive, at three places."""
+    from quillspan.operators.history import share_by_year
+
+    return share_by_year(flags).select("year", *(F.bround(c, 3).alias(c) for c in ("harmonized", "naive"))).orderBy("year")
+
+
 def grid_rows(grid: DataFrame) -> DataFrame:
     return grid.select(*(F.bround(c, 3).alias(c) if t == "double" else F.col(c) for c, t in grid.dtypes if c not in ("ci", "cj")))

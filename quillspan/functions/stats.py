@@ -31,23 +31,30 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(correlation("_rx", "_ry").alias("rho"))
 
 
-def kendall_theilsen(series: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Kendall's tau-b, the Theil-Sen slope, n and the concordance sum s, over all pairs of points.
+def _tie_groups(values: Column) -> Column:
+    """Sizes of the groups of equal values, without single ones."""
+    return F.filter(F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda w: w == v))), lambda n: n > 1)
+
+
+def kendall_theilsen(series: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), with_p: bool = False) -> DataFrame:
+    """Kendall's tau-b, the Theil-Sen slope, n and the concordance sum s, over all pairs of points; with_p also the two-sided p.
 
     A series has few points (years), so its pairs are few.
     """
     rows = series.filter(F.col(y).isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("p"))
+    rows = rows.withColumn("ties_x", _tie_groups(F.col("p.x"))).withColumn("ties_y", _tie_groups(F.col("p.y")))
     sized = rows.withColumn("n", F.size("p")).withColumn("a", F.explode("p")).withColumn("b", F.explode("p")).filter("a.x < b.x or (a.x = b.x and a.y < b.y)")
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     pairs = F.col("n") * (F.col("n") - 1) / 2
     tied = lambda d: F.sum(F.when(d == 0, 1).otherwise(0))
     agg = sized.groupBy(*keys, "n").agg(
         F.sum(F.signum(dx) * F.signum(dy)).cast("long").alias("s"), tied(dx).alias("tx"), tied(dy).alias("ty"), F.count("*").alias("listed"),
-        F.percentile(F.when(dx > 0, dy / dx), F.lit(0.5)).alias("slope"))
+        F.first("ties_x").alias("ties_x"), F.first("ties_y").alias("ties_y"), F.percentile(F.when(dx > 0, dy / dx), F.lit(0.5)).alias("slope"))
     # Pairs equal in both are not listed; they are ties in both.
     same = pairs - F.col("listed")
     tau = F.try_divide(F.col("s").cast("double"), F.sqrt((pairs - F.col("tx") - same) * (pairs - F.col("ty") - same)))
-    return agg.select(*keys, "n", "s", tau.alias("tau"), "slope")
+    out = agg.select(*keys, "n", "s", tau.alias("tau"), "slope", "ties_x", "ties_y")
+    return (out.withColumn("p", kendall_p_column()) if with_p else out).drop("ties_x", "ties_y")
 
 
 @lru_cache(maxsize=64)
@@ -63,23 +70,28 @@ def _inversions(n: int) -> tuple[int, ...]:
     return tuple(counts)
 
 
-def kendall_p(n: int, s: int) -> float:
-    """Two-sided p-value of the concordance sum under all orders of n untied points, exactly."""
+def kendall_p(n: int, s: int, ties_x: list[int] = (), ties_y: list[int] = ()) -> float:
+    """Two-sided p-value of the concordance sum: exactly under all orders of n untied points; with ties (sizes of their groups) by the normal approximation."""
     if n < 2:
         return 1.0
+    if len(ties_x) or len(ties_y):
+        over = lambda f: [sum(f(t) for t in ties) for ties in (ties_x, ties_y)]
+        a, b, c = over(lambda t: t * (t - 1) * (2 * t + 5)), over(lambda t: t * (t - 1)), over(lambda t: t * (t - 1) * (t - 2))
+        variance = (n * (n - 1) * (2 * n + 5) - sum(a)) / 18 + b[0] * b[1] / (2 * n * (n - 1)) + (c[0] * c[1] / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0)
+        return math.erfc(abs(s) / math.sqrt(2 * variance)) if variance > 0 else 1.0
     counts, total = _inversions(n), math.factorial(n)
     c = (n * (n - 1) // 2 - abs(s)) // 2  # discordant pairs, at the rarer side
     return min(1.0, 2 * sum(counts[: c + 1]) / total) if s else 1.0
 
 
-def kendall_p_column(n: str = "n", s: str = "s") -> Column:
+def kendall_p_column(n: str = "n", s: str = "s", ties_x: str = "ties_x", ties_y: str = "ties_y") -> Column:
     """kendall_p as a column; in batches, for tables of many series."""
 
     @F.pandas_udf("double")
-    def p(n_values: pd.Series, s_values: pd.Series) -> pd.Series:
-        return pd.Series([kendall_p(int(a), int(b)) for a, b in zip(n_values, s_values, strict=True)])
+    def p(n: pd.Series, s: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([kendall_p(int(a), int(b), list(c), list(d)) for a, b, c, d in zip(n, s, x, y, strict=True)])
 
-    return p(F.col(n), F.col(s))
+    return p(F.col(n), F.col(s), F.col(ties_x), F.col(ties_y))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
@@ -115,3 +127,15 @@ def _u_counts(n1: int, n2: int) -> tuple[int, ...]:
             for u in range(n1 * n2, gain - 1, -1):
                 ways[k][u] += ways[k - 1][u - gain]
     return tuple(ways[n1])
+
+
+def mann_whitney_test(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
+    """mann_whitney() with p, one-sided for a larger first group; null where U is. One row, whose p is worked out beside it."""
+    kept = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    tied = kept.groupBy(value).agg(F.count("*").alias("t")).filter("t > 1").agg(F.collect_list("t").alias("ties"))
+
+    @F.pandas_udf("double")
+    def p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(c) else mann_whitney_p(int(a), int(b), float(c), list(d)) for a, b, c, d in zip(n1, n2, u, ties, strict=True)])
+
+    return mann_whitney(df, group, value, first, second).crossJoin(tied).withColumn("p", p("n1", "n2", "u", "ties")).drop("ties")

@@ -83,3 +83,8 @@ def overpass_drift(df: DataFrame, base_years: tuple[int, int], satellite: str =
     base = hours.filter(F.col("year").between(*base_years)).agg(F.median("hour").alias("baseline"))
     # The baseline is one row.
     return hours.crossJoin(F.broadcast(base)).withColumn("drifted", F.coalesce(F.abs(F.col("hour") - F.col("baseline")) > tolerance, F.lit(False)))
+
+
+def heat_class(value: Column, limits: tuple[int, ...] = (1, 10, 50, 200)) -> Column:
+    """How many of the limits a count reaches; null reaches none."""
+    return sum((F.when(value >= b, 1).otherwise(0) for b in limits), F.lit(0))

@@ -17,6 +17,12 @@ def centre(number: Column | str, step: float) -> Column:
     return (n + F.lit(0.5)) * F.lit(step)
 
 
+def bounds(i: Column | str, j: Column | str, step: float) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north of a cell (i counts latitudes, j longitudes)."""
+    i, j = (F.col(c) if isinstance(c, str) else c for c in (i, j))
+    return j * F.lit(step), i * F.lit(step), (j + 1) * F.lit(step), (i + 1) * F.lit(step)
+
+
 def with_cells(df: DataFrame, step: float, names: tuple[str, str] = ("ci", "cj"), lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.withColumn(names[0], cell(lat, step)).withColumn(names[1], cell(lon, step))
 

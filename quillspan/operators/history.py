@@ -112,7 +112,10 @@ def cell_summary(flags: DataFrame, cfg: Config = CONFIG, new_since: int = 2000,
         F.bround(F.round(F.avg("activity_eq"), 6), 2).alias("mean_activity_eq"),
         F.min(F.when(likely, y)).alias("first_likely"),
         F.max(F.when(likely, y)).alias("last_likely"),
-    ).join(streak(flags, likely), CELL)
+        # The streak in the same pass: the panel is dense, so it is the seasons after the last one that wasn't likely.
+        F.max(F.when(~F.coalesce(likely, F.lit(False)), y)).alias("_broke"), F.max("year").alias("_last"), F.min("year").alias("_first"),
+    )
+    s = s.withColumn("streak", (F.col("_last") - F.coalesce("_broke", F.col("_first") - 1)).cast("int")).drop("_broke", "_last", "_first")
     share = F.col("active_seasons") / n
     early_share = F.col("active_early") / early
     pattern = F.when((F.col("active_before") < new_before_max) & (F.col("active_since") >= new_since_min), "new").when(share >= shares[0], "chronic").when(share >= shares[1], "recurring").when(share >= shares[2], "occasional").otherwise("rare")
@@ -127,10 +130,10 @@ def share_by_year(flags: DataFrame) -> DataFrame:
     return flags.groupBy("year").agg(F.avg("active").alias("harmonized"), F.avg("active_naive").alias("naive"))
 
 
-def history_as_of(panel: DataFrame, months: DataFrame, origins: list[int], cfg: Config = CONFIG) -> DataFrame:
-    """cell_flags() as known before each origin: curve and factor use overlap seasons before it alone, all origins in one job."""
+def history_as_of(panel: DataFrame, months: DataFrame, origins: list[int], cfg: Config = CONFIG, clean_years: list[int] | None = None) -> DataFrame:
+    """cell_flags() as known before each origin: curve and factor use overlap seasons (clean ones, if given) before it alone, all origins in one job."""
     table = F.broadcast(panel.sparkSession.createDataFrame([(t,) for t in origins], "origin int"))
-    before = lambda df: df.filter(F.col("year") >= cfg.overlap_from).join(table, F.col("year") < F.col("origin"))
+    before = lambda df: df.filter((F.col("year") >= cfg.overlap_from) & (F.col("year").isin(clean_years) if clean_years else F.lit(True))).join(table, F.col("year") < F.col("origin"))
     curve = curve_fit(before(panel), cfg.bins, ("origin",))
     rows = before(months.filter("region = 'hills' and season = 'burn'"))
     factor = rows.groupBy("origin").agg((F.sum("count_a") / F.greatest(F.sum("celldays_b"), F.lit(1))).alias("factor"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspan.operators.ranking import blind_codes, same_rows, seeded_sample
+
 
 def search_scenes(scenes: DataFrame, max_cloud: float = 70.0, limit: int = 40) -> DataFrame:
     """The clearest scenes of each cell and time window, with their order."""
@@ -69,3 +71,36 @@ def group_summary(cells: DataFrame) -> DataFrame:
     clear = F.col("verdict") != "no clear imagery"
     med = lambda c: F.median(F.when(clear, F.col(c)))
     return cells.groupBy("group").agg(F.count("*").alias("cells"), F.count_if(clear).alias("with_imagery"), F.count_if(F.col("verdict") == "scar visible").alias("visible"), med("scar_share").alias("scar_share_median"), med("clear_share").alias("clear_share_median"))
+
+
+def sample_cells(cells: DataFrame, recent: DataFrame, n: int, seed: int, min_slope: float = 15.0) -> DataFrame:
+    """ci, cj, group: the n best-ranked cells with fires (priority), n other cells with fires (fire) and n steep cells without recent ones (control).
+
+    cells: the observed list, with rank, fire_days and slope_p90. recent: ci, cj
+    of cells with fires of late. Fewer than n cells of a kind give fewer rows.
+    """
+    keys = ["ci", "cj"]
+    burned = cells.filter("fire_days > 0")
+    first = burned.orderBy("rank", *keys).limit(n).select(*keys)
+    others = seeded_sample(burned.join(first, keys, "left_anti"), n, seed, keys).select(*keys)
+    calm = cells.filter(F.col("slope_p90") >= min_slope).join(recent.select(*keys).distinct(), keys, "left_anti")
+    control = seeded_sample(calm, n, seed, keys).select(*keys)
+    groups = [(first, "priority"), (others, "fire"), (control, "control")]
+    out = None
+    for rows, name in groups:
+        part = rows.withColumn("group", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def blind_kit(checked: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A sheet of codes to fill in (code, visible, notes), and the key that says which cell and group a code stands for."""
+    coded = blind_codes(checked.select("ci", "cj", "group"), seed, ["ci", "cj"])
+    blank = F.lit("")
+    return coded.select("code", blank.alias("visible"), blank.alias("notes")).orderBy("code"), coded
+
+
+def still_current(checked: DataFrame, sample: DataFrame) -> DataFrame:
+    """One row: whether the cells checked as priority are those that would be chosen now."""
+    best = lambda df: df.filter("group = 'priority'").select("ci", "cj")
+    return same_rows(best(checked), best(sample)).select(F.col("equal").alias("sample_matches_list"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators.grid import dilate, members, with_cells
+from quillspan.operators.spatial import flat_km, nearest_place
 
 FINE, CELL = ["fi", "fj"], ["ci", "cj"]
 
@@ -45,6 +46,40 @@ def counts(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count("*").alias("fires"), F.count_if("hills").alias("hills"), F.count_if("check").alias("check"))
 
 
+def static_count(df: DataFrame, static: DataFrame) -> DataFrame:
+    """One row: how many detections lie on static sources."""
+    return members(with_cells(df, 0.01, ("fi", "fj")), static, ("fi", "fj")).agg(F.count("*").alias("static"))
+
+
+def normal_hills_week(df: DataFrame, grid: DataFrame, static: DataFrame, end: str, years: list[int], days: int = 7) -> DataFrame:
+    """normal_week() of detections in the grid's cells and off static sources."""
+    inside = members(with_cells(df, 0.02), grid, ("ci", "cj"))
+    return normal_week(members(with_cells(inside, 0.01, ("fi", "fj")), static, ("fi", "fj"), inside=False), end, years, days)
+
+
+def build(df: DataFrame, static: DataFrame, grid: DataFrame, listed: DataFrame, places: DataFrame, past: DataFrame, years: list[int], days: int = 7) -> dict[str, DataFrame]:
+    """The whole watch over the last `days` days of df: counts (one row, with from, to, static and normal), fires and alerts.
+
+    df: detections of the region with conf, kind and so on. grid: ci, cj, lat,
+    lon, slope_mean, population and what else a cell should show. places: as
+    nearest_place() takes them, by their flat distance, named ones alone. past:
+    detections that normal weeks of `years` are counted from.
+    """
+    recent = window(df, days)
+    last = df.agg(F.max("date").cast("string")).first()[0]
+    terrain = [c for c in grid.columns if c not in ("lat", "lon")]
+    enriched = enrich(recent, static, grid.select(*terrain), listed)
+    one = counts(enriched).crossJoin(static_count(recent, static))
+    one = one.crossJoin(normal_hills_week(past, grid, static, last, years, days)) if last else one.withColumn("normal", F.lit(None).cast("double"))
+    one = one.withColumn("to", F.to_date(F.lit(last))).withColumn("from", F.date_sub("to", days - 1))
+    found = alerts(enriched)
+    at = grid.select(*CELL, F.bround("lat", 3).alias("lat"), F.bround("lon", 3).alias("lon"))
+    near = nearest_place(grid.select(*CELL, "lat", "lon").join(found.select(*CELL), CELL, "left_semi"), places, CELL, flat_km, named_only=True)
+    rows = found.join(at, CELL, "left").join(near.withColumn("km", F.bround("km", 1)), CELL, "left")
+    order = [F.col("seasons").isNull(), ~F.col("check"), F.col("slope_mean").desc(), *CELL]
+    return {"counts": one, "fires": compact(enriched), "alerts": rows.orderBy(*order)}
+
+
 def alerts(enriched: DataFrame) -> DataFrame:
     """Per hill cell: fires, first and last time, and the cell's columns; listed cells first, then those to check, then the steepest."""
     when = F.struct("date", "hhmm", "id")

@@ -50,8 +50,8 @@ def tag_polygons(points: DataFrame, edges: DataFrame, keys: list[str], step: flo
     """keys and poly_id of the polygon around each point; the largest poly_id of several, null outside all.
 
     Points and bounding boxes meet in grid cells of `step`; a ray to the right
-    then crosses the edges an odd number of times inside. A point on a left or
-    lower edge is inside, on a right or upper one outside.
+    then crosses the edges an odd number of times inside. A point on an edge
+    (to 1e-12 square units) is inside.
     """
     bounds = edges.groupBy("poly_id").agg(*(f(F.least(a, b) if f is F.min else F.greatest(a, b)).alias(n) for f, a, b, n in ((F.min, "x1", "x2", "xa"), (F.max, "x1", "x2", "xb"), (F.min, "y1", "y2", "ya"), (F.max, "y1", "y2", "yb"))))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
@@ -60,7 +60,10 @@ def tag_polygons(points: DataFrame, edges: DataFrame, keys: list[str], step: flo
     inside = (F.col("lon") >= F.col("xa")) & (F.col("lon") <= F.col("xb")) & (F.col("lat") >= F.col("ya")) & (F.col("lat") <= F.col("yb"))
     candidates = near.join(boxes, ["gx", "gy"]).filter(inside).select(*keys, "lat", "lon", "poly_id")
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    hit = candidates.join(edges, "poly_id").groupBy(*keys, "poly_id").agg(F.count_if(crosses).alias("n")).filter("n % 2 = 1").groupBy(*keys).agg(F.max("poly_id").alias("poly_id"))
+    x, y, dx, dy = F.col("lon"), F.col("lat"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    beside = x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    on_edge = beside & (F.abs(dx * (y - F.col("y1")) - dy * (x - F.col("x1"))) <= 1e-12)
+    hit = candidates.join(edges, "poly_id").groupBy(*keys, "poly_id").agg(F.count_if(crosses).alias("n"), F.bool_or(on_edge).alias("edge")).filter("n % 2 = 1 or edge").groupBy(*keys).agg(F.max("poly_id").alias("poly_id"))
     return points.select(*keys).join(hit, keys, "left")
 
 
@@ -154,3 +157,17 @@ def cell_population(raster: DataFrame, grid: DataFrame) -> DataFrame:
 def snap(lo: Column, hi: Column, step: float = 40.0) -> tuple[Column, Column]:
     """A projected interval widened to multiples of step."""
     return F.floor(lo / step) * step, F.ceil(hi / step) * step
+
+
+def read_window(raster: DataFrame, row0: int, col0: int, height: int, width: int) -> DataFrame:
+    """Pixels (row, col, value) of a window, counted from its corner; those off the raster or without a value are 0."""
+    spark = raster.sparkSession
+    spine = spark.range(height * width).select(F.floor(F.col("id") / width).cast("long").alias("row"), (F.col("id") % width).alias("col"))
+    inside = raster.filter(F.col("row").between(row0, row0 + height - 1) & F.col("col").between(col0, col0 + width - 1))
+    inside = inside.select((F.col("row") - row0).cast("long").alias("row"), (F.col("col") - col0).cast("long").alias("col"), "value")
+    return spine.join(inside, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast(raster.schema["value"].dataType)))
+
+
+def tile_pixel(points: DataFrame, zoom: int, x0: int, y0: int) -> DataFrame:
+    """points (lat, lon) with row and col of the pixel of a mosaic that begins at tile (x0, y0)."""
+    return points.withColumn("row", F.floor((tile_y(F.col("lat"), zoom) - y0) * TILE).cast("long")).withColumn("col", F.floor((tile_x(F.col("lon"), zoom) - x0) * TILE).cast("long"))

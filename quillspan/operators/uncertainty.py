@@ -45,9 +45,13 @@ def band(series: DataFrame, keys: list[str], value: str = "value", lo: float = 0
 
 
 def annual_rollup(months: DataFrame, series: DataFrame) -> DataFrame:
-    """Yearly totals by region and for all, with intervals of the totals: sums within replicates first, percentiles after."""
+    """Yearly totals by region and for all, with intervals of the totals: sums within replicates first, percentiles after.
+
+    Flags drifted and gap, where months have them, hold for a year if for any of its months.
+    """
+    flags = [F.bool_or(c).alias(c) for c in ("drifted", "gap") if c in months.columns]
     flat = months.groupingSets([["year", "region"], ["year"]], "year", "region").agg(
-        F.count_distinct("month").cast("int").alias("months"), F.sum("count_a").alias("count_a"), F.sum("naive").alias("naive"), F.sum(F.bround("harmonized", 1)).alias("harmonized"))
+        *flags, F.count_distinct("month").cast("int").alias("months"), F.sum("count_a").alias("count_a"), F.sum("naive").alias("naive"), F.sum(F.bround("harmonized", 1)).alias("harmonized"))
     flat = flat.withColumn("region", F.coalesce("region", F.lit("all")))
     sums = series.groupingSets([["rep", "year", "region"], ["rep", "year"]], "rep", "year", "region").agg(F.sum("value").alias("value"))
     sums = sums.withColumn("region", F.coalesce("region", F.lit("all")))
@@ -60,3 +64,9 @@ def jump(values: DataFrame, before: tuple[int, int], after: tuple[int, int], col
     mean = lambda c, span: F.avg(F.when(F.col("year").between(*span), F.col(c)))
     return yearly.groupBy(*keys).agg(*(F.try_divide(mean(c, after), mean(c, before)).alias(f"jump_{c}") for c in columns))
 
+
+def jump_interval(series: DataFrame, before: tuple[int, int], after: tuple[int, int], value: str = "value", lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """One row: the interval of jump() over replicates (rep)."""
+    jumps = jump(series, before, after, [value], ("rep",))
+    q = F.percentile(f"jump_{value}", F.array(F.lit(lo), F.lit(hi)))
+    return jumps.agg(q.alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))

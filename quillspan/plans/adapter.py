@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators.counts import season_of, vegetation
 from quillspan.plans.base import part
+from quillspan.staging import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def season_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vegetation detections of the hills in the burn season."""
-    return vegetation(observations(spark, sf_dir)).filter("region = 'hills' and season = 'burn'")
+    """Vegetation detections of the hills in the burn season: the columns that cells are made of, written once."""
+    def make() -> DataFrame:
+        kept = vegetation(observations(spark, sf_dir)).filter("region = 'hills' and season = 'burn'")
+        return kept.select("id", "date", "year", "month", "sensor", "satellite", "region", "season", "kind", "lat", "lon", "slope", "steep", "people_r1", "people_r2")
+
+    return staged(spark, sf_dir, "season_observations", make)
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -47,7 +52,7 @@ def grid(spark: SparkSession) -> DataFrame:
     base = spark.range(400).select(F.floor(1050 + F.col("id") / 20).cast("long").alias("ci"), (4600 + F.col("id") % 20).alias("cj"))
     return base.select(
         "ci", "cj", ((F.col("ci") * 7 + F.col("cj") * 3) % 40).cast("double").alias("slope_mean"), ((F.col("ci") * 13 + F.col("cj") * 5) % 400).cast("double").alias("population"),
-        ((F.col("ci") * 11 + F.col("cj")) % 900).cast("double").alias("people_cell"), F.concat(F.lit("d"), (F.col("ci") % 5).cast("string")).alias("district"))
+        ((F.col("ci") * 11 + F.col("cj")) % 900).cast("double").alias("people_cell"), ((F.col("ci") * 17 + F.col("cj") * 29) % 700).cast("double").alias("elev_mean"), ((F.col("ci") * 5 + F.col("cj") * 11) % 100 / 100).alias("steep_frac"), F.concat(F.lit("d"), (F.col("ci") % 5).cast("string")).alias("district"))
 
 
 part("obs", (), """
@@ -71,5 +76,5 @@ SELECT *, CAST(floor(lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(lon / 0.02e0) AS
 part("hot", ("placed",), "SELECT * FROM placed WHERE region = 'hills' AND season = 'burn'")
 part("grid", (), """
 SELECT ci, cj, CAST((ci * 7 + cj * 3) % 40 AS DOUBLE) AS slope_mean, CAST((ci * 13 + cj * 5) % 400 AS DOUBLE) AS population,
-  CAST((ci * 11 + cj) % 900 AS DOUBLE) AS people_cell, 'd' || (ci % 5) AS district
+  CAST((ci * 11 + cj) % 900 AS DOUBLE) AS people_cell, CAST((ci * 17 + cj * 29) % 700 AS DOUBLE) AS elev_mean, (ci * 5 + cj * 11) % 100 / 100 AS steep_frac, 'd' || (ci % 5) AS district
 FROM (SELECT 1050 + i // 20 AS ci, 4600 + i % 20 AS cj FROM range(400) t(i))""")

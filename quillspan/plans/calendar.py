@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.config import CONFIG
 from quillspan.functions import stats
 from quillspan.operators import calibration as cal
 from quillspan.operators import counts, uncertainty
 from quillspan.operators.live import decode_confidence
 from quillspan.plans.adapter import observations
 from quillspan.plans.base import Book, part, q, r, rounded
+from quillspan.staging import staged
 
 BOOK = Book()
 OUTAGES = [("1998-03-10", "1998-03-24"), ("1999-07-01", "1999-07-03"), ("1999-07-03", "1999-07-05")]
 FULL = (1998, 1999, 2000)
-REPS = 200  # of the SQL; the queries draw CONFIG.replicates
 
 part("cd", ("placed",), "SELECT date, fi, fj, arg_min(region, id) AS region, min(year) AS year, min(month) AS month FROM placed WHERE sensor = 'B' GROUP BY date, fi, fj")
 part("spine", (), "SELECT CAST(m // 12 AS INT) AS year, CAST(m % 12 + 1 AS INT) AS month, region FROM range(1995 * 12, 2001 * 12 + 11) t(m) CROSS JOIN (VALUES ('hills'), ('plains')) v(region)")
@@ -27,7 +28,7 @@ LEFT JOIN (SELECT year, month, region, count(*) AS n FROM cd GROUP BY ALL) c USI
 part("factors", ("months",), "SELECT region, season, sum(count_a) / greatest(sum(celldays_b), 1) AS factor FROM months WHERE year IN (1998, 1999, 2000) GROUP BY region, season")
 part("harm", ("months", "factors"), "SELECT m.*, CASE WHEN year < 1998 THEN count_a ELSE celldays_b * factor END AS harmonized, CASE WHEN year < 1998 THEN count_a ELSE raw_b END AS naive FROM months m JOIN factors USING (region, season)")
 part("draws", (), f"""
-SELECT rep, [1998, 1999, 2000][(rep * 7 + slot * rep * 3) % 3 + 1] AS year, count(*) AS times FROM range({REPS}) a(rep) CROSS JOIN range(3) b(slot) GROUP BY ALL""")
+SELECT CAST(rep AS INT) AS rep, [1998, 1999, 2000][('0x' || substr(md5('boot-1|' || rep || '|' || slot), 1, 13))::BIGINT % 3 + 1] AS year, count(*) AS times FROM range({CONFIG.replicates}) a(rep) CROSS JOIN range(3) b(slot) GROUP BY ALL""")
 part("boot", ("months", "draws"), """
 SELECT rep, region, season, sum(times * a) / greatest(sum(times * b), 1) AS factor
 FROM draws JOIN (SELECT year, region, season, sum(count_a) AS a, sum(celldays_b) AS b FROM months GROUP BY ALL) USING (year) GROUP BY rep, region, season""")
@@ -35,7 +36,7 @@ part("series", ("months", "boot"), "SELECT m.*, rep, CASE WHEN year < 1998 THEN
 
 
 def months(spark, sf_dir):
-    return counts.monthly_counts(counts.vegetation(observations(spark, sf_dir)))
+    return staged(spark, sf_dir, "months", lambda: counts.monthly_counts(counts.vegetation(observations(spark, sf_dir))))
 
 
 def full(spark, sf_dir):
@@ -195,6 +196,12 @@ def jump_ratio(spark, sf_dir):
     return rounded(uncertainty.jump(harmonized(spark, sf_dir), (1995, 1997), (1998, 2000), ["naive", "harmonized", "count_a"]))
 
 
+@BOOK.add("jump_interval", q(("series",), f"""
+SELECT {r('quantile_cont(j, 0.025) AS lo', 'quantile_cont(j, 0.975) AS hi')} FROM (SELECT rep, avg(v) FILTER (year BETWEEN 1998 AND 2000) / avg(v) FILTER (year BETWEEN 1995 AND 1997) AS j FROM (SELECT rep, year, sum(value) AS v FROM series GROUP BY ALL) GROUP BY rep)"""))
+def jump_interval(spark, sf_dir):
+    return rounded(uncertainty.jump_interval(replicate_series(spark, sf_dir), (1995, 1997), (1998, 2000)))
+
+
 @BOOK.add("bootstrap_factors", q(("boot",), f"SELECT rep, region, season, {r('factor')} FROM boot"))
 def bootstrap_factors(spark, sf_dir):
     m = months(spark, sf_dir)
@@ -214,11 +221,12 @@ def calendar_band(spark, sf_dir):
 
 @BOOK.add("annual_rollup", q(("harm", "series"), f"""
 SELECT a.*, {r('lo', 'hi')} FROM
- (SELECT year, coalesce(region, 'all') AS region, CAST(count(DISTINCT month) AS INT) AS months, CAST(sum(count_a) AS BIGINT) AS count_a, CAST(sum(naive) AS BIGINT) AS naive, {r('sum(round_even(harmonized, 1)) AS harmonized')} FROM harm GROUP BY GROUPING SETS ((year, region), (year))) a
+ (SELECT year, coalesce(region, 'all') AS region, CAST(count(DISTINCT month) AS INT) AS months, CAST(sum(count_a) AS BIGINT) AS count_a, CAST(sum(naive) AS BIGINT) AS naive, bool_or(year = 2001) AS drifted, bool_or(year = 1999 AND month = 7) AS gap, {r('sum(round_even(harmonized, 1)) AS harmonized')} FROM harm GROUP BY GROUPING SETS ((year, region), (year))) a
  JOIN (SELECT year, region, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM
    (SELECT rep, year, coalesce(region, 'all') AS region, sum(value) AS v FROM series GROUP BY GROUPING SETS ((rep, year, region), (rep, year))) GROUP BY year, region) b USING (year, region)"""))
 def annual_rollup(spark, sf_dir):
-    return rounded(uncertainty.annual_rollup(harmonized(spark, sf_dir), replicate_series(spark, sf_dir)))
+    flagged = harmonized(spark, sf_dir).withColumn("drifted", F.col("year") == 2001).withColumn("gap", (F.col("year") == 1999) & (F.col("month") == 7))
+    return rounded(uncertainty.annual_rollup(flagged, replicate_series(spark, sf_dir)))
 
 
 @BOOK.add("kendall_theilsen", q(("harm",), f"""
@@ -231,20 +239,27 @@ def kendall_theilsen(spark, sf_dir):
     return rounded(stats.kendall_theilsen(yearly, "year", "v", ("region",)))
 
 
-@BOOK.add("trend_replicates")
+#: Every order of six years, and how many pairs of it fall: the null distribution of the concordance sum.
+part("orders", (), "SELECT (a > b)::INT + (a > c)::INT + (a > d)::INT + (a > e)::INT + (a > f)::INT + (b > c)::INT + (b > d)::INT + (b > e)::INT + (b > f)::INT + (c > d)::INT + (c > e)::INT + (c > f)::INT + (d > e)::INT + (d > f)::INT + (e > f)::INT AS falls FROM range(6) t1(a), range(6) t2(b), range(6) t3(c), range(6) t4(d), range(6) t5(e), range(6) t6(f) WHERE len(list_distinct([a, b, c, d, e, f])) = 6")
+
+
+@BOOK.add("trend_replicates", q(("series", "orders"), """
+SELECT count(*) AS n, avg(CASE WHEN s < 0 AND 2 * (SELECT count(*) FROM orders WHERE falls <= (15 - abs(s)) // 2) / 720 < 0.05 THEN 1.0e0 ELSE 0.0e0 END) AS share FROM (
+  SELECT a.rep, CAST(sum(sign(b.v - a.v)) AS BIGINT) AS s FROM (SELECT rep, year, sum(value) AS v FROM series WHERE year <= 2000 GROUP BY ALL) a JOIN (SELECT rep, year, sum(value) AS v FROM series WHERE year <= 2000 GROUP BY ALL) b ON a.rep = b.rep AND a.year < b.year GROUP BY a.rep)"""))
 def trend_replicates(spark, sf_dir):
     """Share of replicates with a falling trend that an exact test finds at 0.05."""
     yearly = replicate_series(spark, sf_dir).filter("year <= 2000").groupBy("rep", "year").agg(F.sum("value").alias("v"))
-    tau = stats.kendall_theilsen(yearly, "year", "v", ("rep",)).withColumn("p", stats.kendall_p_column())
+    tau = stats.kendall_theilsen(yearly, "year", "v", ("rep",), with_p=True)
     return tau.agg(F.count("*").alias("n"), F.avg(((F.col("tau") < 0) & (F.col("p") < 0.05)).cast("double")).alias("share"))
 
 
-@BOOK.add("calendar_region", q(("months",), "SELECT year, month, CAST(sum(count_a) AS BIGINT) AS count_a, CAST(sum(raw_b) AS BIGINT) AS raw_b, CAST(sum(celldays_b) AS BIGINT) AS celldays_b, bool_or(count_a = 0) AS empty FROM months GROUP BY ALL"))
+@BOOK.add("calendar_region", q(("months",), "SELECT year, month, CAST(sum(count_a) AS BIGINT) AS count_a, CAST(sum(raw_b) AS BIGINT) AS raw_b, CAST(sum(celldays_b) AS BIGINT) AS celldays_b FROM months GROUP BY ALL"))
 def calendar_region(spark, sf_dir):
-    return months(spark, sf_dir).groupBy("year", "month").agg(*(F.sum(c).alias(c) for c in ("count_a", "raw_b", "celldays_b")), F.bool_or(F.col("count_a") == 0).alias("empty"))
+    from quillspan.api import calendar
+
+    return calendar(months(spark, sf_dir)).select("year", "month", "count_a", "raw_b", "celldays_b")
 
 
 @BOOK.add("heat_bins", q(("months",), "SELECT year, month, region, (count_a >= 1)::INT + (count_a >= 10)::INT + (count_a >= 50)::INT + (count_a >= 200)::INT AS heat FROM months"))
 def heat_bins(spark, sf_dir):
-    heat = sum((F.when(F.col("count_a") >= b, 1).otherwise(0) for b in (1, 10, 50, 200)), F.lit(0))
-    return months(spark, sf_dir).select("year", "month", "region", heat.alias("heat"))
+    return months(spark, sf_dir).select("year", "month", "region", counts.heat_class(F.col("count_a")).alias("heat"))

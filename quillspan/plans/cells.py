@@ -13,6 +13,7 @@ from quillspan.operators.grid import with_cells
 from quillspan.plans.adapter import grid, observations, season_observations
 from quillspan.plans.base import Book, part, q, r, rounded
 from quillspan.plans.calendar import months
+from quillspan.staging import staged
 
 BOOK = Book()
 YEARS = [1999, 2000, 2001]
@@ -48,18 +49,29 @@ FROM (SELECT ci, cj, {half_even('sum(active)', 1)} AS active_seasons, CAST(sum(a
   sum(CASE WHEN year >= 1998 THEN active_naive ELSE 0 END) AS naive_late, {half_even('avg(activity_eq)', 2)} AS mean_activity_eq,
   min(year) FILTER (active >= 0.5) AS first_likely, max(year) FILTER (active >= 0.5) AS last_likely,
   CAST(2001 - coalesce(max(year) FILTER (active < 0.5), 1994) AS INT) AS streak FROM flags GROUP BY ci, cj)""")
+part("origins", (), "SELECT * FROM (VALUES (1999), (2000), (2001)) o(origin)")
+part("ocurve", ("binned", "origins"), """
+SELECT origin, CAST(b AS INT) AS bin, max(p) OVER (PARTITION BY origin ORDER BY b ROWS UNBOUNDED PRECEDING) AS p FROM origins CROSS JOIN range(10) t(b)
+LEFT JOIN (SELECT o.origin AS oo, bin, avg(CASE WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END) AS p FROM binned JOIN origins o ON year >= 1998 AND year < o.origin GROUP BY o.origin, bin) x ON b = bin AND origin = oo""")
+part("ofactor", ("months", "origins"), "SELECT origin, sum(count_a) / greatest(sum(celldays_b), 1) AS f FROM months JOIN origins ON year >= 1998 AND year < origin WHERE region = 'hills' AND season = 'burn' GROUP BY origin")
+part("then_known", ("binned", "ocurve", "ofactor"), """
+SELECT c.origin, b.ci, b.cj, b.year, round_even(CASE WHEN year >= 1998 THEN c.p WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END, 3) AS active,
+  CASE WHEN year >= 1998 THEN CAST(raw_b >= 1 AS INT)::DOUBLE WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END AS active_naive,
+  round_even(CASE WHEN year < 1998 THEN CAST(count_a AS DOUBLE) ELSE celldays_b * f END, 2) AS activity_eq
+FROM binned b JOIN ocurve c ON b.bin = c.bin JOIN ofactor o ON o.origin = c.origin""")
+part("known", ("then_known",), "SELECT origin, ci, cj, avg(active) AS long_share, avg(activity_eq) AS long_activity, avg(active) FILTER (year >= origin - 3) AS long_recent3 FROM then_known WHERE year < origin GROUP BY ALL")
 part("days", ("hot",), "SELECT ci, cj, year, CAST(count(DISTINCT date) AS INT) AS days FROM hot WHERE sensor = 'B' GROUP BY ALL")
-part("dense", ("days", "grid", "flags"), """
-SELECT g.ci, g.cj, CAST(y.year AS INT) AS year, g.population, CASE WHEN y.year >= 1998 THEN coalesce(d.days, 0) END AS days, f.active, f.activity_eq
-FROM grid g CROSS JOIN range(1995, 2002) y(year) LEFT JOIN days d ON d.ci = g.ci AND d.cj = g.cj AND d.year = y.year LEFT JOIN flags f ON f.ci = g.ci AND f.cj = g.cj AND f.year = y.year""")
-part("feat0", ("dense",), """
-SELECT t.ci, t.cj, t.year, ln(1 + any_value(t.population)) AS log_pop, any_value(t.days) AS days,
+part("dense", ("days", "grid"), """
+SELECT g.*, CAST(y.year AS INT) AS year, CASE WHEN y.year >= 1998 THEN coalesce(d.days, 0) END AS days
+FROM grid g CROSS JOIN range(1995, 2002) y(year) LEFT JOIN days d ON d.ci = g.ci AND d.cj = g.cj AND d.year = y.year""")
+part("feat0", ("dense", "known"), """
+SELECT t.ci, t.cj, t.year, any_value(t.elev_mean) AS elev_mean, any_value(t.slope_mean) AS slope_mean, any_value(t.steep_frac) AS steep_frac, ln(1 + any_value(t.population)) AS log_pop, any_value(t.days) AS days,
   coalesce(max(p.days) FILTER (p.year = t.year - 1), 0) AS lag1_days,
   CAST(coalesce(max(p.days) FILTER (p.year = t.year - 1), 0) > 0 AS INT) AS lag1, CAST(coalesce(max(p.days) FILTER (p.year = t.year - 2), 0) > 0 AS INT) AS lag2, CAST(coalesce(max(p.days) FILTER (p.year = t.year - 3), 0) > 0 AS INT) AS lag3,
   coalesce(avg((p.days > 0)::INT), 0) AS freq, coalesce(avg((p.days >= 3)::INT), 0) AS freq_heavy, coalesce(avg(p.days), 0) AS mean_days,
-  coalesce(t.year - max(p.year) FILTER (p.days > 0), 15) AS years_since_burn, coalesce(avg(p.active), 0) AS long_share, coalesce(avg(p.activity_eq), 0) AS long_activity,
-  coalesce(avg(p.active) FILTER (p.year >= t.year - 3), 0) AS long_recent3
-FROM dense t JOIN dense p ON t.ci = p.ci AND t.cj = p.cj AND p.year < t.year WHERE t.year IN (1999, 2000, 2001) GROUP BY t.ci, t.cj, t.year""")
+  coalesce(t.year - max(p.year) FILTER (p.days > 0), 15) AS years_since_burn, coalesce(any_value(k.long_share), 0) AS long_share, coalesce(any_value(k.long_activity), 0) AS long_activity,
+  coalesce(any_value(k.long_recent3), 0) AS long_recent3
+FROM dense t JOIN dense p ON t.ci = p.ci AND t.cj = p.cj AND p.year < t.year LEFT JOIN known k ON k.ci = t.ci AND k.cj = t.cj AND k.origin = t.year WHERE t.year IN (1999, 2000, 2001) GROUP BY t.ci, t.cj, t.year""")
 part("feat", ("feat0",), """
 SELECT a.*, coalesce((SELECT sum(b.lag1) FROM feat0 b WHERE b.year = a.year AND abs(b.ci - a.ci) <= 1 AND abs(b.cj - a.cj) <= 1 AND (b.ci <> a.ci OR b.cj <> a.cj)), 0) / 8 AS nbr_lag1,
   coalesce((SELECT sum(b.freq) FROM feat0 b WHERE b.year = a.year AND abs(b.ci - a.ci) <= 1 AND abs(b.cj - a.cj) <= 1 AND (b.ci <> a.ci OR b.cj <> a.cj)), 0) / 8 AS nbr_freq FROM feat0 a""")
@@ -67,7 +79,7 @@ part("data", ("feat",), "SELECT *, CAST(coalesce(days, 0) >= 3 AS INT) AS burned
 
 
 def panel(spark, sf_dir):
-    return hist.season_table(season_observations(spark, sf_dir), grid(spark))
+    return staged(spark, sf_dir, "panel", lambda: hist.season_table(season_observations(spark, sf_dir), grid(spark)))
 
 
 def clean_curve(p):
@@ -80,18 +92,26 @@ def scored(spark, sf_dir):
 
 
 def flags(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    rows = months(spark, sf_dir).filter("year between 1998 and 2000 and region = 'hills' and season = 'burn'")
-    factor = rows.agg((F.sum("count_a") / F.greatest(F.sum("celldays_b"), F.lit(1))).alias("factor"))
-    return hist.cell_flags(p, clean_curve(p), factor)
+    def make():
+        p = panel(spark, sf_dir)
+        rows = months(spark, sf_dir).filter("year between 1998 and 2000 and region = 'hills' and season = 'burn'")
+        factor = rows.agg((F.sum("count_a") / F.greatest(F.sum("celldays_b"), F.lit(1))).alias("factor"))
+        return hist.cell_flags(p, clean_curve(p), factor)
+
+    return staged(spark, sf_dir, "flags", make)
+
+
+def known_then(spark, sf_dir):
+    """The history as it was known before each target season."""
+    return staged(spark, sf_dir, "known_then", lambda: hist.history_as_of(panel(spark, sf_dir), months(spark, sf_dir), YEARS))
 
 
 def days(spark, sf_dir):
-    return feat.fire_days(season_observations(spark, sf_dir).filter("sensor = 'B'"))
+    return staged(spark, sf_dir, "days", lambda: feat.fire_days(season_observations(spark, sf_dir).filter("sensor = 'B'")))
 
 
 def data(spark, sf_dir):
-    return feat.rule_scores(feat.dataset(grid(spark), days(spark, sf_dir), flags(spark, sf_dir), YEARS))
+    return staged(spark, sf_dir, "data", lambda: feat.rule_scores(feat.dataset(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS)))
 
 
 def points(spark, sf_dir):
@@ -100,11 +120,16 @@ def points(spark, sf_dir):
 
 def ranking_cells(spark, sf_dir):
     """Cells with fire columns of the last season and a forecast from the seasons before."""
-    pts = points(spark, sf_dir)
-    now = rank.per_cell(pts.filter("year = 2001"))
-    f = data(spark, sf_dir).filter("year = 2001").select("ci", "cj", F.col("score_history").alias("forecast_score"))
-    out = grid(spark).join(now, ["ci", "cj"], "left").join(f, ["ci", "cj"], "left")
-    return out.withColumn("fire_days", F.coalesce("fire_days", F.lit(0))).withColumn("fire_points", F.coalesce("fire_points", F.lit(0)))
+    def make():
+        now = rank.per_cell(points(spark, sf_dir).filter("year = 2001"))
+        f = data(spark, sf_dir).filter("year = 2001").select("ci", "cj", F.col("score_history").alias("forecast_score"))
+        return grid(spark).join(now, ["ci", "cj"], "left").join(f, ["ci", "cj"], "left").fillna(0, ["fire_days", "fire_points"])
+
+    return staged(spark, sf_dir, "ranking_cells", make)
+
+
+def prioritised(spark, sf_dir):
+    return staged(spark, sf_dir, "prioritised", lambda: rank.prioritise(ranking_cells(spark, sf_dir), "observed"))
 
 
 part("percell", ("hot",), "SELECT ci, cj, count(*) AS fire_points, count(DISTINCT date) AS fire_days, median(slope) AS fire_slope, avg(steep) AS fire_steep_share, avg(people_r1) AS people_r1, avg(people_r2) AS people_r2 FROM hot WHERE sensor = 'B' AND year = 2001 GROUP BY ci, cj")
@@ -112,7 +137,7 @@ part("rcells", ("percell", "data", "grid"), "SELECT g.*, coalesce(fire_points, 0
 SLOPE, PEOPLE = "greatest(0, least(1, fire_slope / {s}))", "greatest(0, least(1, ln(1 + CASE WHEN {r} = 1 THEN people_r1 ELSE people_r2 END) / ln(1 + {p})))"
 
 
-def _score_sql(burn: str, s: str = "25.0e0", rad: str = "1", p: str = "1000.0e0") -> str:
+def _score_sql(burn: str, s: str = "25.0e0", rad: str = "1", p: str = "5000.0e0") -> str:
     return f"CASE WHEN fire_slope IS NULL THEN 0.0e0 ELSE {burn} * {SLOPE.format(s=s)} * {PEOPLE.format(r=rad, p=p)} END"
 
 
@@ -120,8 +145,8 @@ OBSERVED = _score_sql("greatest(0, least(1, fire_days / 3.0e0))")
 FORECAST = _score_sql("CASE WHEN lim > 0 THEN greatest(0, least(1, forecast_score / lim)) ELSE 0 END")
 part("variants", ("rcells",), f"""
 SELECT v, base, ci, cj, row_number() OVER (PARTITION BY v ORDER BY sc DESC, ci DESC, cj) AS place FROM (
-  SELECT v, h = 3 AND s = 25 AND p = 1000 AND rad = 1 AS base, ci, cj, {_score_sql('greatest(0, least(1, fire_days / h))', 's', 'rad', 'p')} AS sc
-  FROM rcells CROSS JOIN (SELECT row_number() OVER () AS v, * FROM (VALUES (2.0e0), (3.0e0), (5.0e0)) a(h) CROSS JOIN (VALUES (20.0e0), (25.0e0), (30.0e0)) b(s) CROSS JOIN (VALUES (500.0e0), (1000.0e0), (2000.0e0)) c(p) CROSS JOIN (VALUES (1), (2)) d(rad)) x
+  SELECT v, h = 3 AND s = 25 AND p = 5000 AND rad = 1 AS base, ci, cj, {_score_sql('greatest(0, least(1, fire_days / h))', 's', 'rad', 'p')} AS sc
+  FROM rcells CROSS JOIN (SELECT row_number() OVER () AS v, * FROM (VALUES (2.0e0), (3.0e0), (4.0e0)) a(h) CROSS JOIN (VALUES (20.0e0), (25.0e0), (30.0e0)) b(s) CROSS JOIN (VALUES (2000.0e0), (5000.0e0), (20000.0e0)) c(p) CROSS JOIN (VALUES (1), (2)) d(rad)) x
 ) WHERE sc > 0 QUALIFY place <= 50""")
 part("robust", ("variants", "rcells"), "SELECT r.ci, r.cj, coalesce(n, 0) / 54 AS robustness FROM rcells r LEFT JOIN (SELECT ci, cj, count(*) AS n FROM variants GROUP BY ci, cj) x ON r.ci = x.ci AND r.cj = x.cj")
 part("ranked", ("rcells", "robust"), f"""
@@ -186,16 +211,9 @@ def pattern_counts(spark, sf_dir):
     return hist.cell_summary(flags(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("cells"))
 
 
-@BOOK.add("history_as_of", q(("binned", "months"), """
-SELECT origin, ci, cj, year, round_even(CASE WHEN year < 1998 THEN y ELSE p END, 3) AS active, CASE WHEN year < 1998 THEN y WHEN raw_b >= 1 THEN 1.0e0 ELSE 0.0e0 END AS active_naive,
-  round_even(CASE WHEN year < 1998 THEN CAST(count_a AS DOUBLE) ELSE celldays_b * f END, 2) AS activity_eq
-FROM (SELECT origin, b.*, CASE WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END AS y,
-    coalesce((SELECT max(p) FROM (SELECT bin AS pb, avg(CASE WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END) AS p FROM binned WHERE year >= 1998 AND year < 2000 GROUP BY bin) WHERE pb <= b.bin AND origin = 2000),
-      (SELECT max(p) FROM (SELECT bin AS pb, avg(CASE WHEN count_a >= 1 THEN 1.0e0 ELSE 0.0e0 END) AS p FROM binned WHERE year >= 1998 AND year < 2001 GROUP BY bin) WHERE pb <= b.bin AND origin = 2001)) AS p,
-    (SELECT sum(m.count_a) / greatest(sum(m.celldays_b), 1) FROM months m WHERE m.region = 'hills' AND m.season = 'burn' AND m.year >= 1998 AND m.year < origin) AS f
-  FROM binned b CROSS JOIN (VALUES (2000), (2001)) o(origin))"""))
+@BOOK.add("history_as_of", q(("then_known",), "SELECT * FROM then_known"))
 def history_as_of(spark, sf_dir):
-    return hist.history_as_of(panel(spark, sf_dir), months(spark, sf_dir), [2000, 2001])
+    return known_then(spark, sf_dir)
 
 
 @BOOK.add("fire_days", q(("days",), "SELECT * FROM days"))
@@ -208,17 +226,17 @@ def neighbour_mean(spark, sf_dir):
     return mean_of_neighbours(grid(spark), "population", "m").select("ci", "cj", "m")
 
 
-FLOATS = ["log_pop", "freq", "freq_heavy", "mean_days", "long_share", "long_activity", "long_recent3", "nbr_lag1", "nbr_freq"]
+FLOATS = ["elev_mean", "slope_mean", "steep_frac", "log_pop", "freq", "freq_heavy", "mean_days", "long_share", "long_activity", "long_recent3", "nbr_lag1", "nbr_freq"]
 
 
 @BOOK.add("features", q(("feat",), f"SELECT ci, cj, year, days, lag1_days, lag1, lag2, lag3, years_since_burn, {r(*FLOATS)} FROM feat"))
 def features(spark, sf_dir):
-    return rounded(feat.features(grid(spark), days(spark, sf_dir), flags(spark, sf_dir), YEARS))
+    return rounded(feat.features(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
 
 
 @BOOK.add("dataset", q(("data",), f"SELECT ci, cj, year, burned, lag1_days, lag1, lag2, lag3, years_since_burn, {r(*FLOATS)} FROM data"))
 def dataset(spark, sf_dir):
-    return rounded(feat.dataset(grid(spark), days(spark, sf_dir), flags(spark, sf_dir), YEARS))
+    return rounded(feat.dataset(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
 
 
 @BOOK.add("scorers", q(("data",), f"SELECT ci, cj, year, {r('s1 AS score_last_year', 's2 AS score_history', 's3 AS score_long_history')} FROM data"))
@@ -256,10 +274,13 @@ SELECT method, year, sum(h * (h0 + h) / (n0 + n)) / nullif(sum(h), 0) AS avg_pre
 
 
 def judged(spark, sf_dir):
-    d = data(spark, sf_dir)
-    for c in METHODS.values():
-        d = d.withColumn(c, F.round(c, 9))
-    return rank.rolling_origin(d, METHODS, ks=(20, 50))
+    def make():
+        d = data(spark, sf_dir)
+        for c in METHODS.values():
+            d = d.withColumn(c, F.round(c, 9))
+        return rank.rolling_origin(d, METHODS, ks=(20, 50))
+
+    return staged(spark, sf_dir, "judged", make)
 
 
 @BOOK.add("rolling_origin", q(("judged",), f"SELECT method, year, {r('avg_precision', 'p20', 'p50', 'base_rate')} FROM judged"))
@@ -277,10 +298,13 @@ def base_rate(spark, sf_dir):
     return rounded(data(spark, sf_dir).groupBy("year").agg(F.avg("burned").alias("rate")))
 
 
-@BOOK.add("choose_default", "SELECT m AS chosen FROM (VALUES (1, 'last_year', 0.40, 0.25), (2, 'history', 0.52, 0.34), (3, 'long_history', 0.41, 0.32), (4, 'boosted', 0.53, 0.35)) t(o, m, p, a) WHERE p >= 0.53 - 0.02 AND a >= 0.35 - 0.02 ORDER BY o LIMIT 1")
+part("means", ("judged",), "SELECT method, round(avg(p50), 9) AS p, round(avg(avg_precision), 9) AS a FROM judged GROUP BY method")
+
+
+@BOOK.add("choose_default", q(("means",), "SELECT coalesce(arg_min(method, list_position(['last_year', 'history', 'long_history'], method)), 'boosted') AS chosen FROM means WHERE p >= (SELECT max(p) FROM means) - 0.02 AND a >= (SELECT max(a) FROM means) - 0.02"))
 def choose_default(spark, sf_dir):
-    rows = [("last_year", 0.40, 0.25), ("history", 0.52, 0.34), ("long_history", 0.41, 0.32), ("boosted", 0.53, 0.35)]
-    return rank.choose_default(spark.createDataFrame(rows, "method string, p50 double, ap double"), [x[0] for x in rows])
+    means = judged(spark, sf_dir).groupBy("method").agg(F.round(F.avg("p50"), 9).alias("p50"), F.round(F.avg("avg_precision"), 9).alias("ap"))
+    return rank.choose_default(means, list(METHODS))
 
 
 PER_CELL = ["fire_slope", "fire_steep_share", "people_r1", "people_r2"]
@@ -314,26 +338,29 @@ def top_overlap(spark, sf_dir):
     return rounded(j.agg(F.count("*").cast("int").alias("n"), F.min("jaccard").alias("lowest"), F.median("jaccard").alias("middle")))
 
 
-@BOOK.add("prioritise", q(("ranked",), f"SELECT ci, cj, {r('score', 'robustness')}, rank, priority FROM ranked"))
+ACTION = "CASE priority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rank.ACTIONS.items()) + " END"
+
+
+@BOOK.add("prioritise", q(("ranked",), f"SELECT ci, cj, {r('score', 'robustness')}, rank, priority, {ACTION} AS action FROM ranked"))
 def prioritise(spark, sf_dir):
-    return rounded(rank.prioritise(ranking_cells(spark, sf_dir), "observed").select("ci", "cj", "score", "robustness", "rank", "priority"))
+    return rounded(prioritised(spark, sf_dir).select("ci", "cj", "score", "robustness", "rank", "priority", "action"))
 
 
 @BOOK.add("priority_counts", q(("ranked",), "SELECT priority, count(*) AS cells FROM ranked GROUP BY priority"))
 def priority_counts(spark, sf_dir):
-    return rank.prioritise(ranking_cells(spark, sf_dir), "observed").groupBy("priority").agg(F.count("*").alias("cells"))
+    return prioritised(spark, sf_dir).groupBy("priority").agg(F.count("*").alias("cells"))
 
 
 @BOOK.add("district_rollup", q(("ranked",), f"SELECT district, count(*) AS cells, count(*) FILTER (priority = 'inspect first') AS inspect_first, count(*) FILTER (priority = 'inspect') AS inspect, count(*) FILTER (priority = 'monitor') AS monitor, {r('max(score) AS max_score')} FROM ranked GROUP BY district"))
 def district_rollup(spark, sf_dir):
     from quillspan.api import district_rollup as rollup
 
-    return rounded(rollup(rank.prioritise(ranking_cells(spark, sf_dir), "observed")))
+    return rounded(rollup(prioritised(spark, sf_dir)))
 
 
 @BOOK.add("watchlist", q(("ranked", "summary"), f"SELECT 'observed' AS kind, rank, priority, {r('score', 'robustness', 'fire_slope')}, fire_days, pattern, streak, ci, cj FROM ranked LEFT JOIN summary USING (ci, cj)"))
 def watchlist(spark, sf_dir):
-    ranked = rank.prioritise(ranking_cells(spark, sf_dir), "observed").join(hist.cell_summary(flags(spark, sf_dir)).select("ci", "cj", "pattern", "streak"), ["ci", "cj"], "left")
+    ranked = prioritised(spark, sf_dir).join(hist.cell_summary(flags(spark, sf_dir)).select("ci", "cj", "pattern", "streak"), ["ci", "cj"], "left")
     return rounded(ranked.select(F.lit("observed").alias("kind"), "rank", "priority", "score", "robustness", "fire_slope", "fire_days", "pattern", "streak", "ci", "cj"))
 
 
@@ -363,18 +390,31 @@ def backtest(spark, sf_dir):
 
 @BOOK.add("gbm_scores")
 def gbm_scores(spark, sf_dir):
-    d = feat.dataset(grid(spark), days(spark, sf_dir), flags(spark, sf_dir), YEARS)
-    return feat.boosted_scores(d.filter("year < 2001"), d.filter("year = 2001"), rounds=20).select("ci", "cj", "burned", "score_boosted")
+    d = data(spark, sf_dir)
+    return feat.boosted_scores(d.filter("year < 2001"), d.filter("year = 2001")).select("ci", "cj", "burned", "score_boosted")
+
+
+@BOOK.add("chance", q(("bt",), f"SELECT origin, outcome, {r('avg(hit) AS base_rate', 'avg(hit) * 50 AS expected')} FROM (SELECT origin, unnest(['heavy', 'steep', 'steep_people']) AS outcome, unnest([heavy, steep, steep_people]) AS hit FROM bt) GROUP BY ALL"))
+def chance(spark, sf_dir):
+    return rounded(rank.chance(points(spark, sf_dir), grid(spark), [2000, 2001]))
+
+
+@BOOK.add("robustness_summary", q(("variants", "robust"), f"""
+SELECT o.*, (SELECT count(*) FROM robust JOIN (SELECT DISTINCT ci, cj FROM variants WHERE base) USING (ci, cj) WHERE robustness >= 0.8) AS default_top_robust, (SELECT count(*) FROM robust WHERE robustness >= 0.8) AS robust_anywhere FROM (
+  SELECT count(*) AS variants, {r('median(j) AS jaccard_median', 'min(j) AS jaccard_min')} FROM (
+  SELECT v, count(d.ci) / (count(*) + (SELECT count(*) FROM variants WHERE base) - count(d.ci)) AS j FROM variants a LEFT JOIN (SELECT ci, cj FROM variants WHERE base) d ON a.ci = d.ci AND a.cj = d.cj GROUP BY v)) o"""))
+def robustness_summary(spark, sf_dir):
+    return rounded(rank.robustness_summary(ranking_cells(spark, sf_dir), "observed"))
 
 
-@BOOK.add("seeded_sample")
+@BOOK.add("seeded_sample", q(("grid",), "SELECT ci, cj FROM grid ORDER BY md5('7|' || ci || '|' || cj) LIMIT 20"))
 def seeded_sample(spark, sf_dir):
     return rank.seeded_sample(grid(spark), 20, 7, ["ci", "cj"]).select("ci", "cj")
 
 
-@BOOK.add("blind_codes", q(("grid",), "SELECT ci, cj, 'P' || lpad(CAST(row_number() OVER (ORDER BY md5('7|' || ci || '|' || cj)) AS VARCHAR), 2, '0') AS code FROM grid WHERE ci < 1053"))
+@BOOK.add("blind_codes", q(("grid",), "SELECT ci, cj, 'P' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS code FROM (SELECT ci, cj, row_number() OVER (ORDER BY md5('7|' || ci || '|' || cj)) AS n FROM grid)"))
 def blind_codes(spark, sf_dir):
-    return rank.blind_codes(grid(spark).filter("ci < 1053").select("ci", "cj"), 7, ["ci", "cj"])
+    return rank.blind_codes(grid(spark).select("ci", "cj"), 7, ["ci", "cj"])
 
 
 @BOOK.add("set_equality", q(("obs", "days"), "SELECT 0::BIGINT AS only_a, count(*) AS only_b, false AS equal FROM (SELECT DISTINCT ci, cj FROM grid WHERE ci >= 1052 EXCEPT SELECT ci, cj FROM grid WHERE ci >= 1053)".replace("FROM grid", "FROM (SELECT 1050 + i // 20 AS ci, 4600 + i % 20 AS cj FROM range(400) t(i))")))

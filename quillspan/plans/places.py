@@ -17,7 +17,7 @@ VALUES = ", ".join(f"({i}, '{n}', {a}e0, {o}e0)" for i, n, a, o in PLACES)
 TRIANGLE = [(0, [[(92.0, 21.0), (92.25, 21.0), (92.0, 21.4), (92.0, 21.0)]]), (1, [[(92.2, 21.1), (92.4, 21.1), (92.4, 21.3), (92.2, 21.3), (92.2, 21.1)], [(92.26, 21.16), (92.34, 21.16), (92.34, 21.24), (92.26, 21.24), (92.26, 21.16)]])]
 EDGES = ", ".join(f"({p}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for p, rings in TRIANGLE for ring in rings for a, b in zip(ring, ring[1:], strict=False))
 
-part("pts", (), "SELECT i AS pid, 21.0e0 + (i * 37 % 400) * 0.001e0 AS lat, 92.0e0 + (i * 53 % 397) * 0.001e0 AS lon FROM range(500) t(i)")
+part("pts", ("obs",), "SELECT CAST(round(lat * 10000) AS BIGINT) * 10000000 + CAST(round(lon * 10000) AS BIGINT) AS pid, lat, lon FROM (SELECT DISTINCT lat, lon FROM obs)")
 part("places", (), f"SELECT * FROM (VALUES {VALUES}) v(place_id, name, lat, lon)")
 part("edges", (), f"SELECT * FROM (VALUES {EDGES}) v(poly_id, x1, y1, x2, y2)")
 part("raster", (), f"SELECT i // {SIZE} AS row, i % {SIZE} AS col, CAST((i // {SIZE}) * (i // {SIZE}) % 97 * 3 + (i % {SIZE}) * (i % {SIZE}) % 89 * 2 AS DOUBLE) AS value FROM range({SIZE * SIZE}) t(i)")
@@ -42,7 +42,7 @@ part("dnbr", ("nbr",), """
 SELECT cell, clear_share, s10, s20, s27, s44, dm, CASE WHEN clear_share < 0.3 THEN 'no clear imagery' WHEN s27 >= 0.05 THEN 'scar visible' ELSE 'no clear scar' END AS verdict FROM (
   SELECT cell, count(d) / 100 AS clear_share, count(*) FILTER (d >= 0.10) / count(d) AS s10, count(*) FILTER (d >= 0.20) / count(d) AS s20, count(*) FILTER (d >= 0.27) / count(d) AS s27, count(*) FILTER (d >= 0.44) / count(d) AS s44, median(d) AS dm
   FROM (SELECT cell, row, col, max(nbr) FILTER (win = 'pre') - max(nbr) FILTER (win = 'post') AS d FROM nbr GROUP BY ALL) GROUP BY cell)""")
-part("static", ("obs",), "SELECT DISTINCT fi + a AS fi, fj + b AS fj FROM (SELECT DISTINCT CAST(floor(lat / 0.01e0) AS BIGINT) AS fi, CAST(floor(lon / 0.01e0) AS BIGINT) AS fj FROM obs WHERE kind <> 0 AND id % 97 = 0) CROSS JOIN (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b)")
+part("static", ("obs",), "SELECT DISTINCT fi + a AS fi, fj + b AS fj FROM (SELECT DISTINCT CAST(floor(lat / 0.01e0) AS BIGINT) AS fi, CAST(floor(lon / 0.01e0) AS BIGINT) AS fj FROM obs WHERE kind <> 0) CROSS JOIN (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b)")
 part("week", ("obs", "static", "grid"), """
 SELECT o.*, g.slope_mean, g.population, CAST(floor(o.lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(o.lon / 0.02e0) AS BIGINT) AS cj, CASE WHEN g.ci % 9 = 0 THEN ['2001'] END AS seasons,
   g.ci IS NOT NULL AS hills, g.ci IS NOT NULL AND (g.slope_mean >= 15 AND g.population >= 200 OR g.ci % 9 = 0) AS chk
@@ -50,9 +50,10 @@ FROM obs o LEFT JOIN (SELECT * FROM grid WHERE ci % 2 = 0 OR ci % 9 = 0) g ON fl
 WHERE date > CAST('2001-03-08' AS DATE) AND date <= CAST('2001-03-15' AS DATE) AND sensor = 'B' AND NOT EXISTS (SELECT 1 FROM static s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))""")
 
 
-def invented_points(spark):
-    i = F.col("id")
-    return spark.range(500).select(i.alias("pid"), (F.lit(21.0) + (i * 37 % 400) * F.lit(0.001)).alias("lat"), (F.lit(92.0) + (i * 53 % 397) * F.lit(0.001)).alias("lon"))
+def spots_of(spark, sf_dir):
+    """The positions of all detections, once each, numbered by their coordinates."""
+    number = F.round(F.col("lat") * 10000).cast("long") * 10_000_000 + F.round(F.col("lon") * 10000).cast("long")
+    return observations(spark, sf_dir).select("lat", "lon").distinct().select(number.alias("pid"), "lat", "lon")
 
 
 def places(spark):
@@ -101,7 +102,7 @@ def static(spark, sf_dir):
 
 def week(spark, sf_dir):
     obs = observations(spark, sf_dir).filter("sensor = 'B' and date <= date'2001-03-15'")
-    obs = live.window(obs.unionByName(obs.limit(0)))
+    obs = live.window(obs)
     g = grid(spark).filter("ci % 2 = 0 or ci % 9 = 0").drop("district", "people_cell")
     listed = live.listed_seasons(grid(spark).filter("ci % 9 = 0").select("ci", "cj", F.lit("inspect first").alias("priority"), F.lit(2001).alias("season")))
     return live.enrich(obs, static(spark, sf_dir), g, listed)
@@ -109,7 +110,7 @@ def week(spark, sf_dir):
 
 @BOOK.add("haversine", q(("pts",), f"SELECT pid, {r('2 * 6371.0e0 * asin(sqrt(sin(radians(22.0e0 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(22.0e0)) * sin(radians(92.5e0 - lon) / 2) ** 2)) AS km')} FROM pts"))
 def haversine(spark, sf_dir):
-    return rounded(invented_points(spark).select("pid", spatial.haversine_km(F.col("lat"), F.col("lon"), F.lit(22.0), F.lit(92.5)).alias("km")))
+    return rounded(spots_of(spark, sf_dir).select("pid", spatial.haversine_km(F.col("lat"), F.col("lon"), F.lit(22.0), F.lit(92.5)).alias("km")))
 
 
 def _nearest_sql(km: str, where: str = "") -> str:
@@ -118,24 +119,26 @@ def _nearest_sql(km: str, where: str = "") -> str:
 
 @BOOK.add("nearest_place", q(("pts", "places"), _nearest_sql("2 * 6371.0e0 * asin(sqrt(sin(radians(s.lat - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians(s.lat)) * sin(radians(s.lon - p.lon) / 2) ** 2))")))
 def nearest_place(spark, sf_dir):
-    return rounded(spatial.nearest_place(invented_points(spark), places(spark), ["pid"]))
+    return rounded(spatial.nearest_place(spots_of(spark, sf_dir), places(spark), ["pid"]))
 
 
 @BOOK.add("nearest_place_equirect", q(("pts", "places"), _nearest_sql("sqrt(((p.lat - s.lat) * 110.57e0) ** 2 + ((p.lon - s.lon) * 111.32e0 * cos(radians(22.5e0))) ** 2)", "WHERE name <> '(unnamed)'")))
 def nearest_place_equirect(spark, sf_dir):
-    return rounded(spatial.nearest_place(invented_points(spark), places(spark), ["pid"], spatial.flat_km, named_only=True))
+    return rounded(spatial.nearest_place(spots_of(spark, sf_dir), places(spark), ["pid"], spatial.flat_km, named_only=True))
 
 
-PIP = "SELECT pid, poly_id FROM pts JOIN edges ON (y1 > lat) <> (y2 > lat) WHERE lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY pid, poly_id HAVING count(*) % 2 = 1"
+PIP = """SELECT pid, poly_id FROM pts CROSS JOIN edges GROUP BY pid, poly_id
+HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1
+  OR bool_or(lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) AND abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) <= 1e-12)"""
 
 
 @BOOK.add("pip_raycast", q(("pts", "edges"), f"SELECT pid, max(h.poly_id) AS poly_id FROM pts LEFT JOIN ({PIP}) h USING (pid) GROUP BY pid"))
 def pip_raycast(spark, sf_dir):
-    return spatial.tag_polygons(invented_points(spark), spatial.edges_of(polygons(spark)), ["pid"], 0.1)
+    return spatial.tag_polygons(spots_of(spark, sf_dir), spatial.edges_of(polygons(spark)), ["pid"], 0.1)
 
 
 @BOOK.add("admin_tag", q(("obs",), """
-SELECT b AS box, count(*) AS n FROM obs LEFT JOIN (VALUES (0, 21.0e0, 21.2e0, 92.0e0, 92.2e0), (1, 21.2e0, 21.3e0, 92.0e0, 92.4e0)) v(b, s, n, w, e) ON lat >= s AND lat < n AND lon >= w AND lon < e GROUP BY b"""))
+SELECT CASE WHEN lat BETWEEN 21.2e0 AND 21.3e0 AND lon BETWEEN 92.0e0 AND 92.4e0 THEN 1 WHEN lat BETWEEN 21.0e0 AND 21.2e0 AND lon BETWEEN 92.0e0 AND 92.2e0 THEN 0 END AS box, count(*) AS n FROM obs GROUP BY box"""))
 def admin_tag(spark, sf_dir):
     box = lambda w, s, e, n: [[[w, s], [e, s], [e, n], [w, n], [w, s]]]
     areas = spark.createDataFrame([(0, box(92.0, 21.0, 92.2, 21.2)), (1, box(92.0, 21.2, 92.4, 21.3))], "poly_id int, rings array<array<array<double>>>")
@@ -167,7 +170,7 @@ def tile_decode(spark, sf_dir):
 
 @BOOK.add("mercator", q(("pts",), f"SELECT pid, {r('(lon + 180) / 360 * 4096 AS tx', '(1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096 AS ty')} FROM pts"))
 def mercator(spark, sf_dir):
-    return rounded(invented_points(spark).select("pid", spatial.tile_x(F.col("lon"), 12).alias("tx"), spatial.tile_y(F.col("lat"), 12).alias("ty")))
+    return rounded(spots_of(spark, sf_dir).select("pid", spatial.tile_x(F.col("lon"), 12).alias("tx"), spatial.tile_y(F.col("lat"), 12).alias("ty")))
 
 
 @BOOK.add("pixel_centres", f"SELECT i AS k, {r('degrees(atan((exp(pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096)) - exp(-pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096))) / 2)) AS lat', '(3090 + (i + 0.5e0) / 256) / 4096 * 360 - 180 AS lon')} FROM range(512) t(i)")
@@ -207,7 +210,7 @@ def cell_population(spark, sf_dir):
 @BOOK.add("snap_grid", q(("pts",), "SELECT pid, floor(lat * 1000 / 40) * 40 AS lo, ceil(lon * 1000 / 40) * 40 AS hi FROM pts"))
 def snap_grid(spark, sf_dir):
     lo, hi = spatial.snap(F.col("lat") * 1000, F.col("lon") * 1000)
-    return invented_points(spark).select("pid", lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    return spots_of(spark, sf_dir).select("pid", lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
 
 
 @BOOK.add("reflectance", "SELECT dn, k, CASE WHEN k = 0 THEN CAST(dn AS DOUBLE) WHEN dn = 0 THEN NULL WHEN k = 1 THEN dn * 0.0001e0 - 0.1e0 ELSE dn * 0.0001e0 END AS value FROM range(0, 3000, 250) a(dn) CROSS JOIN range(3) b(k)")
@@ -290,16 +293,17 @@ def map_json(spark, sf_dir):
     return as_json(grid(spark).select("ci", "cj", F.lit(None).cast("int").alias("none")))
 
 
-@BOOK.add("streaming_daily")
+@BOOK.add("streaming_daily", """
+WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS t, 1050 + CAST(user_id % 20 AS BIGINT) AS ci, 4600 + CAST(user_id % 10 AS BIGINT) AS cj FROM events)
+SELECT date_trunc('day', t)::TIMESTAMP AS day, ci, cj, count(DISTINCT event_id) AS fires FROM e
+WHERE date_trunc('day', t) + INTERVAL 1 DAY <= (SELECT max(t) FROM e) - INTERVAL 2 DAY GROUP BY ALL""")
 def streaming_daily(spark, sf_dir):
-    """Counts per day and cell of the events table read as a stream, worked off at once."""
-    import uuid
-
+    """Counts per day and cell of the events table read as a stream, worked off at once; days that may still get late events wait."""
+    from quillspan.staging import scratch_folder
     from quillspan.streaming import watch
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema.simpleString()[7:-1].replace(":", " ")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillspan"
-    run = f"{root}/watch-{uuid.uuid4().hex}"
+    run = scratch_folder(spark, "watch")
     events = watch.arrivals(spark, f"{sf_dir}/events.parquet*", schema)
     placed = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.lit(21.0005) + (F.col("user_id") % 20) * 0.02).alias("lat"), (F.lit(92.0005) + (F.col("user_id") % 10) * 0.02).alias("lon"))
     watch.run_available(watch.daily_cells(placed), lambda batch, n: batch.write.mode("overwrite").parquet(f"{run}/out/batch={n}"), f"{run}/state")

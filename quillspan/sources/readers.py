@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspan.operators.live import decode_confidence
+from quillspan.operators.spatial import tag_polygons
 
 COMMON = "scan double, track double, acq_date string, acq_time string, satellite string"
 ARCHIVE_A = f"latitude double, longitude double, brightness double, {COMMON}, instrument string, confidence string, version string, bright_t31 double, frp double, daynight string, type int"
@@ -89,7 +90,7 @@ class PagedDetections(DataSource):
 
     Options: url (with {start} and {days}; {key} if a key is needed), start, end
     (days), page (days a request, 5 by default), key. A page without the CSV
-    header is an error, a page without rows is empty. Rows are strings.
+    header is an error, a page without rows is empty. Values are strings.
     """
 
     @classmethod
@@ -115,21 +116,65 @@ class _PagedReader(DataSourceReader):
         return [_Slice(str(start + timedelta(days=d)), min(page, (end - start).days + 1 - d)) for d in range(0, (end - start).days + 1, page)]
 
     def read(self, partition):
-        import csv
+        """Arrow batches of the page, whose columns may come in any order."""
         import io
         from urllib.request import urlopen
 
+        import pyarrow as pa
+        from pyarrow import csv
+
         url = self.options["url"].format(start=partition.start, days=partition.days, key=self.options.get("key", ""))
         with urlopen(url, timeout=120) as answer:  # noqa: S310
-            text = answer.read().decode()
-        if not text.startswith("latitude"):
-            raise ValueError(f"not a table of detections for {partition.start}: {text[:80]!r}")
-        for row in csv.DictReader(io.StringIO(text)):
-            yield tuple(row.get(c) for c in self.columns)
-
-
-def fetch_days(spark: SparkSession, start: str, end: str, **options: str) -> DataFrame:
-    """All days from the paged service once each, clipped to the days asked for."""
+            page = answer.read()
+        if not page.startswith(b"latitude"):
+            raise ValueError(f"not a table of detections for {partition.start}: {page[:80]!r}")
+        convert = csv.ConvertOptions(include_columns=self.columns, include_missing_columns=True, column_types={c: pa.string() for c in self.columns}, strings_can_be_null=False)
+        yield from csv.read_csv(io.BytesIO(page), convert_options=convert).to_batches()
+
+
+def access_key(name: str, env_file: str = ".env") -> str:
+    """A key from the environment, else from a line name=value of a file; LookupError without either. It is never logged."""
+    import os
+
+    if os.environ.get(name):
+        return os.environ[name]
+    if os.path.exists(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            for line in f:
+                left, sign, right = line.partition("=")
+                if sign and left.strip() == name and right.strip():
+                    return right.strip().strip("\"'")
+    raise LookupError(f"no {name} in the environment or in {env_file}")
+
+
+def fetch_days(spark: SparkSession, start: str, end: str, edges: DataFrame | None = None, **options: str) -> DataFrame:
+    """All days from the paged service once each, clipped to the days asked for and, with edges (see spatial.edges_of), to their polygons."""
     spark.dataSource.register(PagedDetections)
     read = spark.read.format(PagedDetections.name()).options(start=start, end=end, **options).load()
-    return read.dropDuplicates().filter(F.col("acq_date").between(start, end))
+    days = read.dropDuplicates().filter(F.col("acq_date").between(start, end))
+    if edges is None:
+        return days
+    spots = days.select("latitude", "longitude", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).distinct()
+    inside = tag_polygons(spots, edges, ["latitude", "longitude"]).filter("poly_id is not null")
+    return days.join(inside.select("latitude", "longitude"), ["latitude", "longitude"], "left_semi")
+
+
+def read_availability(spark: SparkSession, path: str) -> DataFrame:
+    """product and last day of a table of data_id, min_date, max_date; a product listed twice has its latest day."""
+    raw = spark.read.schema("data_id string, min_date string, max_date string").option("header", True).csv(path)
+    return raw.groupBy(F.col("data_id").alias("product")).agg(F.max("max_date").alias("last_day"))
+
+
+def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels (path, row, col, lat, lon, value) of GeoTIFF files with one band: middles of pixels, negative values as 0. Several files give several rasters."""
+    from quillspan.sources.geotiff import pixels
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(pixels, "path string, row long, col long, lat double, lon double, value double")
+
+
+def last_day(spark: SparkSession, path: str, otherwise: str) -> str:
+    """The last day that a JSON file {"data_end": day} records; otherwise without the file."""
+    if not existing(spark, [path]):
+        return otherwise
+    return spark.read.schema("data_end string").option("multiLine", True).json(path).first().data_end or otherwise

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.staging import file_system
+
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite")
@@ -40,8 +42,10 @@ def as_json(df: DataFrame) -> DataFrame:
 def as_arrays(df: DataFrame, places: int = 4) -> DataFrame:
     """One JSON array a row, numbers rounded: compact rows for a map."""
     cols = [F.bround(c, places) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    text = F.to_json(F.array(*(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c in cols)))
-    return df.select(F.regexp_replace(F.regexp_replace(text, r'\\"', '"'), r'"\{"v":(.*?)\}"(?=[,\]])', "$1").alias("json"))
+    # Each value as the only field of an object, without the object's own signs: {"v": and }.
+    texts = [F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c in cols]
+    values = F.transform(F.array(*texts), lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
+    return df.select(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")).alias("json"))
 
 
 def report(frames: dict[str, DataFrame], path: str | None = None, limit: int = 10_000) -> dict:
@@ -53,6 +57,26 @@ def report(frames: dict[str, DataFrame], path: str | None = None, limit: int = 1
             raise ValueError(f"{name} has over {limit} rows")
         out[name] = [r.asDict(recursive=True) for r in rows]
     if path:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(out, f, indent=1, default=str)
+        write_text(next(iter(frames.values())).sparkSession, path, json.dumps(out, indent=1, default=str))
     return out
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, on any file system Spark knows; it appears whole or not at all."""
+    fs, beside = file_system(spark, f"{path}.part")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    _, at = file_system(spark, path)
+    fs.delete(at, False)
+    fs.rename(beside, at)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    """What report() wrote."""
+    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline, in Spark's own format."""
+    model.write().overwrite().save(path)

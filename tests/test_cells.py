@@ -1,98 +1,233 @@
-"""Histories, features and rankings on small hand-made tables."""
+"""Histories, features and rankings on random tables against plain Python."""
 
+import itertools
+import math
+import random
 from dataclasses import replace
+from statistics import mean, median
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.config import CONFIG
 from quillspan.operators import features as feat
 from quillspan.operators import history as hist
 from quillspan.operators import ranking as rank
-from quillspan.operators.grid import cell, dilate, neighbour_mean
+from quillspan.operators.grid import bounds, cell, dilate, neighbour_mean
 
-PANEL = "ci long, cj long, year int, count_a long, raw_b long, celldays_b long"
-
-
-def test_curve_is_monotone_and_fills_empty_bins(spark):
-    data = [(0, i, 2012, int(i < 1), 0, 0) for i in range(10)] + [(1, i, 2012, int(i < 5), 0, 1) for i in range(10)] + [(2, i, 2012, int(i < 3), 0, 2) for i in range(10)]
-    p = [r.p for r in hist.curve_fit(spark.createDataFrame(data, PANEL)).orderBy("bin").collect()]
-    assert p == [0.1] + [0.5] * 9
-
-
-def test_leading_empty_bin_stays_null(spark):
-    p = [r.p for r in hist.curve_fit(spark.createDataFrame([(0, 0, 2012, 1, 0, 2)], PANEL)).orderBy("bin").collect()]
-    assert p[:2] == [None, None] and p[2:] == [1.0] * 8
-
-
-def test_summary_patterns_and_streak(spark):
-    cfg = replace(CONFIG, first_year=2003, overlap_from=2012, last_year=2026)
-    data = [(1, 1, y, 1.0, 1.0, 2.0) for y in range(2003, 2027)] + [(2, 2, y, 0.9 if y >= 2020 else 0.0, float(y >= 2012), 0.0) for y in range(2003, 2027)]
-    flags = spark.createDataFrame(data, "ci long, cj long, year int, active double, active_naive double, activity_eq double")
-    got = {r.ci: r for r in hist.cell_summary(flags, cfg, 2020, 0.6, 3.0, (0.7, 0.4, 0.2)).collect()}
-    assert (got[1].pattern, got[1].streak, got[1].looks_worse_naive) == ("chronic", 24, False)
-    assert (got[2].pattern, got[2].streak, got[2].looks_worse_naive, got[2].first_likely) == ("new", 7, True, 2020)
-
-
-GRID = "ci long, cj long, population double"
+BINS = CONFIG.bins
 
 
-def test_features_do_not_look_ahead(spark):
-    cfg = replace(CONFIG, first_year=2003, overlap_from=2012, last_year=2016)
-    grid = spark.createDataFrame([(i, j, 10.0) for i in range(3) for j in range(3)], GRID)
-    history = spark.createDataFrame([(1, 1, 2010, 0.5, 3.0), (1, 1, 2016, 1.0, 50.0)], "ci long, cj long, year int, active double, activity_eq double")
-    got = []
-    for later in (9, 0):
-        days = spark.createDataFrame([(1, 1, 2014, 4), (1, 1, 2016, later)], "ci long, cj long, year int, days int")
-        got.append({(r.ci, r.cj): r.asDict() for r in feat.features(grid, days, history, [2016], cfg).drop("days").collect()})
-    assert got[0] == got[1]
-    mid, corner = got[0][(1, 1)], got[0][(0, 0)]
-    assert (mid["lag1_days"], mid["lag2"], mid["years_since_burn"], mid["long_activity"]) == (0, 1, 2, 3.0)
-    assert corner["nbr_freq"] > 0 and corner["freq"] == 0 and corner["years_since_burn"] == 15
+def place(k):
+    return max(i for i, b in enumerate(BINS) if (k or 0) >= b)
 
 
-def test_precision_and_ties(spark):
-    f = lambda data, k: rank.precision_at_k(spark.createDataFrame(data, "y int, s double"), "s", "y", k).first().precision
-    data = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1), (0, 0.0)]
-    assert f(data, 2) == 0.5 and abs(f(data, 3) - 2 / 3) < 1e-12 and f(data, 9) is None
-    assert abs(f([(1, 1.0), (0, 1.0), (0, 1.0), (1, 0.0)], 2) - 1 / 3) < 1e-12
+@pytest.fixture(scope="module")
+def panel():
+    rng = random.Random(31)
+    rows = []
+    for i, j, y in itertools.product(range(6), range(7), range(1998, 2002)):
+        k = rng.choice([0, 1, 2, 2, 4, 7, 9, 12, 30])
+        rows.append((i, j, y, int(rng.random() < 0.1 + k / 20), k + rng.randrange(3), k))
+    return rows
 
 
-def test_auc_and_average_precision(spark):
-    df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "y int, s double")
-    assert rank.roc_auc(df, "s", "y").first().auc == (0.5 + 1 + 0 + 1) / 4
-    assert abs(rank.average_precision(df, "s", "y").first().avg_precision - (0.5 * 0.5 + 0.5 * 2 / 3)) < 1e-12
-
-
-def test_choice_by_tolerance(spark):
-    order = ["a", "b", "c", "d"]
-    pick = lambda b: rank.choose_default(spark.createDataFrame([("a", 0.40, 0.25), ("b", *b), ("c", 0.41, 0.32), ("d", 0.53, 0.35)], "method string, p50 double, ap double"), order).first().chosen
-    assert pick((0.52, 0.34)) == "b" and pick((0.45, 0.30)) == "d"
-
-
-def ranking_cells(spark):
-    data = [(0, i, 3, 20.0, 100.0, 300.0, 0.1) for i in range(60)]
-    data[0], data[1], data[2] = (0, 0, 9, 35.0, 8000.0, 20000.0, 0.9), (0, 1, 0, 35.0, 8000.0, 20000.0, 0.0), (0, 2, 5, 2.0, 8000.0, 20000.0, 0.5)
-    return spark.createDataFrame(data, "ci long, cj long, fire_days int, fire_slope double, people_r1 double, people_r2 double, forecast_score double")
-
-
-def test_scores_robustness_and_priority(spark):
-    cells = ranking_cells(spark)
-    s = {r.cj: r.score for r in rank.scored(cells, "observed", [rank.DEFAULT]).collect()}
-    assert max(s, key=s.get) == 0 and s[1] == 0 and s[2] < s[3]
-    assert len(rank.settings("observed")) == len(rank.settings("forecast")) == 55
-    got = {r.cj: r for r in rank.prioritise(cells, "observed").collect()}
-    assert got[0].robustness == 1.0 and got[0].priority == "inspect first" and got[1].priority == "none"
-    assert sorted(r.rank for r in got.values()) == list(range(1, 61))
-
-
-def test_null_terms_score_zero(spark):
-    df = spark.createDataFrame([(0, 0, 9, None, 1.0, 1.0, 1.0)], ranking_cells(spark).schema)
-    assert rank.scored(df, "observed", [rank.DEFAULT]).first().score == 0.0
+PANEL = "ci long, cj long, year int, count_a long, raw_b long, celldays_b long"
 
 
-def test_neighbours_and_dilation(spark):
-    g = spark.createDataFrame([(0, 0, 8.0), (0, 1, None), (5, 5, 1.0)], GRID)
-    got = {(r.ci, r.cj): r.m for r in neighbour_mean(g, "population", "m").collect()}
-    assert got == {(0, 0): 0.0, (0, 1): 1.0, (5, 5): 0.0}
-    assert dilate(spark.createDataFrame([(0, 0), (0, 1)], "fi long, fj long")).count() == 12
-    assert spark.range(1).select(cell(F.lit(-0.001), 0.01).alias("c")).first().c == -1
+def brute_curve(rows):
+    p, best = [], None
+    for b in range(len(BINS)):
+        seen = [a >= 1 for *_, a, _, k in rows if place(k) == b]
+        best = max(x for x in (best, mean(seen) if seen else None) if x is not None) if seen or best is not None else None
+        p.append(best)
+    return p
+
+
+def test_curve_never_falls_and_fills_empty_bins(spark, panel):
+    for rows in (panel, [r for r in panel if r[5] > 3], panel[:3]):
+        got = [r.p for r in hist.curve_fit(spark.createDataFrame(rows, PANEL)).orderBy("bin").collect()]
+        want = brute_curve(rows)
+        assert got == pytest.approx(want, nan_ok=True) or [x is None for x in got] == [x is None for x in want]
+        assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
+
+
+def test_history_as_of_knows_nothing_later(spark, panel):
+    """Later seasons, however different, change no row of an origin before them."""
+    months = [(y, m, "hills", 5 + y % 3, 10, 9 + m, "burn") for y in range(1998, 2002) for m in (2, 3, 4, 5)]
+    schema = "year int, month int, region string, count_a long, raw_b long, celldays_b long, season string"
+
+    def known(rows, monthly):
+        out = hist.history_as_of(spark.createDataFrame(rows, PANEL), spark.createDataFrame(monthly, schema), [2000]).filter("year < 2000")
+        return sorted(map(tuple, out.collect()))
+
+    later = [(i, j, y, 1 - a if y >= 2000 else a, b, k + 5 if y >= 2000 else k) for i, j, y, a, b, k in panel]
+    assert known(panel, months) == known(later, [(*m[:3], m[3] * (9 if m[0] >= 2000 else 1), *m[4:]) for m in months])
+
+
+def test_summary_against_brute_force(spark):
+    cfg, rng = replace(CONFIG, first_year=1991, overlap_from=1996, last_year=2002), random.Random(5)
+    kinds = {0: lambda y: 1.0, 1: lambda y: float(y >= 1999), 2: lambda y: rng.choice([0.0, 0.2, 0.7, 1.0]), 3: lambda y: 0.0}
+    rows = [(c, c, y, kinds[c % 4](y), float(rng.random() < 0.6), round(rng.random() * 9, 2)) for c in range(24) for y in range(1991, 2003)]
+    df = spark.createDataFrame(rows, "ci long, cj long, year int, active double, active_naive double, activity_eq double")
+    got = {r.ci: r for r in hist.cell_summary(df, cfg, 1999).collect()}
+    assert {r.pattern for r in got.values()} >= {"chronic", "new", "rare"}
+    for c, r in got.items():
+        mine = sorted((y, a, n) for i, _, y, a, n, _ in rows if i == c)
+        streak = len(list(itertools.takewhile(lambda x: x[1] >= 0.5, reversed(mine))))
+        likely = [y for y, a, _ in mine if a >= 0.5]
+        assert (r.streak, r.first_likely, r.last_likely) == (streak, min(likely, default=None), max(likely, default=None))
+        assert r.active_seasons == pytest.approx(sum(a for _, a, _ in mine), abs=0.051) and r.active_seasons_naive == sum(n for *_, n in mine)
+        early = round(sum(a for y, a, _ in mine if y < 1996), 1) / 5
+        assert r.looks_worse_naive == (sum(n for y, _, n in mine if y >= 1996) / 7 - early >= 0.25)
+    streaks = {r.ci: r.streak for r in hist.streak(df, F.col("active") >= 0.5).collect()}
+    assert streaks == {c: r.streak for c, r in got.items()}
+
+
+def test_features_against_brute_force(spark):
+    cfg, rng = replace(CONFIG, first_year=1990, overlap_from=1994), random.Random(77)
+    cells = [(i, j) for i in range(4) for j in range(5)]
+    days = {(i, j, y): rng.randrange(1, 7) for i, j in cells for y in range(1994, 2001) if rng.random() < 0.35}
+    hist_rows = [(t, i, j, y, round(rng.random(), 3), round(rng.random() * 5, 2)) for t in (1998, 2000) for i, j in cells for y in range(1990, 2001)]
+    grid = spark.createDataFrame([(i, j, 10.0 * i, 100.0 * j, 3.0 * i + j, 0.1 * j) for i, j in cells], "ci long, cj long, population double, elev_mean double, slope_mean double, steep_frac double")
+    table = spark.createDataFrame([(*k, v) for k, v in days.items()], "ci long, cj long, year int, days int")
+    history = spark.createDataFrame(hist_rows, "origin int, ci long, cj long, year int, active double, activity_eq double")
+    got = {(r.ci, r.cj, r.year): r for r in feat.dataset(grid, table, history, [1998, 2000], cfg).collect()}
+    assert len(got) == 40 and len(feat.FEATURES) == 17 and set(feat.FEATURES) <= set(next(iter(got.values())).asDict())
+
+    def plain(i, j, t):
+        past = [days.get((i, j, y), 0) for y in range(1994, t)]
+        fired = [y for y in range(1994, t) if days.get((i, j, y), 0) > 0]
+        own = [(y, a, q) for o, a_, b_, y, a, q in hist_rows if (o, a_, b_) == (t, i, j) and y < t]
+        return {
+            "lag1_days": past[-1], "lag1": int(past[-1] > 0), "lag2": int(past[-2] > 0), "lag3": int(past[-3] > 0), "freq": mean(x > 0 for x in past),
+            "freq_heavy": mean(x >= 3 for x in past), "mean_days": mean(past), "years_since_burn": t - max(fired) if fired else 15,
+            "long_share": mean(a for _, a, _ in own), "long_activity": mean(q for *_, q in own), "long_recent3": mean(a for y, a, _ in own if y >= t - 3),
+            "log_pop": math.log1p(10 * i), "elev_mean": 100.0 * j, "slope_mean": 3.0 * i + j, "steep_frac": 0.1 * j, "burned": int(days.get((i, j, t), 0) >= 3),
+        }
+
+    flat = {k: plain(*k) for k in got}
+    for (i, j, t), r in got.items():
+        want = flat[i, j, t]
+        near = [(a, b, t) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) if (a, b) != (i, j) and (a, b, t) in flat]
+        want |= {"nbr_lag1": sum(flat[k]["lag1"] for k in near) / 8, "nbr_freq": sum(flat[k]["freq"] for k in near) / 8}
+        assert {k: r[k] for k in want} == pytest.approx(want)
+
+
+def test_ranking_measures_against_every_order_of_ties(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        rows = [(int(rng.random() < 0.4), rng.randrange(3) / 4) for _ in range(6)]
+        if len({y for y, _ in rows}) < 2:
+            continue
+        df = spark.createDataFrame(rows, "y int, s double")
+        orders = [o for o in itertools.permutations(rows) if all(a[1] >= b[1] for a, b in zip(o, o[1:], strict=False))]
+        for k in (1, 3, 5):
+            assert rank.precision_at_k(df, "s", "y", k).first().precision == pytest.approx(mean(sum(y for y, _ in o[:k]) / k for o in orders))
+        assert rank.precision_at_k(df, "s", "y", 7).first().precision is None
+        hits, misses = [s for y, s in rows if y], [s for y, s in rows if not y]
+        assert rank.roc_auc(df, "s", "y").first().auc == pytest.approx(mean((a > b) + (a == b) / 2 for a in hits for b in misses))
+        steps, found = sorted({s for _, s in rows}, reverse=True), 0
+        ap = 0.0
+        for s in steps:
+            above = [y for y, t in rows if t >= s]
+            ap += (sum(above) - found) / len(hits) * sum(above) / len(above)
+            found = sum(above)
+        assert rank.average_precision(df, "s", "y").first().avg_precision == pytest.approx(ap)
+
+
+def test_choice_by_tolerance_against_brute_force(spark):
+    rng, order = random.Random(2), ["plain", "older", "longer", "trees"]
+    for _ in range(8):
+        rows = [(m, round(rng.uniform(0.3, 0.36), 3), round(rng.uniform(0.2, 0.25), 3)) for m in order]
+        near = [m for m, p, a in rows if p >= max(r[1] for r in rows) - 0.02 and a >= max(r[2] for r in rows) - 0.02]
+        got = rank.choose_default(spark.createDataFrame(rows, "method string, p50 double, ap double"), order, fallback="none of them").first().chosen
+        assert got == (near[0] if near else "none of them")
+
+
+@pytest.fixture(scope="module")
+def cells():
+    rng = random.Random(19)
+    return [(i, j, rng.randrange(8), rng.choice([None, rng.uniform(0, 40)]), rng.uniform(0, 30_000), rng.uniform(0, 60_000), rng.random()) for i in range(9) for j in range(8)]
+
+
+CELLS = "ci long, cj long, fire_days int, fire_slope double, people_r1 double, people_r2 double, forecast_score double"
+
+
+def brute_score(r, kind, p, limit=None):
+    _, _, days, slope, r1, r2, fc = r
+    if slope is None:
+        return 0.0
+    unit = lambda x: max(0.0, min(1.0, x))
+    burn = days / p["heavy_days"] if kind == "observed" else fc / limit[p["forecast_q"]]
+    return unit(burn) * unit(slope / p["slope_full"]) * unit(math.log1p(r1 if p["pop_radius"] == 1 else r2) / math.log1p(p["people_full"]))
+
+
+@pytest.mark.parametrize("kind", ["observed", "forecast"])
+def test_robustness_and_priority_against_brute_force(spark, cells, kind):
+    df, n = spark.createDataFrame(cells, CELLS), 12
+    scores = sorted(r[6] for r in cells)
+
+    def quantile(q):
+        at = q * (len(scores) - 1)
+        return scores[math.floor(at)] + (at % 1) * (scores[math.ceil(at)] - scores[math.floor(at)])
+
+    limit = {q: quantile(q) for q in rank.VARIANTS["forecast_q"]}
+    tops = []
+    for p in rank.settings(kind):
+        s = {r[:2]: brute_score(r, kind, p, limit) for r in cells}
+        tops.append([c for c in sorted(s, key=lambda c: (-s[c], -c[0], c[1])) if s[c] > 0][:n])
+    assert len(tops) == 55
+    share = {r[:2]: sum(r[:2] in t for t in tops[1:]) / 54 for r in cells}
+    got = {(r.ci, r.cj): r for r in rank.prioritise(df, kind, n).collect()}
+    for r in cells:
+        g = got[r[:2]]
+        assert g.robustness == pytest.approx(share[r[:2]]) and g.score == pytest.approx(brute_score(r, kind, rank.DEFAULT, limit), abs=6e-5)
+        inspect = g["rank"] <= 3 * n and (r[3] or 0) >= 15 and g.score > 0
+        active = (r[2] if kind == "observed" else r[6]) > 0
+        assert g.priority == ("inspect first" if share[r[:2]] >= 0.8 else "inspect" if inspect else "monitor" if active else "none")
+        assert g.action == rank.ACTIONS[g.priority]
+    assert sorted(g["rank"] for g in got.values()) == list(range(1, len(cells) + 1))
+    one = rank.robustness_summary(df, kind, n).first()
+    jaccard = [len(set(t) & set(tops[0])) / len(set(t) | set(tops[0])) for t in tops[1:]]
+    assert (one.variants, one.jaccard_median, one.jaccard_min) == (54, pytest.approx(median(jaccard)), pytest.approx(min(jaccard)))
+    assert one.robust_anywhere == sum(v >= 0.8 for v in share.values()) and one.default_top_robust == sum(share[c] >= 0.8 for c in tops[0])
+
+
+def test_settings_are_arguments(spark, cells):
+    df = spark.createDataFrame(cells, CELLS)
+    few = {"heavy_days": [2], "forecast_q": [0.9], "slope_full": [10.0], "people_full": [10.0], "pop_radius": [2]}
+    assert {r.robustness for r in rank.robustness(df, "observed", 5, few).collect()} == {0.0, 1.0}
+
+
+def test_neighbours_dilation_and_bounds(spark):
+    rng = random.Random(3)
+    rows = [(i, j, rng.choice([None, rng.uniform(0, 9)])) for i in range(5) for j in range(5) if rng.random() < 0.7]
+    value = {(i, j): v or 0.0 for i, j, v in rows}
+    got = {(r.ci, r.cj): r.m for r in neighbour_mean(spark.createDataFrame(rows, "ci long, cj long, population double"), "population", "m").collect()}
+    near = lambda i, j: [(a, b) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1)]
+    assert got == pytest.approx({c: sum(value.get(x, 0.0) for x in near(*c) if x != c) / 8 for c in value})
+    wide = dilate(spark.createDataFrame(rows, "fi long, fj long, v double")).collect()
+    assert {(r.fi, r.fj) for r in wide} == {x for c in value for x in near(*c)} and len(wide) == len(set(wide))
+    one = spark.range(1).select(cell(F.lit(-0.001), 0.01).alias("c"), F.array(*bounds(F.lit(3), F.lit(-2), 0.5)).alias("b")).first()
+    assert one.c == -1 and one.b == [-1.0, 1.5, -0.5, 2.0]
+
+
+def test_boosted_trees_are_fitted_before_each_origin(spark):
+    """The season itself decides nothing: its labels turned round, the scores stay."""
+    rng = random.Random(6)
+    rows = [(t, y, rng.random(), rng.randrange(2)) for t in (3, 4) for y in range(1, t + 1) for _ in range(30)]
+    rows = [(t, y, x, int(x > 0.5)) for t, y, x, _ in rows]
+    schema = "origin int, year int, lag1_days double, burned int"
+    score = lambda data: [(r.year, r.lag1_days, r.score_boosted) for r in feat.boosted_by_origin(spark.createDataFrame(data, schema), [1, 3, 4], columns=["lag1_days"], rounds=3).collect()]
+    a, b = score(rows), score([(t, y, x, 1 - z if y == t else z) for t, y, x, z in rows])
+    assert sorted(a) == sorted(b) and len(a) == 60
+    assert all((s > 0.5) == (x > 0.5) for _, x, s in a if abs(x - 0.5) > 0.1)
+
+
+def test_chance_is_the_base_rate(spark):
+    pts = [(1, c, 2000, f"2000-03-0{d}", s, 1.0, 300.0, 0.0) for c, n, s in ((0, 4, 20.0), (1, 3, 2.0), (2, 1, 30.0)) for d in range(1, n + 1)]
+    points = spark.createDataFrame(pts, "ci long, cj long, year int, date string, slope double, steep double, people_r1 double, people_r2 double")
+    grid = spark.createDataFrame([(1, c) for c in range(10)], "ci long, cj long")
+    got = {r.outcome: (r.base_rate, r.expected) for r in rank.chance(points, grid, [2000], 5).collect()}
+    assert got == {"heavy": (0.2, 1.0), "steep": (0.1, 0.5), "steep_people": (0.1, 0.5)}
