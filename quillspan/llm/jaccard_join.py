@@ -34,7 +34,7 @@ from quillspan.llm.common import Scratch, SpanHash, WordHashes, as_long, compone
 NGRAM = 5
 THRESHOLD = 0.8
 TREES = 40
-DEPTH = 8
+DEPTH = 7
 RECALL = 0.9999
 #: Classes of a node that one block holds, and n-grams.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
@@ -297,27 +297,31 @@ def _level(classes: DataFrame, raw: DataFrame, scratch: Scratch, d: int, longer:
     members = leaves.join(nodes, ["tree", "node"])
     stars = members.filter("cls != top").select(F.col("cls").alias("u"), F.col("top").alias("v"))
     groups = components(stars, scratch, f"groups{d}_").withColumnsRenamed({"node": "cls"})
-    groups = scratch.table(f"groups{d}", groups.join(classes.select("cls", "cls_key", "n_rows", "n_shingles"), "cls"))
+    groups = groups.join(classes.select("cls", "cls_key", "n_rows", "n_shingles", *keys), "cls")
+    groups = scratch.table(f"groups{d}", groups)
     alone = nodes.join(groups.select("cls", "root"), nodes.top == groups.cls).groupBy("root").agg(F.sum(F.col("n") * F.col("n_blocks")).alias("sent"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n_shingles").alias("grams")).withColumn("n_blocks", blocks("classes", "grams"))
     sizes = scratch.table(f"sizes{d}", sizes.join(alone, "root").select("root", "n_blocks", (F.col("classes") * F.col("n_blocks") <= F.col("sent")).alias("whole")))
     placed = groups.join(sizes, "root")
-
-    split = placed.filter("not whole").select("cls")
-    members = members.select("cls", "tree", "node", "n_blocks").join(split, "cls").join(classes.select("cls", *keys), "cls")
-    node = ["tree", "node", "i", "j"]
-    met = _dealt(members).groupBy(*node).applyInArrow(_screen(longer is not None), "tree int, node long, i int, j int, block int, cls long")
-    met = scratch.table(f"met{d}", met)
-    chosen = placed.filter("whole").select("cls").unionByName(met.select("cls").distinct())
-    chosen = scratch.table(f"chosen{d}", chosen.join(groups.select("cls", "cls_key", "n_rows"), "cls"))
+    again = ["now", "before"][: len(keys)]
+    chosen, node = placed.filter("whole").select("cls", "cls_key", "n_rows"), ["tree", "node", "i", "j"]
+    split = not sizes.filter("not whole").isEmpty()
+    if split:
+        parts = placed.filter("not whole").select("cls", "cls_key", "n_rows", *again)
+        members = _dealt(members.select("cls", "tree", "node", "n_blocks").join(parts.drop("cls_key", "n_rows"), "cls"))
+        met = members.groupBy(*node).applyInArrow(_screen(longer is not None), "tree int, node long, i int, j int, block int, cls long")
+        met = scratch.table(f"met{d}", met)
+        chosen = chosen.unionByName(parts.drop(*again).join(met.select("cls").distinct(), "cls", "left_semi"))
+    chosen = scratch.table(f"chosen{d}", chosen)
     texts = raw.join(chosen, (raw.doc_id == chosen.cls) & (raw.row_key == chosen.cls_key))
+    # One text for each class, though its document may be repeated.
     sets = texts.groupBy("cls", "n_rows").agg(F.max("text").alias("text")).mapInArrow(_sets(n), "cls long, n_rows long, grams binary")
-    sets = scratch.table(f"sets{d}", sets)
-    ready = sets.join(classes.select("cls", *keys), "cls")
+    ready = scratch.table(f"sets{d}", sets).join(placed.select("cls", "root", "n_blocks", "whole", *again), "cls")
     kinds = "kind int, u long, v long, n long"
-    found = met.join(ready, "cls").groupBy(*node).applyInArrow(_verify(threshold, longer is not None, False), kinds)
-    whole = _dealt(placed.filter("whole").select("cls", "root", "n_blocks").join(ready, "cls"))
-    found = found.unionByName(whole.groupBy("root", "i", "j").applyInArrow(_verify(threshold, longer is not None, True), kinds))
+    found = _dealt(ready.filter("whole").drop("whole")).groupBy("root", "i", "j").applyInArrow(_verify(threshold, longer is not None, True), kinds)
+    if split:
+        one_by_one = met.join(ready.drop("root", "n_blocks", "whole"), "cls")
+        found = found.unionByName(one_by_one.groupBy(*node).applyInArrow(_verify(threshold, longer is not None, False), kinds))
     found = scratch.table(f"found{d}", found)
     scratch.drop(*(f"{name}{d}" for name in ("nodes", "groups", "sizes", "met", "chosen", "sets")))
     return found
