@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.staging import file_system, scratch_folder
+
 #: Words everywhere in this subpackage: runs without these six ASCII characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,22 +41,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="quillspan-")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session; on a cluster that is an error."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if context.master == "local" or context.master.startswith("local["):
-        return _local_root()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
@@ -68,15 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        fs, path = self._at(self.root)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-
-    def _at(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+        self.root = scratch_folder(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -88,7 +63,7 @@ class Scratch:
     def drop(self, *names: str, collect: bool = True) -> None:
         """Delete tables; with collect, let the driver forget the shuffles behind them too, so that their files go."""
         for name in names:
-            fs, path = self._at(self.path(name))
+            fs, path = file_system(self.spark, self.path(name))
             fs.delete(path, True)
         if collect:
             self.spark.sparkContext._jvm.System.gc()

@@ -20,16 +20,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspan.llm.common import documents, slices
+from quillspan.llm.common import Scratch, documents, slices
 
 BITS = 18
 FACTORS = 8
 STEMS = (3, 4, 5)
 #: Terms are fitted first if their frequencies differ by so many standard errors; all terms need at least so many texts.
 MIN_Z, MIN_TEXTS = 4.0, 4
-#: The bound on labelled rows that a model is fitted on.
-MAX_TRAIN_ROWS = 12_000
+#: The bounds on labelled rows that a model is fitted on, and on the bytes of their terms (4 a term).
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 12_000, 256 << 20
 EPOCHS = 12
 THRESHOLD = 0.7
 STRIP = b".,;:!?\"'()[]{}<>-_*"
@@ -201,8 +202,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> Machine:
-    """Fit on at most max_rows labelled rows, chosen by a hash of their id, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> Machine:
+    """Fit on at most max_rows labelled rows with at most max_bytes of terms, chosen by a hash of their id, none of them held out.
 
     Null labels and null ids are left out; of repeated labels the largest
     counts, of repeated documents one. Without a row of either label the
@@ -214,7 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(_terms_of, "doc_id long, toxic int, terms binary")
     # One row for each id of the sample, however often its document is repeated.
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")).toArrow()
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms"))
+    rows = Scratch(docs.sparkSession, "toxicity").table("rows", rows)
+    # One order over at most max_rows ids and sizes.
+    taken = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = rows.select("doc_id", taken.alias("taken")).filter(F.col("taken") <= max_bytes).select("doc_id")
+    rows = rows.join(fits, "doc_id", "left_semi").toArrow()
     y = np.asarray(rows.column("toxic").combine_chunks() if rows.num_rows else []).astype(float)
     if not len(y) or y.min() == y.max():
         size = 1 << BITS
