@@ -130,6 +130,8 @@ def _sets(n: int):
 
 def _common(one: list[np.ndarray], two: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Matrix of how many n-grams are in both; only where pairs is true need it be right."""
+    if not pairs.any():
+        return np.zeros(pairs.shape)
     size1, size2 = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     if pairs.sum() * PAIR_COST < len(one) * size2.sum() + size1.sum() * len(two):
         common = np.zeros(pairs.shape, dtype=np.float64)
@@ -183,6 +185,8 @@ def spanning(rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
 
 def forest_of(links: np.ndarray, ids1: np.ndarray, ids2: np.ndarray) -> list[tuple[int, int]]:
     """As spanning(), but of a whole matrix: rows join their first link, then first links of columns."""
+    if not links.any():
+        return []
     first = links.argmax(axis=1)
     has = links.any(axis=1)
     rows = np.flatnonzero(has)
@@ -251,7 +255,7 @@ def _verify(threshold: float, longer: bool, whole: bool):
         one = [sets[k] for k in a]
         two = one if same else [sets[k] for k in b]
         both = _common(one, two, found)
-        union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - both
+        union = np.array([len(x) for x in one], float)[:, None] + np.array([len(x) for x in two], float)[None, :] - both
         # both >= threshold * union, with room for rounding of the product alone
         links = found & (both >= threshold * union - 1e-9)
         r, c = np.nonzero(links)
