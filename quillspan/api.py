@@ -183,7 +183,7 @@ def history_share(flags: DataFrame) -> DataFrame:
     """Share of active cells by year, calibrated and naive, at three places."""
     from quillspan.operators.history import share_by_year
 
-    return share_by_year(flags).select("year", *(F.bround(c, 3).alias(c) for c in ("harmonized", "naive"))).orderBy("year")
+    return share_by_year(flags).select("year", *(F.bround(F.round(c, 9), 3).alias(c) for c in ("harmonized", "naive"))).orderBy("year")
 
 
 def grid_rows(grid: DataFrame) -> DataFrame:

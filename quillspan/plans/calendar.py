@@ -263,3 +263,30 @@ def calendar_region(spark, sf_dir):
 @BOOK.add("heat_bins", q(("months",), "SELECT year, month, region, (count_a >= 1)::INT + (count_a >= 10)::INT + (count_a >= 50)::INT + (count_a >= 200)::INT AS heat FROM months"))
 def heat_bins(spark, sf_dir):
     return months(spark, sf_dir).select("year", "month", "region", counts.heat_class(F.col("count_a")).alias("heat"))
+
+
+@BOOK.add("annual_region", q(("harm", "series"), f"""
+SELECT year, months, count_a, naive, harmonized, lo, hi FROM (SELECT a.*, {r('lo', 'hi')} FROM
+ (SELECT year, CAST(count(DISTINCT month) AS INT) AS months, CAST(sum(count_a) AS BIGINT) AS count_a, CAST(sum(naive) AS BIGINT) AS naive, {r('sum(round_even(harmonized, 1)) AS harmonized')} FROM harm WHERE region = 'plains' GROUP BY year) a
+ JOIN (SELECT year, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (SELECT rep, year, sum(value) AS v FROM series WHERE region = 'plains' GROUP BY ALL) GROUP BY year) b USING (year))"""))
+def annual_region(spark, sf_dir):
+    from quillspan.api import calendar_annual
+
+    return rounded(calendar_annual(uncertainty.annual_rollup(harmonized(spark, sf_dir), replicate_series(spark, sf_dir)), "plains"))
+
+
+@BOOK.add("archive_read", q(("obs",), f"""
+SELECT sensor, satellite, year, month, kind, count(*) AS n, {r('sum(CASE WHEN conf_raw IN (\'l\', \'n\', \'h\') THEN CASE conf_raw WHEN \'l\' THEN 20 WHEN \'n\' THEN 60 ELSE 90 END ELSE coalesce(try_cast(conf_raw AS DOUBLE), 0) END) AS conf')}, CAST(sum(hhmm) AS BIGINT) AS hhmm FROM obs GROUP BY ALL"""))
+def archive_read(spark, sf_dir):
+    """All detections written as yearly CSV archives of two families, and read back as one table."""
+    from quillspan.sources import readers, writers
+    from quillspan.staging import scratch_folder
+
+    root = scratch_folder(spark, "archives")
+    obs = observations(spark, sf_dir)
+    common = ["lat AS latitude", "lon AS longitude", "300.0 AS bright", "1.0 AS scan", "1.0 AS track", "cast(date AS string) AS acq_date", "cast(hhmm AS string) AS acq_time",
+              "CASE WHEN satellite = 'S-NPP' THEN 'N' ELSE satellite END AS satellite", "'x' AS instrument", "conf_raw AS confidence", "'1' AS version", "290.0 AS bright_t", "frp", "daynight", "kind AS type"]
+    for sensor in ("A", "B"):
+        writers.write_csv(obs.filter(F.col("sensor") == sensor).selectExpr(*common), f"{root}/{sensor}")
+    raw = readers.read_archive(spark, {"A": ([f"{root}/A"], readers.ARCHIVE_A), "B": ([f"{root}/B", f"{root}/none"], readers.ARCHIVE_B)})
+    return rounded(readers.normalise(raw).groupBy("sensor", "satellite", "year", "month", "kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("conf", F.lit(0.0))).alias("conf"), F.sum("hhmm").alias("hhmm")))

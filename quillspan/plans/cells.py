@@ -435,3 +435,43 @@ def cell_lookup(spark, sf_dir):
     from quillspan.api import cell_history
 
     return cell_history(flags(spark, sf_dir), 21.05, 92.05).select("year", "active", "active_naive", "activity_eq")
+
+
+def _listed(spark, sf_dir):
+    return prioritised(spark, sf_dir).withColumn("kind", F.lit("observed"))
+
+
+@BOOK.add("watchlist_top", q(("ranked",), f"SELECT ci, cj, rank, {r('score')} FROM ranked WHERE priority = 'inspect' AND district = 'd2' ORDER BY rank LIMIT 20"))
+def watchlist_top(spark, sf_dir):
+    from quillspan.api import watchlist as top
+
+    return rounded(top(_listed(spark, sf_dir), "observed", "inspect", "D2", 20).select("ci", "cj", "rank", "score"))
+
+
+@BOOK.add("map_rows", q(("ranked",), "SELECT ci, cj, priority FROM ranked WHERE priority <> 'none'"))
+def map_rows(spark, sf_dir):
+    from quillspan.api import map_rows as rows
+
+    return rows(_listed(spark, sf_dir)).select("ci", "cj", "priority")
+
+
+@BOOK.add("grid_rows", q(("grid",), "SELECT slope_mean, population, people_cell, elev_mean, round_even(steep_frac, 3) AS steep_frac, district FROM grid"))
+def grid_rows(spark, sf_dir):
+    from quillspan.api import grid_rows as rows
+
+    return rows(grid(spark))
+
+
+@BOOK.add("history_share", q(("flags",), "SELECT year, round_even(round(avg(active), 9), 3) AS harmonized, round_even(round(avg(active_naive), 9), 3) AS naive FROM flags GROUP BY year"))
+def history_share(spark, sf_dir):
+    from quillspan.api import history_share as share
+
+    return share(flags(spark, sf_dir))
+
+
+@BOOK.add("cell_bounds", q(("grid",), f"SELECT ci, cj, {r('cj * 0.02e0 AS west', 'ci * 0.02e0 AS south', '(cj + 1) * 0.02e0 AS east', '(ci + 1) * 0.02e0 AS north')} FROM grid"))
+def cell_bounds(spark, sf_dir):
+    from quillspan.operators.grid import bounds
+
+    sides = zip(bounds("ci", "cj", 0.02), ("west", "south", "east", "north"), strict=True)
+    return rounded(grid(spark).select("ci", "cj", *(c.alias(n) for c, n in sides)))

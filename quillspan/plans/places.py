@@ -43,6 +43,7 @@ SELECT cell, clear_share, s10, s20, s27, s44, dm, CASE WHEN clear_share < 0.3 TH
   SELECT cell, count(d) / 100 AS clear_share, count(*) FILTER (d >= 0.10) / count(d) AS s10, count(*) FILTER (d >= 0.20) / count(d) AS s20, count(*) FILTER (d >= 0.27) / count(d) AS s27, count(*) FILTER (d >= 0.44) / count(d) AS s44, median(d) AS dm
   FROM (SELECT cell, row, col, max(nbr) FILTER (win = 'pre') - max(nbr) FILTER (win = 'post') AS d FROM nbr GROUP BY ALL) GROUP BY cell)""")
 part("static", ("obs",), "SELECT DISTINCT fi + a AS fi, fj + b AS fj FROM (SELECT DISTINCT CAST(floor(lat / 0.01e0) AS BIGINT) AS fi, CAST(floor(lon / 0.01e0) AS BIGINT) AS fj FROM obs WHERE kind <> 0) CROSS JOIN (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b)")
+part("hotspots", (), "SELECT DISTINCT CAST(floor((21.0005e0 + (s_suppkey % 200) * 0.002e0) / 0.01e0) AS BIGINT) AS fi, CAST(floor((92.0005e0 + (s_suppkey % 20) * 0.02e0) / 0.01e0) AS BIGINT) AS fj FROM supplier WHERE s_acctbal < -500")
 part("week", ("obs", "static", "grid"), """
 SELECT o.*, g.slope_mean, g.population, CAST(floor(o.lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(o.lon / 0.02e0) AS BIGINT) AS cj, CASE WHEN g.ci % 9 = 0 THEN ['2001'] END AS seasons,
   g.ci IS NOT NULL AS hills, g.ci IS NOT NULL AND (g.slope_mean >= 15 AND g.population >= 200 OR g.ci % 9 = 0) AS chk
@@ -308,3 +309,29 @@ def streaming_daily(spark, sf_dir):
     placed = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.lit(21.0005) + (F.col("user_id") % 20) * 0.02).alias("lat"), (F.lit(92.0005) + (F.col("user_id") % 10) * 0.02).alias("lon"))
     watch.run_available(watch.daily_cells(placed), lambda batch, n: batch.write.mode("overwrite").parquet(f"{run}/out/batch={n}"), f"{run}/state")
     return spark.read.parquet(f"{run}/out").select(F.col("window.start").alias("day"), "ci", "cj", "fires")
+
+
+@BOOK.add("read_window", q(("raster",), f"""
+SELECT y AS row, x AS col, coalesce(value, 0) AS value FROM range(8) a(y) CROSS JOIN range(9) b(x) LEFT JOIN raster ON row = y + {SIZE - 5} AND col = x - 3"""))
+def read_window(spark, sf_dir):
+    return spatial.read_window(raster(spark), SIZE - 5, -3, 8, 9)
+
+
+@BOOK.add("live_static", q(("obs", "static"), "SELECT count(*) AS static FROM obs o WHERE date > CAST('2001-03-08' AS DATE) AND date <= CAST('2001-03-15' AS DATE) AND sensor = 'B' AND EXISTS (SELECT 1 FROM static s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))"))
+def live_static(spark, sf_dir):
+    recent = live.window(observations(spark, sf_dir).filter("sensor = 'B' and date <= date'2001-03-15'"))
+    return live.static_count(recent, static(spark, sf_dir))
+
+
+@BOOK.add("normal_hills_week", q(("obs", "hotspots", "grid"), f"""
+SELECT {r('avg(n) AS normal')} FROM (SELECT y, count(id) AS n FROM range(1995, 2002) v(y) LEFT JOIN (SELECT o.* FROM obs o JOIN grid g ON floor(o.lat / 0.02e0) = g.ci AND floor(o.lon / 0.02e0) = g.cj
+  WHERE g.ci % 2 = 0 AND NOT EXISTS (SELECT 1 FROM hotspots s WHERE abs(s.fi - floor(o.lat / 0.01e0)) <= 1 AND abs(s.fj - floor(o.lon / 0.01e0)) <= 1)) p ON date > make_date(y, 3, 8) AND date <= make_date(y, 3, 15) GROUP BY y)"""))
+def normal_hills_week(spark, sf_dir):
+    """Detections in half of the grid and off the cells of suppliers with very low balances, which stand for static sources."""
+    obs = observations(spark, sf_dir)
+    return rounded(live.normal_hills_week(obs, grid(spark).filter("ci % 2 = 0"), live.static_cells(hotspots(spark, sf_dir)), "2001-03-15", list(range(1995, 2002))))
+
+
+def hotspots(spark, sf_dir):
+    poor = table(spark, sf_dir, "supplier").filter("s_acctbal < -500").select((F.lit(92.0005) + (F.col("s_suppkey") % 20) * F.lit(0.02)).alias("lon"), (F.lit(21.0005) + (F.col("s_suppkey") % 200) * F.lit(0.002)).alias("lat"))
+    return poor.withColumn("kind", F.lit(2))

@@ -22,6 +22,7 @@ from quillspan.operators import live as watch
 from quillspan.operators.grid import centre, members, neighbour_mean, with_cells
 from quillspan.sources.readers import raster_position
 from quillspan.sources.writers import as_arrays, as_json, report, save_model, write_csv, write_table, write_text
+from quillspan.streaming.watch import run_available
 
 
 @dataclass
@@ -267,6 +268,21 @@ def live(run: Run, detections: DataFrame, grid: DataFrame, places: DataFrame, pa
     return json.loads(text)
 
 
+def live_stream(run: Run, arrivals: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str, days: int = 7) -> None:
+    """live() over a folder that detections arrive in, once for all that has come since the last time.
+
+    arrivals: a stream of detections (streaming.watch.arrivals). A batch that is
+    worked off twice after a failure replaces itself, and a detection that comes
+    twice counts once.
+    """
+    def work(batch: DataFrame, number: int) -> None:
+        write_table(batch, f"{run.root}/arrived/batch={number}")
+        seen = run.tables.table("arrived").drop("batch").dropDuplicates()
+        live(run, seen, grid, places, past, years, source, days)
+
+    run_available(arrivals, work, f"{run.root}/live_state")
+
+
 def check_imagery(run: Run, pixels: DataFrame | None, n: int, seed: int, pixels_per_cell: int, valid: list[int], recent_since: int) -> dict:
     """Sample cells, judge their before and after images, hand out a blind kit, and report; without pixels, score what was judged before again.
 

@@ -67,7 +67,10 @@ def read_settlements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_live(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> tuple[DataFrame, str | None]:
-    """Live detections inside the box (west, south, east, north), times padded to four digits, and the last date of the whole file."""
+    """Live detections inside the box (west, south, east, north), times padded to four digits, and the last date of the whole file. A file without the header, such as an error page, is an error."""
+    first = spark.read.text(path).first()
+    if first is None or not first.value.startswith("latitude"):
+        raise ValueError(f"not a table of detections: {(first.value if first else '')[:80]!r}")
     raw = spark.read.schema(LIVE).option("header", True).csv(path)
     last = raw.agg(F.max("acq_date")).first()[0]
     west, south, east, north = box

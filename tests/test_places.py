@@ -155,6 +155,9 @@ def test_live_reader_clips_after_taking_the_last_date(spark, tmp_path):
     (tmp_path / "live.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
     df, last = readers.read_live(spark, str(tmp_path / "live.csv"), (50.0, 10.0, 51.0, 11.0))
     assert last == "2018-11-09" and sorted(r.acq_time for r in df.collect()) == ["0045", "1207"]
+    (tmp_path / "error.csv").write_text("Invalid key.\n")
+    with pytest.raises(ValueError):
+        readers.read_live(spark, str(tmp_path / "error.csv"), (50.0, 10.0, 51.0, 11.0))
 
 
 def test_archive_reader_skips_what_is_missing(spark, tmp_path):

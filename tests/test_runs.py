@@ -12,6 +12,7 @@ from quillspan.operators import ranking, spatial
 from quillspan.operators.grid import centre
 from quillspan.plans import adapter
 from quillspan.plans.places import places, scenes
+from quillspan.streaming import watch
 
 SF = "/root/testdata/sf0.001"
 YEARS = [1998, 1999, 2000]
@@ -72,6 +73,15 @@ def test_whole_run(spark, world):
     days = obs.filter("sensor = 'B' and date <= date'2001-03-15'")
     doc = runs.live(run, days, grid.drop("district", "people_cell", "elev_mean", "steep_frac", "slope_p90"), places(spark), days, [2000, 2001], "a file")
     assert doc == json.loads(open(f"{run.root}/live.json").read()) and doc["counts"]["to"] == "2001-03-15" and doc["counts"]["fires"] == len(doc["fires"])
+    # The same from a folder that the days arrive in, some of them twice.
+    shown = grid.drop("district", "people_cell", "elev_mean", "steep_frac", "slope_p90")
+    days.filter("date < date'2001-03-12'").write.parquet(f"{run.root}/in/a")
+    days.filter("date >= date'2001-03-10'").write.parquet(f"{run.root}/in/b")
+    fields = days.schema.simpleString()[7:-1].replace(":", " ")
+    stream = watch.arrivals(spark, f"{run.root}/in/*", fields, files=1)
+    runs.live_stream(run, stream, shown, places(spark), days, [2000, 2001], "a file")
+    again = json.loads(open(f"{run.root}/live.json").read())
+    assert again["counts"] == doc["counts"] and sorted(map(str, again["fires"])) == sorted(map(str, doc["fires"])) and again["alerts"] == doc["alerts"]
     cells = [f"{r.ci}_{r.cj}" for r in lists.filter("kind = 'observed'").select("ci", "cj").collect()]
     pixels = scenes(spark).filter("cell < 2").join(spark.createDataFrame([(c, i % 2) for i, c in enumerate(cells)], "name string, cell long"), "cell").drop("cell").withColumnRenamed("name", "cell")
     report = runs.check_imagery(run, pixels, 5, 3, 100, [4], 2001)
