@@ -233,7 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs without text, with score between 0 and 1. Null and empty texts get the score of the bias alone.
 
-    The machine has a fixed size (2^18 terms), however large the corpus.
+    A row's score depends on its text alone, so repeated rows have equal scores
+    and an empty table stays empty. A column score of docs is replaced, all
+    others stay. The machine has a fixed size (2^18 terms), however large the
+    corpus.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
