@@ -317,7 +317,8 @@ def _level(classes: DataFrame, raw: DataFrame, scratch: Scratch, d: int, longer:
         met = scratch.table(f"met{d}", met)
         chosen = chosen.unionByName(parts.drop(*again).join(met.select("cls").distinct(), "cls", "left_semi"))
     chosen = scratch.table(f"chosen{d}", chosen)
-    texts = raw.join(chosen, (raw.doc_id == chosen.cls) & (raw.row_key == chosen.cls_key))
+    # Texts are dealt by document whatever the size, as with any larger table; a sort-merge join can spill.
+    texts = raw.join(chosen.hint("merge"), (raw.doc_id == chosen.cls) & (raw.row_key == chosen.cls_key))
     # One text for each class, though its document may be repeated.
     sets = texts.groupBy("cls", "n_rows").agg(F.max("text").alias("text")).mapInArrow(_sets(n), "cls long, n_rows long, grams binary")
     ready = scratch.table(f"sets{d}", sets).join(placed.select("cls", "root", "n_blocks", "whole", *again), "cls")
