@@ -24,18 +24,42 @@ def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: floa
     return F.hypot((lat1 - lat2) * 110.57, (lon1 - lon2) * kx)
 
 
+#: Sides of grid cells in degrees, from which nearest_place() chooses; the largest holds the world.
+CELLS = [0.05 * 2**k for k in range(14)]
+
+
 def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], distance=haversine_km, named_only: bool = False) -> DataFrame:
     """keys, place and km: the nearest place of each point; the place with the smaller place_id wins a tie.
 
     points: keys, lat, lon, one row for each set of keys. places: place_id,
-    name, lat, lon; a gazetteer, broadcast if Spark finds it small. Every pair
-    is looked at, but only the best so far is kept.
+    name, lat, lon. The smallest grid cell around a point that holds a place
+    bounds the distance; the point then meets the places of the cells around it
+    on a grid so much coarser that none within that bound is missed. Towards
+    the poles and the date line the coarsest grid serves, where all places meet.
     """
     if named_only:
         places = places.filter("name != '(unnamed)'")
-    p = places.select("place_id", "name", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+    number = lambda c, offset, side: F.floor((c + offset) / side).cast("long")
+    grids = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(side).alias("side")) for k, side in enumerate(CELLS))))
+    placed = places.select("place_id", "name", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), grids.alias("_g"))
+    placed = placed.select("place_id", "name", "_plat", "_plon", F.col("_g.level").alias("_level"), number(F.col("_plat"), 90, F.col("_g.side")).alias("_i"), number(F.col("_plon"), 180, F.col("_g.side")).alias("_j"))
+    around = points.select(*keys, "lat", "lon", grids.alias("_g"))
+    around = around.select(*keys, "lat", "lon", F.col("_g.level").alias("_level"), number(F.col("lat"), 90, F.col("_g.side")).alias("_i"), number(F.col("lon"), 180, F.col("_g.side")).alias("_j"))
+    held = placed.select("_level", "_i", "_j").distinct()
+    first = around.join(held, ["_level", "_i", "_j"], "left_semi").groupBy(*keys).agg(F.min("_level").alias("_level"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    # A place in a cell of side c is within 1.5 c degrees of latitude; as many kilometres are 1.5 c / cos(latitude) degrees of longitude.
+    side = F.lit(CELLS[0]) * F.pow(F.lit(2.0), F.col("_level"))
+    narrow = F.cos(F.radians(F.least(F.abs("lat") + 2 * side, F.lit(89.9))))
+    coarser = F.ceil(F.log2(1.5 / narrow)).cast("int")
+    reach = side * F.pow(F.lit(2.0), coarser)
+    top = len(CELLS) - 1
+    level = F.when((F.abs("lon") + reach > 180) | (F.abs("lat") + reach > 89), top).otherwise(F.least(F.lit(top), F.col("_level") + coarser))
+    chosen = first.withColumn("_level", level).withColumn("_side", F.lit(CELLS[0]) * F.pow(F.lit(2.0), F.col("_level")))
+    step = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
+    cells = chosen.withColumn("_o", step).withColumn("_i", number(F.col("lat"), 90, F.col("_side")) + F.col("_o.x")).withColumn("_j", number(F.col("lon"), 180, F.col("_side")) + F.col("_o.y"))
     km = distance(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
-    best = points.crossJoin(p).groupBy(*keys).agg(F.min_by(F.struct("name", km.alias("km")), F.struct(km, "place_id")).alias("b"))
+    met = cells.drop("_o", "_side").join(placed, ["_level", "_i", "_j"])
+    best = met.groupBy(*keys).agg(F.min_by(F.struct("name", km.alias("km")), F.struct(km, "place_id")).alias("b"))
     return best.select(*keys, F.col("b.name").alias("place"), F.col("b.km").alias("km"))
 
 
@@ -135,10 +159,19 @@ def _windows(points: DataFrame, keys: list[str], radius: int) -> DataFrame:
 
 
 def footprint_slope(points: DataFrame, raster: DataFrame, keys: list[str], radius: int, steep: float = 15.0) -> DataFrame:
-    """Mean slope and steep share in the window around each point (row, col); null where it leaves the raster."""
+    """Mean slope and steep share in the window around each point (row, col); null where it leaves the raster.
+
+    Sums slide along rows and then along columns, so that a point meets one
+    pixel, however wide its window is. A window that misses any pixel misses it
+    in the count as well, and is null.
+    """
     size = (2 * radius + 1) ** 2
-    stats = _windows(points, keys, radius).join(raster.select("row", "col", "slope"), ["row", "col"]).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("slope").alias("mean_slope"), F.avg((F.col("slope") >= steep).cast("double")).alias("steep_share"))
-    return points.select(*keys).join(stats.filter(F.col("n") == size).drop("n"), keys, "left")
+    along = lambda a, b: Window.partitionBy(a).orderBy(b).rangeBetween(-radius, radius)
+    values = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("slope").isNotNull().cast("int").alias("n"), F.col("slope").alias("s"), (F.col("slope") >= steep).cast("double").alias("t"))
+    for a, b in (("row", "col"), ("col", "row")):
+        values = values.select("row", "col", *(F.sum(c).over(along(a, b)).alias(c) for c in ("n", "s", "t")))
+    stats = values.filter(F.col("n") == size).select("row", "col", (F.col("s") / size).alias("mean_slope"), (F.col("t") / size).alias("steep_share"))
+    return points.select(*keys, "row", "col").join(stats, ["row", "col"], "left").drop("row", "col")
 
 
 def box_population(points: DataFrame, raster: DataFrame, keys: list[str], radius: int) -> DataFrame:

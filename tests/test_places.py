@@ -49,6 +49,40 @@ def test_nearest_place_ties_go_to_the_first(spark):
     assert spatial.nearest_place(pts, plans.places(spark), ["pid"]).first().place == "west"
 
 
+def test_nearest_place_against_brute_force(spark):
+    """Dense towns and empty country, near the equator, the poles and the date line, with ties."""
+    rng = random.Random(17)
+    towns = [(i, f"t{i}", 21.0 + rng.random(), 92.0 + rng.random()) for i in range(40)] + [(40 + i, f"f{i}", rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(60)]
+    towns += [(100, "east", 0.0, 179.9), (101, "pole", 88.9, 10.0), (102, "twin", *towns[0][2:]), (103, "(unnamed)", 21.5, 92.5)]
+    spots = [(i, 21.0 + rng.random(), 92.0 + rng.random()) for i in range(40)] + [(40 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(80)] + [(120, 0.1, -179.95), (121, 88.0, -170.0), (122, *towns[0][2:])]
+    points, places = spark.createDataFrame(spots, "pid int, lat double, lon double"), spark.createDataFrame(towns, "place_id int, name string, lat double, lon double")
+
+    def sphere(a, b):
+        p, q = math.radians(a[1]), math.radians(b[2])
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[2]) / 2) ** 2))
+
+    for named in (False, True):
+        known = [t for t in towns if not named or t[1] != "(unnamed)"]
+        got = {r.pid: r for r in spatial.nearest_place(points, places, ["pid"], named_only=named).collect()}
+        for s in spots:
+            km, _, name = min((round(sphere(s, t), 9), t[0], t[1]) for t in known)
+            assert (got[s[0]].place, got[s[0]].km) == (name, pytest.approx(km, abs=1e-6))
+    assert spatial.nearest_place(points, places.limit(0), ["pid"]).count() == 0
+
+
+def test_footprints_of_ragged_rasters(spark):
+    rng = random.Random(5)
+    pixels = [(i, j, rng.uniform(0, 30)) for i in range(8) for j in range(9) if (i, j) != (6, 6)]
+    spots = [(i * 20 + j, i, j) for i in range(-1, 9) for j in range(-1, 10)]
+    raster, points = spark.createDataFrame(pixels, "row int, col int, slope double"), spark.createDataFrame(spots, "pid int, row int, col int")
+    value = {(i, j): v for i, j, v in pixels}
+    for r in spatial.footprint_slope(points, raster, ["pid"], 1).collect():
+        _, i, j = next(s for s in spots if s[0] == r.pid)
+        near = [value.get((i + a, j + b)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        want = (None, None) if None in near else (pytest.approx(sum(near) / 9), pytest.approx(sum(v >= 15 for v in near) / 9))
+        assert (r.mean_slope, r.steep_share) == want
+
+
 def test_slope_of_a_plane(spark):
     plane = spark.createDataFrame([(i, j, 30.0 * j) for i in range(4) for j in range(4)], "row int, col int, value double")
     assert all(abs(r.slope - 45) < 1e-9 for r in spatial.slope(plane, F.lit(30.0)).collect())
