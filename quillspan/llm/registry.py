@@ -6,7 +6,7 @@ from quillspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillspan.llm.mixing import OP5_SQL, op5_mixing
 from quillspan.llm.quality_rules import OP7_SQL, op7_quality_rules
 from quillspan.llm.sentencepiece_codec import op6_sentencepiece
-from quillspan.llm.substring_dedup import op1_substring_dedup
+from quillspan.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from quillspan.llm.toxicity import op3_toxicity
 from quillspan.llm.url_filters import op10_url_filters
 from quillspan.llm.warc import OP9_SQL, op9_warc
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_embedding_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_quality_rules": OP7_SQL,
