@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.counts import season_of, vegetation
+from quillspan.operators.grid import with_cells
 from quillspan.plans.base import part
-from quillspan.staging import staged
+from quillspan.staging import reading, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(reading(spark, f"{sf_dir}/{name}.parquet"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One detection per line item; the supplier's nation places it."""
-    line, supplier, nation = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "nation"))
+def observations(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """One detection per line item (of `line`, a stream too); the supplier's nation places it."""
+    supplier, nation = (table(spark, sf_dir, n) for n in ("supplier", "nation"))
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     joined = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
     late = (F.col("l_linenumber") % 2 == 0) & (F.year("l_shipdate") >= 1998)
     slope = (F.col("l_partkey") % 40).cast("double")
@@ -47,9 +49,9 @@ def season_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "season_observations", make)
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """The 400 cells that detections fall in, with invented terrain and people."""
-    base = spark.range(400).select(F.floor(1050 + F.col("id") / 20).cast("long").alias("ci"), (4600 + F.col("id") % 20).alias("cj"))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that detections fall in, with terrain and people reckoned from their numbers."""
+    base = staged(spark, sf_dir, "cells", lambda: with_cells(observations(spark, sf_dir), 0.02).select("ci", "cj").distinct())
     return base.select(
         "ci", "cj", ((F.col("ci") * 7 + F.col("cj") * 3) % 40).cast("double").alias("slope_mean"), ((F.col("ci") * 13 + F.col("cj") * 5) % 400).cast("double").alias("population"),
         ((F.col("ci") * 11 + F.col("cj")) % 900).cast("double").alias("people_cell"), ((F.col("ci") * 17 + F.col("cj") * 29) % 700).cast("double").alias("elev_mean"), ((F.col("ci") * 5 + F.col("cj") * 11) % 100 / 100).alias("steep_frac"), F.concat(F.lit("d"), (F.col("ci") % 5).cast("string")).alias("district"))
@@ -74,7 +76,7 @@ part("placed", ("veg",), """
 SELECT *, CAST(floor(lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(lon / 0.02e0) AS BIGINT) AS cj,
   CAST(floor(lat / 0.01e0) AS BIGINT) AS fi, CAST(floor(lon / 0.01e0) AS BIGINT) AS fj FROM veg""")
 part("hot", ("placed",), "SELECT * FROM placed WHERE region = 'hills' AND season = 'burn'")
-part("grid", (), """
+part("grid", ("obs",), """
 SELECT ci, cj, CAST((ci * 7 + cj * 3) % 40 AS DOUBLE) AS slope_mean, CAST((ci * 13 + cj * 5) % 400 AS DOUBLE) AS population,
   CAST((ci * 11 + cj) % 900 AS DOUBLE) AS people_cell, CAST((ci * 17 + cj * 29) % 700 AS DOUBLE) AS elev_mean, (ci * 5 + cj * 11) % 100 / 100 AS steep_frac, 'd' || (ci % 5) AS district
-FROM (SELECT 1050 + i // 20 AS ci, 4600 + i % 20 AS cj FROM range(400) t(i))""")
+FROM (SELECT DISTINCT CAST(floor(lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(lon / 0.02e0) AS BIGINT) AS cj FROM obs)""")

@@ -79,7 +79,7 @@ part("data", ("feat",), "SELECT *, CAST(coalesce(days, 0) >= 3 AS INT) AS burned
 
 
 def panel(spark, sf_dir):
-    return staged(spark, sf_dir, "panel", lambda: hist.season_table(season_observations(spark, sf_dir), grid(spark)))
+    return staged(spark, sf_dir, "panel", lambda: hist.season_table(season_observations(spark, sf_dir), grid(spark, sf_dir)))
 
 
 def clean_curve(p):
@@ -111,7 +111,7 @@ def days(spark, sf_dir):
 
 
 def data(spark, sf_dir):
-    return staged(spark, sf_dir, "data", lambda: feat.rule_scores(feat.dataset(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS)))
+    return staged(spark, sf_dir, "data", lambda: feat.rule_scores(feat.dataset(grid(spark, sf_dir), days(spark, sf_dir), known_then(spark, sf_dir), YEARS)))
 
 
 def points(spark, sf_dir):
@@ -123,7 +123,7 @@ def ranking_cells(spark, sf_dir):
     def make():
         now = rank.per_cell(points(spark, sf_dir).filter("year = 2001"))
         f = data(spark, sf_dir).filter("year = 2001").select("ci", "cj", F.col("score_history").alias("forecast_score"))
-        return grid(spark).join(now, ["ci", "cj"], "left").join(f, ["ci", "cj"], "left").fillna(0, ["fire_days", "fire_points"])
+        return grid(spark, sf_dir).join(now, ["ci", "cj"], "left").join(f, ["ci", "cj"], "left").fillna(0, ["fire_days", "fire_points"])
 
     return staged(spark, sf_dir, "ranking_cells", make)
 
@@ -223,7 +223,7 @@ def fire_days(spark, sf_dir):
 
 @BOOK.add("neighbour_mean", q(("grid",), "SELECT a.ci, a.cj, (SELECT coalesce(sum(b.population), 0) FROM grid b WHERE abs(b.ci - a.ci) <= 1 AND abs(b.cj - a.cj) <= 1 AND (b.ci <> a.ci OR b.cj <> a.cj)) / 8 AS m FROM grid a"))
 def neighbour_mean(spark, sf_dir):
-    return mean_of_neighbours(grid(spark), "population", "m").select("ci", "cj", "m")
+    return mean_of_neighbours(grid(spark, sf_dir), "population", "m").select("ci", "cj", "m")
 
 
 FLOATS = ["elev_mean", "slope_mean", "steep_frac", "log_pop", "freq", "freq_heavy", "mean_days", "long_share", "long_activity", "long_recent3", "nbr_lag1", "nbr_freq"]
@@ -231,12 +231,12 @@ FLOATS = ["elev_mean", "slope_mean", "steep_frac", "log_pop", "freq", "freq_heav
 
 @BOOK.add("features", q(("feat",), f"SELECT ci, cj, year, days, lag1_days, lag1, lag2, lag3, years_since_burn, {r(*FLOATS)} FROM feat"))
 def features(spark, sf_dir):
-    return rounded(feat.features(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
+    return rounded(feat.features(grid(spark, sf_dir), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
 
 
 @BOOK.add("dataset", q(("data",), f"SELECT ci, cj, year, burned, lag1_days, lag1, lag2, lag3, years_since_burn, {r(*FLOATS)} FROM data"))
 def dataset(spark, sf_dir):
-    return rounded(feat.dataset(grid(spark), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
+    return rounded(feat.dataset(grid(spark, sf_dir), days(spark, sf_dir), known_then(spark, sf_dir), YEARS))
 
 
 @BOOK.add("scorers", q(("data",), f"SELECT ci, cj, year, {r('s1 AS score_last_year', 's2 AS score_history', 's3 AS score_long_history')} FROM data"))
@@ -385,7 +385,7 @@ SELECT origin, ranking, outcome, {r('sum(h / n * greatest(0, least(n, 50 - n0)))
     CROSS JOIN (VALUES ('whole'), ('forecast'), ('slope_people')) a(ranking) CROSS JOIN (VALUES ('heavy'), ('steep'), ('steep_people')) c(outcome))
   GROUP BY origin, ranking, outcome, s) GROUP BY origin, ranking, outcome"""))
 def backtest(spark, sf_dir):
-    return rounded(rank.backtest(points(spark, sf_dir), grid(spark), days(spark, sf_dir), [2000, 2001], 1998))
+    return rounded(rank.backtest(points(spark, sf_dir), grid(spark, sf_dir), days(spark, sf_dir), [2000, 2001], 1998))
 
 
 @BOOK.add("gbm_scores")
@@ -396,7 +396,7 @@ def gbm_scores(spark, sf_dir):
 
 @BOOK.add("chance", q(("bt",), f"SELECT origin, outcome, {r('avg(hit) AS base_rate', 'avg(hit) * 50 AS expected')} FROM (SELECT origin, unnest(['heavy', 'steep', 'steep_people']) AS outcome, unnest([heavy, steep, steep_people]) AS hit FROM bt) GROUP BY ALL"))
 def chance(spark, sf_dir):
-    return rounded(rank.chance(points(spark, sf_dir), grid(spark), [2000, 2001]))
+    return rounded(rank.chance(points(spark, sf_dir), grid(spark, sf_dir), [2000, 2001]))
 
 
 @BOOK.add("robustness_summary", q(("variants", "robust"), f"""
@@ -409,17 +409,17 @@ def robustness_summary(spark, sf_dir):
 
 @BOOK.add("seeded_sample", q(("grid",), "SELECT ci, cj FROM grid ORDER BY md5('7|' || ci || '|' || cj) LIMIT 20"))
 def seeded_sample(spark, sf_dir):
-    return rank.seeded_sample(grid(spark), 20, 7, ["ci", "cj"]).select("ci", "cj")
+    return rank.seeded_sample(grid(spark, sf_dir), 20, 7, ["ci", "cj"]).select("ci", "cj")
 
 
 @BOOK.add("blind_codes", q(("grid",), "SELECT ci, cj, 'P' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS code FROM (SELECT ci, cj, row_number() OVER (ORDER BY md5('7|' || ci || '|' || cj)) AS n FROM grid)"))
 def blind_codes(spark, sf_dir):
-    return rank.blind_codes(grid(spark).select("ci", "cj"), 7, ["ci", "cj"])
+    return rank.blind_codes(grid(spark, sf_dir).select("ci", "cj"), 7, ["ci", "cj"])
 
 
-@BOOK.add("set_equality", q(("obs", "days"), "SELECT 0::BIGINT AS only_a, count(*) AS only_b, false AS equal FROM (SELECT DISTINCT ci, cj FROM grid WHERE ci >= 1052 EXCEPT SELECT ci, cj FROM grid WHERE ci >= 1053)".replace("FROM grid", "FROM (SELECT 1050 + i // 20 AS ci, 4600 + i % 20 AS cj FROM range(400) t(i))")))
+@BOOK.add("set_equality", q(("grid",), "SELECT 0::BIGINT AS only_a, count(*) AS only_b, false AS equal FROM (SELECT DISTINCT ci, cj FROM grid WHERE ci >= 1052 EXCEPT SELECT ci, cj FROM grid WHERE ci >= 1053)"))
 def set_equality(spark, sf_dir):
-    cells = grid(spark).select("ci", "cj")
+    cells = grid(spark, sf_dir).select("ci", "cj")
     return rank.same_rows(cells.filter("ci >= 1053"), cells.filter("ci >= 1052"))
 
 
@@ -459,7 +459,7 @@ def map_rows(spark, sf_dir):
 def grid_rows(spark, sf_dir):
     from quillspan.api import grid_rows as rows
 
-    return rows(grid(spark))
+    return rows(grid(spark, sf_dir))
 
 
 @BOOK.add("history_share", q(("flags",), "SELECT year, round_even(round(avg(active), 9), 3) AS harmonized, round_even(round(avg(active_naive), 9), 3) AS naive FROM flags GROUP BY year"))
@@ -474,4 +474,4 @@ def cell_bounds(spark, sf_dir):
     from quillspan.operators.grid import bounds
 
     sides = zip(bounds("ci", "cj", 0.02), ("west", "south", "east", "north"), strict=True)
-    return rounded(grid(spark).select("ci", "cj", *(c.alias(n) for c, n in sides)))
+    return rounded(grid(spark, sf_dir).select("ci", "cj", *(c.alias(n) for c, n in sides)))
