@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspan.operators.live import decode_confidence
-from quillspan.operators.spatial import tag_polygons
+from quillspan.operators.spatial import read_window, tag_polygons
 
 COMMON = "scan double, track double, acq_date string, acq_time string, satellite string"
 ARCHIVE_A = f"latitude double, longitude double, brightness double, {COMMON}, instrument string, confidence string, version string, bright_t31 double, frp double, daynight string, type int"
@@ -176,6 +176,24 @@ def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(pixels, "path string, row long, col long, lat double, lon double, value double")
 
 
+def read_raster(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, level: int = 0, blocks: int = 64) -> DataFrame:
+    """Pixels (path, row, col, lat, lon, value) of one GeoTIFF file, of which only the blocks are read that the rows and columns (first and last) touch. level 1 and up are overviews. In sessions with spark.sql.python.filterPushdown.enabled, filters on row, col, lat and lon do the same."""
+    from quillspan.sources.geotiff import RasterWindow
+
+    spark.dataSource.register(RasterWindow)
+    read = spark.read.format(RasterWindow.name()).options(path=path, level=level, blocks=blocks, filters=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    for name, span in (("row", rows), ("col", cols)):
+        if span is not None:
+            read = read.options(**{f"{name}_min": span[0], f"{name}_max": span[1]})
+    return read.load()
+
+
+def read_raster_window(spark: SparkSession, path: str, row0: int, col0: int, height: int, width: int, level: int = 0) -> DataFrame:
+    """Pixels (row, col, value) of a window of a GeoTIFF file, counted from its corner; those off the image are 0."""
+    part = read_raster(spark, path, (row0, row0 + height - 1), (col0, col0 + width - 1), level)
+    return read_window(part, row0, col0, height, width)
+
+
 def last_day(spark: SparkSession, path: str, otherwise: str) -> str:
     """The last day that a JSON file {"data_end": day} records; otherwise without the file."""
     if not existing(spark, [path]):
