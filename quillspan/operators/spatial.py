@@ -108,6 +108,17 @@ def pixel_lon(col: Column, x0: int, zoom: int) -> Column:
     return (x0 + (col + 0.5) / TILE) / 2**zoom * 360 - 180
 
 
+def pixel_metres(lat: Column, zoom: int) -> Column:
+    """Width of a map pixel at a latitude; 156543.03392 m is that of zoom 0 on the equator."""
+    return F.cos(F.radians(lat)) * (156543.03392 / 2**zoom)
+
+
+def footprint_radius(points: DataFrame, zoom: int, metres: float) -> int:
+    """Pixels to each side that a footprint of so many metres covers at the mean latitude of the points (lat); 1 at least, also for no points."""
+    mean = points.agg(F.avg("lat").alias("lat")).select(F.bround(metres / pixel_metres(F.col("lat"), zoom) / 2).alias("h")).first().h
+    return max(1, int(mean or 0))
+
+
 def tile_elevation(r: Column, g: Column, b: Column) -> Column:
     return r * 256.0 + g + b / 256.0 - 32768.0
 

@@ -11,7 +11,7 @@ from quillspan.plans.adapter import grid, observations, table
 from quillspan.plans.base import Book, part, q, r, rounded
 
 BOOK = Book()
-SIZE = 40  # pixels to a side of the invented rasters
+SIZE = 40  # columns of the raster that events fill row by row
 PLACES = [(0, "north", 21.35, 92.1), (1, "south", 21.02, 92.3), (2, "(unnamed)", 21.2, 92.2), (3, "west", 21.2, 92.02), (4, "east", 21.2, 92.02)]
 VALUES = ", ".join(f"({i}, '{n}', {a}e0, {o}e0)" for i, n, a, o in PLACES)
 TRIANGLE = [(0, [[(92.0, 21.0), (92.25, 21.0), (92.0, 21.4), (92.0, 21.0)]]), (1, [[(92.2, 21.1), (92.4, 21.1), (92.4, 21.3), (92.2, 21.3), (92.2, 21.1)], [(92.26, 21.16), (92.34, 21.16), (92.34, 21.24), (92.26, 21.24), (92.26, 21.16)]])]
@@ -20,18 +20,18 @@ EDGES = ", ".join(f"({p}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for p, rings
 part("pts", ("obs",), "SELECT CAST(round(lat * 10000) AS BIGINT) * 10000000 + CAST(round(lon * 10000) AS BIGINT) AS pid, lat, lon FROM (SELECT DISTINCT lat, lon FROM obs)")
 part("places", (), f"SELECT * FROM (VALUES {VALUES}) v(place_id, name, lat, lon)")
 part("edges", (), f"SELECT * FROM (VALUES {EDGES}) v(poly_id, x1, y1, x2, y2)")
-part("raster", (), f"SELECT i // {SIZE} AS row, i % {SIZE} AS col, CAST((i // {SIZE}) * (i // {SIZE}) % 97 * 3 + (i % {SIZE}) * (i % {SIZE}) % 89 * 2 AS DOUBLE) AS value FROM range({SIZE * SIZE}) t(i)")
+part("raster", (), f"SELECT event_id // {SIZE} AS row, event_id % {SIZE} AS col, CAST(floor(value * 4) AS DOUBLE) AS value FROM events")
 part("sloped", ("raster",), """
 SELECT row, col, value, degrees(atan(sqrt((dx / 30) ** 2 + (dy / 30) ** 2))) AS slope FROM (
   SELECT row, col, value,
     CASE WHEN lag(value) OVER c IS NULL THEN lead(value) OVER c - value WHEN lead(value) OVER c IS NULL THEN value - lag(value) OVER c ELSE (lead(value) OVER c - lag(value) OVER c) / 2 END AS dx,
     CASE WHEN lag(value) OVER r IS NULL THEN lead(value) OVER r - value WHEN lead(value) OVER r IS NULL THEN value - lag(value) OVER r ELSE (lead(value) OVER r - lag(value) OVER r) / 2 END AS dy
   FROM raster WINDOW c AS (PARTITION BY row ORDER BY col), r AS (PARTITION BY col ORDER BY row))""")
-part("spots", (), f"SELECT i AS pid, i * 7 % {SIZE} AS row, i * 11 % {SIZE} AS col FROM range(30) t(i)")
+part("spots", (), f"SELECT p_partkey AS pid, p_partkey * 7 % 260 AS row, p_partkey * 11 % {SIZE + 4} AS col FROM part")
 part("scenes", (), """
-SELECT cell, w AS win, scene, scene AS place, p // 10 AS row, p % 10 AS col, CAST((cell * 31 + scene * 17 + p * 7) % 100 + 20 + CASE WHEN w = 'pre' THEN 60 ELSE 0 END AS DOUBLE) AS nir, CAST((cell * 13 + scene * 29 + p * 3) % 90 + 10 AS DOUBLE) AS swir,
+SELECT cell, win, scene, scene AS place, p // 5 AS row, p % 5 AS col, value % 100 + 20 + CASE WHEN win = 'pre' THEN 60 ELSE 0 END AS nir, CAST((user_id * 29 + p * 3) % 90 + 10 AS DOUBLE) AS swir,
   CASE WHEN (p + scene * 3 + cell) % 20 < scene % 4 * 3 THEN 9 ELSE 4 END AS scl
-FROM range(6) a(cell) CROSS JOIN (VALUES ('pre'), ('post')) b(w) CROSS JOIN range(6) c(scene) CROSS JOIN range(100) d(p)""")
+FROM (SELECT value, user_id, event_id // 300 AS cell, CASE WHEN event_id // 150 % 2 = 0 THEN 'pre' ELSE 'post' END AS win, event_id // 25 % 6 AS scene, event_id % 25 AS p FROM events)""")
 part("clear", ("scenes",), """
 SELECT cell, win, scene, place, clear, coalesce(sum(CAST(clear > 0.9 AS INT)) OVER (PARTITION BY cell, win ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
 FROM (SELECT cell, win, scene, place, avg(CASE WHEN scl = 4 THEN 1.0e0 ELSE 0.0e0 END) AS clear FROM scenes WHERE place <= 8 GROUP BY ALL)""")
@@ -40,15 +40,17 @@ SELECT s.cell, s.win, row, col, median(CASE WHEN scl = 4 THEN (nir - swir) / nul
 FROM scenes s JOIN (SELECT * FROM clear WHERE seen < 3 AND clear >= 0.05 QUALIFY row_number() OVER (PARTITION BY cell, win ORDER BY clear DESC, place) <= 3) k ON s.cell = k.cell AND s.win = k.win AND s.scene = k.scene GROUP BY ALL""")
 part("dnbr", ("nbr",), """
 SELECT cell, clear_share, s10, s20, s27, s44, dm, CASE WHEN clear_share < 0.3 THEN 'no clear imagery' WHEN s27 >= 0.05 THEN 'scar visible' ELSE 'no clear scar' END AS verdict FROM (
-  SELECT cell, count(d) / 100 AS clear_share, count(*) FILTER (d >= 0.10) / count(d) AS s10, count(*) FILTER (d >= 0.20) / count(d) AS s20, count(*) FILTER (d >= 0.27) / count(d) AS s27, count(*) FILTER (d >= 0.44) / count(d) AS s44, median(d) AS dm
+  SELECT cell, count(d) / 25 AS clear_share, count(*) FILTER (d >= 0.10) / nullif(count(d), 0) AS s10, count(*) FILTER (d >= 0.20) / nullif(count(d), 0) AS s20, count(*) FILTER (d >= 0.27) / nullif(count(d), 0) AS s27, count(*) FILTER (d >= 0.44) / nullif(count(d), 0) AS s44, median(d) AS dm
   FROM (SELECT cell, row, col, max(nbr) FILTER (win = 'pre') - max(nbr) FILTER (win = 'post') AS d FROM nbr GROUP BY ALL) GROUP BY cell)""")
 part("static", ("obs",), "SELECT DISTINCT fi + a AS fi, fj + b AS fj FROM (SELECT DISTINCT CAST(floor(lat / 0.01e0) AS BIGINT) AS fi, CAST(floor(lon / 0.01e0) AS BIGINT) AS fj FROM obs WHERE kind <> 0) CROSS JOIN (VALUES (-1), (0), (1)) x(a) CROSS JOIN (VALUES (-1), (0), (1)) y(b)")
 part("hotspots", (), "SELECT DISTINCT CAST(floor((21.0005e0 + (s_suppkey % 200) * 0.002e0) / 0.01e0) AS BIGINT) AS fi, CAST(floor((92.0005e0 + (s_suppkey % 20) * 0.02e0) / 0.01e0) AS BIGINT) AS fj FROM supplier WHERE s_acctbal < -500")
-part("week", ("obs", "static", "grid"), """
+part("still", ("hotspots",), "SELECT DISTINCT fi + a AS fi, fj + b AS fj FROM hotspots, range(-1, 2) x(a), range(-1, 2) y(b)")
+part("newest", ("obs",), "SELECT max(date) AS newest FROM obs WHERE date <= CAST('2001-03-15' AS DATE)")
+part("week", ("obs", "still", "grid", "newest"), """
 SELECT o.*, g.slope_mean, g.population, CAST(floor(o.lat / 0.02e0) AS BIGINT) AS ci, CAST(floor(o.lon / 0.02e0) AS BIGINT) AS cj, CASE WHEN g.ci % 9 = 0 THEN ['2001'] END AS seasons,
   g.ci IS NOT NULL AS hills, g.ci IS NOT NULL AND (g.slope_mean >= 15 AND g.population >= 200 OR g.ci % 9 = 0) AS chk
 FROM obs o LEFT JOIN (SELECT * FROM grid WHERE ci % 2 = 0 OR ci % 9 = 0) g ON floor(o.lat / 0.02e0) = g.ci AND floor(o.lon / 0.02e0) = g.cj
-WHERE date > CAST('2001-03-08' AS DATE) AND date <= CAST('2001-03-15' AS DATE) AND sensor = 'B' AND NOT EXISTS (SELECT 1 FROM static s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))""")
+WHERE date > (SELECT newest - 7 FROM newest) AND date <= (SELECT newest FROM newest) AND sensor = 'B' AND NOT EXISTS (SELECT 1 FROM still s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))""")
 
 
 def spots_of(spark, sf_dir):
@@ -66,47 +68,61 @@ def polygons(spark):
     return spark.createDataFrame(rows, "poly_id int, rings array<array<array<double>>>")
 
 
-def raster(spark):
-    row, col = F.floor(F.col("id") / SIZE).cast("long"), F.col("id") % SIZE
-    return spark.range(SIZE * SIZE).select(row.alias("row"), col.alias("col"), ((row * row) % 97 * 3 + (col * col) % 89 * 2).cast("double").alias("value"))
+def raster(spark, sf_dir):
+    """Events in their order as pixels of a raster SIZE columns wide."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.floor(F.col("event_id") / SIZE).cast("long").alias("row"), (F.col("event_id") % SIZE).alias("col"), F.floor(F.col("value") * 4).cast("double").alias("value"))
 
 
-def sloped(spark):
-    return spatial.slope(raster(spark), F.lit(30.0))
+def sloped(spark, sf_dir):
+    return spatial.slope(raster(spark, sf_dir), F.lit(30.0))
 
 
-def spots(spark):
-    return spark.range(30).select(F.col("id").alias("pid"), (F.col("id") * 7 % SIZE).alias("row"), (F.col("id") * 11 % SIZE).alias("col"))
+def spots(spark, sf_dir):
+    """Parts scattered over the raster; some fall beside it."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("pid"), (k * 7 % 260).alias("row"), (k * 11 % (SIZE + 4)).alias("col"))
 
 
-def scenes(spark):
-    base = spark.range(6).select(F.col("id").alias("cell"), F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("window"))
-    base = base.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(99))))
+def scenes(spark, sf_dir):
+    """Events as pixels: 300 in a row are a cell's two windows of six scenes of 25 pixels."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    whole = lambda c: F.floor(c).cast("long")
+    e = e.select("value", "user_id", whole(k / 300).alias("cell"), F.when(whole(k / 150) % 2 == 0, "pre").otherwise("post").alias("window"), (whole(k / 25) % 6).alias("scene"), (k % 25).alias("p"))
     c, s, p = F.col("cell"), F.col("scene"), F.col("p")
-    return base.select(
-        "cell", "window", "scene", s.alias("place"), F.floor(p / 10).cast("long").alias("row"), (p % 10).cast("long").alias("col"),
-        ((c * 31 + s * 17 + p * 7) % 100 + 20 + F.when(F.col("window") == "pre", 60).otherwise(0)).cast("double").alias("nir"), ((c * 13 + s * 29 + p * 3) % 90 + 10).cast("double").alias("swir"),
-        F.when((p + s * 3 + c) % 20 < s % 4 * 3, 9).otherwise(4).alias("scl"))
+    return e.select(
+        "cell", "window", "scene", s.alias("place"), whole(p / 5).alias("row"), (p % 5).alias("col"), (F.col("value") % 100 + 20 + F.when(F.col("window") == "pre", 60).otherwise(0)).alias("nir"),
+        ((F.col("user_id") * 29 + p * 3) % 90 + 10).cast("double").alias("swir"), F.when((p + s * 3 + c) % 20 < s % 4 * 3, 9).otherwise(4).alias("scl"))
 
 
-def composites(spark):
-    return imagery.nbr_composite(scenes(spark), [4])
+def composites(spark, sf_dir):
+    return imagery.nbr_composite(scenes(spark, sf_dir), [4])
 
 
-def checked(spark):
-    return imagery.dnbr_cell(composites(spark), 100)
+def checked(spark, sf_dir):
+    return imagery.dnbr_cell(composites(spark, sf_dir), 25)
 
 
 def static(spark, sf_dir):
     return live.static_cells(observations(spark, sf_dir))
 
 
+def still(spark, sf_dir):
+    """Cells around suppliers with very low balances, which stand for static sources."""
+    return live.static_cells(hotspots(spark, sf_dir))
+
+
+def newest(arrived):
+    """The newest day of all that has come, other records included."""
+    return str(arrived.agg(F.max("date")).first()[0])
+
+
 def week(spark, sf_dir):
-    obs = observations(spark, sf_dir).filter("sensor = 'B' and date <= date'2001-03-15'")
-    obs = live.window(obs)
-    g = grid(spark).filter("ci % 2 = 0 or ci % 9 = 0").drop("district", "people_cell")
-    listed = live.listed_seasons(grid(spark).filter("ci % 9 = 0").select("ci", "cj", F.lit("inspect first").alias("priority"), F.lit(2001).alias("season")))
-    return live.enrich(obs, static(spark, sf_dir), g, listed)
+    arrived = observations(spark, sf_dir).filter("date <= date'2001-03-15'")
+    obs = live.window(arrived.filter("sensor = 'B'"), newest(arrived))
+    g = grid(spark, sf_dir).filter("ci % 2 = 0 or ci % 9 = 0").drop("district", "people_cell")
+    listed = live.listed_seasons(grid(spark, sf_dir).filter("ci % 9 = 0").select("ci", "cj", F.lit("inspect first").alias("priority"), F.lit(2001).alias("season")))
+    return live.enrich(obs, still(spark, sf_dir), g, listed)
 
 
 @BOOK.add("haversine", q(("pts",), f"SELECT pid, {r('2 * 6371.0e0 * asin(sqrt(sin(radians(22.0e0 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(22.0e0)) * sin(radians(92.5e0 - lon) / 2) ** 2)) AS km')} FROM pts"))
@@ -160,11 +176,13 @@ def static_members(spark, sf_dir):
     return members(with_cells(observations(spark, sf_dir), 0.01, ("fi", "fj")), static(spark, sf_dir), ("fi", "fj")).agg(F.count("*").alias("inside"))
 
 
-@BOOK.add("tile_decode", "SELECT tile, row, col, r * 256.0e0 + g + b / 256.0e0 - 32768.0e0 AS value FROM (SELECT i // 256 AS tile, (i // 256 // 2) * 256 + i % 256 // 16 AS row, (i // 256 % 2) * 256 + i % 16 AS col, 128 + i % 3 AS r, i % 251 AS g, i * 7 % 256 AS b FROM range(1024) t(i))")
+@BOOK.add("tile_decode", """
+SELECT tile, (tile // 2) * 256 + i // 16 AS row, (tile % 2) * 256 + i % 16 AS col, r * 256.0e0 + g + b / 256.0e0 - 32768.0e0 AS value
+FROM (SELECT event_id // 256 AS tile, event_id % 256 AS i, 128 + user_id % 3 AS r, event_id % 251 AS g, user_id * 7 % 256 AS b FROM events)""")
 def tile_decode(spark, sf_dir):
-    i = F.col("id")
+    i, u = F.col("event_id"), F.col("user_id")
     tile = F.floor(i / 256).cast("long")
-    px = spark.range(1024).select(tile.alias("tile"), (F.floor(tile / 2) + 10).alias("ty"), (tile % 2 + 20).alias("tx"), F.floor(i % 256 / 16).cast("long").alias("r"), (i % 16).alias("c"), spatial.tile_elevation(128 + i % 3, i % 251, i * 7 % 256).alias("value"))
+    px = table(spark, sf_dir, "events").select((F.floor(tile / 2) + 10).alias("ty"), (tile % 2 + 20).alias("tx"), F.floor(i % 256 / 16).cast("long").alias("r"), (i % 16).alias("c"), spatial.tile_elevation(128 + u % 3, i % 251, u * 7 % 256).alias("value"))
     key = (F.floor(F.col("row") / 256) * 2 + F.floor(F.col("col") / 256)).alias("tile")
     return spatial.mosaic(px, 20, 10).select(key, "row", "col", "value")
 
@@ -174,19 +192,19 @@ def mercator(spark, sf_dir):
     return rounded(spots_of(spark, sf_dir).select("pid", spatial.tile_x(F.col("lon"), 12).alias("tx"), spatial.tile_y(F.col("lat"), 12).alias("ty")))
 
 
-@BOOK.add("pixel_centres", f"SELECT i AS k, {r('degrees(atan((exp(pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096)) - exp(-pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096))) / 2)) AS lat', '(3090 + (i + 0.5e0) / 256) / 4096 * 360 - 180 AS lon')} FROM range(512) t(i)")
+@BOOK.add("pixel_centres", f"SELECT i AS k, {r('degrees(atan((exp(pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096)) - exp(-pi() * (1 - 2 * (1780 + (i + 0.5e0) / 256) / 4096))) / 2)) AS lat', '(3090 + (i + 0.5e0) / 256) / 4096 * 360 - 180 AS lon')} FROM (SELECT event_id AS i FROM events)")
 def pixel_centres(spark, sf_dir):
-    return rounded(spark.range(512).select(F.col("id").alias("k"), spatial.pixel_lat(F.col("id"), 1780, 12).alias("lat"), spatial.pixel_lon(F.col("id"), 3090, 12).alias("lon")))
+    return rounded(table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), spatial.pixel_lat(F.col("event_id"), 1780, 12).alias("lat"), spatial.pixel_lon(F.col("event_id"), 3090, 12).alias("lon")))
 
 
 @BOOK.add("slope", q(("sloped",), f"SELECT row, col, {r('slope')} FROM sloped"))
 def slope(spark, sf_dir):
-    return rounded(sloped(spark).select("row", "col", "slope"))
+    return rounded(sloped(spark, sf_dir).select("row", "col", "slope"))
 
 
 @BOOK.add("zonal_stats", q(("sloped",), f"SELECT row // 8 AS ci, col // 8 AS cj, {r('avg(value) AS elev_mean', 'avg(slope) AS slope_mean', 'quantile_cont(slope, 0.9) AS slope_p90', 'avg(CASE WHEN slope >= 15 THEN 1.0e0 ELSE 0.0e0 END) AS steep_frac')} FROM sloped GROUP BY ALL"))
 def zonal_stats(spark, sf_dir):
-    cells = sloped(spark).withColumn("ci", F.floor(F.col("row") / 8).cast("long")).withColumn("cj", F.floor(F.col("col") / 8).cast("long"))
+    cells = sloped(spark, sf_dir).withColumn("ci", F.floor(F.col("row") / 8).cast("long")).withColumn("cj", F.floor(F.col("col") / 8).cast("long"))
     return rounded(spatial.zonal_stats(cells))
 
 
@@ -194,18 +212,18 @@ def zonal_stats(spark, sf_dir):
 SELECT p.pid, {r('CASE WHEN count(s.slope) = 25 THEN avg(s.slope) END AS mean_slope', 'CASE WHEN count(s.slope) = 25 THEN avg(CASE WHEN s.slope >= 15 THEN 1.0e0 ELSE 0.0e0 END) END AS steep_share')}
 FROM spots p LEFT JOIN sloped s ON abs(s.row - p.row) <= 2 AND abs(s.col - p.col) <= 2 GROUP BY p.pid"""))
 def footprint_slope(spark, sf_dir):
-    return rounded(spatial.footprint_slope(spots(spark), sloped(spark), ["pid"], 2))
+    return rounded(spatial.footprint_slope(spots(spark, sf_dir), sloped(spark, sf_dir), ["pid"], 2))
 
 
-@BOOK.add("box_population", q(("raster", "spots"), f"SELECT p.pid, {r('coalesce(sum(greatest(s.value - 100, 0)), 0) AS people')} FROM spots p LEFT JOIN raster s ON abs(s.row - p.row) <= 1 AND abs(s.col - p.col) <= 1 GROUP BY p.pid"))
+@BOOK.add("box_population", q(("raster", "spots"), f"SELECT p.pid, {r('coalesce(sum(greatest(s.value - 8, 0)), 0) AS people')} FROM spots p LEFT JOIN raster s ON abs(s.row - p.row) <= 1 AND abs(s.col - p.col) <= 1 GROUP BY p.pid"))
 def box_population(spark, sf_dir):
-    return rounded(spatial.box_population(spots(spark), raster(spark).withColumn("value", F.col("value") - 100), ["pid"], 1))
+    return rounded(spatial.box_population(spots(spark, sf_dir), raster(spark, sf_dir).withColumn("value", F.col("value") - 8), ["pid"], 1))
 
 
 @BOOK.add("cell_population", q(("raster", "grid"), f"SELECT g.ci, g.cj, {r('coalesce(p, 0) AS population')} FROM grid g LEFT JOIN (SELECT 1050 + row // 4 AS ci, 4600 + col // 4 AS cj, sum(greatest(value, 0)) AS p FROM raster GROUP BY ALL) x USING (ci, cj)"))
 def cell_population(spark, sf_dir):
-    pixels = raster(spark).select((1050 + F.floor(F.col("row") / 4)).alias("ci"), (4600 + F.floor(F.col("col") / 4)).alias("cj"), "value")
-    return rounded(spatial.cell_population(pixels, grid(spark).select("ci", "cj")))
+    pixels = raster(spark, sf_dir).select((1050 + F.floor(F.col("row") / 4)).alias("ci"), (4600 + F.floor(F.col("col") / 4)).alias("cj"), "value")
+    return rounded(spatial.cell_population(pixels, grid(spark, sf_dir).select("ci", "cj")))
 
 
 @BOOK.add("snap_grid", q(("pts",), "SELECT pid, floor(lat * 1000 / 40) * 40 AS lo, ceil(lon * 1000 / 40) * 40 AS hi FROM pts"))
@@ -214,37 +232,37 @@ def snap_grid(spark, sf_dir):
     return spots_of(spark, sf_dir).select("pid", lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
 
 
-@BOOK.add("reflectance", "SELECT dn, k, CASE WHEN k = 0 THEN CAST(dn AS DOUBLE) WHEN dn = 0 THEN NULL WHEN k = 1 THEN dn * 0.0001e0 - 0.1e0 ELSE dn * 0.0001e0 END AS value FROM range(0, 3000, 250) a(dn) CROSS JOIN range(3) b(k)")
+@BOOK.add("reflectance", f"SELECT id, {r('CASE WHEN k = 0 THEN CAST(dn AS DOUBLE) WHEN dn = 0 THEN NULL WHEN k = 1 THEN dn * 0.0001e0 - 0.1e0 ELSE dn * 0.0001e0 END AS value')} FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 2750 AS dn, l_linenumber % 3 AS k FROM lineitem)")
 def reflectance(spark, sf_dir):
-    base = spark.range(0, 3000, 250).withColumnRenamed("id", "dn").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    base = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 2750).alias("dn"), (F.col("l_linenumber") % 3).alias("k"))
     scale = F.when(F.col("k") > 0, 0.0001)
-    return base.withColumn("value", imagery.reflectance(F.col("dn"), scale, F.lit(-0.1), F.col("k") == 2))
+    return rounded(base.select("id", imagery.reflectance(F.col("dn"), scale, F.lit(-0.1), F.col("k") == 2).alias("value")))
 
 
 @BOOK.add("scene_search", q(("scenes",), "SELECT cell, win AS window, scene FROM (SELECT DISTINCT cell, win, scene, (cell * 31 + scene * 17) % 100 AS cloud FROM scenes) WHERE cloud < 70 QUALIFY row_number() OVER (PARTITION BY cell, win ORDER BY cloud, scene) <= 3"))
 def scene_search(spark, sf_dir):
-    s = scenes(spark).select("cell", "window", "scene", ((F.col("cell") * 31 + F.col("scene") * 17) % 100).alias("cloud")).distinct()
+    s = scenes(spark, sf_dir).select("cell", "window", "scene", ((F.col("cell") * 31 + F.col("scene") * 17) % 100).alias("cloud")).distinct()
     return imagery.search_scenes(s, 70, 3).select("cell", "window", "scene")
 
 
 @BOOK.add("nbr_composite", q(("nbr",), f"SELECT cell, win AS window, row, col, {r('nbr')} FROM nbr"))
 def nbr_composite(spark, sf_dir):
-    return rounded(composites(spark))
+    return rounded(composites(spark, sf_dir))
 
 
 @BOOK.add("dnbr_cell", q(("dnbr",), f"SELECT cell, {r('clear_share', 's10 AS scar_share_10', 's20 AS scar_share_20', 's27 AS scar_share_27', 's44 AS scar_share_44', 's27 AS scar_share', 'dm AS dnbr_median')}, verdict FROM dnbr"))
 def dnbr_cell(spark, sf_dir):
-    return rounded(checked(spark))
+    return rounded(checked(spark, sf_dir))
 
 
 @BOOK.add("threshold_matrix", q(("dnbr",), "SELECT CASE WHEN cell % 2 = 0 THEN 'priority' ELSE 'control' END AS \"group\", t AS threshold, CAST(sh AS DOUBLE) AS share, count(*) FILTER (CASE t WHEN 10 THEN s10 WHEN 20 THEN s20 WHEN 27 THEN s27 ELSE s44 END >= sh) AS cells FROM dnbr CROSS JOIN (VALUES (10), (20), (27), (44)) a(t) CROSS JOIN (VALUES (0.02e0), (0.05e0), (0.10e0)) b(sh) WHERE verdict <> 'no clear imagery' GROUP BY ALL"))
 def threshold_matrix(spark, sf_dir):
-    return imagery.threshold_matrix(checked(spark).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control")))
+    return imagery.threshold_matrix(checked(spark, sf_dir).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control")))
 
 
 @BOOK.add("group_summary", q(("dnbr",), f"SELECT CASE WHEN cell % 2 = 0 THEN 'priority' ELSE 'control' END AS \"group\", count(*) AS cells, count(*) FILTER (verdict <> 'no clear imagery') AS with_imagery, count(*) FILTER (verdict = 'scar visible') AS visible, {r('median(s27) AS scar_share_median', 'median(clear_share) AS clear_share_median')} FROM dnbr GROUP BY ALL"))
 def group_summary(spark, sf_dir):
-    return rounded(imagery.group_summary(checked(spark).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control"))))
+    return rounded(imagery.group_summary(checked(spark, sf_dir).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control"))))
 
 
 @BOOK.add("mann_whitney_u", """
@@ -275,15 +293,17 @@ def normal_week(spark, sf_dir):
     return rounded(live.normal_week(observations(spark, sf_dir), "2001-03-15", list(range(1994, 2002))))
 
 
-@BOOK.add("same_day", "SELECT y AS year, CASE WHEN y % 4 = 0 THEN make_date(y, 2, 29) ELSE make_date(y, 2, 28) END AS day FROM (SELECT CAST(v AS INT) AS y FROM range(2001, 2010) t(v))")
+@BOOK.add("same_day", """
+SELECT d AS day, y AS year, make_date(y, month(d), CASE WHEN month(d) = 2 AND day(d) = 29 AND y % 4 <> 0 THEN 28 ELSE day(d) END) AS then
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) CROSS JOIN (SELECT CAST(v AS INT) AS y FROM range(2001, 2010) t(v))""")
 def same_day(spark, sf_dir):
-    y = F.col("id").cast("int")
-    return spark.range(2001, 2010).select(y.alias("year"), live.same_day(F.to_date(F.lit("2024-02-29")), y).alias("day"))
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.withColumn("year", F.explode(F.array(*map(F.lit, range(2001, 2010))))).withColumn("then", live.same_day(F.col("day"), F.col("year")))
 
 
 @BOOK.add("listed_seasons", q(("grid",), "SELECT ci, cj, ['2001', '2002'] AS seasons FROM grid WHERE ci % 9 = 0"))
 def listed_seasons(spark, sf_dir):
-    lists = grid(spark).withColumn("season", F.explode(F.array(F.lit(2002), F.lit(2001)))).withColumn("priority", F.when(F.col("ci") % 9 == 0, "inspect first").otherwise("monitor"))
+    lists = grid(spark, sf_dir).withColumn("season", F.explode(F.array(F.lit(2002), F.lit(2001)))).withColumn("priority", F.when(F.col("ci") % 9 == 0, "inspect first").otherwise("monitor"))
     return live.listed_seasons(lists)
 
 
@@ -291,7 +311,7 @@ def listed_seasons(spark, sf_dir):
 def map_json(spark, sf_dir):
     from quillspan.sources.writers import as_json
 
-    return as_json(grid(spark).select("ci", "cj", F.lit(None).cast("int").alias("none")))
+    return as_json(grid(spark, sf_dir).select("ci", "cj", F.lit(None).cast("int").alias("none")))
 
 
 @BOOK.add("streaming_daily", """
@@ -311,25 +331,57 @@ def streaming_daily(spark, sf_dir):
     return spark.read.parquet(f"{run}/out").select(F.col("window.start").alias("day"), "ci", "cj", "fires")
 
 
+part("came", ("obs", "newest"), "SELECT *, CAST(floor(lat / 0.02e0) AS BIGINT) AS i, CAST(floor(lon / 0.02e0) AS BIGINT) AS j FROM obs, newest WHERE date > newest - 14 AND date <= newest")
+part("marked", ("came", "still", "grid"), """
+SELECT c.*, CASE WHEN sensor <> 'B' THEN 'outside' WHEN EXISTS (SELECT 1 FROM still s WHERE s.fi = floor(c.lat / 0.01e0) AND s.fj = floor(c.lon / 0.01e0)) THEN 'static' ELSE 'fire' END AS scope,
+  g.ci IS NOT NULL AS hills, g.ci IS NOT NULL AND (g.slope_mean >= 15 AND g.population >= 200 OR g.ci % 9 = 0) AS chk
+FROM came c LEFT JOIN (SELECT * FROM grid WHERE ci % 2 = 0 OR ci % 9 = 0) g ON g.ci = c.i AND g.cj = c.j""")
+
+
+@BOOK.add("live_watch", q(("marked",), """
+SELECT date AS day, scope, CASE WHEN scope = 'outside' THEN 0 ELSE i END AS ci, CASE WHEN scope = 'outside' THEN 0 ELSE j END AS cj, CASE WHEN scope = 'outside' THEN 0 ELSE count(DISTINCT id) END AS fires,
+  CASE WHEN scope <> 'outside' THEN min(lpad(CAST(hhmm AS VARCHAR), 4, '0')) END AS first, CASE WHEN scope <> 'outside' THEN max(lpad(CAST(hhmm AS VARCHAR), 4, '0')) END AS last,
+  scope <> 'outside' AND bool_or(hills) AS hills, scope <> 'outside' AND bool_or(chk) AS "check"
+FROM marked GROUP BY 1, 2, 3, 4"""))
+def live_watch(spark, sf_dir):
+    """The stateful watch over line items that arrive as a stream of files, those of the last fortnight; record A stands for what lies outside the region."""
+    from quillspan.staging import scratch_folder
+    from quillspan.streaming import watch
+
+    lines = table(spark, sf_dir, "lineitem")
+    end = newest(observations(spark, sf_dir).filter("date <= date'2001-03-15'"))
+    arriving = watch.arrivals(spark, f"{sf_dir}/lineitem.parquet*", lines.schema).filter(F.to_date("l_shipdate").between(F.date_sub(F.to_date(F.lit(end)), 13), F.to_date(F.lit(end))))
+    obs = observations(spark, sf_dir, arriving).withColumn("hhmm", F.lpad(F.col("hhmm").cast("string"), 4, "0"))
+    stream = obs.select("id", F.to_timestamp("date").alias("ts"), "date", "hhmm", "lat", "lon", "frp", (F.col("sensor") == "B").alias("inside"))
+    g = grid(spark, sf_dir).filter("ci % 2 = 0 or ci % 9 = 0")
+    listed = live.listed_seasons(grid(spark, sf_dir).filter("ci % 9 = 0").select("ci", "cj", F.lit("inspect first").alias("priority"), F.lit(2001).alias("season")))
+    run = scratch_folder(spark, "watch")
+    watch.run_available(watch.cell_days(stream, still(spark, sf_dir), g, listed), lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{run}/out/{n}"), f"{run}/state", "update")
+    key = ["day", "scope", "ci", "cj"]
+    cells = spark.read.parquet(f"{run}/out/*").filter("kind = 'cell'").groupBy(*key).agg(F.max_by(F.struct("fires", "first", "last", "hills", "check"), "batch").alias("now"))
+    return cells.select(*key, "now.*")
+
+
 @BOOK.add("read_window", q(("raster",), f"""
 SELECT y AS row, x AS col, coalesce(value, 0) AS value FROM range(8) a(y) CROSS JOIN range(9) b(x) LEFT JOIN raster ON row = y + {SIZE - 5} AND col = x - 3"""))
 def read_window(spark, sf_dir):
-    return spatial.read_window(raster(spark), SIZE - 5, -3, 8, 9)
+    return spatial.read_window(raster(spark, sf_dir), SIZE - 5, -3, 8, 9)
 
 
-@BOOK.add("live_static", q(("obs", "static"), "SELECT count(*) AS static FROM obs o WHERE date > CAST('2001-03-08' AS DATE) AND date <= CAST('2001-03-15' AS DATE) AND sensor = 'B' AND EXISTS (SELECT 1 FROM static s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))"))
+@BOOK.add("live_static", q(("obs", "still", "newest"), "SELECT count(*) AS static FROM obs o WHERE date > (SELECT newest - 7 FROM newest) AND date <= (SELECT newest FROM newest) AND sensor = 'B' AND EXISTS (SELECT 1 FROM still s WHERE s.fi = floor(o.lat / 0.01e0) AND s.fj = floor(o.lon / 0.01e0))"))
 def live_static(spark, sf_dir):
-    recent = live.window(observations(spark, sf_dir).filter("sensor = 'B' and date <= date'2001-03-15'"))
-    return live.static_count(recent, static(spark, sf_dir))
+    arrived = observations(spark, sf_dir).filter("date <= date'2001-03-15'")
+    recent = live.window(arrived.filter("sensor = 'B'"), newest(arrived))
+    return live.static_count(recent, still(spark, sf_dir))
 
 
 @BOOK.add("normal_hills_week", q(("obs", "hotspots", "grid"), f"""
 SELECT {r('avg(n) AS normal')} FROM (SELECT y, count(id) AS n FROM range(1995, 2002) v(y) LEFT JOIN (SELECT o.* FROM obs o JOIN grid g ON floor(o.lat / 0.02e0) = g.ci AND floor(o.lon / 0.02e0) = g.cj
   WHERE g.ci % 2 = 0 AND NOT EXISTS (SELECT 1 FROM hotspots s WHERE abs(s.fi - floor(o.lat / 0.01e0)) <= 1 AND abs(s.fj - floor(o.lon / 0.01e0)) <= 1)) p ON date > make_date(y, 3, 8) AND date <= make_date(y, 3, 15) GROUP BY y)"""))
 def normal_hills_week(spark, sf_dir):
-    """Detections in half of the grid and off the cells of suppliers with very low balances, which stand for static sources."""
+    """Detections in half of the grid and off static sources."""
     obs = observations(spark, sf_dir)
-    return rounded(live.normal_hills_week(obs, grid(spark).filter("ci % 2 = 0"), live.static_cells(hotspots(spark, sf_dir)), "2001-03-15", list(range(1995, 2002))))
+    return rounded(live.normal_hills_week(obs, grid(spark, sf_dir).filter("ci % 2 = 0"), still(spark, sf_dir), "2001-03-15", list(range(1995, 2002))))
 
 
 def hotspots(spark, sf_dir):

@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ from quillspan.functions import stats
 from quillspan.operators import calibration, counts, features, history, imagery, ranking, spatial, uncertainty
 from quillspan.operators import live as watch
 from quillspan.operators.grid import centre, members, neighbour_mean, with_cells
-from quillspan.sources.readers import raster_position
-from quillspan.sources.writers import as_arrays, as_json, report, save_model, write_csv, write_table, write_text
-from quillspan.streaming.watch import run_available
+from quillspan.operators.spatial import tag_polygons
+from quillspan.sources.readers import fetch_days, last_day, normalise, raster_position, read_availability, read_live
+from quillspan.sources.writers import as_arrays, as_json, refresh_years, report, save_model, stale_years, watermark, write_csv, write_table, write_text
+from quillspan.staging import Stages, drop_folders, folder_values, numbered_folders
+from quillspan.streaming.watch import DAY_OUT, cell_days, run_available
 
 
 @dataclass
@@ -34,6 +37,10 @@ class Run:
     cfg: Config = CONFIG
     seconds: dict[str, float] = field(default_factory=dict)
 
+    def kept(self, name: str, make: Callable[[], DataFrame], reads: tuple[str, ...]) -> DataFrame:
+        """A table that stays from run to run, until one of the files and folders it reads changes or one is added."""
+        return Stages(self.spark, f"{self.root}/kept", manifest=True).table(name, make, reads)
+
     @property
     def tables(self) -> Tables:
         return Tables(self.spark, self.root)
@@ -52,16 +59,49 @@ class Run:
         return out
 
 
+def refresh(run: Run, products: dict[str, dict[str, str]], availability: str, since: int, edges: DataFrame | None = None) -> str:
+    """Fetch the years of detections that the service has more of than the last refresh saw, and move the data end on. The new data end comes back.
+
+    products: for each sensor the product's name in the availability table and
+    the options of the paged reader (url and so on). A year counts as complete
+    up to the data end on record; only years beyond that are fetched, whole, and
+    replace what the archive holds of them. Detections are clipped to the
+    polygons of `edges`. The data end is the last day that every product
+    covers, and is written after the archive, so a run that breaks off fetches
+    again. A product that the table doesn't list is an error.
+    """
+    spark, archive, end_file = run.spark, f"{run.root}/archive", f"{run.root}/data_end.json"
+    latest = {r["product"]: r.last_day for r in read_availability(spark, availability).collect()}  # a row a product
+    missing = sorted({p["product"] for p in products.values()} - set(latest))
+    if missing:
+        raise LookupError(f"not available: {', '.join(missing)}")
+    seen = last_day(spark, end_file, "")
+    for sensor, options in products.items():
+        newest = latest[options["product"]]
+        years = list(range(since, int(newest[:4]) + 1))
+        on_record = {int(y) for y in folder_values(spark, f"{archive}/sensor={sensor}", "year")}
+        known = {y: min(f"{y}-12-31", seen) for y in years if y in on_record}
+        service = {k: v for k, v in options.items() if k != "product"}
+        for year in stale_years(known, newest, years):
+            raw = fetch_days(spark, f"{year}-01-01", min(f"{year}-12-31", newest), edges, **service)
+            typed = raw.select(F.col("latitude").try_cast("double").alias("latitude"), F.col("longitude").try_cast("double").alias("longitude"), F.col("frp").try_cast("double").alias("frp"), "acq_date", "acq_time", "satellite", "confidence", "daynight")
+            refresh_years(normalise(typed.withColumn("sensor", F.lit(sensor)).withColumn("type", F.lit(None).cast("int"))), archive)
+    end = watermark({p["product"]: latest[p["product"]] for p in products.values()})
+    write_text(spark, end_file, json.dumps({"data_end": end}))
+    return end
+
+
 def prepare(run: Run, detections: DataFrame, edges: DataFrame, keys: list[str], step: float = 0.1) -> DataFrame:
     """detections tagged with the polygon around them, by sensor and year."""
     tagged = spatial.tag_polygons(detections, edges, keys, step)
     return run.write("detections", lambda: detections.join(tagged, keys, "left"), ("sensor", "year"))
 
 
-def slope_raster(run: Run, tiles: DataFrame, zoom: int, x0: int, y0: int) -> DataFrame:
-    """The mosaic of elevation tiles (tx, ty, r, c, value) with slopes, written once: later runs read it."""
-    pixel_m = F.cos(F.radians(spatial.pixel_lat(F.col("row"), y0, zoom))) * (156543.03392 / 2**zoom)
-    return run.write("slope_raster", lambda: spatial.slope(spatial.mosaic(tiles, x0, y0), pixel_m))
+def slope_raster(run: Run, tiles: DataFrame, zoom: int, x0: int, y0: int, reads: tuple[str, ...] = ()) -> DataFrame:
+    """The mosaic of elevation tiles (tx, ty, r, c, value) with slopes, written once: later runs read it. With reads, the files and folders of the tiles, they do so while these stay as they are."""
+    pixel_m = spatial.pixel_metres(spatial.pixel_lat(F.col("row"), y0, zoom), zoom)
+    make = lambda: spatial.slope(spatial.mosaic(tiles, x0, y0), pixel_m)
+    return run.kept(f"slope_raster-{zoom}-{x0}-{y0}", make, reads) if reads else run.write("slope_raster", make)
 
 
 def build_grid(run: Run, slopes: DataFrame, people: DataFrame, edges: DataFrame, names: DataFrame, zoom: int, x0: int, y0: int, keep: list[str]) -> DataFrame:
@@ -205,16 +245,18 @@ def forecast(run: Run, detections: DataFrame, grid: DataFrame, clean_years: list
     return {"rolling_origin": judged, "forecast": out}
 
 
-def fire_points(run: Run, detections: DataFrame, grid: DataFrame, slopes: DataFrame, people: DataFrame, zoom: int, x0: int, y0: int, people_at: tuple[float, float, float], footprint: int = 5) -> DataFrame:
+def fire_points(run: Run, detections: DataFrame, grid: DataFrame, slopes: DataFrame, people: DataFrame, zoom: int, x0: int, y0: int, people_at: tuple[float, float, float], footprint_m: float = 375.0) -> DataFrame:
     """Season detections of record B inside the grid with the slope and steep share around them, and people in boxes of 3 and 5 pixels.
 
     slopes: slope_raster(). people: raster (row, col, value) whose first pixel
-    begins at people_at (north, west, step). footprint: pixels to each side.
+    begins at people_at (north, west, step). footprint_m: width of a
+    detection's footprint in metres.
     """
     cfg = run.cfg
     season = counts.vegetation(detections).filter(F.col("month").isin(*cfg.burn_months) & (F.col("region") == "hills") & (F.col("sensor") == "B"))
     pts = members(with_cells(season.drop("slope", "steep", "people_r1", "people_r2"), cfg.cell_step), grid, ("ci", "cj"))
     spots = run.write("fire_spots", lambda: pts.select("lat", "lon").distinct())
+    footprint = spatial.footprint_radius(pts, zoom, footprint_m)
     keys = ["lat", "lon"]
     ground = spatial.footprint_slope(spatial.tile_pixel(spots, zoom, x0, y0), slopes, keys, footprint, cfg.steep_degrees).withColumnsRenamed({"mean_slope": "slope", "steep_share": "steep"})
     at = raster_position(spots, *people_at)
@@ -258,29 +300,86 @@ def watchlist(run: Run, points: DataFrame, grid: DataFrame, places: DataFrame, s
     return table
 
 
-def live(run: Run, detections: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str, days: int = 7) -> dict:
-    """The live document from the latest detections, written as one compact file: counts, fires as rows of values, alerts."""
+#: Fires of a week that the live document holds itself; more are in the table live_fires alone.
+INLINE_FIRES = 50_000
+
+
+def live(run: Run, detections: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str, last: str | None, days: int = 7) -> dict:
+    """The live document from the latest detections, written as one compact file: counts, fires as rows of values, alerts.
+
+    last: the newest day that came, of all regions. The fires are a table of
+    their own as well; a week of more than INLINE_FIRES is only there.
+    """
     static = run.write("static_cells", lambda: watch.static_cells(past))
-    made = watch.build(detections, static, grid, watch.listed_seasons(run.tables.table("watchlist")), places, past, years, days)
-    rows = {name: [r.json for r in (as_arrays(df) if name == "fires" else as_json(df)).collect()] for name, df in made.items()}  # a week's rows
-    text = f'{{"source":{json.dumps(source)},"counts":{rows["counts"][0]},"fires":[{",".join(rows["fires"])}],"alerts":[{",".join(rows["alerts"])}]}}'
+    made = watch.build(detections, static, grid, watch.listed_seasons(run.tables.table("watchlist")), places, past, years, last, days)
+    return _document(run, made, source)
+
+
+def _document(run: Run, made: dict[str, DataFrame], source: str) -> dict:
+    fires = run.write("live_fires", lambda: as_arrays(made["fires"]))
+    [counts_] = [r.json for r in as_json(made["counts"]).collect()]
+    alerts = [r.json for r in as_json(made["alerts"]).collect()]  # one for each cell of the grid at most
+    shown = [r.json for r in fires.limit(INLINE_FIRES + 1).collect()]
+    where = f'"fires":[{",".join(shown)}]' if len(shown) <= INLINE_FIRES else '"fires_table":"live_fires"'
+    text = f'{{"source":{json.dumps(source)},"counts":{counts_},{where},"alerts":[{",".join(alerts)}]}}'
     write_text(run.spark, f"{run.root}/live.json", text)
     return json.loads(text)
 
 
-def live_stream(run: Run, arrivals: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str, days: int = 7) -> None:
-    """live() over a folder that detections arrive in, once for all that has come since the last time.
+def live_file(run: Run, path: str, box: tuple[float, float, float, float], edges: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str = "a saved file", days: int = 7) -> dict:
+    """live() from a saved file: those of its detections that lie in the polygons of `edges`, over the days up to the newest of the whole file.
 
-    arrivals: a stream of detections (streaming.watch.arrivals). A batch that is
-    worked off twice after a failure replaces itself, and a detection that comes
-    twice counts once.
+    box: west, south, east, north; detections outside are not looked at. A file of other text than detections is an error.
     """
-    def work(batch: DataFrame, number: int) -> None:
-        write_table(batch, f"{run.root}/arrived/batch={number}")
-        seen = run.tables.table("arrived").drop("batch").dropDuplicates()
-        live(run, seen, grid, places, past, years, source, days)
+    raw, last = read_live(run.spark, path, box)
+    found = normalise(raw.withColumn("sensor", F.lit("B")).withColumn("type", F.lit(None).cast("int"))).withColumn("hhmm", F.lpad(F.col("hhmm").cast("string"), 4, "0"))
+    found = found.withColumn("id", F.xxhash64("lat", "lon", "date", "hhmm", "satellite"))
+    spots = tag_polygons(found.select("lat", "lon").distinct(), edges, ["lat", "lon"]).filter("poly_id is not null").select("lat", "lon")
+    return live(run, found.join(spots, ["lat", "lon"], "left_semi"), grid, places, past, years, source, last, days)
+
+
+def live_stream(run: Run, arrivals: DataFrame, grid: DataFrame, places: DataFrame, past: DataFrame, years: list[int], source: str, days: int = 7) -> list[dict]:
+    """live() over a folder that detections arrive in: a batch reads the files that have come since the last one, and the week's cells.
 
-    run_available(arrivals, work, f"{run.root}/live_state")
+    arrivals: a stream (streaming.watch.arrivals) of id, ts, date, hhmm, lat,
+    lon, frp and inside, whether the region holds it. After each batch the
+    document is what live() makes of all that ever came. A batch that is worked
+    off again after a failure replaces what it wrote. Spark's progress of each
+    batch comes back.
+    """
+    spark = run.spark
+    static = run.write("static_cells", lambda: watch.static_cells(past))
+    listed = watch.listed_seasons(run.tables.table("watchlist"))
+    changes = cell_days(arrivals, static, grid, listed, days)
+    key = ["day", "scope", "ci", "cj"]
+
+    def work(batch: DataFrame, number: int) -> None:
+        at = f"{run.root}/live_week"
+        write_table(batch.withColumn("part", F.when(F.col("kind") == "cell", "cells").otherwise(F.col("day").cast("string"))), f"{at}/changes/batch={number}", ("part",))
+        came = spark.read.schema(f"{DAY_OUT}, part string").parquet(f"{at}/changes/batch={number}").filter("part = 'cells'").drop("part")
+        before = [n for n in numbered_folders(spark, f"{at}/cells", "version") if n < number]
+        week = came
+        if before:
+            week = spark.read.schema(DAY_OUT).parquet(f"{at}/cells/version={before[-1]}").join(came.select(*key), key, "left_anti").unionByName(came)
+        last = week.agg(F.max("day")).first()[0]
+        write_table(week.filter(F.col("day") > F.date_sub(F.lit(last), days)), f"{at}/cells/version={number}")
+        drop_folders(spark, [f"{at}/cells/version={n}" for n in before[:-1]])
+        week = spark.read.schema(DAY_OUT).parquet(f"{at}/cells/version={number}")
+        if last is None:
+            return
+        first_day = str(last - timedelta(days=days - 1))
+        old = [n for n in numbered_folders(spark, f"{at}/changes", "batch") if n < number and not any(p >= first_day for p in folder_values(spark, f"{at}/changes/batch={n}", "part") if p != "cells")]
+        drop_folders(spark, [f"{at}/changes/batch={n}" for n in old])
+        # Folders named by day: days before the window are not read.
+        fires = spark.read.schema(f"{DAY_OUT}, batch int, part string").parquet(f"{at}/changes").filter((F.col("part") >= first_day) & (F.col("part") != "cells") & (F.col("batch") <= number))
+        made = {
+            "counts": watch.with_normal(watch.counts_of_days(week), grid, static, past, years, str(last), days),
+            "fires": watch.compact(fires.withColumn("date", F.col("day"))),
+            "alerts": watch.placed_alerts(watch.alerts_of_days(week, grid, listed), grid, places),
+        }
+        _document(run, made, source)
+
+    return run_available(changes, work, f"{run.root}/live_state", "update")
 
 
 def check_imagery(run: Run, pixels: DataFrame | None, n: int, seed: int, pixels_per_cell: int, valid: list[int], recent_since: int) -> dict:

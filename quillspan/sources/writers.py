@@ -62,14 +62,16 @@ def report(frames: dict[str, DataFrame], path: str | None = None, limit: int = 1
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text as one file, on any file system Spark knows; it appears whole or not at all."""
-    fs, beside = file_system(spark, f"{path}.part")
+    """A small text as one file, on any file system Spark knows. Readers find the old text or the new one, never none: the new file takes the place of the old in one step."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    (fs, at), (_, beside) = file_system(spark, path), file_system(spark, f"{path}.part")
+    at, beside = fs.makeQualified(at), fs.makeQualified(beside)
     stream = fs.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    _, at = file_system(spark, path)
-    fs.delete(at, False)
-    fs.rename(beside, at)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, at, over)
 
 
 def read_report(spark: SparkSession, path: str) -> dict:

@@ -153,7 +153,7 @@ def test_live_build_against_brute_force(spark, week):
     lists = spark.createDataFrame([(*grid[k][:2], p, s) for k, p, s in ((0, "inspect first", 2018), (0, "inspect first", 2017), (5, "inspect", 2018))], "ci long, cj long, priority string, season int")
     towns = [(0, "a", 10.1, 50.1), (1, "b", 10.5, 50.3), (2, "(unnamed)", 10.3, 50.2)]
     places = spark.createDataFrame(towns, "place_id int, name string, lat double, lon double")
-    made = live.build(df, static, cells, live.listed_seasons(lists), places, df, [2018, 2019])
+    made = live.build(df, static, cells, live.listed_seasons(lists), places, df, [2018, 2019], str(max(r[1] for r in rows)))
     near = {(math.floor(a / 0.01) + x, math.floor(o / 0.01) + y) for _, a, o in hot for x in (-1, 0, 1) for y in (-1, 0, 1)}
     last = max(r[1] for r in rows)
     recent = [r for r in rows if r[1] > last - dt.timedelta(days=7)]
@@ -179,7 +179,19 @@ def test_live_build_against_brute_force(spark, week):
     assert keys == sorted(keys)
     levels = Counter(r.level for r in made["fires"].collect())
     assert levels == Counter(2 if at(r) in ground and wanted(at(r)) else 1 if at(r) in ground else 0 for r in free)
-    assert live.build(df.limit(0), static, cells, live.listed_seasons(lists), places, df, [2018])["counts"].first().fires == 0
+    none = live.build(df.limit(0), static, cells, live.listed_seasons(lists), places, df, [2018], None)["counts"].first()
+    assert none.fires == 0 and none.to == dt.date.today() and none.normal == 0
+
+
+def test_the_week_ends_with_the_file_not_with_the_region(spark, week):
+    """The newest detection lies outside the region: the window doesn't slide back to the region's own last day."""
+    rows, grid, _ = week
+    df = spark.createDataFrame(rows, "id long, date date, hhmm string, lat double, lon double, frp double, kind int")
+    newest = max(r[1] for r in rows)
+    later = str(newest + dt.timedelta(days=4))
+    got = {r.id for r in live.window(df, later).collect()}
+    assert got == {r[0] for r in rows if r[1] > newest - dt.timedelta(days=3)} and got != {r.id for r in live.window(df, str(newest)).collect()}
+    assert live.window(df, str(newest + dt.timedelta(days=7))).count() == 0
 
 
 def test_live_reader_clips_after_taking_the_last_date(spark, tmp_path):

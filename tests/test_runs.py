@@ -11,10 +11,20 @@ from quillspan.config import CONFIG
 from quillspan.operators import ranking, spatial
 from quillspan.operators.grid import centre
 from quillspan.plans import adapter
-from quillspan.plans.places import places, scenes
-from quillspan.streaming import watch
+from quillspan.plans.places import places
 
 SF = "/root/testdata/sf0.001"
+
+
+def images(spark):
+    """Two cells with two windows of six scenes of 100 pixels."""
+    base = spark.range(2).select(F.col("id").alias("cell"), F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("window"))
+    base = base.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    c, s, p = F.col("cell"), F.col("scene"), F.col("p")
+    return base.select(
+        "cell", "window", "scene", s.alias("place"), F.floor(p / 10).cast("long").alias("row"), (p % 10).cast("long").alias("col"),
+        ((c * 31 + s * 17 + p * 7) % 100 + 20 + F.when(F.col("window") == "pre", 60).otherwise(0)).cast("double").alias("nir"), ((c * 13 + s * 29 + p * 3) % 90 + 10).cast("double").alias("swir"),
+        F.when((p + s * 3 + c) % 20 < s % 4 * 3, 9).otherwise(4).alias("scl"))
 YEARS = [1998, 1999, 2000]
 
 
@@ -22,7 +32,7 @@ YEARS = [1998, 1999, 2000]
 def world(spark, tmp_path_factory):
     run = runs.Run(spark, str(tmp_path_factory.mktemp("run")), replace(CONFIG, replicates=50))
     obs = run.write("detections", lambda: adapter.observations(spark, SF))
-    grid = adapter.grid(spark).withColumn("lat", centre("ci", 0.02)).withColumn("lon", centre("cj", 0.02)).withColumn("slope_p90", F.col("slope_mean") + 5)
+    grid = adapter.grid(spark, SF).withColumn("lat", centre("ci", 0.02)).withColumn("lon", centre("cj", 0.02)).withColumn("slope_p90", F.col("slope_mean") + 5)
     return run, obs, run.write("grid", lambda: grid)
 
 
@@ -71,19 +81,10 @@ def test_whole_run(spark, world):
 
     # The watch and the images on top of the same tables.
     days = obs.filter("sensor = 'B' and date <= date'2001-03-15'")
-    doc = runs.live(run, days, grid.drop("district", "people_cell", "elev_mean", "steep_frac", "slope_p90"), places(spark), days, [2000, 2001], "a file")
+    doc = runs.live(run, days, grid.drop("district", "people_cell", "elev_mean", "steep_frac", "slope_p90"), places(spark), days, [2000, 2001], "a file", "2001-03-15")
     assert doc == json.loads(open(f"{run.root}/live.json").read()) and doc["counts"]["to"] == "2001-03-15" and doc["counts"]["fires"] == len(doc["fires"])
-    # The same from a folder that the days arrive in, some of them twice.
-    shown = grid.drop("district", "people_cell", "elev_mean", "steep_frac", "slope_p90")
-    days.filter("date < date'2001-03-12'").write.parquet(f"{run.root}/in/a")
-    days.filter("date >= date'2001-03-10'").write.parquet(f"{run.root}/in/b")
-    fields = days.schema.simpleString()[7:-1].replace(":", " ")
-    stream = watch.arrivals(spark, f"{run.root}/in/*", fields, files=1)
-    runs.live_stream(run, stream, shown, places(spark), days, [2000, 2001], "a file")
-    again = json.loads(open(f"{run.root}/live.json").read())
-    assert again["counts"] == doc["counts"] and sorted(map(str, again["fires"])) == sorted(map(str, doc["fires"])) and again["alerts"] == doc["alerts"]
     cells = [f"{r.ci}_{r.cj}" for r in lists.filter("kind = 'observed'").select("ci", "cj").collect()]
-    pixels = scenes(spark).filter("cell < 2").join(spark.createDataFrame([(c, i % 2) for i, c in enumerate(cells)], "name string, cell long"), "cell").drop("cell").withColumnRenamed("name", "cell")
+    pixels = images(spark).join(spark.createDataFrame([(c, i % 2) for i, c in enumerate(cells)], "name string, cell long"), "cell").drop("cell").withColumnRenamed("name", "cell")
     report = runs.check_imagery(run, pixels, 5, 3, 100, [4], 2001)
     assert report["current"] is True and sum(r["cells"] for r in report["groups"]) == run.tables.table("image_sample").count()
     again = runs.check_imagery(run, None, 5, 3, 100, [4], 2001)
@@ -97,7 +98,7 @@ def test_rolling_origin_knows_no_later_season(spark, tmp_path):
     for later in (obs, obs.filter("year < 2001")):
         run = runs.Run(spark, str(tmp_path / str(len(got))), replace(CONFIG, replicates=5))
         runs.harmonize(run, later, [1998, 1999, 2000])
-        grid = adapter.grid(spark)
+        grid = adapter.grid(spark, SF)
         runs.build_history(run, later, grid, [1998, 1999, 2000])
         judged = runs.forecast(run, later, grid, [1998, 1999, 2000, 2001], [2000], 2001, rounds=2)["rolling_origin"]
         got.append(sorted(map(tuple, judged.filter("year = 2000").collect())))
@@ -126,6 +127,6 @@ def test_grid_build_and_fire_points(spark, tmp_path):
     hits = spark.createDataFrame([(1, at.lat, at.lon), (2, at.lat, at.lon), (3, 0.0, 0.0)], "id long, lat double, lon double")
     obs = hits.select("*", F.lit("B").alias("sensor"), F.lit("N").alias("satellite"), F.lit(0).alias("kind"), F.lit("hills").alias("region"), F.lit(3).alias("month"), F.lit(2001).alias("year"), F.lit(9.0).alias("slope"), F.lit(9.0).alias("steep"), F.lit(9.0).alias("people_r1"), F.lit(9.0).alias("people_r2"))
     raster = spark.range(900).select(F.floor(F.col("id") / 30).alias("row"), (F.col("id") % 30).alias("col"), F.lit(2.0).alias("value"))
-    pts = runs.fire_points(run, obs, grid, slopes, raster, zoom, x0, y0, (corner.n, corner.w, 0.02), 2).collect()
+    pts = runs.fire_points(run, obs, grid, slopes, raster, zoom, x0, y0, (corner.n, corner.w, 0.02), 1200.0).collect()
     assert sorted(r.id for r in pts) == [1, 2] and all((r.people_r1, r.people_r2) == (18.0, 50.0) for r in pts)
     assert all(abs(r.slope - expected) < 0.2 and r.steep == float(expected >= 15) for r in pts)
