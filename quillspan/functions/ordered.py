@@ -1,7 +1,8 @@
 """Running sums and places over a whole table, without a task that orders all of it.
 
 Rows are dealt to ranges of the order, each range is summed, and the sums of
-the ranges before it (a row a range) are added to what a range counts itself.
+the ranges before it (a row a range) are added to what a range counts itself. Ranged rows are written, so that which
+rows fall into which range doesn't change between the jobs that read them.
 """
 
 from __future__ import annotations
@@ -10,14 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.staging import scratch_folder
-
-
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table: which rows fall into which range must not change between the jobs that read it."""
-    path = f"{scratch_folder(df.sparkSession, label)}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quillspan.staging import written
 
 
 def _ranges(df: DataFrame) -> int:
@@ -39,7 +33,7 @@ def running_before(df: DataFrame, order: str, sums: dict[str, str], keys: tuple[
     values come first (last if descending); null amounts count as 0. An empty table stays empty. Keys may hold any share of the rows.
     """
     by, of_range = F.col(order).desc() if descending else F.col(order).asc(), _free(df, "range_")
-    ranged = _written(df.repartitionByRange(_ranges(df), *keys, by).withColumn(of_range, F.spark_partition_id()), "ranges")
+    ranged = written(df.repartitionByRange(_ranges(df), *keys, by).withColumn(of_range, F.spark_partition_id()), "ranges")
     zero = lambda c: F.coalesce(c, F.lit(0))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     here = ranged.select("*", *(zero(F.sum(c).over(earlier(Window.partitionBy(*keys, of_range).orderBy(by)))).alias(out) for out, c in sums.items()))
@@ -60,7 +54,7 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     id_, of_range, n = (_free(df, c) for c in ("place_", "range_", "rows_"))
     ranged = df.repartitionByRange(_ranges(df), *order).sortWithinPartitions(*order)
     # Spark's ids are the partition, shifted, and the place of the row in it.
-    placed = _written(ranged.withColumn(id_, F.monotonically_increasing_id()), "places").withColumn(of_range, F.shiftright(id_, 33))
+    placed = written(ranged.withColumn(id_, F.monotonically_increasing_id()), "places").withColumn(of_range, F.shiftright(id_, 33))
     sizes = placed.groupBy(of_range).agg(F.count("*").alias(n))
     ahead = Window.partitionBy(F.lit(0)).orderBy(of_range).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = sizes.select(of_range, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspan.staging import written
+
 EARTH_KM = 6371.0
 TILE = 256
 
@@ -24,42 +26,90 @@ def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: floa
     return F.hypot((lat1 - lat2) * 110.57, (lon1 - lon2) * kx)
 
 
-#: Sides of grid cells in degrees, from which nearest_place() chooses; the largest holds the world.
-CELLS = [0.05 * 2**k for k in range(14)]
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    return [EARTH_KM * F.cos(F.radians(lat)) * F.cos(F.radians(lon)), EARTH_KM * F.cos(F.radians(lat)) * F.sin(F.radians(lon)), EARTH_KM * F.sin(F.radians(lat))]
+
+
+def _on_plane(lat: Column, lon: Column) -> list[Column]:
+    return [lon * (111.32 * math.cos(math.radians(22.5))), lat * 110.57, F.lit(0.0)]
+
+
+#: For each distance: positions in space, whose straight distances are in the same order, and half the width of a cube that holds them.
+SPACES = {haversine_km: (_on_sphere, 6400.0), flat_km: (_on_plane, 20000.0)}
+#: Levels of cubes, of 2^level to a side, from the 64 that every point looks at; those of the last are at most 3 km wide.
+LEVELS = range(2, 15, 2)
+#: Places that a cube may hold without being split.
+CUBE_PLACES = 16
+#: Kilometres by which bounds may be off, as they are reckoned otherwise than distances.
+SLACK_KM = 1e-5
+
+
+def _cubes(at: Column, half: float, level: int) -> Column:
+    """The cube that holds a position, by three numbers."""
+    side = 2 * half / 2**level
+    return F.transform(at, lambda x: F.floor((x + half) / side).cast("int"))
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _least_km(at: Column, cube: Column, half: float, side: Column) -> Column:
+    """From a position to the nearest point of a cube."""
+    return _far(at, F.zip_with(at, cube, lambda x, i: F.greatest(i * side - half, F.least((i + 1) * side - half, x))))
 
 
 def nearest_place(points: DataFrame, places: DataFrame, keys: list[str], distance=haversine_km, named_only: bool = False) -> DataFrame:
     """keys, place and km: the nearest place of each point; the place with the smaller place_id wins a tie.
 
     points: keys, lat, lon, one row for each set of keys. places: place_id,
-    name, lat, lon. The smallest grid cell around a point that holds a place
-    bounds the distance; the point then meets the places of the cells around it
-    on a grid so much coarser that none within that bound is missed. Towards
-    the poles and the date line the coarsest grid serves, where all places meet.
+    name, lat, lon. Places lie in cubes in space, so that neither the poles nor
+    the date line are special; a cube of more than CUBE_PLACES is split. A point
+    goes down the cubes: those stay whose nearest corner is not farther away
+    than some place of another one, until only cubes that aren't split are
+    left, whose places it meets. Cubes of the first level, 64 at most, go to
+    the points; of the others a point sees the parts of cubes that it still
+    holds. Without places nothing comes out.
     """
+    locate, half = SPACES[distance]
     if named_only:
         places = places.filter("name != '(unnamed)'")
-    number = lambda c, offset, side: F.floor((c + offset) / side).cast("long")
-    grids = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(side).alias("side")) for k, side in enumerate(CELLS))))
-    placed = places.select("place_id", "name", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), grids.alias("_g"))
-    placed = placed.select("place_id", "name", "_plat", "_plon", F.col("_g.level").alias("_level"), number(F.col("_plat"), 90, F.col("_g.side")).alias("_i"), number(F.col("_plon"), 180, F.col("_g.side")).alias("_j"))
-    around = points.select(*keys, "lat", "lon", grids.alias("_g"))
-    around = around.select(*keys, "lat", "lon", F.col("_g.level").alias("_level"), number(F.col("lat"), 90, F.col("_g.side")).alias("_i"), number(F.col("lon"), 180, F.col("_g.side")).alias("_j"))
-    held = placed.select("_level", "_i", "_j").distinct()
-    first = around.join(held, ["_level", "_i", "_j"], "left_semi").groupBy(*keys).agg(F.min("_level").alias("_level"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-    # A place in a cell of side c is within 1.5 c degrees of latitude; as many kilometres are 1.5 c / cos(latitude) degrees of longitude.
-    side = F.lit(CELLS[0]) * F.pow(F.lit(2.0), F.col("_level"))
-    narrow = F.cos(F.radians(F.least(F.abs("lat") + 2 * side, F.lit(89.9))))
-    coarser = F.ceil(F.log2(1.5 / narrow)).cast("int")
-    reach = side * F.pow(F.lit(2.0), coarser)
-    top = len(CELLS) - 1
-    level = F.when((F.abs("lon") + reach > 180) | (F.abs("lat") + reach > 89), top).otherwise(F.least(F.lit(top), F.col("_level") + coarser))
-    chosen = first.withColumn("_level", level).withColumn("_side", F.lit(CELLS[0]) * F.pow(F.lit(2.0), F.col("_level")))
-    step = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
-    cells = chosen.withColumn("_o", step).withColumn("_i", number(F.col("lat"), 90, F.col("_side")) + F.col("_o.x")).withColumn("_j", number(F.col("lon"), 180, F.col("_side")) + F.col("_o.y"))
+    # Of places at one spot the first is the nearest of them to anyone.
+    spots = places.groupBy(F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).agg(F.min("place_id").alias("place_id"), F.min_by("name", "place_id").alias("name"))
+    spots = spots.withColumn("_at", F.array(*locate(F.col("_plat"), F.col("_plon"))))
+    side = lambda level: 2 * half / 2**level
+    tables, held = {}, spots.withColumn("_up", F.lit(None).cast("array<int>"))
+    for level in LEVELS:
+        held = held.withColumn("_cube", _cubes(F.col("_at"), half, level))
+        cubes = held.groupBy("_cube").agg(F.count("*").alias("_n"), F.min_by("_at", "place_id").alias("_some"), F.first("_up").alias("_up"))
+        cubes = cubes.withColumn("_leaf", (F.col("_n") <= CUBE_PLACES) | F.lit(level == LEVELS[-1])).drop("_n")
+        tables[level] = written(cubes, f"cubes{level}")
+        split = tables[level].filter("not _leaf").select("_cube")
+        if not split.count():
+            break
+        held = held.join(split, "_cube").withColumn("_up", F.col("_cube"))
+    at = F.array(*locate(F.col("lat"), F.col("lon")))
+    # The rows of a point: cubes with their level, the least distance to them, and that to one of their places.
+    seen = lambda level, bound: F.struct(F.lit(level).alias("level"), bound["_cube"].alias("cube"), bound["_leaf"].alias("leaf"), _least_km(F.col("_at"), bound["_cube"], half, F.lit(side(level))).alias("low"), _far(F.col("_at"), bound["_some"]).alias("high"))
+    bounded = lambda rows: F.filter(rows, lambda c: c.low <= F.array_min(F.transform(rows, lambda d: d.high)) + SLACK_KM)
+    first = tables[LEVELS[0]].agg(F.collect_list(F.struct("_cube", "_leaf", "_some")).alias("_first"))  # 64 cubes at most
+    rows = points.select(*keys, "lat", "lon", at.alias("_at")).crossJoin(F.broadcast(first))
+    rows = rows.withColumn("_all", F.transform("_first", lambda c: seen(LEVELS[0], c))).withColumn("_left", bounded(F.col("_all"))).drop("_first", "_all")
+    for level in list(tables)[1:]:
+        one = rows.withColumn("_c", F.explode("_left")).drop("_left")
+        parts = tables[level].select(F.col("_up"), F.struct("_cube", "_leaf", "_some").alias("_part"))
+        met = one.filter("not _c.leaf").join(parts, F.col("_c.cube") == F.col("_up")).select(*keys, "lat", "lon", "_at", seen(level, F.col("_part")).alias("_c"))
+        both = met.unionByName(one.filter("_c.leaf").select(*met.columns)).groupBy(*keys).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("_at").alias("_at"), F.collect_list("_c").alias("_all"))
+        # A point holds few cubes at a time: those that a shell of one cube's width around its bound cuts.
+        rows = written(both.withColumn("_left", bounded(F.col("_all"))).drop("_all"), f"rows{level}")
+    homes = None
+    for level, cubes in tables.items():
+        inside = spots.withColumn("_cube", _cubes(F.col("_at"), half, level)).join(cubes.filter("_leaf").select("_cube"), "_cube")
+        part = inside.select(F.lit(level).alias("_level"), "_cube", "place_id", "name", "_plat", "_plon")
+        homes = part if homes is None else homes.unionByName(part)
     km = distance(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
-    met = cells.drop("_o", "_side").join(placed, ["_level", "_i", "_j"])
-    best = met.groupBy(*keys).agg(F.min_by(F.struct("name", km.alias("km")), F.struct(km, "place_id")).alias("b"))
+    leaves = rows.withColumn("_c", F.explode("_left")).select(*keys, "lat", "lon", F.col("_c.level").alias("_level"), F.col("_c.cube").alias("_cube"))
+    best = leaves.join(homes, ["_level", "_cube"]).groupBy(*keys).agg(F.min_by(F.struct("name", km.alias("km")), F.struct(km, "place_id")).alias("b"))
     return best.select(*keys, F.col("b.name").alias("place"), F.col("b.km").alias("km"))
 
 
@@ -70,24 +120,64 @@ def edges_of(polygons: DataFrame) -> DataFrame:
     return rings.select("poly_id", "ring", F.explode(pairs).alias("e")).select("poly_id", "ring", "e.*")
 
 
+def _left_of(x: Column, y: Column) -> Column:
+    """Whether (x, y) lies to the left of the edge (x1, y1, x2, y2). On its line, the point moved up a little, and to the right by far less, decides."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    s = dx * (y - F.col("y1")) - dy * (x - F.col("x1"))
+    return F.when(s != 0, s > 0).when(dx != 0, dx > 0).otherwise(dy < 0)
+
+
+def polygon_cells(edges: DataFrame, step: float) -> tuple[DataFrame, DataFrame]:
+    """Polygons cut along a grid: cells (poly_id, gx, gy, inside) that a polygon covers or its outline touches, and the edges (poly_id, gx, gy, x1, y1, x2, y2) that touch each.
+
+    inside says whether the middle of the cell is in the polygon. A row of
+    cells is crossed by a line through its middles; from the outline's
+    crossings with it, in order, the middles between the first and the second,
+    the third and the fourth and so on are inside.
+    """
+    slack = step * 1e-9
+    number = lambda v: F.floor(v / step).cast("long")
+    middle = lambda g: (g + 0.5) * step
+    edges = edges.select("poly_id", "x1", "y1", "x2", "y2").filter("x1 != x2 or y1 != y2")
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = edges.withColumn("gx", F.explode(F.sequence(number(low - slack), number(high + slack))))
+    # Where the edge is within a column of cells.
+    height = lambda x: F.when(F.col("x1") == F.col("x2"), F.col("y1")).otherwise(F.col("y1") + (F.greatest(low, F.least(high, x)) - F.col("x1")) * F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
+    y_a, y_b = height(F.col("gx") * step - slack), F.when(F.col("x1") == F.col("x2"), F.col("y2")).otherwise(height((F.col("gx") + 1) * step + slack))
+    own = columns.withColumn("gy", F.explode(F.sequence(number(F.least(y_a, y_b) - slack), number(F.greatest(y_a, y_b) + slack))))
+    rows = edges.withColumn("gy", F.explode(F.sequence(number(F.least("y1", "y2")) - 1, number(F.greatest("y1", "y2")) + 1)))
+    y = middle(F.col("gy"))
+    rows = rows.filter((F.col("y1") > y) != (F.col("y2") > y))
+    guess = number(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) - step / 2)
+    right = lambda g: (_left_of(middle(g), y) == (F.col("y2") > F.col("y1"))).cast("long")  # noqa: E731  the crossing is right of the middle
+    crossed = rows.withColumn("_g", guess).select("poly_id", "gy", (F.col("_g") - 1 + right(F.col("_g") - 1) + right(F.col("_g")) + right(F.col("_g") + 1)).alias("from"))
+    order = Window.partitionBy("poly_id", "gy").orderBy("from")
+    spans = crossed.select("poly_id", "gy", "from", F.lead("from").over(order).alias("to"), F.row_number().over(order).alias("n")).filter("n % 2 = 1 and `from` < `to`")
+    within = spans.select("poly_id", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("gx"), "gy", F.lit(True).alias("inside"))
+    cells = within.unionByName(own.select("poly_id", "gx", "gy", F.lit(False).alias("inside"))).groupBy("poly_id", "gx", "gy").agg(F.bool_or("inside").alias("inside"))
+    return cells, own
+
+
 def tag_polygons(points: DataFrame, edges: DataFrame, keys: list[str], step: float = 1.0) -> DataFrame:
     """keys and poly_id of the polygon around each point; the largest poly_id of several, null outside all.
 
-    Points and bounding boxes meet in grid cells of `step`; a ray to the right
-    then crosses the edges an odd number of times inside. A point on an edge
-    (to 1e-12 square units) is inside.
+    Points meet the cells of polygon_cells(), and in cells that an outline
+    touches the edges there, no others: a point is on the same side as its
+    cell's middle if the way there, first along the row, then up or down,
+    crosses an even number of them. A point on an edge (to 1e-12 square units)
+    is inside. step: width of a cell, small enough for few edges to share one.
     """
-    bounds = edges.groupBy("poly_id").agg(*(f(F.least(a, b) if f is F.min else F.greatest(a, b)).alias(n) for f, a, b, n in ((F.min, "x1", "x2", "xa"), (F.max, "x1", "x2", "xb"), (F.min, "y1", "y2", "ya"), (F.max, "y1", "y2", "yb"))))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    boxes = bounds.withColumn("gx", F.explode(span("xa", "xb"))).withColumn("gy", F.explode(span("ya", "yb")))
+    cells, own = polygon_cells(edges, step)
     near = points.select(*keys, "lat", "lon", F.floor(F.col("lon") / step).cast("long").alias("gx"), F.floor(F.col("lat") / step).cast("long").alias("gy"))
-    inside = (F.col("lon") >= F.col("xa")) & (F.col("lon") <= F.col("xb")) & (F.col("lat") >= F.col("ya")) & (F.col("lat") <= F.col("yb"))
-    candidates = near.join(boxes, ["gx", "gy"]).filter(inside).select(*keys, "lat", "lon", "poly_id")
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    x, y, dx, dy = F.col("lon"), F.col("lat"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    met = near.join(cells, ["gx", "gy"]).join(own, ["poly_id", "gx", "gy"], "left")
+    x, y, mx, my = F.col("lon"), F.col("lat"), (F.col("gx") + 0.5) * step, (F.col("gy") + 0.5) * step
+    along = ((F.col("y1") > my) != (F.col("y2") > my)) & (_left_of(mx, my) != _left_of(x, my))
+    up = ((F.col("x1") > x) != (F.col("x2") > x)) & (_left_of(x, my) != _left_of(x, y))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     beside = x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     on_edge = beside & (F.abs(dx * (y - F.col("y1")) - dy * (x - F.col("x1"))) <= 1e-12)
-    hit = candidates.join(edges, "poly_id").groupBy(*keys, "poly_id").agg(F.count_if(crosses).alias("n"), F.bool_or(on_edge).alias("edge")).filter("n % 2 = 1 or edge").groupBy(*keys).agg(F.max("poly_id").alias("poly_id"))
+    turned = F.count_if(along != up) % 2 == 1  # nothing to count where no edge is
+    hit = met.groupBy(*keys, "poly_id").agg((F.bool_or("inside") != turned).alias("in"), F.bool_or(on_edge).alias("edge")).filter("in or edge").groupBy(*keys).agg(F.max("poly_id").alias("poly_id"))
     return points.select(*keys).join(hit, keys, "left")
 
 
@@ -164,11 +254,6 @@ def zonal_stats(raster: DataFrame, steep: float = 15.0) -> DataFrame:
     return raster.groupBy("ci", "cj").agg(F.avg("value").alias("elev_mean"), F.avg("slope").alias("slope_mean"), F.percentile("slope", F.lit(0.9)).alias("slope_p90"), F.avg((F.col("slope") >= steep).cast("double")).alias("steep_frac"))
 
 
-def _windows(points: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    return points.select(*keys, "row", "col").withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around)).select(*keys, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-
-
 def footprint_slope(points: DataFrame, raster: DataFrame, keys: list[str], radius: int, steep: float = 15.0) -> DataFrame:
     """Mean slope and steep share in the window around each point (row, col); null where it leaves the raster.
 
@@ -185,10 +270,30 @@ def footprint_slope(points: DataFrame, raster: DataFrame, keys: list[str], radiu
     return points.select(*keys, "row", "col").join(stats, ["row", "col"], "left").drop("row", "col")
 
 
+def summed_area(raster: DataFrame, value: Column) -> DataFrame:
+    """row, col and total, the sum of value over all pixels up to that row and column, for every pixel of the box around the raster; pixels that are missing count 0.
+
+    Two running sums, along rows, then down columns: a task holds a row or a
+    column at a time.
+    """
+    given = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), value.cast("double").alias("v"))
+    box = given.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("row", "col"))).filter("min_row is not null")
+    rows = box.select(F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col")
+    spine = rows.select("row", F.explode(F.sequence("min_col", "max_col")).alias("col"), F.lit(0.0).alias("v"))
+    dense = given.unionByName(spine).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    for a, b in (("row", "col"), ("col", "row")):
+        dense = dense.withColumn("v", F.sum("v").over(Window.partitionBy(a).orderBy(b)))
+    return dense.withColumnRenamed("v", "total")
+
+
 def box_population(points: DataFrame, raster: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """People in the window around each point; pixels off the raster and negative ones hold none."""
-    people = raster.select("row", "col", F.greatest("value", F.lit(0.0)).alias("v"))
-    sums = _windows(points, keys, radius).join(people, ["row", "col"]).groupBy(*keys).agg(F.sum("v").alias("people"))
+    """People in the window around each point; pixels off the raster and negative ones hold none. Four lookups a point in a table of sums, however wide the window."""
+    people = summed_area(raster, F.greatest("value", F.lit(0.0)))
+    ends = raster.agg(F.max("row").cast("long").alias("_rows"), F.max("col").cast("long").alias("_cols"))
+    corners = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(sign).alias("sign")) for r, c, sign in ((radius, radius, 1), (-radius - 1, radius, -1), (radius, -radius - 1, -1), (-radius - 1, -radius - 1, 1)))))
+    at = points.select(*keys, "row", "col", corners.alias("_o")).crossJoin(F.broadcast(ends))  # one row
+    at = at.select(*keys, F.least(F.col("row") + F.col("_o.r"), "_rows").alias("row"), F.least(F.col("col") + F.col("_o.c"), "_cols").alias("col"), "_o.sign")
+    sums = at.join(people, ["row", "col"]).groupBy(*keys).agg(F.sum(F.col("sign") * F.col("total")).alias("people"))
     return points.select(*keys).join(sums, keys, "left").withColumn("people", F.coalesce("people", F.lit(0.0)))
 
 

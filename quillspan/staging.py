@@ -51,6 +51,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table of the session: worked out once, and the same in all jobs that read it."""
+    path = f"{scratch_folder(df.sparkSession, label)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = file_system(spark, path)
     return fs.exists(at)
