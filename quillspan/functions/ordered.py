@@ -60,3 +60,26 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     sizes = sizes.select(of_range, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n))
     place = F.col(n) + F.col(id_).bitwiseAND((1 << 33) - 1) + 1
     return placed.join(sizes, of_range).select(*(placed[f"`{c}`"] for c in df.columns), place.alias(out))
+
+
+def quantiles(df: DataFrame, value: str, levels: list[float], out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and out, an array of the exact quantiles at levels, between neighbours by straight lines. Nulls don't count; keys without a value have no row.
+
+    The places of the neighbours are looked up among running counts of distinct
+    values, so no task holds the values of a key.
+    """
+    groups = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("rows_"))
+    placed = running_before(groups, value, {"before_": "rows_"}, keys)
+    total = placed.groupBy(*keys).agg(F.sum("rows_").alias("total_"))
+    if keys:
+        total = total.alias("whole")
+        same = [F.col(f"each.{k}").eqNullSafe(F.col(f"whole.{k}")) for k in keys]
+        with_total = placed.alias("each").join(total, same).select("each.*", "total_")
+    else:
+        with_total = placed.crossJoin(F.broadcast(total))  # one row
+    first, last = F.col("before_"), F.col("before_") + F.col("rows_")
+    place = lambda q: F.lit(float(q)) * (F.col("total_") - 1)
+    at = lambda p: F.max(F.when((first <= p) & (p < last), F.col(value).cast("double")))
+    found = with_total.groupBy(*keys).agg(F.max("total_").alias("total_"), *(at(f(place(q))).alias(f"{n}{i}_") for i, q in enumerate(levels) for n, f in (("low", F.floor), ("high", F.ceil))))
+    between = lambda i, q: F.col(f"low{i}_") + (F.col(f"high{i}_") - F.col(f"low{i}_")) * (place(q) - F.floor(place(q)))
+    return found.select(*keys, F.array(*(between(i, q) for i, q in enumerate(levels))).alias(out))

@@ -8,7 +8,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillspan.functions.ordered import running_before
 
 
 def correlation(x: str, y: str) -> Column:
@@ -17,11 +18,10 @@ def correlation(x: str, y: str) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rank from 1, ties sharing the mean of their ranks; ranks come from counts of distinct values."""
+    """Rank from 1, ties sharing the mean of their ranks. Ranks come from counts of distinct values, added up by ranges of values, so that no task sees them all."""
     groups = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_n").over(order.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = groups.withColumn(out, before + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_before(groups, value, {"_before": "_n"}, keys)
+    ranks = ranks.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*keys, value])
 
 

@@ -21,12 +21,22 @@ def reflectance(dn: Column, scale: Column, offset: Column, applied: Column) -> C
     return F.when(scale.isNull(), dn.cast("double")).otherwise(F.when(dn != 0, moved))
 
 
+def same_projection(scenes: DataFrame) -> DataFrame:
+    """Scenes (cell, window, scene, place, epsg) in the projection of the first of their cell and window, with places from 1 among these. Only they lie on one lattice of pixels."""
+    order = Window.partitionBy("cell", "window").orderBy("place", "scene")
+    kept = scenes.withColumn("_first", F.first("epsg").over(order)).filter(F.col("epsg").eqNullSafe(F.col("_first"))).drop("_first")
+    return kept.withColumn("place", F.row_number().over(order))
+
+
 def choose_scenes(pixels: DataFrame, valid: list[int], keep: int = 3, clear: float = 0.9, least: float = 0.05, candidates: int = 8) -> DataFrame:
-    """cell, window, scene of the scenes to use. pixels: cell, window, scene, place, scl.
+    """cell, window, scene of the scenes to use. pixels: cell, window, scene, place, scl, and epsg where scenes differ in it: then those of the first one's projection count.
 
     Scenes are looked at by place until `keep` of them are over `clear` clear;
     of those looked at, the `keep` clearest with at least `least` remain.
     """
+    if "epsg" in pixels.columns:
+        one = same_projection(pixels.select("cell", "window", "scene", "place", "epsg").distinct()).drop("epsg")
+        pixels = pixels.drop("place").join(one, ["cell", "window", "scene"])
     share = pixels.filter(F.col("place") <= candidates).groupBy("cell", "window", "scene", "place").agg(F.avg(F.coalesce(F.col("scl").isin(valid), F.lit(False)).cast("double")).alias("clear"))
     order = Window.partitionBy("cell", "window")
     seen = F.coalesce(F.sum((F.col("clear") > clear).cast("int")).over(order.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -219,21 +219,10 @@ def mosaic(tiles: DataFrame, x0: int, y0: int) -> DataFrame:
 
 
 def decode_png_tiles(files: DataFrame) -> DataFrame:
-    """Pixels (path, r, c, red, green, blue) of PNG tiles read as binary files; needs Pillow on the executors."""
-    def run(batches):
-        import io
+    """Pixels (path, r, c, red, green, blue) of PNG tiles read as binary files."""
+    from quillspan.sources.png import pixels
 
-        import numpy as np
-        import pandas as pd
-        from PIL import Image
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                image = np.asarray(Image.open(io.BytesIO(content)).convert("RGB"), dtype="int32")
-                r, c = np.indices(image.shape[:2])
-                yield pd.DataFrame({"path": path, "r": r.ravel(), "c": c.ravel(), "red": image[..., 0].ravel(), "green": image[..., 1].ravel(), "blue": image[..., 2].ravel()})
-
-    return files.select("path", "content").mapInPandas(run, "path string, r int, c int, red int, green int, blue int")
+    return files.select("path", "content").mapInArrow(pixels, "path string, r int, c int, red int, green int, blue int")
 
 
 def _gradient(value: str, along: Window) -> Column:

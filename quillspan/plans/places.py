@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import stats
-from quillspan.operators import imagery, live, spatial
+from quillspan.operators import imagery, live, projection, spatial
 from quillspan.operators.grid import with_cells
 from quillspan.plans.adapter import grid, observations, table
 from quillspan.plans.base import Book, part, q, r, rounded
@@ -226,10 +226,29 @@ def cell_population(spark, sf_dir):
     return rounded(spatial.cell_population(pixels, grid(spark, sf_dir).select("ci", "cj")))
 
 
-@BOOK.add("snap_grid", q(("pts",), "SELECT pid, floor(lat * 1000 / 40) * 40 AS lo, ceil(lon * 1000 / 40) * 40 AS hi FROM pts"))
+# Positions in zone 46, whose middle is 93 degrees east; n is the third flattening of WGS 84.
+part("consts", (), "SELECT n, 2 * sqrt(n) / (1 + n) AS e, 6378137e0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) * 0.9996e0 AS m, [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] AS a FROM (SELECT (1 / 298.257223563e0) / (2 - 1 / 298.257223563e0) AS n)")
+part("angles", ("pts", "consts"), """
+SELECT pid, m, a, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta
+FROM (SELECT *, radians(lon - 93) AS w, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t FROM pts, consts)""")
+part("utm", ("angles",), """
+SELECT pid, 500000 + m * (eta + list_sum(list_transform(range(1, 5), lambda k: a[k] * cos(2 * k * xi) * sinh(2 * k * eta)))) AS east,
+  m * (xi + list_sum(list_transform(range(1, 5), lambda k: a[k] * sin(2 * k * xi) * cosh(2 * k * eta)))) AS north FROM angles""")
+
+
+@BOOK.add("utm", q(("utm",), "SELECT pid, round(east, 4) AS east, round(north, 4) AS north FROM utm"))
+def utm(spark, sf_dir):
+    p = spots_of(spark, sf_dir)
+    east, north = projection.to_utm(F.col("lat"), F.col("lon"), projection.epsg_of(F.col("lat"), F.col("lon")))
+    return p.select("pid", F.round(east, 4).alias("east"), F.round(north, 4).alias("north"))
+
+
+@BOOK.add("snap_grid", q(("utm",), "SELECT pid, floor(east / 40) * 40 AS x0, ceil(east / 40) * 40 AS x1, floor(north / 40) * 40 AS y0, ceil(north / 40) * 40 AS y1 FROM utm"))
 def snap_grid(spark, sf_dir):
-    lo, hi = spatial.snap(F.col("lat") * 1000, F.col("lon") * 1000)
-    return spots_of(spark, sf_dir).select("pid", lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    p = spots_of(spark, sf_dir)
+    east, north = projection.to_utm(F.col("lat"), F.col("lon"), F.lit(32646))
+    sides = zip(("x0", "x1", "y0", "y1"), (*spatial.snap(east, east), *spatial.snap(north, north)), strict=True)
+    return p.select("pid", *(c.cast("double").alias(n) for n, c in sides))
 
 
 @BOOK.add("reflectance", f"SELECT id, {r('CASE WHEN k = 0 THEN CAST(dn AS DOUBLE) WHEN dn = 0 THEN NULL WHEN k = 1 THEN dn * 0.0001e0 - 0.1e0 ELSE dn * 0.0001e0 END AS value')} FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 2750 AS dn, l_linenumber % 3 AS k FROM lineitem)")
