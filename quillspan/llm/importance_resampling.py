@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.functions.ordered import numbered
-from quillspan.llm.common import documents, free_name, slices
+from quillspan.llm.common import Scratch, documents, free_name, slices, with_row_key
 
 BUCKETS, MAX_RUN, MIN_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 
@@ -116,15 +117,14 @@ def bucket_gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, max
     return counts.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
 
 
-def _weigher(gains: np.ndarray, max_run: int, text_name: str):
+def _weigher(gains: np.ndarray, max_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed(len(gains), max_run)
         for batch in batches:
             for part in slices(iter([batch])):
-                rows = [(len(found), n, int(gains[found].sum())) for found, n in hashed.of(part.column(text_name).to_pylist())]
+                rows = [(len(found), n, int(gains[found].sum())) for found, n in hashed.of(part.column("text").to_pylist())]
                 columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
-                kept = [c for c in part.schema.names if c != text_name]
-                yield pa.record_batch([*(part.column(c) for c in kept), *columns], names=[*kept, "n_features", "n_words", "weight"])
+                yield pa.record_batch([part.column("doc_id"), part.column("row_key"), *columns], names=["doc_id", "row_key", "n_features", "n_words", "weight"])
 
     return run
 
@@ -136,42 +136,49 @@ def perturbation(doc_id: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log(share)))
 
 
-def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, buckets: int = BUCKETS, max_run: int = MAX_RUN, seed: int = SEED) -> DataFrame:
-    """docs with n_features, n_words, weight, score and rank (columns of docs called so are replaced).
+def rank_documents(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, buckets: int = BUCKETS, max_run: int = MAX_RUN, seed: int = SEED) -> DataFrame:
+    """One row a document: doc_id, row_key, n_features, n_words, weight, score and rank.
 
     rank is 1, 2, 3... for the percent of the documents with min_words words
     that score highest, ties to the smaller doc_id (null last), and null for
-    all others. Null and empty texts have no features and weight 0. Rows that
-    agree in doc_id and score are ranked as they come. An empty table stays
-    empty; an empty target gives every word that docs has a lower gain the
-    more often it occurs. What goes to tasks is one number for each of
-    `buckets`.
+    all others. Null and empty texts have no features and weight 0. row_key is
+    xxhash64(doc_id, text); rows that agree in it follow each other. Other
+    columns are not read; an empty table gives no rows; an empty target gives
+    words a lower gain the more often docs has them. What goes to tasks is one
+    number for each of `buckets`.
     """
-    docs = docs.drop("n_features", "n_words", "weight", "score", "rank")
+    scratch = Scratch(docs.sparkSession, "resampled")
     gains = np.zeros(buckets, np.int64)
     for r in bucket_gains(docs, target, buckets, max_run).collect():  # a row a bucket
         gains[r.bucket] = r.gain
-    body = free_name(docs, "resampled_text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    raw = docs.withColumn(body, F.col("text").cast("binary"))
-    weighed = raw.mapInArrow(_weigher(gains, max_run, body), ", ".join([*fields, "n_features long", "n_words long", "weight long"]))
-    weighed = weighed.withColumn("score", F.col("weight") + perturbation(F.col("doc_id"), seed))
-    return _ranked(weighed, percent, min_words)
+    raw = with_row_key(docs).select(F.col("doc_id").cast("long"), "row_key", F.col("text").cast("binary").alias("text"))
+    weighed = raw.mapInArrow(_weigher(gains, max_run), "doc_id long, row_key long, n_features long, n_words long, weight long")
+    weighed = scratch.table("weighed", weighed.withColumn("score", F.col("weight") + perturbation(F.col("doc_id"), seed)))
+    # Those with enough words come first, so that their numbers are their ranks.
+    ready = F.col("n_words") >= min_words
+    placed = numbered(weighed, [ready.desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row_key").asc()], "place")
+    drawn = percent * weighed.filter(ready).count() // 100
+    return placed.withColumn("rank", F.when(ready & (F.col("place") <= drawn), F.col("place"))).drop("place")
 
 
-def _ranked(weighed: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Every document is numbered in one order, those with enough words first, so their numbers are their ranks."""
-    ready, place = (free_name(weighed, c) for c in ("resampled_ready", "resampled_place"))
-    ordered = weighed.withColumn(ready, F.col("n_words") >= min_words)
-    ordered = numbered(ordered, [F.col(ready).desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()], place)
-    n = ordered.filter(ready).count()
-    return ordered.withColumn("rank", F.when(F.col(ready) & (F.col(place) <= percent * n // 100), F.col(place))).drop(ready, place)
+def resample(docs: DataFrame, target: DataFrame, **settings) -> DataFrame:
+    """The documents that rank_documents() draws, with all their columns and rank (which replaces a column of that name).
+
+    Of rows that agree in doc_id and text as many stay as were drawn.
+    """
+    docs = docs.drop("rank")
+    doc, key, times, first, nth = (free_name(docs, c) for c in ("drawn_doc", "drawn_key", "drawn_times", "drawn_first", "drawn_nth"))
+    drawn = rank_documents(docs, target, **settings).filter("rank is not null")
+    drawn = drawn.groupBy(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).agg(F.count("*").alias(times), F.min("rank").alias(first))
+    same = docs["doc_id"].cast("long").eqNullSafe(drawn[doc]) & (F.xxhash64(docs["doc_id"], docs["text"]) == drawn[key])
+    order = Window.partitionBy(doc, key).orderBy(first)  # rows that agree are alike
+    rows = docs.join(drawn, same).withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= F.col(times))
+    return rows.withColumn("rank", F.col(first) + F.col(nth) - 1).drop(doc, key, times, first, nth)
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = resample(documents(spark, sf_dir).select("doc_id", "text"), target)
-    return out.select("doc_id", "n_features", "weight", "score", "rank")
+    return rank_documents(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 OP12_SQL = r"""
