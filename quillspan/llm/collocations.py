@@ -2,11 +2,12 @@
 
 Counting follows the vertical partitioning of large suffix trees. Every word
 of every piece begins a suffix, cut off at the greatest phrase length. Word
-prefixes are counted; one with more suffixes than the memory budget allows is
-extended by a word, as often as need be, and the others are packed into
-groups that fit. Each group builds the subtrees of its prefixes on its own,
-from sorted suffixes, and the count of a phrase is the total of the leaves
-below its node.
+prefixes are dealt to groups, and the suffixes of each group are counted; a
+group of more than the memory budget allows is dealt again by prefixes that
+are a word longer, as often as need be. Each group builds the subtrees of its
+prefixes on its own, from sorted suffixes, and the count of a phrase is the
+total of the leaves below its node. Nodes shorter than the prefixes of their
+group have parts in several groups, which are added up.
 
 A phrase is frequent only if its words and its neighbouring pairs are. So two
 scans count words and pairs before the third makes suffixes, which end where
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +35,12 @@ from quillspan.llm.common import Scratch, WordHashes, documents, mix64, slices
 MIN_COUNT, MAX_WORDS, TOP, COVERED_PERCENT = 100, 5, 2000, 100
 #: Suffixes that a group may hold; about 200 bytes each in the task that builds its subtrees.
 GROUP_ROWS = 1_000_000
-#: Tasks get several groups each, so that they are even.
-GROUPS_A_TASK = 8
+#: Small corpora are cut into so many groups all the same, for even tasks.
+LEAST_GROUPS = 256
 #: Bits of the word and the pair filter (2 MB and 8 MB), whatever the corpus.
 WORD_BITS, PAIR_BITS = 24, 26
-#: Words that a task encodes before it sends what it has counted.
-CHUNK_WORDS = 2_000_000
+#: Words that a task encodes before it sends what it has counted, and pairs that it gathers from several such chunks.
+CHUNK_WORDS, CHUNK_PAIRS = 2_000_000, 4_000_000
 #: Bytes of a text that are split at a time.
 SPLIT_BYTES = 4 << 20
 
@@ -101,7 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Chunk]]:
     yield from open_.items()
 
 
-WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
+WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
 def _lang_seed(lang: str) -> int:
@@ -116,13 +118,21 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count_words(bits: int):
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, chunk in _chunks(batches):
+        words, ids = chunk.vocabulary(), chunk.ids(0)
+        counts = np.bincount(ids[ids >= 0], minlength=len(words))
+        yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], schema=WORDS)
+
+
+def _word_slots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, chunk in _chunks(batches):
-            words, ids = chunk.vocabulary(), chunk.ids(0)
-            counts = np.bincount(ids[ids >= 0], minlength=len(words))
-            slot = _slots(_word_hashes(lang, words), bits)
-            yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(slot), pa.array(counts.astype(np.int64))], schema=WORDS)
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            words = batch.column("word").cast(pa.binary())
+            for lang in set(langs):
+                hashes = _word_hashes(lang, words.filter(pa.array(langs == lang)).to_pylist())
+                yield pa.record_batch([pa.array(_slots(hashes, bits))], names=["slot"])
 
     return run
 
@@ -154,17 +164,63 @@ def _pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> n
     return mix64(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in order, each once, and their counts."""
+    slots, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(slots, kind="stable")
+    slots, counts = slots[order], counts[order]
+    begin = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+    return slots[begin], np.add.reduceat(counts, begin)
+
+
+PAIRS = pa.schema([("range", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())])
+
+
+def _packed_ranges(slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row a range: differences of its slots, and the counts, compressed."""
+    ranges, low = slots >> 16, (slots & 0xFFFF).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+    steps = np.diff(low, prepend=0)
+    steps[begin] = low[begin]
+    ends = [*begin[1:].tolist(), len(slots)]
+    packed = [pa.compress(steps[a:b].astype("<u2").tobytes() + counts[a:b].astype("<i8").tobytes(), "zstd", asbytes=True) for a, b in zip(begin.tolist(), ends, strict=True)]
+    return pa.record_batch([pa.array(ranges[begin].astype(np.int32)), pa.array(np.diff([*begin, len(slots)]).astype(np.int32)), pa.array(packed, pa.binary())], schema=PAIRS)
+
+
 def _count_pairs(words: Bitmap, bits: int):
-    """Slots of pairs of neighbouring words that are both in the filter, and how often they occur."""
+    """Slots of pairs of neighbouring words that are both in the filter, and how often they occur, packed by ranges of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for lang, chunk in _chunks(batches):
-            vocabulary = chunk.vocabulary()
-            hashes = _word_hashes(lang, vocabulary)
+            hashes = _word_hashes(lang, chunk.vocabulary())
             ids = _masked(chunk.ids(1), hashes, words)
             first = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            slot, n = np.unique(_slots(_pair_hashes(hashes, ids[first], ids[first + 1]), bits), return_counts=True)
-            yield pa.record_batch([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
+            held.append(np.unique(_slots(_pair_hashes(hashes, ids[first], ids[first + 1]), bits), return_counts=True))
+            if sum(len(s) for s, _ in held) > CHUNK_PAIRS:
+                held = [_added(held)]
+                if len(held[0][0]) > CHUNK_PAIRS // 2:
+                    yield _packed_ranges(*held.pop())
+        if held and sum(len(s) for s, _ in held):
+            yield _packed_ranges(*_added(held))
+
+    return run
+
+
+def _frequent_blocks(min_count: int):
+    """Rows (block, marks) of the slots that are frequent, from all rows of the ranges that this task has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, size, packed in zip(*(batch.column(c).to_pylist() for c in ("range", "size", "packed")), strict=True):
+                raw = pa.decompress(packed, size * 10, "zstd", asbytes=True)
+                slots = np.cumsum(np.frombuffer(raw, "<u2", size).astype(np.int64))
+                sums.setdefault(k, np.zeros(1 << 16, np.int64))[slots] += np.frombuffer(raw, "<i8", size, size * 2)
+        for k, counts in sums.items():
+            marks = np.packbits(counts >= min_count, bitorder="little").view("<i8")
+            seen = np.flatnonzero(marks)
+            yield pa.record_batch([pa.array((k << 10) + seen), pa.array(marks[seen])], names=["block", "marks"])
 
     return run
 
@@ -176,10 +232,11 @@ def _masked(ids: np.ndarray, hashes: np.ndarray, words: Bitmap) -> np.ndarray:
 
 
 def _suffixes(words: Bitmap, pairs: Bitmap, depth: int):
-    """Suffixes of two to `depth` words, each once a chunk with its count; they end where a word or a pair isn't in its filter."""
+    """Suffixes of two to `depth` words, each once a chunk with its count and a number of the chunk; they end where a word or a pair isn't in its filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, chunk in _chunks(batches):
+        task = TaskContext.get().partitionId()
+        for number, (lang, chunk) in enumerate(_chunks(batches)):
             vocabulary = chunk.vocabulary()
             hashes = _word_hashes(lang, vocabulary)
             ids = _masked(chunk.ids(depth), hashes, words)
@@ -196,7 +253,7 @@ def _suffixes(words: Bitmap, pairs: Bitmap, depth: int):
             _, at, n = np.unique(key, return_index=True, return_counts=True)
             names = pa.array(vocabulary, pa.binary()).cast(pa.string())
             taken = [names.take(pa.array(c[at], mask=c[at] < 0)) for c in columns]
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), *taken, pa.array(n.astype(np.int64))], names=["lang", *_names(depth), "n"])
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), *taken, pa.array(n.astype(np.int64)), pa.array(np.full(len(at), task * 1000 + number))], names=["lang", *_names(depth), "n", "chunk"])
 
     return run
 
@@ -206,59 +263,41 @@ def _names(depth: int) -> list[str]:
 
 
 def _ddl(depth: int) -> str:
-    return ", ".join(["lang string", *(f"{w} string" for w in _names(depth)), "n long"])
+    return ", ".join(["lang string", *(f"{w} string" for w in _names(depth)), "n long", "chunk long"])
 
 
-def prefix_groups(suffixes: DataFrame, scratch: Scratch, depth: int, budget: int = GROUP_ROWS) -> tuple[DataFrame, list[DataFrame]]:
-    """Suffixes with `level`, the length of their prefix, and `bin`, its group; and a table (lang, words, n) of the prefixes that were extended, for each level.
+def prefix_groups(suffixes: DataFrame, scratch: Scratch, depth: int, budget: int = GROUP_ROWS) -> DataFrame:
+    """Suffixes with `bin`, their group, and `level`, the length of the prefixes that the group has whole.
 
-    A prefix of more than half the budget is extended; the others are hashed
-    to as many groups as it takes for the fullest to fit the budget. At most
-    two prefixes for each budget of rows are extended at a level, and their
-    tables are joined as Spark sees fit.
+    Groups are hashes of prefixes, so many that they hold a quarter of the
+    budget on average. Those over the budget are dealt again by a word more,
+    and where all words don't tell enough suffixes apart, by the chunks they
+    come from. As many groups as budgets are over it at a level, at most;
+    Spark joins their list as it sees fit.
     """
-    names = _names(depth)
-    total = suffixes.count()
-    tasks = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    budget = max(2, min(budget, -(-total // (tasks * GROUPS_A_TASK))))
-    rows, extended, ended = suffixes.withColumn("level", F.lit(1)), [], []
-    for level in range(1, depth):
-        prefix = ["lang", *names[:level]]
-        loads = rows.filter((F.col("level") == level) & F.col(names[level - 1]).isNotNull()).groupBy(*prefix).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-        loads = scratch.table(f"loads{level}", loads)
-        large = scratch.table(f"large{level}", loads.filter(F.col("rows") * 2 > budget))
-        ended.append(loads.filter(F.col("rows") * 2 <= budget).select(F.xxhash64(*prefix).alias("hash"), "rows"))
-        if not large.count():
+    names, total = _names(depth), suffixes.count()
+    budget = max(2, min(budget, -(-total // LEAST_GROUPS)))
+    bins = max(1, 4 * -(-total // budget))
+    dealt = lambda level: F.pmod(F.xxhash64("lang", *names[:level], *(["chunk"] if level > depth else [])), F.lit(bins)) + bins * (level - 1)
+    rows = suffixes.withColumn("level", F.lit(1)).withColumn("bin", dealt(1))
+    for level in range(2, depth + 2):
+        full = rows.filter(F.col("level") == level - 1).groupBy("bin").agg(F.count("*").alias("rows")).filter(F.col("rows") > budget)
+        full = scratch.table(f"full{level}", full.select("bin", F.lit(True).alias("over")))
+        if not full.count():
             break
-        extended.append(large.select(*prefix, "n"))
-        mark = large.select(*prefix, F.lit(True).alias("_on"))
-        rows = rows.join(mark, prefix, "left").withColumn("level", F.col("level") + F.coalesce(F.col("_on").cast("int"), F.lit(0))).drop("_on")
-    else:
-        last = rows.filter((F.col("level") == depth) & F.col(names[-1]).isNotNull()).groupBy("lang", *names).agg(F.count("*").alias("rows"))
-        ended.append(last.select(F.xxhash64("lang", *names).alias("hash"), "rows"))
-    loads = ended[0]
-    for more in ended[1:]:
-        loads = loads.unionByName(more)
-    bins = max(1, -(-2 * total // budget))
-    for _ in range(8):
-        fullest = loads.groupBy(F.pmod("hash", F.lit(bins))).agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
-        if fullest <= budget:
-            break
-        bins *= 2
-    prefix_hash = F.coalesce(*(F.when(F.col("level") == k, F.xxhash64("lang", *names[:k])) for k in range(1, depth + 1)))
-    # A suffix that ends before its prefix was extended holds no node that the prefixes' own counts don't.
-    rows = rows.filter(F.element_at(F.array(*names), F.col("level")).isNotNull())
-    return rows.withColumn("bin", F.pmod(prefix_hash, F.lit(bins))), extended
+        over = F.col("over").isNotNull()
+        rows = rows.join(full, "bin", "left").withColumn("bin", F.when(over, dealt(level)).otherwise(F.col("bin"))).withColumn("level", F.when(over, level).otherwise(F.col("level"))).drop("over")
+    return rows
 
 
 def _subtrees(depth: int, min_count: int):
-    """Nodes of at least two words and no fewer than their prefix, with the leaves' total below them."""
-    names, schema = _names(depth), pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
+    """Nodes of at least two words, with the leaves' total below them; `whole` unless they are shorter than the group's prefixes. Whole nodes that are too rare are left out."""
+    names, schema = _names(depth), pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64()), ("whole", pa.bool_())])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("lang", *names)])
         size, out = group.num_rows, []
-        counts, level = np.asarray(group.column("n")), np.asarray(group.column("level"))
+        counts, level = np.asarray(group.column("n")), group.column("level")[0].as_py()
         differs = np.concatenate(([True], np.zeros(size - 1, bool)))
         so_far = None
         for k, name in enumerate(("lang", *names)):
@@ -266,14 +305,15 @@ def _subtrees(depth: int, min_count: int):
             codes = np.asarray(column.dictionary_encode().indices.fill_null(-1))
             differs[1:] |= codes[1:] != codes[:-1]
             if k == 0:
-                so_far = column
                 continue
             so_far = column if k == 1 else pc.binary_join_element_wise(so_far, column, " ")  # null after the end
+            if k == 1:
+                continue
             begin = np.flatnonzero(differs)
             total = np.add.reduceat(counts, begin)
-            keep = (total >= min_count) & (codes[begin] >= 0) & (k >= 2) & (level[begin] <= k)
+            keep = (codes[begin] >= 0) & ((total >= min_count) | (k < level))
             at = pa.array(begin[keep])
-            out.append(pa.table([group.column("lang").combine_chunks().take(at), so_far.take(at), pa.array(np.full(len(at), k, np.int32)), pa.array(total[keep])], schema=schema))
+            out.append(pa.table([group.column("lang").combine_chunks().take(at), so_far.take(at), pa.array(np.full(len(at), k, np.int32)), pa.array(total[keep]), pa.array(np.full(len(at), k >= level))], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -284,20 +324,18 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     spark, depth = docs.sparkSession, max_words
     scratch = Scratch(spark, "phrases")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    words = texts.mapInArrow(_count_words(WORD_BITS), "lang string, word string, slot long, n long").groupBy("lang", "word", "slot").agg(F.sum("n").alias("n"))
-    words = scratch.table("words", words)
+    words = scratch.table("words", texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     common = words.filter(F.col("n") >= min_count)
-    word_filter = Bitmap(WORD_BITS).fill(blocks(common.select("slot").distinct()))
-    pairs = texts.mapInArrow(_count_pairs(word_filter, PAIR_BITS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    pair_filter = Bitmap(PAIR_BITS).fill(blocks(pairs.filter(F.col("n") >= min_count)))
-    names = _names(depth)
-    suffixes = texts.mapInArrow(_suffixes(word_filter, pair_filter, depth), _ddl(depth)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    suffixes = scratch.table("suffixes", suffixes)
-    grouped, extended = prefix_groups(suffixes, scratch, depth, budget)
-    found = grouped.groupBy("bin").applyInArrow(_subtrees(depth, min_count), "lang string, phrase string, k int, n long")
-    found = found.unionByName(common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "n"))
-    for k, large in enumerate(extended[1:], start=2):
-        found = found.unionByName(large.filter(F.col("n") >= min_count).select("lang", F.concat_ws(" ", *names[:k]).alias("phrase"), F.lit(k).alias("k"), "n"))
+    word_filter = Bitmap(WORD_BITS).fill(blocks(common.select("lang", "word").mapInArrow(_word_slots(WORD_BITS), "slot long")))
+    pairs = texts.mapInArrow(_count_pairs(word_filter, PAIR_BITS), "range int, size int, packed binary")
+    ranges = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
+    pair_filter = Bitmap(PAIR_BITS).fill(ranges.mapInArrow(_frequent_blocks(min_count), "block long, marks long"))
+    suffixes = scratch.table("suffixes", texts.mapInArrow(_suffixes(word_filter, pair_filter, depth), _ddl(depth)))
+    nodes = prefix_groups(suffixes, scratch, depth, budget).groupBy("bin").applyInArrow(_subtrees(depth, min_count), "lang string, phrase string, k int, n long, whole boolean")
+    nodes = scratch.table("nodes", nodes)
+    parts = nodes.filter("not whole").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    single = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "n")
+    found = nodes.filter("whole").drop("whole").unionByName(parts).unionByName(single)
     return scratch.table("found", found), words.groupBy("lang").agg(F.sum("n").alias("words"))
 
 
