@@ -51,8 +51,11 @@ def season_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that detections fall in, with terrain and people reckoned from their numbers."""
-    base = staged(spark, sf_dir, "cells", lambda: with_cells(observations(spark, sf_dir), 0.02).select("ci", "cj").distinct())
-    return base.select(
+    return terrain(staged(spark, sf_dir, "cells", lambda: with_cells(observations(spark, sf_dir), 0.02).select("ci", "cj").distinct()))
+
+
+def terrain(cells: DataFrame) -> DataFrame:
+    return cells.select(
         "ci", "cj", ((F.col("ci") * 7 + F.col("cj") * 3) % 40).cast("double").alias("slope_mean"), ((F.col("ci") * 13 + F.col("cj") * 5) % 400).cast("double").alias("population"),
         ((F.col("ci") * 11 + F.col("cj")) % 900).cast("double").alias("people_cell"), ((F.col("ci") * 17 + F.col("cj") * 29) % 700).cast("double").alias("elev_mean"), ((F.col("ci") * 5 + F.col("cj") * 11) % 100 / 100).alias("steep_frac"), F.concat(F.lit("d"), (F.col("ci") % 5).cast("string")).alias("district"))
 
