@@ -35,8 +35,8 @@ from quillspan.llm.common import Scratch, WordHashes, documents, mix64, slices
 MIN_COUNT, MAX_WORDS, TOP, COVERED_PERCENT = 100, 5, 2000, 100
 #: Suffixes that a group may hold; about 200 bytes each in the task that builds its subtrees.
 GROUP_ROWS = 1_000_000
-#: Small corpora are cut into so many groups all the same, for even tasks.
-LEAST_GROUPS = 256
+#: Groups that first words are dealt to, and how many budgets' worth of groups a small corpus is cut into all the same, for even tasks.
+FIRST_GROUPS, LEAST_GROUPS = 1024, 256
 #: Bits of the word and the pair filter (2 MB and 8 MB), whatever the corpus.
 WORD_BITS, PAIR_BITS = 24, 26
 #: Words that a task encodes before it sends what it has counted, and pairs that it gathers from several such chunks.
@@ -231,8 +231,31 @@ def _masked(ids: np.ndarray, hashes: np.ndarray, words: Bitmap) -> np.ndarray:
     return np.where(ok[ids], ids, -1)
 
 
+PACKED = pa.schema([("bin", pa.int64()), ("level", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), ("rows", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())])
+PACKED_DDL = "bin long, level int, chunk long, lang string, rows long, size long, packed binary"
+
+
+def _packed(lang: str, level: int, chunk: int, bins: np.ndarray, suffixes: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """Suffixes (words joined by spaces) with their counts, in order, a compressed row for each group."""
+    order = np.asarray(pc.sort_indices(pa.table({"bin": bins, "suffix": suffixes}), sort_keys=[("bin", "ascending"), ("suffix", "ascending")]))
+    bins, n = bins[order], n[order].astype("<i8")
+    begin = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else np.array([], int)
+    ends = [*begin.tolist(), len(bins)]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), suffixes.take(pa.array(order)))
+    raw = [t.encode() + n[x:y].tobytes() for t, x, y in zip(pc.binary_join(lists, "\n").to_pylist(), ends, ends[1:], strict=False)]
+    same = lambda v, t: pa.array([v] * len(begin), t)
+    columns = [pa.array(bins[begin]), same(level, pa.int32()), same(chunk, pa.int64()), same(lang, pa.string()), pa.array(np.diff(ends)), pa.array([len(r) for r in raw], pa.int64()), pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())]
+    return pa.record_batch(columns, schema=PACKED)
+
+
+def _unpacked(packed: bytes, size: int, rows: int) -> tuple[pa.Array, np.ndarray]:
+    raw = pa.decompress(packed, size, "zstd", asbytes=True)
+    cut = size - 8 * rows
+    return pa.array(raw[:cut].decode().split("\n"), pa.string()), np.frombuffer(raw, "<i8", rows, cut)
+
+
 def _suffixes(words: Bitmap, pairs: Bitmap, depth: int):
-    """Suffixes of two to `depth` words, each once a chunk with its count and a number of the chunk; they end where a word or a pair isn't in its filter."""
+    """Suffixes of two to `depth` words, each once a chunk with its count, packed by groups of first words; they end where a word or a pair isn't in its filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -253,67 +276,88 @@ def _suffixes(words: Bitmap, pairs: Bitmap, depth: int):
             _, at, n = np.unique(key, return_index=True, return_counts=True)
             names = pa.array(vocabulary, pa.binary()).cast(pa.string())
             taken = [names.take(pa.array(c[at], mask=c[at] < 0)) for c in columns]
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), *taken, pa.array(n.astype(np.int64)), pa.array(np.full(len(at), task * 1000 + number))], names=["lang", *_names(depth), "n", "chunk"])
+            joined = pc.binary_join_element_wise(*taken, " ", null_handling="skip")
+            yield _packed(lang, 1, task * 1000 + number, (hashes[columns[0][at]] % np.uint64(FIRST_GROUPS)).astype(np.int64), joined, n)
 
     return run
 
 
-def _names(depth: int) -> list[str]:
-    return [f"w{k}" for k in range(1, depth + 1)]
+def _dealt_again(depth: int):
+    """Rows of full groups, whose suffixes are dealt to `ways` new groups by a word more; where all words are used, whole rows by their chunks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                level = r["level"] + 1
+                new = lambda part, r=r, level=level: xxhash.xxh3_64_intdigest(b"%d %d %d" % (r["bin"], level, part % r["ways"])) >> 1
+                if level > depth:
+                    columns = [[new(xxhash.xxh3_64_intdigest(str(r["chunk"])))], [level], *([r[c]] for c in ("chunk", "lang", "rows", "size", "packed"))]
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PACKED, strict=True)], schema=PACKED)
+                    continue
+                suffixes, n = _unpacked(r["packed"], r["size"], r["rows"])
+                of: dict[str, int] = {}
+                bins = [of.get(p) or of.setdefault(p, new(xxhash.xxh3_64_intdigest(p))) for p in (" ".join(x.split(" ", level)[:level]) for x in suffixes.to_pylist())]
+                yield _packed(r["lang"], level, r["chunk"], np.array(bins, np.int64), suffixes, n)
 
-def _ddl(depth: int) -> str:
-    return ", ".join(["lang string", *(f"{w} string" for w in _names(depth)), "n long", "chunk long"])
+    return run
 
 
 def prefix_groups(suffixes: DataFrame, scratch: Scratch, depth: int, budget: int = GROUP_ROWS) -> DataFrame:
-    """Suffixes with `bin`, their group, and `level`, the length of the prefixes that the group has whole.
+    """Packed suffixes dealt to groups (bin and level, the length of the prefixes that a group has whole), none of which holds more rows than the budget.
 
-    Groups are hashes of prefixes, so many that they hold a quarter of the
-    budget on average. Those over the budget are dealt again by a word more,
-    and where all words don't tell enough suffixes apart, by the chunks they
-    come from. As many groups as budgets are over it at a level, at most;
-    Spark joins their list as it sees fit.
+    Groups over the budget are dealt again by prefixes a word longer, to as
+    many new ones as make a quarter of the budget each on average, and where
+    all words are used, by the chunks that rows come from. As many groups as
+    budgets are over it at a level, at most; Spark joins their list as it sees
+    fit.
     """
-    names, total = _names(depth), suffixes.count()
+    total = suffixes.agg(F.sum("rows")).first()[0] or 0
     budget = max(2, min(budget, -(-total // LEAST_GROUPS)))
-    bins = max(1, 4 * -(-total // budget))
-    dealt = lambda level: F.pmod(F.xxhash64("lang", *names[:level], *(["chunk"] if level > depth else [])), F.lit(bins)) + bins * (level - 1)
-    rows = suffixes.withColumn("level", F.lit(1)).withColumn("bin", dealt(1))
-    for level in range(2, depth + 2):
-        full = rows.filter(F.col("level") == level - 1).groupBy("bin").agg(F.count("*").alias("rows")).filter(F.col("rows") > budget)
-        full = scratch.table(f"full{level}", full.select("bin", F.lit(True).alias("over")))
-        if not full.count():
+    done, rows = None, suffixes
+    for level in range(1, depth + 2):
+        loads = rows.groupBy("bin").agg(F.sum("rows").alias("load"))
+        ways = F.ceil(4 * F.col("load") / budget).cast("int")
+        full = scratch.table(f"full{level}", loads.filter(F.col("load") > budget).select("bin", ways.alias("ways")))
+        if level > depth or not full.count():
             break
-        over = F.col("over").isNotNull()
-        rows = rows.join(full, "bin", "left").withColumn("bin", F.when(over, dealt(level)).otherwise(F.col("bin"))).withColumn("level", F.when(over, level).otherwise(F.col("level"))).drop("over")
-    return rows
+        marked = rows.join(full, "bin", "left")
+        fits = marked.filter("ways is null").drop("ways")
+        done = fits if done is None else done.unionByName(fits)
+        rows = scratch.table(f"dealt{level}", marked.filter("ways is not null").mapInArrow(_dealt_again(depth), PACKED_DDL))
+    return rows if done is None else done.unionByName(rows)
 
 
 def _subtrees(depth: int, min_count: int):
     """Nodes of at least two words, with the leaves' total below them; `whole` unless they are shorter than the group's prefixes. Whole nodes that are too rare are left out."""
-    names, schema = _names(depth), pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64()), ("whole", pa.bool_())])
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64()), ("whole", pa.bool_())])
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in ("lang", *names)])
-        size, out = group.num_rows, []
-        counts, level = np.asarray(group.column("n")), group.column("level")[0].as_py()
-        differs = np.concatenate(([True], np.zeros(size - 1, bool)))
-        so_far = None
-        for k, name in enumerate(("lang", *names)):
-            column = group.column(name).combine_chunks()
-            codes = np.asarray(column.dictionary_encode().indices.fill_null(-1))
-            differs[1:] |= codes[1:] != codes[:-1]
-            if k == 0:
-                continue
-            so_far = column if k == 1 else pc.binary_join_element_wise(so_far, column, " ")  # null after the end
-            if k == 1:
-                continue
-            begin = np.flatnonzero(differs)
-            total = np.add.reduceat(counts, begin)
-            keep = (codes[begin] >= 0) & ((total >= min_count) | (k < level))
-            at = pa.array(begin[keep])
-            out.append(pa.table([group.column("lang").combine_chunks().take(at), so_far.take(at), pa.array(np.full(len(at), k, np.int32)), pa.array(total[keep]), pa.array(np.full(len(at), k >= level))], schema=schema))
+        out, level = [], group.column("level")[0].as_py()
+        parts: dict[str, list] = {}
+        for r in group.select(["lang", "packed", "size", "rows"]).to_pylist():
+            parts.setdefault(r["lang"], []).append(_unpacked(r["packed"], r["size"], r["rows"]))
+        for lang, found in parts.items():
+            counts = np.concatenate([n for _, n in found])
+            split = pc.split_pattern(pa.chunked_array([s for s, _ in found]).combine_chunks(), " ")
+            words, offsets = split.flatten().dictionary_encode(), np.asarray(split.offsets)
+            codes, sizes = np.asarray(words.indices), np.diff(offsets)
+            table = np.full((len(counts), depth), -1, np.int32)
+            for k in range(depth):
+                there = sizes > k
+                table[there, k] = codes[offsets[:-1][there] + k]
+            order = np.lexsort(table.T[::-1])
+            table, counts = table[order], counts[order]
+            differs = np.ones(len(counts), bool)
+            differs[1:] = table[1:, 0] != table[:-1, 0]
+            for k in range(1, depth):
+                differs[1:] |= table[1:, k] != table[:-1, k]
+                begin = np.flatnonzero(differs)
+                total = np.add.reduceat(counts, begin)
+                keep = (table[begin, k] >= 0) & ((total >= min_count) | (k + 1 < level))
+                at = table[begin[keep]]
+                phrase = pc.binary_join_element_wise(*(words.dictionary.take(pa.array(at[:, j])) for j in range(k + 1)), " ")
+                size = int(keep.sum())
+                out.append(pa.table([pa.array([lang] * size, pa.string()), phrase, pa.array(np.full(size, k + 1, np.int32)), pa.array(total[keep].astype(np.int64)), pa.array(np.full(size, k + 1 >= level))], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -330,8 +374,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     pairs = texts.mapInArrow(_count_pairs(word_filter, PAIR_BITS), "range int, size int, packed binary")
     ranges = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
     pair_filter = Bitmap(PAIR_BITS).fill(ranges.mapInArrow(_frequent_blocks(min_count), "block long, marks long"))
-    suffixes = scratch.table("suffixes", texts.mapInArrow(_suffixes(word_filter, pair_filter, depth), _ddl(depth)))
-    nodes = prefix_groups(suffixes, scratch, depth, budget).groupBy("bin").applyInArrow(_subtrees(depth, min_count), "lang string, phrase string, k int, n long, whole boolean")
+    suffixes = scratch.table("suffixes", texts.mapInArrow(_suffixes(word_filter, pair_filter, depth), PACKED_DDL))
+    nodes = prefix_groups(suffixes, scratch, depth, budget).groupBy("bin", "level").applyInArrow(_subtrees(depth, min_count), "lang string, phrase string, k int, n long, whole boolean")
     nodes = scratch.table("nodes", nodes)
     parts = nodes.filter("not whole").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
     single = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "n")

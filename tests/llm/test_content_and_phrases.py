@@ -119,16 +119,21 @@ def test_resampling_equals_brute_force(spark, ranges, max_run, buckets, percent)
     docs += [(300, None), (301, ""), (302, "word " * 30_000), (303, "x" * 20_000), (None, docs[5][1]), docs[7], docs[7]]
     target = [" ".join(word(10) for _ in range(30)) for _ in range(20)] + [None]
     df = with_clashes(spark.createDataFrame(docs, "doc_id long, text string"))
-    out = importance_resampling.resample(df, spark.createDataFrame([(x,) for x in target], "text string"), percent, 10, buckets, max_run, 7)
-    rows = out.collect()
-    assert Counter((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in rows) == brute_resample(docs, target, percent, 10, buckets, max_run, 7)
-    assert all(r.hash == "mine hash" and r._id == "mine _id" for r in rows) and set(out.columns) == {*df.columns, "n_words"}
+    wanted = spark.createDataFrame([(x,) for x in target], "text string")
+    rows = importance_resampling.rank_documents(df, wanted, percent, 10, buckets, max_run, 7).collect()
+    want = brute_resample(docs, target, percent, 10, buckets, max_run, 7)
+    assert Counter((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in rows) == want
+    # Drawn documents with all their columns; of repeated rows as many as were drawn.
+    out = importance_resampling.resample(df, wanted, percent=percent, min_words=10, buckets=buckets, max_run=max_run, seed=7)
+    drawn = out.collect()
+    assert Counter((r.doc_id, r["rank"]) for r in drawn) == Counter((w[0], w[4]) for w in want.elements() if w[4]) and sorted(r["rank"] for r in drawn) == list(range(1, len(drawn) + 1))
+    assert all(r.hash == "mine hash" and r._id == "mine _id" for r in drawn) and set(out.columns) == {*df.columns}
 
 
 def test_resampling_of_nothing(spark):
     docs, target = (spark.createDataFrame([(1, "a b c")], "doc_id long, text string") for _ in range(2))
-    assert importance_resampling.resample(docs.limit(0), target).count() == 0
-    [row] = importance_resampling.resample(docs, target.limit(0), percent=100, min_words=1).collect()
+    assert importance_resampling.resample(docs.limit(0), target).count() == importance_resampling.rank_documents(docs.limit(0), target).count() == 0
+    [row] = importance_resampling.rank_documents(docs, target.limit(0), percent=100, min_words=1).collect()
     assert row.weight == 3 * math.floor(1000 * math.log(10003 / 20000)) and row["rank"] == 1
 
 
@@ -189,22 +194,49 @@ def test_collocations_equal_brute_force(spark, monkeypatch, max_words, budget, c
     docs += [("en", None), (None, ""), ("xx", "once"), ("en", "a " * 3000), ("en", "A B\tA  B"), docs[0], docs[0]]
     df = with_clashes(spark.createDataFrame(docs, "lang string, text string")).repartition(3)
     monkeypatch.setattr(collocations, "WORD_BITS", 14)
-    monkeypatch.setattr(collocations, "PAIR_BITS", 9)  # so few that most slots are shared
+    monkeypatch.setattr(collocations, "PAIR_BITS", 17)
     out = collocations.collocations(df, 8, max_words, top, covered, budget)
     got = Counter((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in out.collect())
     assert got == brute_collocations(docs, 8, max_words, top, covered) and len(got) > 20
     assert collocations.collocations(df.limit(0)).count() == 0
 
 
-def test_groups_keep_to_their_budget(spark):
-    """A prefix that most suffixes share is extended until its parts fit; no suffix that holds a node is lost."""
-    rows = [("en", "hot", f"x{i % 7}", f"y{i % 60}", None if i % 5 == 0 else f"z{i}", None, 1) for i in range(900)] + [("en", f"cold{i}", "x0", None, None, None, 2) for i in range(200)]
-    df = spark.createDataFrame(rows, collocations._ddl(5))
-    grouped, extended = collocations.prefix_groups(df, common.Scratch(spark, "test"), 5, budget=40)
-    levels = {r.w1[:3]: r.levels for r in grouped.groupBy("w1").agg(F.collect_set("level").alias("levels")).collect()}
-    assert min(levels["hot"]) >= 3 and levels["col"] == [1]
-    assert grouped.count() == len(rows) and grouped.groupBy("bin").count().agg(F.max("count")).first()[0] <= 40
-    assert {(r.w1, r.n) for r in extended[0].collect()} == {("hot", 900)} and extended[1].count() == 7
+def test_groups_keep_to_their_budget(spark, monkeypatch):
+    """A group that most suffixes fall in is dealt again by longer prefixes, equal suffixes by their chunks; none is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "LEAST_GROUPS", 1)
+    hot = [f"hot x{i % 7} y{i % 60}" + ("" if i % 5 == 0 else f" z{i}") for i in range(900)]
+    packed = [collocations._packed("en", 1, k, np.zeros(len(part), np.int64), pa.array(part), np.ones(len(part), int)) for k, part in enumerate([hot[:450], hot[450:], [f"cold{i} x0" for i in range(200)]])]
+    packed += [collocations._packed("en", 1, 10 + k, np.zeros(1, np.int64), pa.array(["same again"]), np.array([2])) for k in range(500)]
+    df = spark.createDataFrame(pa.Table.from_batches(packed).to_pandas(), collocations.PACKED_DDL)
+    grouped = collocations.prefix_groups(df, common.Scratch(spark, "test"), 5, budget=80).collect()
+    loads, levels, found = Counter(), defaultdict(set), Counter()
+    for r in grouped:
+        suffixes, n = collocations._unpacked(r.packed, r.size, r.rows)
+        loads[r.bin, r.level] += r.rows
+        for x, c in zip(suffixes.to_pylist(), n.tolist(), strict=True):
+            levels[x[:3]].add(r.level)
+            found[x] += c
+    assert max(loads.values()) <= 80 and min(levels["hot"]) >= 3 and levels["sam"] == {6} and min(levels["col"]) == 2
+    assert found == Counter(hot) + Counter(f"cold{i} x0" for i in range(200)) + Counter({"same again": 1000})
+
+
+def test_ranges_of_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(collocations, "CHUNK_PAIRS", 50)
+    parts = [np.unique(rng.integers(0, 1 << 18, 3000), return_counts=True) for _ in range(5)]
+    slots, counts = collocations._added(parts)
+    want = Counter()
+    for s, n in parts:
+        want.update(dict(zip(s.tolist(), n.tolist(), strict=True)))
+    assert dict(zip(slots.tolist(), counts.tolist(), strict=True)) == want and (np.diff(slots) > 0).all()
+    batches = [collocations._packed_ranges(*p) for p in parts]
+    marks = collocations.Bitmap(18)
+    for b in collocations._frequent_blocks(2)(iter(batches)):
+        for block, m in zip(b.column("block").to_pylist(), b.column("marks").to_pylist(), strict=True):
+            marks.bytes.view("<u8")[block] = m & (1 << 64) - 1
+    assert set(np.flatnonzero(marks.has(np.arange(1 << 18))).tolist()) == {s for s, n in want.items() if n >= 2}
 
 
 def test_scores_beyond_64_bits(spark):
