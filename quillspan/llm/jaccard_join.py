@@ -34,7 +34,7 @@ from quillspan.llm.common import Scratch, SpanHash, WordHashes, as_long, compone
 NGRAM = 5
 THRESHOLD = 0.8
 TREES = 40
-DEPTH = 7
+DEPTH = 8
 RECALL = 0.9999
 #: Classes of a node that one block holds, and n-grams.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
