@@ -48,3 +48,15 @@ def test_toxicity_of_pairs_whose_terms_tell_nothing():
     plain = toxicity.Machine(machine.bias, machine.linear, np.zeros_like(machine.factors), machine.mask)
     score = toxicity.sigmoid(plain.logits([r[plain.mask[r]] for r in x[1600:]]))
     assert abs(((score >= np.median(score)) == y[1600:]).mean() - 0.5) < 0.15
+
+
+def test_the_machine_sums_all_pairs():
+    """The sum by squares equals a double loop over the pairs of a text's terms."""
+    rng = np.random.default_rng(3)
+    linear, factors, sizes = rng.normal(size=60), rng.normal(size=(60, 8)), [1, 7, 2, 20]
+    rows = [rng.integers(0, 60, n) for n in sizes]
+    terms, begin = toxicity._lay(rows, np.arange(len(rows)))
+    got, first = toxicity._pairwise(linear[terms], factors[terms], begin)
+    for row, value, sums in zip(rows, got, first, strict=True):
+        want = sum(linear[t] for t in row) + sum(factors[row[i]] @ factors[row[j]] for i in range(len(row)) for j in range(i))
+        assert value == pytest.approx(want) and sums == pytest.approx(factors[row].sum(axis=0))
