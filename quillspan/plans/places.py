@@ -279,7 +279,7 @@ def threshold_matrix(spark, sf_dir):
     return imagery.threshold_matrix(checked(spark, sf_dir).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control")))
 
 
-@BOOK.add("group_summary", q(("dnbr",), f"SELECT CASE WHEN cell % 2 = 0 THEN 'priority' ELSE 'control' END AS \"group\", count(*) AS cells, count(*) FILTER (verdict <> 'no clear imagery') AS with_imagery, count(*) FILTER (verdict = 'scar visible') AS visible, {r('median(s27) AS scar_share_median', 'median(clear_share) AS clear_share_median')} FROM dnbr GROUP BY ALL"))
+@BOOK.add("group_summary", q(("dnbr",), f"SELECT CASE WHEN cell % 2 = 0 THEN 'priority' ELSE 'control' END AS \"group\", count(*) AS cells, count(*) FILTER (verdict <> 'no clear imagery') AS with_imagery, count(*) FILTER (verdict = 'scar visible') AS visible, {r(*(f"median(CASE WHEN verdict <> 'no clear imagery' THEN {c} END) AS {n}" for c, n in (('s27', 'scar_share_median'), ('clear_share', 'clear_share_median'))))} FROM dnbr GROUP BY ALL"))
 def group_summary(spark, sf_dir):
     return rounded(imagery.group_summary(checked(spark, sf_dir).withColumn("group", F.when(F.col("cell") % 2 == 0, "priority").otherwise("control"))))
 
