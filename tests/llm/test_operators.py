@@ -301,6 +301,14 @@ def test_jaccard_join_shortens_prefixes(spark):
     assert all(got[i] in (want[i], (0, i)) for i in got)
 
 
+def test_registered_join_shortens_prefixes(spark, monkeypatch):
+    """On the given tables whole signatures come first, and as links near the threshold tell of more, shorter prefixes follow."""
+    depths, real = [], jaccard_join._level
+    monkeypatch.setattr(jaccard_join, "_level", lambda classes, raw, scratch, d, *rest: depths.append(d) or real(classes, raw, scratch, d, *rest))
+    links = {r.doc_id: r.n_links for r in jaccard_join.op8_jaccard_join(spark, "/root/testdata/sf0.001").collect()}
+    assert depths == jaccard_join.levels() and len(depths) > 1 and sum(links.values()) > 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).filter("u != 100")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "test"), "c").collect()}
